@@ -49,3 +49,14 @@ def text_or_empty(text_col: str = "text") -> Column:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns that an operator reads, named doc_id and text: further columns can't clash. Null text: empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *more)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """doc_id, text and label of the documents of at most `rows` labelled ids, those with the smallest hashes.
+
+    An id that is labelled more than once takes the larger label; null ids and labels are left out. The ids are
+    chosen from the table of labels alone and sent to the documents: a side of at most `rows` rows.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
+    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")

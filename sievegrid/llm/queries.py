@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import bytebpe, packing, token_counts, token_store
+from sievegrid.llm import bytebpe, packing, quality_model, token_counts, token_store, toxicity
 from sievegrid.llm.common import work_folder
 
 
@@ -19,6 +19,25 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def remainder(n: int):
+    """crc32 of the id as text, modulo n: which rows are held out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranking = quality_model.fit(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    scored = quality_model.score(docs, ranking)
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "tokens")
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -35,5 +54,5 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_token_store, op5_token_counts, op6_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_token_store, op5_token_counts, op6_byte_bpe, op9_quality_model)}
 ORACLES: dict[str, str] = {}
