@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.llm.common import id_and_text, small_side, stored
@@ -212,3 +212,18 @@ def link(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     found = every.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of link(), with all its columns: that of the smallest id, and of rows that repeat this id
+    the one whose text comes first. Rows without an id all stay."""
+    found = stored(link(docs, settings, id_col, text_col).select("doc_id", "kept"), "kept")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    again = stored(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    doc_id = F.col(id_col).cast("long")
+    rest = docs.join(small_side(gone), doc_id == F.col("_gone"), "left_anti")
+    if again.isEmpty():
+        return rest
+    order = Window.partitionBy(doc_id).orderBy(text_col)
+    one = rest.join(small_side(again), doc_id == F.col("_again"), "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return rest.join(small_side(again), doc_id == F.col("_again"), "left_anti").unionByName(one)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.llm.chunked import encoder
@@ -106,8 +106,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length") ->
         return pd.DataFrame({"sequence_id": s["sequence"][at] + nth // s["fit"][at], "offset": s["used"][at] + nth % s["fit"][at] * length})
 
     order = [c for c in ("doc_id", "piece") if c in pieces.columns] or [F.monotonically_increasing_id()]
-    from pyspark.sql import Window
-
     within = Window.partitionBy("_part", length_col).orderBy(*order)
     ranked = rows.withColumn("_row", F.row_number().over(within)).join(small_side(before), (F.col("_part") == F.col("_p")) & (F.col(length_col) == F.col("_l")))
     placed = ranked.withColumn("_place", place(F.col(length_col), F.col("_before") + F.col("_row") - 1))

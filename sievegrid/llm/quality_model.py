@@ -143,3 +143,16 @@ def score(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.scores(got), pa.float64())], ["doc_id", "score"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(rows, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, ranking: Ranking, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score at least `least`, with all their columns; cases as in score()."""
+    model = docs.sparkSession.sparkContext.broadcast(ranking)
+    at = docs.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = np.array([features(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.value.scores(got) >= least))
+
+    return docs.mapInArrow(rows, docs.schema)

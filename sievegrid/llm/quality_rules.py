@@ -91,21 +91,42 @@ def judge(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", tex
     and fails; a null host is a host of its own; rows without an id and repeated rows are judged each; an empty
     table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))).alias("host"), F.xxhash64(text_or_empty(text_col)).alias("content"), text_or_empty(text_col).alias("text"))
+    judged = _judged(docs, host_col, id_col, text_col, least, share, left)
+    return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "n_words_left", "kept")
+
+
+def _host_and_content(host_col: str, text_col: str) -> tuple[Column, Column]:
+    return F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))), F.xxhash64(text_or_empty(text_col))
+
+
+def _judged(docs: DataFrame, host_col: str, id_col: str, text_col: str, least: int, share: float, left: float) -> DataFrame:
+    host, content = _host_and_content(host_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.alias("host"), content.alias("content"), text_or_empty(text_col).alias("text"))
     counts = stored(with_counts(rows).drop("text").withColumn("row", F.monotonically_increasing_id()), "line-hashes")
     each = counts.select("row", "host", "content", F.inline("_lines"))
     hosts = counts.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("documents"))
     frequent = stored(frequent_lines(each.select("host", "hash", "content"), hosts, least, share), "frequent-lines")
     removed = each.select("row", "host", "hash", "words").join(small_side(frequent), ["host", "hash"]).groupBy("row").agg(F.sum("words").alias("removed"))
-    judged = counts.join(removed, "row", "left").withColumn("n_words_left", F.col("_n_words") - F.coalesce("removed", F.lit(0)))
-    return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed().alias("base_failed"), "n_words_left", (~base_failed() & (F.col("n_words_left") >= left * F.col("_n_words"))).alias("kept"))
+    judged = counts.drop("_lines").join(removed, "row", "left").withColumn("n_words_left", F.col("_n_words") - F.coalesce("removed", F.lit(0))).withColumn("base_failed", base_failed())
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= left * F.col("_n_words")))
+
+
+def keep(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE, left: float = WORDS_LEFT) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns and their whole texts.
+
+    The verdict depends on host and text alone, so rejected ones are found again by the hashes of these.
+    """
+    host, content = _host_and_content(host_col, text_col)
+    judged = _judged(docs.withColumn("_no_id", F.lit(0)), host_col, "_no_id", text_col, least, share, left)
+    rejected = stored(judged.where(~F.col("kept")).select(F.col("host").alias("_host"), F.col("content").alias("_content")).distinct(), "rejected")
+    return docs.join(small_side(rejected), (host == F.col("_host")) & (content == F.col("_content")), "left_anti")
 
 
 def without_frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE) -> DataFrame:
     """docs with `text_col` less the lines above the limits; all rows and columns stay, null text stays null."""
-    host = F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\0")))
+    host, content = _host_and_content(host_col, text_col)
     line_hash = lambda x: F.xxhash64(F.btrim(F.lower(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " "))))
-    rows = docs.select(host.alias("host"), F.xxhash64(text_or_empty(text_col)).alias("content"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(host.alias("host"), content.alias("content"), text_or_empty(text_col).alias("text"))
     each = with_counts(rows).select("host", "content", F.inline("_lines")).drop("words")
     hosts = rows.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("documents"))
     lists = stored(frequent_lines(each, hosts, least, share), "frequent-lines").groupBy("host").agg(F.collect_list("hash").alias("_hashes"))  # at most average lines / share for each host
