@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-
 #: Chunks kept per worker process; beyond it the table starts anew.
-KEPT_CHUNKS = 700_000
+KEPT_CHUNKS = 1_000_000
 #: Longer chunks are encoded but not kept.
 KEPT_CHARS = 48
 #: Texts are encoded in groups of about this many characters.
@@ -25,7 +24,7 @@ _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 
 
 def encoder(path: str, cut: str) -> ChunkEncoder:
-    """The encoder of this process. cut: "spaces" if the tokenizer drops white space, "before_spaces" if
+    """The encoder of this process. cut: "spaces" if the tokenizer lower-cases and drops white space, "before_spaces" if
     a single space belongs to the word after it (byte-level patterns of the GPT-2 kind)."""
     if (path, cut) not in _ENCODERS:
         _ENCODERS[path, cut] = ChunkEncoder(path, cut)
@@ -39,11 +38,13 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks = {"spaces": self._at_spaces, "before_spaces": self._before_spaces}[cut]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | bytes, bytes] = {}
 
     @staticmethod
-    def _at_spaces(text: str) -> list[str]:
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def _at_spaces(text: str) -> list[bytes]:
+        raw = text.encode()
+        # A-Z as a-z, so that fewer chunks differ; but in capitals a special token's string is ordinary text
+        return (raw if b"<|" in raw else raw.lower()).split()
 
     @staticmethod
     def _before_spaces(text: str) -> list[str]:
@@ -75,8 +76,9 @@ class ChunkEncoder:
         known = self.known
         missing = list(set().union(*cut).difference(known))
         passing = []
-        for chunk, encoding in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(encoding.ids, dtype="<u4").tobytes()
+        strings = [x.decode() if isinstance(x, bytes) else x for x in missing]
+        for chunk, encoding in zip(missing, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
+            known[chunk] = array("I", encoding.ids).tobytes()
             if len(chunk) > KEPT_CHARS:
                 passing.append(chunk)
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
