@@ -32,7 +32,7 @@ def stored(df: DataFrame, name: str = "work", partition_by: list[str] | None = N
     """df, written as Parquet to the shared folder and read back: its lineage ends there."""
     path = work_folder(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.option("compression", "zstd").parquet(path)  # unlike snappy it keeps no direct buffers, which outlive a task
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
