@@ -70,8 +70,58 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 
 
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumn("purity", F.round("purity", 6))
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_minmax_neardup, op4_token_store, op5_token_counts, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_quality_model, op10_url_templates)}
-ORACLES: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(x, '[^\x20\x09-\x0D]+')"
+
+OP7_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS x, row_number() OVER () AS r FROM documents),
+w AS (SELECT *, {_WORDS} AS words, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+run AS (SELECT r, i, array_to_string(words[i:i + 4], ' ') AS five FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+again AS (SELECT r, five FROM run GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM run JOIN again USING (r, five), range(5) AS o(k) GROUP BY r),
+line AS (SELECT r, host, x, trim(regexp_replace(lower(unnest(lines)), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS l FROM w),
+host AS (SELECT host, count(DISTINCT x) AS documents FROM d GROUP BY host),
+often AS (SELECT host, l FROM line JOIN host USING (host) GROUP BY host, l, documents HAVING count(DISTINCT x) > {quality_rules.LEAST_DOCUMENTS} AND count(DISTINCT x) > {quality_rules.HOST_SHARE} * documents),
+removed AS (SELECT r, sum(len(string_split(l, ' '))) AS n FROM line JOIN often USING (host, l) GROUP BY r),
+c AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, (len(words) - coalesce(removed.n, 0))::BIGINT AS n_words_left
+    FROM w LEFT JOIN covered USING (r) LEFT JOIN removed USING (r)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT *, NOT base_failed AND n_words_left >= {quality_rules.WORDS_LEFT} * n_words AS kept FROM f"""
+
+
+def _op10_sql() -> str:
+    u = url_templates
+    ordered = sorted(URL_RULES, key=lambda r: (-len(r[0] + r[1]), r))
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    case = lambda k: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN {k(h, p, v)}" for h, p, v in ordered) + " END"
+    part = lambda n: f"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {n}), '')"
+    levels = ""
+    for i in range(1, u.LEVELS + 1):
+        levels += f"""
+c{i} AS (SELECT host, template, seg[{i}] AS s, sum(pages) AS n FROM t{i - 1} WHERE len(seg) >= {i} GROUP BY ALL),
+k{i} AS (SELECT host, template, s FROM (SELECT *, sum(n) OVER (PARTITION BY host, template) AS o FROM c{i}) WHERE n >= {u.LEAST_PAGES} AND n >= {u.LEAST_SHARE} * o),
+t{i} AS (SELECT t.* REPLACE (t.template || CASE WHEN len(seg) < {i} THEN '' WHEN k.s IS NOT NULL THEN '/' || seg[{i}] ELSE '/*' END AS template) FROM t{i - 1} t LEFT JOIN k{i} k ON k.host = t.host AND k.template = t.template AND k.s = t.seg[{i}]),"""
+    smooth = lambda b, n: f"({b} + {u.PRIOR_PAGES} * prior) / ({n} + {u.PRIOR_PAGES})"
+    branch = "PARTITION BY host, parent, labelled > 0"
+    return rf"""WITH a AS (SELECT page_id, translate({part(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {part(2)} AS path FROM pages),
+r AS (SELECT *, {case(lambda h, p, v: f"'{h + p}'")} AS rule, {case(lambda h, p, v: f"'{v}'")} AS by_rule FROM a),
+t0 AS (SELECT host, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg, '' AS template, count(*) AS pages, count(by_rule) AS labelled, count(*) FILTER (WHERE by_rule = 'block') AS bad FROM r GROUP BY host, path),{levels}
+tree AS (SELECT * REPLACE (template || CASE WHEN len(seg) > {u.LEVELS} THEN '/**' ELSE '' END AS template) FROM t{u.LEVELS}),
+m AS (SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad FROM tree GROUP BY ALL),
+g AS (SELECT (sum(bad) + 1)::DOUBLE / (sum(labelled) + 2) AS prior FROM m),
+s AS (SELECT *, regexp_replace(template, '/[^/]*$', '') AS parent, {smooth('bad', 'labelled')} AS own FROM m, g),
+z AS (SELECT *, lag(bad) OVER w AS b0, lag(labelled) OVER w AS l0 FROM s WINDOW w AS ({branch} ORDER BY own, template)),
+y AS (SELECT *, (bad + b0 + 1)::DOUBLE / (labelled + l0 + 2) AS mean FROM z),
+x AS (SELECT *, CASE WHEN l0 IS NULL OR labelled = 0 OR (bad + mean) / (labelled + 1) - (b0 + mean) / (l0 + 1) > {u.SIMILAR} * sqrt(mean * (1 - mean) * (1.0::DOUBLE / (labelled + 1) + 1.0::DOUBLE / (l0 + 1))) THEN 1 ELSE 0 END AS brk FROM y),
+v AS (SELECT *, sum(brk) OVER ({branch} ORDER BY own, template) AS grp FROM x),
+q AS (SELECT host, template, prior, sum(bad) OVER w AS bad, sum(labelled) OVER w AS labelled FROM v WINDOW w AS ({branch}, grp)),
+j AS (SELECT host, template, {smooth('bad', 'labelled')} AS purity FROM q)
+SELECT page_id, r.host, r.path, rule, coalesce(by_rule, CASE WHEN purity >= {u.REJECT_AT} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity
+FROM r JOIN tree USING (host, path) JOIN j USING (host, template)"""
+
+
+ORACLES = {"op7_quality_rules": OP7_SQL, "op10_url_templates": _op10_sql()}
