@@ -22,7 +22,7 @@ SAMPLE_ROWS = 12_000
 #: Hashed terms: words, and the first four letters of each.
 BUCKETS = 1 << 18
 #: A term takes part if so many sampled texts have it, and at most so many terms do, those that tell the classes apart best.
-LEAST_TEXTS, MOST_TERMS = 8, 4096
+LEAST_TEXTS, MOST_TERMS = 5, 4096
 FACTORS = 4
 _WORDS = re.compile(r"[^\W\d_]+")
 _KEPT = 500_000
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     return train(got["label"].to_numpy(np.int64), [np.frombuffer(t, np.int32) for t in got["terms"]])
 
 
-def train(labels: np.ndarray, texts: list[np.ndarray], factors: int = FACTORS, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
+def train(labels: np.ndarray, texts: list[np.ndarray], factors: int = FACTORS, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, most_dropped: float = 0.8, seed: int = 7) -> Machine:
     """Logistic loss, balanced classes, Adagrad over shuffled mini-batches of 64 texts."""
     n, positives = len(labels), int(labels.sum())
     if not positives or positives == n:
@@ -100,7 +100,7 @@ def train(labels: np.ndarray, texts: list[np.ndarray], factors: int = FACTORS, e
     p, q = have_positive / positives, (have - have_positive) / (n - positives)
     mean = have / n
     z = np.abs(p - q) / np.sqrt(mean * (1 - mean) * (1 / positives + 1 / (n - positives)) + 1e-12)
-    z[(have < LEAST_TEXTS) | (z < 3)] = 0
+    z[(have < LEAST_TEXTS) | (z < 4)] = 0
     slots = np.sort(np.argsort(-z, kind="stable")[: min(MOST_TERMS, int((z > 0).sum()))])
     slot_of = np.full(BUCKETS, -1)
     slot_of[slots] = np.arange(len(slots))
@@ -110,11 +110,13 @@ def train(labels: np.ndarray, texts: list[np.ndarray], factors: int = FACTORS, e
     bias, linear, v = 0.0, np.zeros(len(slots)), random.normal(0, 0.01, (len(slots), factors))
     seen_bias, seen_linear, seen_v = 1e-6, np.full(len(slots), 1e-6), np.full((len(slots), factors), 1e-6)
     weight = np.where(labels == 1, n / (2 * positives), n / (2 * (n - positives)))
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        drop = most_dropped * (1 - epoch / (epochs - 1))
         order = random.permutation(n)
         for at in range(0, n, 64):
             batch = order[at : at + 64]
-            held = [rows[i] for i in batch]
+            # terms are left out at random, fewer in each epoch: one insult among many must count by itself
+            held = [rows[i][random.random(len(rows[i])) >= drop] for i in batch]
             flat = np.concatenate(held)
             group = np.repeat(np.arange(len(batch)), [len(h) for h in held])
             sums = np.stack([np.bincount(group, v[flat, k], len(batch)) for k in range(factors)], 1)
