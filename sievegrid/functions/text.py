@@ -133,3 +133,17 @@ def shown_number(x: Column, n: Column | None = None, unit: str = "") -> Column:
     """'%.4f', or with a number of samples '%.2f<unit> (n=..)'; N/A for null."""
     shown = F.format_string("%.4f", x) if n is None else F.format_string(f"%.2f{unit} (n=%d)", x, n)
     return F.when(x.isNull(), F.lit("N/A")).otherwise(shown)
+
+
+def submission_uid(candidates: list[Column], url: Column, fallback: Column) -> Column:
+    """The first candidate that isn't blank, else the name of the URL's .mp4 file, else the fallback."""
+    return F.coalesce(first_present(*candidates), url_uid(url), fallback)
+
+
+def skip_reason(method: Column, prediction: Column) -> Column:
+    """Why a row isn't submitted: its parse method if that found nothing, or no prediction; null if it is."""
+    return F.when(method.isin("unparsed", "empty_response"), method).when(prediction.isNull(), F.lit("missing_prediction"))
+
+
+def scaled(values: Column, by: float, kind: str = "double") -> Column:
+    return F.transform(values, lambda x: (x * by).cast(kind))

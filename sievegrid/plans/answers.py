@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegrid.functions import text
-from sievegrid.operators import evaluate, parsing, sync
+from sievegrid.operators import diagnostics, evaluate, parsing, sync
 from sievegrid.plans.registry import query
 from sievegrid.sources.canonical import table
 
@@ -154,6 +154,23 @@ def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.last_wins(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
+@query(f"""{LETTER_FIRST} SELECT coalesce(CASE WHEN parse_method IN ('unparsed', 'empty_response') THEN parse_method WHEN prediction IS NULL THEN 'missing_prediction' END, 'kept') AS reason, count(*) AS n FROM parsed GROUP BY ALL""")
+def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parsing.parse_letter_first(responses(spark, sf_dir))
+    return evaluate.histogram(rows.withColumn("reason", F.coalesce(text.skip_reason(F.col("parse_method"), F.col("prediction")), F.lit("kept"))), "reason")
+
+
+@query("""WITH e AS (SELECT event_id, event_type, (props ->> 'k')::BIGINT AS k, value FROM events WHERE event_id < 2000)
+    SELECT event_id, event_type = 'view' AS patch_selection_applied, CASE WHEN event_type = 'view' THEN k ELSE 2 * k END AS llm_input_sequence_length, CASE WHEN event_type = 'view' THEN 3 * k ELSE 2 * k END AS original_llm_input_sequence_length, value AS latency_seconds FROM e""")
+def runtime_metric_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records made of events: those of type view have a patch selection."""
+    e = table(spark, sf_dir, "events").where("event_id < 2000").withColumn("k", F.from_json("props", "k INT")["k"])
+    patch = F.when(F.col("event_type") == "view", F.struct(F.col("k").alias("sequence_length"), (F.col("k") * 3).alias("original_sequence_length")))
+    record = F.parse_json(F.to_json(F.struct(patch.alias("patch_info"), (F.col("k") * 2).alias("sequence_length"), F.col("value").alias("latency_seconds"))))
+    got = diagnostics.extract_metrics(e.select("event_id", record.alias("record")))
+    return got.select("event_id", "patch_selection_applied", "llm_input_sequence_length", "original_llm_input_sequence_length", "latency_seconds")
+
+
 URL_PATH = "path AS (SELECT page_id, trim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') AS rel_path FROM pages)"
 
 

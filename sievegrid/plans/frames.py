@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions.vectors import noisy
-from sievegrid.operators import budget, grid, ranking, sampling, tokens
+from sievegrid.operators import budget, diagnostics, grid, ranking, sampling, tokens
 from sievegrid.plans.registry import query
 from sievegrid.sources import canonical
 
@@ -122,19 +122,32 @@ def frame_query_scores_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranking.query_scores(canonical.frames(spark, sf_dir), canonical.queries(spark, sf_dir), "mean"), "score")
 
 
-@query(f"""WITH {FRAME}, q AS (SELECT vec_id AS query_idx, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 3),
-    cell AS (SELECT video_id, t, query_idx, pos // 8 AS y, pos % 8 AS x, emb[pos + 1] * q[pos + 1] AS score FROM frame, q, range(64) AS r(pos)),
-    pooled AS (SELECT video_id, t, query_idx, y // 2 AS y, x // 2 AS x, round(avg(score), 9) AS score FROM cell GROUP BY ALL),
-    best AS (SELECT *, row_number() OVER (PARTITION BY video_id, t, y, x ORDER BY score DESC, query_idx) AS n FROM pooled)
-    SELECT video_id, t, y, x, query_idx, round(score, 6) AS score FROM best WHERE n = 1""")
-def patch_query_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cell's part of the dot product stands in for its similarity with a query."""
+def query_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id, t, query_idx, y, x, score: a cell's part of the dot product stands in for its similarity with a query."""
     q = canonical.queries(spark, sf_dir)
     product = F.zip_with("emb", "query", lambda a, b: a * b)
     frames = canonical.frames(spark, sf_dir).crossJoin(F.broadcast(q)).select("video_id", "t", "query_idx", product.alias("emb"))
     cells = frames.select("video_id", "t", "query_idx", F.posexplode("emb").alias("pos", "score")).withColumn("y", F.floor(F.col("pos") / 8)).withColumn("x", (F.col("pos") % 8).cast("long"))
-    pooled = rounded(grid.block_pool(cells, 2, ["video_id", "t", "query_idx"]), "score", digits=9)
-    return rounded(grid.query_winner(pooled, ["video_id", "t", "y", "x"]), "score")
+    return rounded(grid.block_pool(cells, 2, ["video_id", "t", "query_idx"]), "score", digits=9)
+
+
+WINNER = f"""WITH {FRAME}, q AS (SELECT vec_id AS query_idx, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 3),
+    cell AS (SELECT video_id, t, query_idx, pos // 8 AS y, pos % 8 AS x, emb[pos + 1] * q[pos + 1] AS score FROM frame, q, range(64) AS r(pos)),
+    pooled AS (SELECT video_id, t, query_idx, y // 2 AS y, x // 2 AS x, round(avg(score), 9) AS score FROM cell GROUP BY ALL),
+    best AS (SELECT *, row_number() OVER (PARTITION BY video_id, t, y, x ORDER BY score DESC, query_idx) AS n FROM pooled)"""
+
+
+@query(f"{WINNER} SELECT video_id, t, y, x, query_idx, round(score, 6) AS score FROM best WHERE n = 1")
+def patch_query_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(grid.query_winner(query_cells(spark, sf_dir), ["video_id", "t", "y", "x"]), "score")
+
+
+@query(f"{WINNER} SELECT video_id, t, y, x, (y + x) % 2 = 0 AS selected, round(score, 6) AS score, CASE WHEN query_idx < 2 THEN 'q' || query_idx || ': vector ' || query_idx ELSE 'n/a' END AS label FROM best WHERE n = 1")
+def hover_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other cell is in the mask; the third query has no name."""
+    cells = query_cells(spark, sf_dir)
+    names = canonical.queries(spark, sf_dir, 2).select("query_idx", F.concat(F.lit("vector "), F.col("query_idx").cast("string")).alias("query"))
+    return rounded(diagnostics.hover_rows(cells, cells.where((F.col("y") + F.col("x")) % 2 == 0), names), "score")
 
 
 RANK = FRAME + """, u AS (SELECT video_id, t, emb, greatest(sqrt(list_dot_product(emb, emb)), 1e-12) AS n FROM frame),
