@@ -13,10 +13,12 @@ from pyspark.sql.window import WindowSpec
 
 from sievegrid.llm.common import id_and_text, small_side, stored
 
+#: White space that NFKC leaves, but for the space.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u1680\u2028\u2029"
 #: Ranges of ids at most in in_ranges(): their first ids go into the plan.
 MOST_RANGES = 8000
 #: Texts of a range are sorted in one task: ranges of about so many rows.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def canonical(text: Column) -> Column:
@@ -27,8 +29,17 @@ def canonical(text: Column) -> Column:
     normal = lambda x: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
     folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), normal(text), F.lit(True))
     ascii_only = F.octet_length(text) == F.char_length(text)
-    spaces = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-    return F.btrim(F.regexp_replace(F.when(ascii_only, F.lower(text)).otherwise(normal(folded)), spaces, " "))
+    return F.btrim(single_spaces(F.when(ascii_only, F.lower(text)).otherwise(normal(folded))))
+
+
+def single_spaces(text: Column) -> Column:
+    """text in NFKC with each run of white space as one space. Plain replacements: an expression for so many kinds costs ten times more."""
+    for kind in _SPACES:
+        text = F.replace(text, F.lit(kind), F.lit(" "))
+    # there are neither tabs nor line ends now: each space becomes a pair of them, what then closes one and opens the next goes
+    # (each step names its input once: what is not deterministic by name, as `reflect`, is worked out wherever it is named)
+    pairs = F.replace(F.replace(text, F.lit(" "), F.lit("\t\n")), F.lit("\n\t"), F.lit(""))
+    return F.replace(pairs, F.lit("\t\n"), F.lit(" "))
 
 
 def digest(canonical_text: Column) -> Column:
@@ -42,7 +53,7 @@ def in_ranges(rows: DataFrame, ranges: int | None = None) -> tuple[DataFrame, Wi
 
     The order is that of (doc_id, text); rows without an id come first, equal rows follow one another. The
     first row of a range is also a ghost at the end of the range before it, and the very first one at the end
-    of the last; drop the ghosts (`_at.ghost`) afterwards. A range is sorted in one task.
+    of the last; drop the ghosts (`_ghost`) afterwards. A range is sorted in one task.
     """
     at = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     ids = rows.select(at.alias("at"))
@@ -59,7 +70,9 @@ def in_ranges(rows: DataFrame, ranges: int | None = None) -> tuple[DataFrame, Wi
     place = F.struct(F.col("_range").alias("range"), F.lit(False).alias("ghost"))
     before = F.struct(F.pmod(F.col("_range") - 1, F.lit(len(firsts))).cast("int").alias("range"), F.lit(True).alias("ghost"))
     dealt = dealt.withColumn("_at", F.explode(F.when(at.isin(firsts), F.array(place, before)).otherwise(F.array(place)))).drop("_upper", "_range")
-    return dealt, Window.partitionBy("_at.range").orderBy("_at.ghost", at, "text")
+    # plain columns: by them a second window knows that the rows lie right already
+    dealt = dealt.select("*", F.col("_at.range").alias("_range"), F.col("_at.ghost").alias("_ghost"), at.alias("_order")).drop("_at")
+    return dealt, Window.partitionBy("_range").orderBy("_ghost", "_order", "text")
 
 
 def numbered_buckets(texts: DataFrame, limit: int | None = None) -> DataFrame:
@@ -110,9 +123,9 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows, order = in_ranges(id_and_text(docs, id_col, text_col))
     texts = rows.withColumn("n_chars", F.char_length("text")).withColumn("next_text", F.lead("text").over(order))
     edited = F.expr("concat(left(text, n_chars - n_chars div 4), left(next_text, int(n_chars div 4)))")
-    forms = texts.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "_at", "text", canonical(F.col("text")).alias("form"), edited.alias("edited"))
+    forms = texts.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "_range", "_ghost", "_order", "text", canonical(F.col("text")).alias("form"), edited.alias("edited"))
     hashed = forms.withColumn("fingerprint", digest(F.col("form")))
-    hashed = hashed.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).withColumn("next_form", F.lead("form").over(order)).where(~F.col("_at.ghost"))
+    hashed = hashed.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).withColumn("next_form", F.lead("form").over(order)).where(~F.col("_ghost"))
     hashed = hashed.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "form", "fingerprint", "next_form", "next_fingerprint", canonical(F.col("edited")).alias("edited_form"))
     hashed = hashed.withColumn("edited_fingerprint", digest(F.col("edited_form")))
     found = _resolved(hashed, {"fingerprint": "form", "edited_fingerprint": "edited_form", "next_fingerprint": "next_form"}, 2)

@@ -21,16 +21,13 @@ _SPACE = r"[\x20\x09-\x0D]"
 
 def words_of(text: Column) -> Column:
     """Runs of anything but the six ASCII white space characters."""
-    return F.filter(F.split(text, _SPACE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(text, _SPACE + "+"), "")
 
 
-def _windows(hashes: Column, n: int) -> Column:
-    """Hashes of the runs of five, from those of single words: of twos, then fours, then fives."""
-    pair = lambda a, b: F.xxhash64(a, b)
-    part = lambda c, start, less: F.slice(c, F.lit(start), F.greatest(F.size(c) - less, F.lit(0)))
-    twos = F.zip_with(part(hashes, 1, 1), part(hashes, 2, 1), pair)
-    fours = F.zip_with(part(twos, 1, 2), part(twos, 3, 2), pair)
-    return F.zip_with(part(fours, 1, 1), part(hashes, 5, 4), pair)
+def _pairs(a: str, b: str, shift: int) -> Column:
+    """Hashes of each element of array a with the element of b that lies `shift` places on."""
+    n = F.greatest(F.least(F.size(a), F.size(b) - shift), F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1 + shift), n), lambda x, y: F.xxhash64(x, y))
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -39,28 +36,34 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null text has no words. _n_repeat_words: words in runs of five that occur twice or more in the text, the first
     included. _lines: of each line with a word, hash (of the line in lower case, with single spaces) and words.
     """
-    # explode() of one struct holds each step's result, so that it isn't worked out again for every element below
+    # explode() of one struct holds each step's result: named twice in an expression, it would be worked out twice, at
+    # every level, or for every element below
     held = lambda df, **c: df.withColumn("_x", F.explode(F.array(F.struct(*[e.alias(k) for k, e in c.items()])))).select(*df.columns, "_x.*")
-    text = text_or_empty(text_col)
-    df = held(docs, _text=text, _words=words_of(text), _raw_lines=F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    df = held(df, _windows=_windows(F.transform("_words", lambda w: F.xxhash64(w)), 5))
-    repeats = F.size("_windows") > F.size(F.array_distinct("_windows"))
+    long = lambda c: c.cast("long")
+    df = held(docs, _text=text_or_empty(text_col))
+    normal = lambda x: F.btrim(F.when(x.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(x))
+    symbols = F.char_length("_text") - F.char_length(F.regexp_replace("_text", "[#*$%&|<>]", ""))
+    raw = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = held(df, _words=words_of(F.col("_text")), _raw_lines=raw, _normal=F.array_remove(F.transform(F.split(F.lower("_text"), "\n"), normal), ""), _n_symbols=long(symbols)).drop("_text")
+    df = held(df, _hashes=F.transform("_words", lambda w: F.xxhash64(w)))
+    df = held(df, _twos=_pairs("_hashes", "_hashes", 1))
+    df = held(df, _fours=_pairs("_twos", "_twos", 2))
+    df = held(df, _windows=_pairs("_fours", "_hashes", 4)).drop("_twos", "_fours", "_hashes")
+    df = held(df, _repeats=F.size("_windows") > F.size(F.array_distinct("_windows")))
+    repeats = F.col("_repeats")
     # only texts with a repeated run: their runs with places, equal ones next to each other
-    ordered = F.when(repeats, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    df = held(df, _ordered=ordered)
+    df = held(df, _ordered=F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_windows")
     size = F.size("_ordered") - 1
-    twins = F.filter(F.zip_with(F.slice("_ordered", F.lit(1), size), F.slice("_ordered", F.lit(2), size), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))), lambda p: p.isNotNull())
-    df = held(df, _starts=F.when(repeats, F.array_sort(F.array_distinct(F.flatten(twins)))))
+    twins = F.zip_with(F.slice("_ordered", F.lit(1), size), F.slice("_ordered", F.lit(2), size), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    df = held(df, _starts=F.when(repeats, F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda p: p.isNotNull())))))).drop("_ordered")
     steps = F.size("_starts") - 1
     # a run covers five words, or as many as there are up to the next repeated run
     covered = F.aggregate(F.zip_with(F.slice("_starts", F.lit(1), steps), F.slice("_starts", F.lit(2), steps), lambda a, b: F.least(b - a, F.lit(5))), F.lit(5), lambda s, x: s + x)
-    normal = F.transform(F.split(F.lower(F.regexp_replace("_text", r"[\x20\x09\x0B-\x0D]+", " ")), " ?\n ?"), lambda x: F.btrim(x))
-    lines = F.transform(F.filter(normal, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("hash"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
-    long = lambda c: c.cast("long")
+    lines = F.transform("_normal", lambda x: F.struct(F.xxhash64(x).alias("hash"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
     counts = {
         "_n_words": long(F.size("_words")),
         "_word_chars": long(F.char_length(F.array_join("_words", ""))),
-        "_n_symbols": long(F.char_length("_text") - F.char_length(F.regexp_replace("_text", "[#*$%&|<>]", ""))),
+        "_n_symbols": F.col("_n_symbols"),
         "_n_dup_lines": long(F.size("_raw_lines") - F.size(F.array_distinct("_raw_lines"))),
         "_n_repeat_words": long(F.when(repeats, covered).otherwise(0)),
         "_lines": lines,
