@@ -17,10 +17,10 @@ _LIST = "['the first', 'a second one', 'in the middle', 'of all']"
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return c.select("conv_id", "turn", F.substring("text", 1, 400).alias("response"), F.array(*map(F.lit, OPTIONS)).alias("options"))
+    return c.select("conv_id", "turn", F.col("text").alias("response"), F.array(*map(F.lit, OPTIONS)).alias("options"))
 
 
-FOLDED = f"""r AS (SELECT conv_id, turn, left(text, 400) AS response, {_LIST} AS options FROM conversations WHERE role = 'assistant'),
+FOLDED = f"""r AS (SELECT conv_id, turn, text AS response, {_LIST} AS options FROM conversations WHERE role = 'assistant'),
     folded AS (SELECT *, regexp_replace(trim(response), '[À-ÖØ-öø-ÿĀ-ſ]', '_', 'g') AS s, regexp_replace(trim(upper(response)), '[À-ÖØ-öø-ÿĀ-ſ]', '_', 'g') AS u,
         trim(regexp_replace(regexp_replace(lower(response), '[^0-9a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS m FROM r)"""
 CUE = r"(?i)\b(?:answer|option|choice)?\s*[:#\-]?\s*"
@@ -48,7 +48,7 @@ def parse_letter_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def parse_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item and its text with a word less, as response and options; the ratio has no SQL form."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 200).alias("t"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
     rows = b.select("item_id", F.regexp_replace("t", r"^\S+\s+\S+\s", "zz ").alias("response"), F.array(F.lit("nothing like it"), F.col("t")).alias("options"))
     return parsing.parse_index_first(rows, fuzzy=True).drop("response", "options")
 
@@ -66,13 +66,13 @@ def task_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as questions: longer than 1,200 characters predicts quality 1; every seventh has no prediction."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.when(F.col("doc_id") % 7 != 0, (F.col("n_chars") > 1200).cast("int")).alias("prediction"))
+    """Documents as questions: longer than 1,200 characters predicts quality 1, fewer than 200 gives no prediction."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.when(F.col("n_chars") >= 200,(F.col("n_chars") > 1200).cast("int")).alias("prediction"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("ground_truth"))
     return docs.join(labels, "doc_id", "left")
 
 
-JUDGED = "j AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 7 <> 0 THEN (n_chars > 1200)::INT END AS prediction, quality AS truth FROM documents LEFT JOIN labels USING (doc_id))"
+JUDGED = "j AS (SELECT doc_id, lang, source, CASE WHEN n_chars >= 200 THEN (n_chars > 1200)::INT END AS prediction, quality AS truth FROM documents LEFT JOIN labels USING (doc_id))"
 
 
 @query(f"""WITH {JUDGED} SELECT lang, count(*) AS total, count(truth) AS labelled, count(*) FILTER (WHERE prediction = truth) AS correct, round(count(*) FILTER (WHERE prediction = truth) / nullif(count(truth), 0), 6) AS accuracy FROM j GROUP BY lang""")
@@ -81,7 +81,8 @@ def accuracy_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0")
+    """Documents with fewer than 200 characters have no prediction."""
+    d = table(spark, sf_dir, "documents").where("n_chars >= 200")
     return d.select(F.col("doc_id").alias("q_uid"), (F.col("n_chars") > 1200).cast("int").alias("prediction"))
 
 
@@ -89,7 +90,7 @@ def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("q_uid"), F.col("quality").alias("ground_truth"))
 
 
-PREDICTED = "p AS (SELECT doc_id AS q_uid, (n_chars > 1200)::INT AS prediction FROM documents WHERE doc_id % 7 <> 0), l AS (SELECT doc_id AS q_uid, quality AS truth FROM labels)"
+PREDICTED = "p AS (SELECT doc_id AS q_uid, (n_chars > 1200)::INT AS prediction FROM documents WHERE n_chars >= 200), l AS (SELECT doc_id AS q_uid, quality AS truth FROM labels)"
 
 
 @query(f"""WITH {PREDICTED}, f AS (SELECT p.q_uid AS pu, l.q_uid AS lu, prediction, truth FROM p FULL JOIN l ON p.q_uid = l.q_uid), c AS (SELECT count(*) FILTER (WHERE pu IS NOT NULL AND lu IS NOT NULL) AS matched,
@@ -135,10 +136,10 @@ def top_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.top_ops(ops, 10).withColumn("gflops", F.round("gflops", 9))
 
 
-@query("""SELECT conv_id AS video_id, count(*) AS n_questions, string_agg(turn || ':' || coalesce(left(text, 20), ''), '|' ORDER BY turn) AS questions FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id AS video_id, count(*) AS n_questions, string_agg(turn || ':' || coalesce(text, ''), '|' ORDER BY turn) AS questions FROM conversations GROUP BY conv_id""")
 def nested_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested rows, shown as text; as JSON they are written by sources.io.write_submission()."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("question_id"), F.substring("text", 1, 20).alias("response"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("question_id"), F.col("text").alias("response"))
     shown = F.array_join(F.transform("questions", lambda q: F.concat(q["question_id"].cast("string"), F.lit(":"), q["response"])), "|")
     return evaluate.submission(c).withColumn("questions", shown)
 
@@ -160,11 +161,11 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.histogram(rows.withColumn("reason", F.coalesce(text.skip_reason(F.col("parse_method"), F.col("prediction")), F.lit("kept"))), "reason")
 
 
-@query("""WITH e AS (SELECT event_id, event_type, (props ->> 'k')::BIGINT AS k, value FROM events WHERE event_id < 2000)
+@query("""WITH e AS (SELECT event_id, event_type, (props ->> 'k')::BIGINT AS k, value FROM events)
     SELECT event_id, event_type = 'view' AS patch_selection_applied, CASE WHEN event_type = 'view' THEN k ELSE 2 * k END AS llm_input_sequence_length, CASE WHEN event_type = 'view' THEN 3 * k ELSE 2 * k END AS original_llm_input_sequence_length, value AS latency_seconds FROM e""")
 def runtime_metric_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run records made of events: those of type view have a patch selection."""
-    e = table(spark, sf_dir, "events").where("event_id < 2000").withColumn("k", F.from_json("props", "k INT")["k"])
+    e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k INT")["k"])
     patch = F.when(F.col("event_type") == "view", F.struct(F.col("k").alias("sequence_length"), (F.col("k") * 3).alias("original_sequence_length")))
     record = F.parse_json(F.to_json(F.struct(patch.alias("patch_info"), (F.col("k") * 2).alias("sequence_length"), F.col("value").alias("latency_seconds"))))
     got = diagnostics.extract_metrics(e.select("event_id", record.alias("record")))
