@@ -2,8 +2,8 @@
 
 Either agrees for two sets with a probability of their Jaccard similarity, so half as many permutations fill a
 signature. Texts with equal sets are one node. Nodes meet in bands; in each bucket they are compared with two
-leaders, and what these leave in different components is compared in blocks, by a longer sketch and then, as
-are all links, by the full sets.
+leaders, and what these leave in different components is compared in blocks. Every link is confirmed on the full
+sets; a block counts shared shingles itself and gives only links that join components, never its pairs.
 """
 
 from __future__ import annotations
@@ -28,22 +28,16 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 class Settings:
     """words per shingle; percent: least similarity of a link, in hundredths; bands of 2 * half values, of `half` least and
     `half` greatest hashes. With 24 bands of 6 a pair at 0.85 is missed once in 80,000, at 0.8 once in 1,500.
-    sketch: permutations of the longer sketch (one byte for each of its 2 * sketch values); it drops pairs whose
-    estimate lies `deviations` standard deviations below the least similarity. block: rows of a block of a bucket."""
+    block, block_shingles: rows and shingles that one side of a block of a bucket has on average, at most."""
 
     words: int = 5
     percent: int = 80
     bands: int = 30
     half: int = 3
-    sketch: int = 288
-    deviations: float = 5.0
     block: int = 512
+    block_shingles: int = 1_000_000
     seed: int = 1
 
-    def least_agreement(self) -> int:
-        s = self.percent / 100
-        return int(2 * self.sketch * (s - self.deviations * (s * (1 - s) / (2 * self.sketch)) ** 0.5))
-
 
 def shingles(text: str, words: int) -> np.ndarray:
     """64-bit hashes of the distinct runs of words, ascending; of the whole sequence if it is shorter; none without words."""
@@ -101,16 +95,14 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, s: Settings) -> DataFrame:
-    """node, set (array of hashes), sketch, of the rows of docs."""
+    """node, set (array of hashes) of the rows of docs that have words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing = MinMax(s.sketch, s.seed + 1)
         for batch in batches:
             sets = [shingles(t, s.words) for t in batch.column(1).to_pylist()]
-            sketches = [(np.concatenate(hashing(x)) >> np.uint32(24)).astype(np.uint8).tobytes() if len(x) else b"" for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "set", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "set"])
 
-    return docs.mapInArrow(rows, "node long, set array<long>, sketch binary")
+    return docs.mapInArrow(rows, "node long, set array<long>").where(F.size("set") > 0)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -121,25 +113,38 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
+def _shared(one: np.ndarray, values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """Of a set, how many values it shares with each of n others; values: those of all others, ascending; owners: whose."""
+    low, high = np.searchsorted(values, one, "left"), np.searchsorted(values, one, "right")
+    many = high - low
+    at = np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)
+    return np.bincount(owners[at], minlength=n)
+
+
 def _blocks(s: Settings):
-    """Pairs to confirm, from rows (key, left, right, is_left, node, component, n, sketch, bands) in order of block."""
+    """Links, from rows (key, left, right, is_left, node, component, minor, set) in order of block: of each block no more
+    than it takes to join the components that are linked."""
 
     def of_block(x: pd.DataFrame) -> pd.DataFrame:
         one, other = x[x["is_left"]], x[~x["is_left"]]
         out: list[tuple[int, int]] = []
         if len(one) and len(other):
-            sketch = np.stack([np.frombuffer(b, np.uint8) for b in other["sketch"]])
-            bands = np.stack(other["bands"].to_numpy())
-            node, component, n, minor = (other[c].to_numpy() for c in ("node", "component", "n", "minor"))
-            least = s.least_agreement()
-            for r in one.itertuples():
-                fits = (component != r.component) & (100 * np.minimum(n, r.n) >= s.percent * np.maximum(n, r.n)) & (~minor | (node > r.node))
-                at = np.flatnonzero(fits)
-                if len(at):
-                    at = at[(sketch[at] == np.frombuffer(r.sketch, np.uint8)).sum(1) >= least]
-                    # a pair that meets in several bands counts in the first of them
-                    first = (bands[at] == r.bands).argmax(1)
-                    out += [(min(r.node, m), max(r.node, m)) for m, k in zip(node[at], first, strict=True) if r.bands[k] == r.key]
+            node, minor, sets = (other[c].to_numpy() for c in ("node", "minor", "set"))
+            size = np.array([len(v) for v in sets])
+            values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(values, kind="stable")
+            values, owners = values[order], owners[order]
+            code = np.unique(np.concatenate([one["component"], other["component"]]), return_inverse=True)[1]
+            joined = np.arange(code.max() + 1)  # components that a link of this block has joined have one number
+            for r_node, r_set, r_code in zip(one["node"], one["set"], code[: len(one)], strict=True):
+                n, theirs = len(r_set), joined[code[len(one) :]]
+                fits = (theirs != joined[r_code]) & (100 * np.minimum(size, n) >= s.percent * np.maximum(size, n)) & (~minor | (node > r_node))
+                if fits.any():
+                    shared = _shared(r_set, values, owners, len(sets))
+                    at = np.flatnonzero(fits & (100 * shared >= s.percent * (size + n - shared)))
+                    new, first = np.unique(theirs[at], return_index=True)
+                    out += [(min(r_node, m), max(r_node, m)) for m in node[at[first]]]
+                    joined[np.isin(joined, new)] = joined[r_code]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,18 +198,18 @@ def link(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     labelled = ordered.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     hubs = leaders.select("key", F.col("hub.node").alias("node")).join(first, "node", "left").select("key", F.coalesce("component", "node").alias("hub"))
     marked = stored(labelled.join(hubs, "key").withColumn("minor", F.col("component") != F.col("hub")).drop("hub"), "marked")
-    open_ = marked.groupBy("key").agg(F.count("*").alias("all"), F.sum(F.col("minor").cast("int")).alias("minors")).where("minors > 0")
-    blocks = lambda c: F.ceil(F.col(c) / s.block).cast("int")
-    part = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
-    through = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    rest = marked.join(open_, "key")
-    left = rest.where("minor").select("key", part("minors").alias("left"), through("all").alias("right"), F.lit(True).alias("is_left"), "node", "component", "n", "minor")
-    right = rest.select("key", through("minors").alias("left"), part("all").alias("right"), F.lit(False).alias("is_left"), "node", "component", "n", "minor")
-    sketched = sets.select("node", "sketch").dropDuplicates(["node"]).join(nodes.select("node", "bands").dropDuplicates(["node"]), "node")
-    block_rows = left.unionByName(right).join(sketched, "node").select("key", "left", "right", "is_left", "node", "component", "n", "minor", "sketch", "bands")
+    blocks = lambda of: F.ceil(F.greatest(F.sum(of) / s.block, F.sum(of * F.col("n")) / s.block_shingles)).cast("int")
+    minor = F.col("minor").cast("int")
+    open_ = marked.groupBy("key").agg(blocks(minor).alias("minor_blocks"), blocks(F.lit(1)).alias("all_blocks")).where("minor_blocks > 0")
+    rest = marked.join(open_, "key").groupBy("key", "node").agg(*[F.first(c).alias(c) for c in ("component", "minor", "minor_blocks", "all_blocks")])
+    part = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
+    through = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = rest.where("minor").select("key", part("minor_blocks").alias("left"), through("all_blocks").alias("right"), F.lit(True).alias("is_left"), "node", "component", "minor")
+    right = rest.select("key", through("minor_blocks").alias("left"), part("all_blocks").alias("right"), F.lit(False).alias("is_left"), "node", "component", "minor")
+    block_rows = left.unionByName(right).join(sets, "node").select("key", "left", "right", "is_left", "node", "component", "minor", "set")
     more = block_rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right").mapInPandas(_blocks(s), "a long, b long")
     # links that the leaders have settled join equal components and so don't come again
-    more_links = stored(linked(more.distinct(), sets, s.percent), "links")
+    more_links = stored(more.distinct(), "links")
     joined = components(links.unionByName(more_links)) if not more_links.isEmpty() else first
 
     classes = nodes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
