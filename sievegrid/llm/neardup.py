@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievegrid.llm.common import id_and_text, small_side, stored
@@ -192,6 +192,12 @@ def link(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     candidates = stored(ordered.select(F.col("node").alias("doc_id")).distinct(), "candidates")
     sets = stored(full_sets(rows.join(small_side(candidates), "doc_id", "left_semi"), s), "sets")
     links = stored(linked(pairs, sets, s.percent), "links")
+    # rows that repeat an id, with whatever texts, are one document: it links the nodes of these texts
+    repeated = stored(every.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    ids_repeat = not repeated.isEmpty()
+    if ids_repeat:
+        texts = every.join(small_side(repeated), "doc_id", "left_semi").select("doc_id", "digest").distinct()
+        links = links.unionByName(texts.join(nodes, "digest").select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
     first = components(links)
 
     # the rest: members of a bucket outside the component of its hub, against all members of other components
@@ -213,22 +219,30 @@ def link(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     joined = components(links.unionByName(more_links)) if not more_links.isEmpty() else first
 
     classes = nodes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    # rows that repeat an id with other texts: the smallest component of any of them
     found = every.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    if ids_repeat:  # rows without words have no node: they follow the rows with words that have their id
+        of_ids = stored(joined.join(repeated, joined["node"] == repeated["doc_id"]).select("doc_id", F.col("component").alias("of_id")), "of-ids")
+        found = found.join(small_side(of_ids), "doc_id", "left").withColumn("component", F.coalesce("component", "of_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of link(), with all its columns: that of the smallest id, and of rows that repeat this id
-    the one whose text comes first. Rows without an id all stay."""
-    found = stored(link(docs, settings, id_col, text_col).select("doc_id", "kept"), "kept")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    again = stored(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    """One row of each group of near-duplicate texts, with all its columns: that of the smallest id, and of rows that
+    repeat this id the one whose text comes first. Rows without an id all stay, as do those without words, one an id.
+
+    Where ids repeat, rows take the place of ids: an id that has several texts must not take one of them along when
+    another one goes.
+    """
     doc_id = F.col(id_col).cast("long")
-    rest = docs.join(small_side(gone), doc_id == F.col("_gone"), "left_anti")
-    if again.isEmpty():
-        return rest
-    order = Window.partitionBy(doc_id).orderBy(text_col)
-    one = rest.join(small_side(again), doc_id == F.col("_again"), "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    return rest.join(small_side(again), doc_id == F.col("_again"), "left_anti").unionByName(one)
+    if docs.where(doc_id.isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
+        found = stored(link(docs, settings, id_col, text_col).select("doc_id", "kept"), "kept")
+        gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+        return docs.join(small_side(gone), doc_id == F.col("_gone"), "left_anti")
+    rows = stored(docs.where(doc_id.isNotNull()).orderBy(doc_id, text_col).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = stored(link(rows, settings, "_row", text_col), "kept")
+    wordless = found.where("n_shingles = 0").select(F.col("doc_id").alias("_row")).join(rows.select("_row", doc_id.alias("_id")), "_row")
+    first = wordless.groupBy("_id").agg(F.min("_row").alias("_first"))
+    again = wordless.join(first, "_id").where("_row > _first").select("_row")
+    gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("_row")).unionByName(again), "gone")
+    return rows.join(small_side(gone), "_row", "left_anti").select(*docs.columns).unionByName(docs.where(doc_id.isNull()))

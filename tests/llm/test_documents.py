@@ -74,6 +74,16 @@ def test_keep_one_of_each(spark, docs, messy):
     assert ids == expected
 
 
+def test_id_with_two_texts(spark):
+    """An id that repeats with another text links the copies of both; no text goes for the other's sake."""
+    a, b, c = (" ".join(f"{k}{n}" for n in range(40)) for k in "abc")
+    rows = [(1, b), (2, b), (2, a), (3, a), (4, c), (4, c), (5, ""), (5, b), (6, a), (6, c), (7, ""), (7, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.link(df).collect())
+    assert got == Counter(plain_components(rows, 5, 80))
+    assert sorted(map(tuple, neardup.keep(df).collect())) == [(1, b), (2, a), (4, c), (5, ""), (7, "")]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
