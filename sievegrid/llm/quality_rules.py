@@ -94,7 +94,7 @@ def judge(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", tex
     and fails; a null host is a host of its own; rows without an id and repeated rows are judged each; an empty
     table gives no rows; other columns are not read.
     """
-    judged = _judged(docs, host_col, id_col, text_col, least, share, left)
+    judged, _ = _judged(docs, host_col, id_col, text_col, least, share, left)
     return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "n_words_left", "kept")
 
 
@@ -102,7 +102,8 @@ def _host_and_content(host_col: str, text_col: str) -> tuple[Column, Column]:
     return F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))), F.xxhash64(text_or_empty(text_col))
 
 
-def _judged(docs: DataFrame, host_col: str, id_col: str, text_col: str, least: int, share: float, left: float) -> DataFrame:
+def _judged(docs: DataFrame, host_col: str, id_col: str, text_col: str, least: int, share: float, left: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with their verdicts, and the lines above the limits (host, hash)."""
     host, content = _host_and_content(host_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.alias("host"), content.alias("content"), text_or_empty(text_col).alias("text"))
     counts = stored(with_counts(rows).drop("text").withColumn("row", F.monotonically_increasing_id()), "line-hashes")
@@ -111,7 +112,7 @@ def _judged(docs: DataFrame, host_col: str, id_col: str, text_col: str, least: i
     frequent = stored(frequent_lines(each.select("host", "hash", "content"), hosts, least, share), "frequent-lines")
     removed = each.select("row", "host", "hash", "words").join(small_side(frequent), ["host", "hash"]).groupBy("row").agg(F.sum("words").alias("removed"))
     judged = counts.drop("_lines").join(removed, "row", "left").withColumn("n_words_left", F.col("_n_words") - F.coalesce("removed", F.lit(0))).withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= left * F.col("_n_words")))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= left * F.col("_n_words"))), frequent
 
 
 def keep(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE, left: float = WORDS_LEFT) -> DataFrame:
@@ -119,20 +120,40 @@ def keep(docs: DataFrame, host_col: str = "source", text_col: str = "text", leas
 
     The verdict depends on host and text alone, so rejected ones are found again by the hashes of these.
     """
+    return _kept(docs, host_col, text_col, least, share, left)[0]
+
+
+def _kept(docs: DataFrame, host_col: str, text_col: str, least: int, share: float, left: float) -> tuple[DataFrame, DataFrame]:
     host, content = _host_and_content(host_col, text_col)
-    judged = _judged(docs.withColumn("_no_id", F.lit(0)), host_col, "_no_id", text_col, least, share, left)
+    judged, frequent = _judged(docs.withColumn("_no_id", F.lit(0)), host_col, "_no_id", text_col, least, share, left)
     rejected = stored(judged.where(~F.col("kept")).select(F.col("host").alias("_host"), F.col("content").alias("_content")).distinct(), "rejected")
-    return docs.join(small_side(rejected), (host == F.col("_host")) & (content == F.col("_content")), "left_anti")
+    return docs.join(small_side(rejected), (host == F.col("_host")) & (content == F.col("_content")), "left_anti"), frequent
+
+
+def keep_cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", chars_col: str = "n_chars", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE, left: float = WORDS_LEFT) -> DataFrame:
+    """The rows that keep() keeps, their texts less the lines above the limits, which are those of all docs.
+
+    chars_col takes the length of each text that loses lines; everything else stays.
+    """
+    kept, frequent = _kept(docs, host_col, text_col, least, share, left)
+    cleaned = _without(kept.withColumn("_before", F.col(text_col)), frequent, host_col, text_col)
+    chars = F.when(F.col(text_col) != F.col("_before"), F.char_length(text_col)).otherwise(F.col(chars_col))
+    return cleaned.withColumn(chars_col, chars.cast(docs.schema[chars_col].dataType)).select(*docs.columns)
 
 
 def without_frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE) -> DataFrame:
     """docs with `text_col` less the lines above the limits; all rows and columns stay, null text stays null."""
     host, content = _host_and_content(host_col, text_col)
-    line_hash = lambda x: F.xxhash64(F.btrim(F.lower(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " "))))
     rows = docs.select(host.alias("host"), content.alias("content"), text_or_empty(text_col).alias("text"))
     each = with_counts(rows).select("host", "content", F.inline("_lines")).drop("words")
     hosts = rows.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("documents"))
-    lists = stored(frequent_lines(each, hosts, least, share), "frequent-lines").groupBy("host").agg(F.collect_list("hash").alias("_hashes"))  # at most average lines / share for each host
+    return _without(docs, stored(frequent_lines(each, hosts, least, share), "frequent-lines"), host_col, text_col)
+
+
+def _without(docs: DataFrame, frequent: DataFrame, host_col: str, text_col: str) -> DataFrame:
+    host, _ = _host_and_content(host_col, text_col)
+    line_hash = lambda x: F.xxhash64(F.btrim(F.lower(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " "))))
+    lists = frequent.groupBy("host").agg(F.collect_list("hash").alias("_hashes"))  # at most average lines / share for each host
     joined = docs.withColumn("_host", host).join(small_side(lists.withColumnRenamed("host", "_host")), "_host", "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("_hashes", line_hash(x))), "\n")
     return joined.withColumn(text_col, F.when(F.col("_hashes").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,19 @@ def test_lines_that_many_share(spark):
     assert cleaned[0] == rows[0][1].split("\n")[0]
 
 
+def test_stage_removes_lines(spark):
+    """The lines that the pipeline's stage judges as boilerplate are gone from what it hands on; the rest is as it was."""
+    line = "Shared line of the site"
+    rows = [(n, f"own words of number {n} that nobody else has at all in here\n\n{line.upper()}", "en", "h", None) for n in range(60)]
+    rows += [(100, f"few own\n{line}\n{line}\n{line} ", "en", "h", None), (200, f"a b c d e f g h i j\n{line}", "en", "g", None)]
+    rows = [(*r[:4], len(r[1])) for r in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.quality_rule_filter(spark, df, "")
+    assert got.schema == df.schema
+    own = [(n, t.rsplit("\n", 1)[0], "en", "h", len(t) - 1 - len(line)) for n, t, *_ in rows[:60]]
+    assert sorted(map(tuple, got.collect())) == [*own, rows[-1]]
+
+
 def folded(t):
     normal = lambda x: unicodedata.normalize("NFKC", x)
     return re.sub(r"\s+", " ", normal(normal(t).casefold())).strip()
