@@ -17,7 +17,7 @@ from sievegrid.llm.common import small_side, stored
 
 #: A segment is kept if so many pages, and this share of its branch, have it: at most 1 / share children a branch.
 LEAST_PAGES, LEAST_SHARE = 20, 0.02
-#: Levels of the tree; what lies deeper is one wildcard.
+#: Levels that the query's SQL writes out; the tree itself is as deep as the paths.
 LEVELS = 6
 #: Pages that the prior counts for; purity from which a template is rejected; z-score up to which siblings are merged.
 PRIOR_PAGES, REJECT_AT, SIMILAR = 10.0, 0.8, 1.96
@@ -44,25 +44,38 @@ def ruled(rules: list[Rule], host: str = "host", path: str = "path") -> Column:
     return F.coalesce(*[F.when(fits(h, p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for h, p, v in longest], F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
-def with_templates(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
+def with_templates(paths: DataFrame) -> DataFrame:
     """paths (host, path, pages and more) with template: host-wise, level by level, a segment as it is or *.
 
+    Below a branch of fewer than LEAST_PAGES pages no segment is kept, so its paths are completed with wildcards at once.
     Counts are pre-aggregated by (host, template so far, segment), so a host with a third of all pages is spread.
     """
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
     tree = paths.withColumn("segments", segments).withColumn("template", F.lit(""))
-    for level in range(levels):
+    level, done = 0, None
+    while True:
         here = tree.withColumn("segment", F.try_element_at("segments", F.lit(level + 1)))
         counts = here.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("pages").alias("n"))
+        counts = stored(counts, "segment-counts")
         branch = counts.groupBy("host", "template").agg(F.sum("n").alias("of"))
         kept = counts.join(small_side(branch), ["host", "template"]).where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= LEAST_SHARE * F.col("of")))
         kept = stored(kept.select("host", "template", "segment", F.lit(True).alias("is_kept")), "kept-segments")
         joined = here.join(small_side(kept), ["host", "template", "segment"], "left")
         name = F.when(F.col("segment").isNull(), F.lit("")).when(F.col("is_kept"), F.concat(F.lit("/"), "segment")).otherwise(F.lit("/*"))
         tree = stored(joined.withColumn("template", F.concat("template", name)).drop("segment", "is_kept"), "templates")
-        if tree.where(F.size("segments") > level + 1).isEmpty():
-            break
-    return tree.withColumn("template", F.when(F.size("segments") > levels, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
+        level += 1
+        deeper = F.size("segments") > level
+        large = tree.where(deeper).groupBy("host", "template").agg(F.sum("pages").alias("n")).where(F.col("n") >= LEAST_PAGES)
+        large = stored(large.select("host", "template"), "large-branches")
+        rest = F.greatest(F.size("segments") - level, F.lit(0))
+        if large.isEmpty():
+            ended = tree.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), rest))).drop("segments")
+            return ended if done is None else done.unionByName(ended)
+        marked = stored(tree.join(small_side(large.withColumn("is_large", F.lit(True))), ["host", "template"], "left"), "templates")
+        goes_on = deeper & F.col("is_large").isNotNull()
+        ended = marked.where(~goes_on).withColumn("template", F.concat("template", F.repeat(F.lit("/*"), rest))).drop("segments", "is_large")
+        done = ended if done is None else stored(done.unionByName(ended), "done-templates")
+        tree = marked.where(goes_on).drop("is_large")
 
 
 def judged_templates(templates: DataFrame) -> DataFrame:

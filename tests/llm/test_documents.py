@@ -231,6 +231,17 @@ def test_templates_learn(spark):
     assert dict(verdicts) == {("shop.org", "/item/*"): {"allow"}, ("shop.org", "/promo/*/win"): {"block"}, ("shop.org", "/deal/*/win"): {"block"}, ("other.org", "/*/win"): {"allow"}}
 
 
+def test_segments_at_any_depth(spark):
+    """Pages that differ in the eighth segment only: each kind by its own labels."""
+    kinds = [("good", 0), ("bad", 1)]
+    rows = [(1000 * y + n, f"http://deep.org/a/b/c/d/e/f/g/{kind}/{n}", y if n < 50 else None) for kind, y in kinds for n in range(100)]
+    rows += [(5000 + n, f"http://deep.org/a/b/x{n}/y", None) for n in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = url_templates.judge(df, [], bad_col="bad").collect()
+    expected = Counter({("/a/b/c/d/e/f/g/good/*", "allow"): 100, ("/a/b/c/d/e/f/g/bad/*", "block"): 100, ("/a/b/*/*", "allow"): 3})
+    assert Counter((r["template"], r["verdict"]) for r in got) == expected
+
+
 def test_similar_siblings_share_their_labels(spark):
     df = spark.createDataFrame([("h", "/a", 100, 98), ("h", "/b", 6, 6), ("h", "/c", 100, 2), ("h", "/d", 0, 0)], "host string, template string, labelled long, bad long")
     got = {r["template"]: r for r in url_templates.judged_templates(df).collect()}
