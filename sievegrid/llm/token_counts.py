@@ -51,7 +51,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, cut: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(ids) // 4 for ids in encoder(tokenizer_path, cut).encode_all(batch.column(1).to_pylist())]
+            n = [len(ids) // 4 for ids in encoder(tokenizer_path, cut).encode_all(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
 
     missing.groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(count, CACHE_SCHEMA).write.mode("append").parquet(cache_path)

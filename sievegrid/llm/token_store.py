@@ -33,7 +33,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rows, end = 0, 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            encoded = [ids + end for ids in encoder(tokenizer_path, "spaces").encode_all(batch.column(1).to_pylist())]
+            encoded = [ids + end for ids in encoder(tokenizer_path, "spaces").encode_all(batch.column(1))]
             n = np.array([len(ids) // 4 for ids in encoded], np.int64)
             ends = np.cumsum(n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(encoded), "<i4")))

@@ -9,11 +9,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from sievegrid.llm import bytebpe, packing, token_counts, token_store
+from sievegrid.llm import bytebpe, chunked, packing, token_counts, token_store
 from sievegrid.llm.chunked import encoder
 
 WORD, BYTE, RANKS = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"))
@@ -37,8 +38,22 @@ def library():
 def test_chunks_put_together(path, cut, messy):
     r = random.Random(1)
     odd = ["".join(r.choice("ab  \n\t\r.'sÀé́\x1c\x85\xa0 　<|endoftext|>KİΣ9") for _ in range(r.randint(0, 40))) for _ in range(2000)]
+    parts = [*"ab  \n\t\r.'sÀé́\x1c\x85\xa0 　K İΣ9×÷ſŉŸ…≠<|-@Ä", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "'ll", " x.", "  y", "Über", " w" * 30]
+    odd += ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(3000)]
     texts = [t or "" for _, t in messy] + odd
-    assert [list(np.frombuffer(b, "<u4")) for b in encoder(path, cut).encode_all(texts)] == ids_of(path, texts)
+    for some in (texts, texts[::-1], odd[-1:]):  # from an empty table, from a full one, alone
+        assert [list(np.frombuffer(b, "<u4")) for b in encoder(path, cut).encode_all(pa.array(some))] == ids_of(path, some)
+
+
+def test_words_leave_the_table(monkeypatch, messy):
+    """A table that holds next to nothing: its halves change places all the time."""
+    monkeypatch.setattr(chunked, "GROUP_BYTES", 300)
+    small = chunked.ChunkEncoder(WORD, "spaces")
+    small.words = chunked.WordTable(60)
+    r = random.Random(3)
+    texts = [t or "" for _, t in messy] + [" ".join(f"{r.choice('abcd')}{r.choice(['é', 'o', 'Ö'])}{r.choice('xyz')}" * r.randint(1, 9) for _ in range(30)) for _ in range(200)]
+    assert [list(np.frombuffer(b, "<u4")) for b in small.encode_all(pa.array(texts))] == ids_of(WORD, texts)
+    assert small.words.older and sum(len(run[0]) for run in small.words.runs) <= 30
 
 
 def test_token_files(spark, docs, messy, no_docs, tmp_path):
