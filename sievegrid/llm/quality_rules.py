@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.common import small_side, stored, text_or_empty
+from sievegrid.llm.common import fresh, small_side, stored, text_or_empty
 
-#: A line goes if more different documents of its host have it than LEAST_DOCUMENTS and than this share of them.
-LEAST_DOCUMENTS, HOST_SHARE = 50, 0.06
+#: A line goes if at least LEAST_DOCUMENTS different documents of its host have it, and more than this share of them.
+LEAST_DOCUMENTS, HOST_SHARE = 5, 0.06
 #: A document is depleted if less than this share of its words is left.
-WORDS_LEFT = 0.3
+WORDS_LEFT = 0.7
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -80,10 +80,11 @@ def frequent_lines(lines: DataFrame, hosts: DataFrame, least: int, share: float)
 
     lines (host, hash, content): one row per line and document. Documents with the same content count once, for
     copies are no boilerplate. Both steps are pre-aggregated, so that a line which a third of all rows have
-    moves once per task. hosts (host, documents): how many different documents a host has.
+    moves once per task. hosts (host, documents): how many different documents a host has. The share holds for hosts
+    of any size; `least` is the evidence without which no line is boilerplate, so a host of fewer documents loses none.
     """
     distinct = lines.groupBy("host", "hash", "content").agg(F.lit(1).alias("one"))
-    counted = distinct.groupBy("host", "hash").agg(F.sum("one").alias("n")).where(F.col("n") > least)
+    counted = distinct.groupBy("host", "hash").agg(F.sum("one").alias("n")).where(F.col("n") >= least)
     return counted.join(small_side(hosts), "host").where(F.col("n") > share * F.col("documents")).select("host", "hash")
 
 
@@ -94,19 +95,23 @@ def judge(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", tex
     and fails; a null host is a host of its own; rows without an id and repeated rows are judged each; an empty
     table gives no rows; other columns are not read.
     """
-    judged, _ = _judged(docs, host_col, id_col, text_col, least, share, left)
+    judged, _ = _judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), _host(host_col).alias("host"), text_or_empty(text_col).alias("text")), least, share, left)
     return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "n_words_left", "kept")
 
 
-def _host_and_content(host_col: str, text_col: str) -> tuple[Column, Column]:
-    return F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))), F.xxhash64(text_or_empty(text_col))
+def _host(host_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\0")))
 
 
-def _judged(docs: DataFrame, host_col: str, id_col: str, text_col: str, least: int, share: float, left: float) -> tuple[DataFrame, DataFrame]:
-    """The rows with their verdicts, and the lines above the limits (host, hash)."""
-    host, content = _host_and_content(host_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.alias("host"), content.alias("content"), text_or_empty(text_col).alias("text"))
-    counts = stored(with_counts(rows).drop("text").withColumn("row", F.monotonically_increasing_id()), "line-hashes")
+def _verdict_key(host_col: str, text_col: str) -> Column:
+    """SHA-256 of host and text, on which alone the verdict depends."""
+    return F.unhex(F.sha2(F.concat_ws("\0", F.hex(_host(host_col)), text_or_empty(text_col)), 256))
+
+
+def _judged(rows: DataFrame, least: int, share: float, left: float) -> tuple[DataFrame, DataFrame]:
+    """rows (host, text and more) with their verdicts instead of texts, and the lines above the limits (host, hash)."""
+    found = with_counts(rows.withColumn("content", F.xxhash64("text"))).drop("text")
+    counts = stored(found.withColumn("row", F.monotonically_increasing_id()), "line-hashes")
     each = counts.select("row", "host", "content", F.inline("_lines"))
     hosts = counts.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("documents"))
     frequent = stored(frequent_lines(each.select("host", "hash", "content"), hosts, least, share), "frequent-lines")
@@ -116,44 +121,47 @@ def _judged(docs: DataFrame, host_col: str, id_col: str, text_col: str, least: i
 
 
 def keep(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE, left: float = WORDS_LEFT) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns and their whole texts.
-
-    The verdict depends on host and text alone, so rejected ones are found again by the hashes of these.
-    """
+    """The rows of docs that judge() keeps, with all their columns and their whole texts. Cases as in judge()."""
     return _kept(docs, host_col, text_col, least, share, left)[0]
 
 
 def _kept(docs: DataFrame, host_col: str, text_col: str, least: int, share: float, left: float) -> tuple[DataFrame, DataFrame]:
-    host, content = _host_and_content(host_col, text_col)
-    judged, frequent = _judged(docs.withColumn("_no_id", F.lit(0)), host_col, "_no_id", text_col, least, share, left)
-    rejected = stored(judged.where(~F.col("kept")).select(F.col("host").alias("_host"), F.col("content").alias("_content")).distinct(), "rejected")
-    return docs.join(small_side(rejected), (host == F.col("_host")) & (content == F.col("_content")), "left_anti"), frequent
+    judged, frequent = _judged(docs.select(_verdict_key(host_col, text_col).alias("key"), _host(host_col).alias("host"), text_or_empty(text_col).alias("text")), least, share, left)
+    (name,) = fresh(docs, "_rejected")
+    rejected = stored(judged.where(~F.col("kept")).select(F.col("key").alias(name)).distinct(), "rejected")
+    return docs.join(small_side(rejected), _verdict_key(host_col, text_col) == F.col(name), "left_anti"), frequent
 
 
 def keep_cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", chars_col: str = "n_chars", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE, left: float = WORDS_LEFT) -> DataFrame:
     """The rows that keep() keeps, their texts less the lines above the limits, which are those of all docs.
 
-    chars_col takes the length of each text that loses lines; everything else stays.
+    chars_col takes the length of each text that loses lines; everything else stays. Cases as in judge().
     """
     kept, frequent = _kept(docs, host_col, text_col, least, share, left)
-    cleaned = _without(kept.withColumn("_before", F.col(text_col)), frequent, host_col, text_col)
-    chars = F.when(F.col(text_col) != F.col("_before"), F.char_length(text_col)).otherwise(F.col(chars_col))
-    return cleaned.withColumn(chars_col, chars.cast(docs.schema[chars_col].dataType)).select(*docs.columns)
+    (name,) = fresh(docs, "_cleaned")
+    cleaned = _with_cleaned(kept, frequent, host_col, text_col, name)
+    lost = F.col(name) != F.col(text_col)
+    chars = F.when(lost, F.char_length(name)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)
+    return cleaned.select(*[chars.alias(c) if c == chars_col else F.col(name).alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def without_frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE) -> DataFrame:
     """docs with `text_col` less the lines above the limits; all rows and columns stay, null text stays null."""
-    host, content = _host_and_content(host_col, text_col)
-    rows = docs.select(host.alias("host"), content.alias("content"), text_or_empty(text_col).alias("text"))
-    each = with_counts(rows).select("host", "content", F.inline("_lines")).drop("words")
-    hosts = rows.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("documents"))
-    return _without(docs, stored(frequent_lines(each, hosts, least, share), "frequent-lines"), host_col, text_col)
+    rows = docs.select(_host(host_col).alias("host"), text_or_empty(text_col).alias("text"))
+    _, frequent = _judged(rows, least, share, 0.0)
+    (name,) = fresh(docs, "_cleaned")
+    return _with_cleaned(docs, frequent, host_col, text_col, name).select(*[F.col(name).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
 
+def _with_cleaned(docs: DataFrame, frequent: DataFrame, host_col: str, text_col: str, name: str) -> DataFrame:
+    """docs with the column `name`: the text less the lines above the limits.
 
-def _without(docs: DataFrame, frequent: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    host, _ = _host_and_content(host_col, text_col)
+    A host has few such lines, however many documents: each is in more than `share` of these, so there are at most as
+    many as an average document has lines, divided by `share`. They come as one list a host.
+    """
+    on, hashes = fresh(docs, "_on", "_hashes")
     line_hash = lambda x: F.xxhash64(F.btrim(F.lower(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " "))))
-    lists = frequent.groupBy("host").agg(F.collect_list("hash").alias("_hashes"))  # at most average lines / share for each host
-    joined = docs.withColumn("_host", host).join(small_side(lists.withColumnRenamed("host", "_host")), "_host", "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("_hashes", line_hash(x))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_hashes").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    lists = frequent.groupBy(F.col("host").alias(on)).agg(F.collect_list("hash").alias(hashes))
+    joined = docs.join(small_side(lists, frequent.count()), _host(host_col) == F.col(on), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(hashes, line_hash(x))), "\n")
+    return joined.withColumn(name, F.when(F.col(hashes).isNull(), F.col(text_col)).otherwise(kept)).drop(on, hashes)

@@ -84,7 +84,7 @@ again AS (SELECT r, five FROM run GROUP BY ALL HAVING count(*) > 1),
 covered AS (SELECT r, count(DISTINCT i + k) AS n FROM run JOIN again USING (r, five), range(5) AS o(k) GROUP BY r),
 line AS (SELECT r, host, x, trim(regexp_replace(lower(unnest(lines)), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS l FROM w),
 host AS (SELECT host, count(DISTINCT x) AS documents FROM d GROUP BY host),
-often AS (SELECT host, l FROM line JOIN host USING (host) GROUP BY host, l, documents HAVING count(DISTINCT x) > {quality_rules.LEAST_DOCUMENTS} AND count(DISTINCT x) > {quality_rules.HOST_SHARE} * documents),
+often AS (SELECT host, l FROM line JOIN host USING (host) GROUP BY host, l, documents HAVING count(DISTINCT x) >= {quality_rules.LEAST_DOCUMENTS} AND count(DISTINCT x) > {quality_rules.HOST_SHARE} * documents),
 removed AS (SELECT r, sum(len(string_split(l, ' '))) AS n FROM line JOIN often USING (host, l) GROUP BY r),
 c AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, (len(words) - coalesce(removed.n, 0))::BIGINT AS n_words_left

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 
 from sievegrid.llm import quality_model
-from tests.llm.test_documents import plain_components, plain_rules
+from tests.llm.test_documents import PRODUCTION, plain_components, plain_rules
 from tests.llm.test_tokens import best_fit_decreasing, check_places
 
 SF = "/root/testdata/sf0.001"
@@ -42,7 +42,7 @@ def test_classifier(spark, stages):
 
 
 def test_rules(stages):
-    judged = plain_rules(rows(stages[0], "doc_id", "text", "source"), 50, 0.06, 0.3)
+    judged = plain_rules(rows(stages[0], "doc_id", "text", "source"), *PRODUCTION)
     assert Counter(d for (d,) in rows(stages[1], "doc_id")) == Counter(x[0] for x in judged if x[-1])
 
 
