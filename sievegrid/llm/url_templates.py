@@ -1,9 +1,9 @@
 """URL filter: rules for hosts and paths first, then a tree of path templates per host.
 
-DataFrame operations only. From the root down, a segment of a path stays in the template where enough pages of
-its branch share it and becomes a wildcard elsewhere. Templates learn from labelled pages; sibling branches
-whose labels don't differ significantly are judged together, and a template is rejected by the share of bad
-pages among its labelled ones, smoothed towards that of all pages.
+DataFrame operations only. From the root down, a segment of a path stays in the template where there is evidence
+that it is a kind of page, and becomes a wildcard where it varies. Templates learn from labelled pages; sibling
+branches with labels enough that don't differ significantly are judged together, and a template is rejected by
+the share of bad pages among its labelled ones, smoothed towards that of all pages. Without labels none is rejected.
 """
 
 from __future__ import annotations
@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 
 from sievegrid.llm.common import small_side, stored
 
-#: A segment is kept if so many pages, and this share of its branch, have it: at most 1 / share children a branch.
-LEAST_PAGES, LEAST_SHARE = 20, 0.02
+#: A segment is kept only if this share of its branch has it: at most 1 / share children a branch.
+LEAST_SHARE = 0.02
+#: Of those it is kept if so many pages have it; or if its branch has so few kinds of segments; or if no page with it has a
+#: label and so many have it: what labels say of its siblings doesn't hold for it then; or if its labels differ from theirs.
+LEAST_PAGES, FEW_KINDS, UNLABELLED_PAGES = 20, 10, 3
+#: Branches of fewer pages have no segments of their own.
+LEAST_BRANCH = 3
 #: Levels that the query's SQL writes out; the tree itself is as deep as the paths.
 LEVELS = 6
-#: Pages that the prior counts for; purity from which a template is rejected; z-score up to which siblings are merged.
+#: Pages that the prior counts for; purity from which a template is rejected; z-score up to which labels don't differ.
 PRIOR_PAGES, REJECT_AT, SIMILAR = 10.0, 0.8, 1.96
+#: Siblings are merged only if they have so many labelled pages each.
+LEAST_LABELS = 5
 MOST_RULES = 1000
 
 Rule = tuple[str, str, str]
@@ -44,10 +51,27 @@ def ruled(rules: list[Rule], host: str = "host", path: str = "path") -> Column:
     return F.coalesce(*[F.when(fits(h, p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for h, p, v in longest], F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
+def _differ(bad: Column, labelled: Column, other_bad: Column, other_labelled: Column) -> tuple[Column, Column]:
+    """Difference of two shares of bad pages, and its standard error; a mean page is added to either."""
+    mean = (bad + other_bad + 1) / (labelled + other_labelled + 2)
+    error = F.sqrt(mean * (1 - mean) * (1 / (labelled + 1) + 1 / (other_labelled + 1)))
+    return (bad + mean) / (labelled + 1) - (other_bad + mean) / (other_labelled + 1), error
+
+
+def kept_segments(counts: DataFrame) -> DataFrame:
+    """host, template, segment of the segments that stay as they are. counts: these with n pages, labelled and bad ones."""
+    branch = counts.groupBy("host", "template").agg(F.sum("n").alias("of"), F.count("*").alias("kinds"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+    both = counts.join(small_side(branch), ["host", "template"])
+    c = F.col
+    difference, error = _differ(c("bad"), c("labelled"), c("all_bad") - c("bad"), c("all_labelled") - c("labelled"))
+    kind = (c("n") >= LEAST_PAGES) | (c("kinds") <= FEW_KINDS) | ((c("labelled") == 0) & (c("n") >= UNLABELLED_PAGES)) | (F.abs(difference) > SIMILAR * error)
+    return both.where((c("of") >= LEAST_BRANCH) & (c("n") >= LEAST_SHARE * c("of")) & kind).select("host", "template", "segment")
+
+
 def with_templates(paths: DataFrame) -> DataFrame:
-    """paths (host, path, pages and more) with template: host-wise, level by level, a segment as it is or *.
+    """paths (host, path, pages, labelled, bad) with template: host-wise, level by level, a segment as it is or *.
 
-    Below a branch of fewer than LEAST_PAGES pages no segment is kept, so its paths are completed with wildcards at once.
+    Paths below a branch of fewer than LEAST_BRANCH pages are completed with wildcards at once.
     Counts are pre-aggregated by (host, template so far, segment), so a host with a third of all pages is spread.
     """
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
@@ -55,17 +79,14 @@ def with_templates(paths: DataFrame) -> DataFrame:
     level, done = 0, None
     while True:
         here = tree.withColumn("segment", F.try_element_at("segments", F.lit(level + 1)))
-        counts = here.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("pages").alias("n"))
-        counts = stored(counts, "segment-counts")
-        branch = counts.groupBy("host", "template").agg(F.sum("n").alias("of"))
-        kept = counts.join(small_side(branch), ["host", "template"]).where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= LEAST_SHARE * F.col("of")))
-        kept = stored(kept.select("host", "template", "segment", F.lit(True).alias("is_kept")), "kept-segments")
+        counts = here.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("pages").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        kept = stored(kept_segments(stored(counts, "segment-counts")).withColumn("is_kept", F.lit(True)), "kept-segments")
         joined = here.join(small_side(kept), ["host", "template", "segment"], "left")
         name = F.when(F.col("segment").isNull(), F.lit("")).when(F.col("is_kept"), F.concat(F.lit("/"), "segment")).otherwise(F.lit("/*"))
         tree = stored(joined.withColumn("template", F.concat("template", name)).drop("segment", "is_kept"), "templates")
         level += 1
         deeper = F.size("segments") > level
-        large = tree.where(deeper).groupBy("host", "template").agg(F.sum("pages").alias("n")).where(F.col("n") >= LEAST_PAGES)
+        large = tree.where(deeper).groupBy("host", "template").agg(F.sum("pages").alias("n")).where(F.col("n") >= LEAST_BRANCH)
         large = stored(large.select("host", "template"), "large-branches")
         rest = F.greatest(F.size("segments") - level, F.lit(0))
         if large.isEmpty():
@@ -82,23 +103,22 @@ def judged_templates(templates: DataFrame) -> DataFrame:
     """templates (host, template, labelled, bad) with purity and rejected.
 
     Siblings are the templates of a host under one parent; in order of their own smoothed purity, neighbours stay
-    together until two differ by more than SIMILAR standard errors. Templates without labels stay alone.
+    together until two differ by more than SIMILAR standard errors. Templates with fewer than LEAST_LABELS labels stay
+    alone, and those with none aren't rejected, whatever the share of all pages.
     """
     total = templates.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).first()
     prior = ((total["b"] or 0) + 1) / ((total["l"] or 0) + 2)
     smooth = lambda bad, labelled: (F.col(bad) + PRIOR_PAGES * prior) / (F.col(labelled) + PRIOR_PAGES)
     branch = ["host", "parent", "has_labels"]
-    siblings = templates.withColumn("parent", F.regexp_replace("template", "/[^/]*$", "")).withColumn("has_labels", F.col("labelled") > 0).withColumn("own", smooth("bad", "labelled"))
+    siblings = templates.withColumn("parent", F.regexp_replace("template", "/[^/]*$", "")).withColumn("has_labels", F.col("labelled") >= LEAST_LABELS).withColumn("own", smooth("bad", "labelled"))
     order = Window.partitionBy(*branch).orderBy("own", "template")
     last = siblings.withColumn("b0", F.lag("bad").over(order)).withColumn("l0", F.lag("labelled").over(order))
-    mean = (F.col("bad") + F.col("b0") + 1) / (F.col("labelled") + F.col("l0") + 2)
-    error = F.sqrt(mean * (1 - mean) * (1 / (F.col("labelled") + 1) + 1 / (F.col("l0") + 1)))
-    rate = lambda b, n: (F.col(b) + mean) / (F.col(n) + 1)
-    breaks = F.when(F.col("l0").isNull() | ~F.col("has_labels") | (rate("bad", "labelled") - rate("b0", "l0") > SIMILAR * error), 1).otherwise(0)
+    difference, error = _differ(F.col("bad"), F.col("labelled"), F.col("b0"), F.col("l0"))
+    breaks = F.when(F.col("l0").isNull() | ~F.col("has_labels") | (difference > SIMILAR * error), 1).otherwise(0)
     merged = last.withColumn("group", breaks).withColumn("group", F.sum("group").over(order))
     together = Window.partitionBy(*branch, "group")
     pooled = merged.withColumn("bad", F.sum("bad").over(together)).withColumn("labelled", F.sum("labelled").over(together))
-    return pooled.select("host", "template", smooth("bad", "labelled").alias("purity")).withColumn("rejected", F.col("purity") >= REJECT_AT)
+    return pooled.select("host", "template", smooth("bad", "labelled").alias("purity"), "labelled").withColumn("rejected", (F.col("labelled") > 0) & (F.col("purity") >= REJECT_AT)).drop("labelled")
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", bad_col: str | None = None) -> DataFrame:

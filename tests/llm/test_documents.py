@@ -272,10 +272,30 @@ def test_segments_at_any_depth(spark):
     rows += [(5000 + n, f"http://deep.org/a/b/x{n}/y", None) for n in range(3)]
     df = spark.createDataFrame(rows, "page_id long, url string, bad int")
     got = url_templates.judge(df, [], bad_col="bad").collect()
-    expected = Counter({("/a/b/c/d/e/f/g/good/*", "allow"): 100, ("/a/b/c/d/e/f/g/bad/*", "block"): 100, ("/a/b/*/*", "allow"): 3})
+    expected = Counter({("/a/b/c/d/e/f/g/good/*", "allow"): 100, ("/a/b/c/d/e/f/g/bad/*", "block"): 100, ("/a/b/*/y", "allow"): 3})
     assert Counter((r["template"], r["verdict"]) for r in got) == expected
 
 
+def test_small_hosts(spark):
+    """Of a few pages a host: what rules say of some kinds of pages doesn't reach the others, which have no labels; where a
+    segment varies, it does. Repeated rows count, null ids and long paths are judged like others."""
+    kinds = [("es", 1), ("fr", 1), ("de", None), ("en", None)]
+    rows = [(1000 * k + n, f"http://small.net/{kind}/{n}", bad) for k, (kind, bad) in enumerate(kinds) for n in range(15)]
+    rows += [(None, f"http://small.net/de/{n}", None) for n in range(3)] + [(2001, "http://small.net/de/1", None)] * 2
+    rows += [(5000 + n, f"http://ids.net/x{n}/{n % 7}", 1 if n < 50 else None) for n in range(60)]
+    rows += [(6000 + n, f"http://mixed.net/k{n % 15}/{n}", int(n % 15 < 12)) for n in range(150)]
+    rows += [(7000, "http://long.net/" + "a/" * 3000, 1), (7001, "http://long.net/" + "b" * 100_000, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int").repartition(3)
+    got = url_templates.judge(df, [], bad_col="bad").collect()
+    assert len(got) == len(rows)
+    verdicts = defaultdict(set)
+    for r in got:
+        verdicts[r["host"], r["path"].split("/")[1]].add(r["verdict"])
+    assert all(verdicts["small.net", kind] == {"allow" if bad is None else "block"} for kind, bad in kinds)
+    assert all(v == {"block"} for (h, _), v in verdicts.items() if h == "ids.net")
+    assert all(verdicts["mixed.net", f"k{k}"] == {"block" if k < 12 else "allow"} for k in range(15))
+
+
 def test_similar_siblings_share_their_labels(spark):
     df = spark.createDataFrame([("h", "/a", 100, 98), ("h", "/b", 6, 6), ("h", "/c", 100, 2), ("h", "/d", 0, 0)], "host string, template string, labelled long, bad long")
     got = {r["template"]: r for r in url_templates.judged_templates(df).collect()}
