@@ -1,11 +1,12 @@
-"""Best-fit packing in bulk-synchronous steps.
+"""Best-fit packing in bulk-synchronous rounds.
 
 Lengths are whole numbers up to the capacity, so documents of one length and sequences of one gap are
-interchangeable: the range-sorted order of either is the order of its classes, at most `capacity` many.
-One step takes the longest length left, sweeps the gaps upwards from its successor (the smallest gap that
-holds it), gives documents to sequences by their rank within the class, and updates the gaps. The steps
-see class counts alone, whose number doesn't depend on the data; counting, ranking and placing the rows are
-Spark jobs over all of them.
+interchangeable: rows stand for classes of them (a length with its range of ranks, a gap with its range of sequences),
+whose number the capacity bounds, not the data. A round sorts both by size into ranges; in each range, at the same time
+as in the others, the lengths sweep down, and each takes the gaps upwards from its successor, the smallest that
+holds it; the ranks of a length decide which of its documents get a gap that not all can have; gaps are updated. What
+finds no gap in its range waits for the next round, which has half as many ranges; in the topmost range, above which there
+are no gaps, it opens new sequences. Counting, ranking and placing the rows are Spark jobs over all of them.
 """
 
 from __future__ import annotations
@@ -46,67 +47,110 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
     return id_and_text(docs, id_col, text_col).mapInArrow(rows, PIECES)
 
 
-def best_fit_steps(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
-    """What each class of lengths does: rows of (length, first rank, first sequence, documents a sequence, tokens before).
+#: A row of the rounds. size: a gap, or a length; first, n: its sequences, or the ranks of its documents, that are left.
+#: STEP: documents of a length from rank `first` on go to sequences from `sequence` on, `fit` to each, behind `used` tokens.
+NEXT, GAP, DOCS, STEP = range(4)
+ROUND = "kind int, size long, first long, n long, sequence long, fit long, used long"
+#: Ranges of the first round.
+RANGES = 8
+#: Rows ranked together: what has one length is ranked in as many groups as there are so many rows.
+RANKED_ROWS = 20_000
 
-    counts: documents by length, 1 to capacity. The rows are in order of (length, first rank). A class that
-    finds a gap of g puts g // length documents into each such sequence: after one, the gap that is left is the
-    smallest that holds the next. What finds no gap opens new sequences.
+
+def sweep(rows: pd.DataFrame, capacity: int) -> list[tuple[int, ...]]:
+    """What is left of the rows of one range (kind, size, first, n), and its steps.
+
+    A length that finds a gap of g puts g // length documents into each such sequence: after one, the gap that is left
+    is the smallest that holds the next. Only the range that has the row NEXT (first: the number of the next
+    sequence) opens sequences.
     """
     gaps: dict[int, list[tuple[int, int]]] = {}  # gap: (first sequence, sequences) of those that have it
-    opened, steps = 0, []
-    for length in sorted((k for k in counts if counts[k]), reverse=True):
-        rank, total = 0, counts[length]
+    out: list[tuple[int, ...]] = []
+    of = {k: rows[rows["kind"] == k].sort_values(["size", "first"], ascending=[False, True]) for k in (NEXT, GAP, DOCS)}
+    opened = int(of[NEXT]["first"].iloc[0]) if len(of[NEXT]) else None
+    for gap, first, n in of[GAP][["size", "first", "n"]].itertuples(index=False):
+        gaps.setdefault(int(gap), []).append((int(first), int(n)))
+    for length, rank, total in of[DOCS][["size", "first", "n"]].itertuples(index=False):
+        length, rank, end = int(length), int(rank), int(rank + total)
         for gap in [*sorted(g for g in gaps if g >= length), capacity]:
-            if rank == total:
+            if rank == end:
                 break
             fit = gap // length
-            if gap == capacity:
-                need = -(-(total - rank) // fit)
-                ranges, opened = [(opened, need)], opened + need
-            else:
+            if gap < capacity:
                 ranges = gaps.pop(gap)
+            elif opened is not None:
+                ranges = [(opened, -(-(end - rank) // fit))]
+                opened += ranges[0][1]
+            else:
+                ranges = []
             for first, n in ranges:
-                put = min(total - rank, n * fit)
+                put = min(end - rank, n * fit)
                 if put:
-                    steps.append((length, rank, first, fit, capacity - gap))
+                    out.append((STEP, length, rank, put, first, fit, capacity - gap))
                 full, some = divmod(put, fit)
                 for at, many, left in ((first, full, gap - fit * length), (first + full, int(some > 0), gap - some * length), (first + full + (some > 0), n - full - (some > 0), gap)):
                     if many and left:
                         gaps.setdefault(left, []).append((at, many))
                 rank += put
-    steps.sort()
-    columns = np.array(steps, np.int64).reshape(-1, 5).T
-    return dict(zip(("length", "rank", "sequence", "fit", "used"), columns, strict=True))
-
-
-def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length") -> DataFrame:
-    """pieces with sequence_id and offset: best-fit decreasing into sequences of at most `capacity`.
+        if rank < end:
+            out.append((DOCS, length, rank, end - rank, 0, 0, 0))
+    out += [(GAP, gap, first, n, 0, 0, 0) for gap, ranges in gaps.items() for first, n in ranges]
+    return out if opened is None else [*out, (NEXT, capacity + 1, opened, 0, 0, 0, 0)]
+
+
+def best_fit_rounds(counts: DataFrame, capacity: int, ranges: int = RANGES) -> DataFrame:
+    """The steps (size, first, n, sequence, fit, used) that place documents of the lengths in counts (length, n)."""
+
+    def of_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame(columns=["kind", "size", "first", "n"], dtype="int64"), *batches], ignore_index=True)
+        found = sweep(rows, capacity)
+        yield pd.DataFrame(np.array(found, np.int64).reshape(-1, 7), columns=["kind", "size", "first", "n", "sequence", "fit", "used"]).astype({"kind": "int32"})
+
+    row = lambda kind, size, n: [F.lit(kind).cast("int").alias("kind"), F.lit(size).cast("long").alias("size"), F.lit(0).cast("long").alias("first"), n.cast("long").alias("n")]
+    left = counts.select(*row(DOCS, F.col("length"), F.col("n"))).unionByName(counts.sparkSession.range(1).select(*row(NEXT, capacity + 1, F.lit(0))))
+    steps = None
+    while True:
+        # the last round has one range: the classes that are left, at most some thousands for any number of documents
+        dealt = left.repartitionByRange(ranges, F.col("size").desc()) if ranges > 1 else left.coalesce(1)
+        done = stored(dealt.select("kind", "size", "first", "n").mapInPandas(of_range, ROUND), "packing-round")
+        found = done.where(F.col("kind") == STEP).drop("kind")
+        steps = found if steps is None else steps.unionByName(found)
+        left = done.where(F.col("kind") != STEP)
+        if ranges == 1 or left.where(F.col("kind") == DOCS).isEmpty():
+            return steps
+        ranges //= 2
+
+
+def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", ranges: int = RANGES) -> DataFrame:
+    """pieces with sequence_id and offset (instead of columns of these names): packed into sequences of at most `capacity`.
 
     Every row with a length from 1 to capacity gets a place; the places in a sequence are gapless from 0. Rows
     whose length is null or out of this range are an error. Repeated rows get a place each; ties in length
-    are taken in order of input partition, then id and piece. An empty table gives no rows.
-    Ranks within a length come from counts by (partition, length), so that a length which a third of the rows
-    share is ranked in as many parts as there are input partitions.
+    are taken in order of group, then id and piece. An empty table gives no rows. Columns may have any names.
+    Ranks within a length come from counts by (group, length), so that a length which a third of the rows share is ranked
+    in many tasks. With one range the result is exact best-fit decreasing.
     """
     spark = pieces.sparkSession
-    checked = pieces.withColumn(length_col, F.expr(f"CASE WHEN `{length_col}` BETWEEN 1 AND {capacity} THEN `{length_col}` ELSE raise_error('length out of range') END"))
-    rows = stored(checked.withColumn("_part", F.spark_partition_id()), "pieces")
-    by_part = stored(rows.groupBy("_part", F.col(length_col).alias("_length")).agg(F.count("*").alias("_n")), "piece-counts")
-    counts = {r["_length"]: r["n"] for r in by_part.groupBy("_length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
-    steps = spark.sparkContext.broadcast(best_fit_steps(counts, capacity))
-    before = by_part.select(F.col("_part").alias("_p"), F.col("_length").alias("_l"), F.expr("sum(_n) OVER (PARTITION BY _length ORDER BY _part) - _n").alias("_before"))
+    length = F.expr(f"CASE WHEN `{length_col}` BETWEEN 1 AND {capacity} THEN `{length_col}` ELSE raise_error('length out of range') END").cast("long")
+    it = F.struct(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
+    rows = stored(pieces.select(it.alias("it"), length.alias("length"), F.spark_partition_id().alias("part")), "pieces")
+    groups = max(1, -(-rows.count() // RANKED_ROWS))
+    rows = rows.withColumn("group", F.col("part") % groups)
+    by_group = stored(rows.groupBy("group", "length").agg(F.count("*").alias("n")), "piece-counts")
+    steps = best_fit_rounds(by_group.groupBy("length").agg(F.sum("n").alias("n")), capacity, ranges)
+    found = steps.orderBy("size", "first").toPandas()  # classes of lengths and gaps: some thousands for any number of documents
+    send = spark.sparkContext.broadcast({k: found[k].to_numpy(np.int64) for k in found})
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        s = steps.value
+        s = send.value
         length, rank = length.to_numpy(np.int64), rank.to_numpy(np.int64)
-        at = np.searchsorted(s["length"] * (1 << 45) + s["rank"], length * (1 << 45) + rank, side="right") - 1
-        nth = rank - s["rank"][at]
+        at = np.searchsorted(s["size"] * (1 << 45) + s["first"], length * (1 << 45) + rank, side="right") - 1
+        nth = rank - s["first"][at]
         return pd.DataFrame({"sequence_id": s["sequence"][at] + nth // s["fit"][at], "offset": s["used"][at] + nth % s["fit"][at] * length})
 
-    order = [c for c in ("doc_id", "piece") if c in pieces.columns] or [F.monotonically_increasing_id()]
-    within = Window.partitionBy("_part", length_col).orderBy(*order)
-    ranked = rows.withColumn("_row", F.row_number().over(within)).join(small_side(before), (F.col("_part") == F.col("_p")) & (F.col(length_col) == F.col("_l")))
-    placed = ranked.withColumn("_place", place(F.col(length_col), F.col("_before") + F.col("_row") - 1))
-    return placed.select(*pieces.columns, "_place.sequence_id", "_place.offset")
+    before = by_group.select("group", "length", F.expr("sum(n) OVER (PARTITION BY length ORDER BY group) - n").alias("before"))
+    order = [F.col(f"it.{c}") for c in ("doc_id", "piece") if c in pieces.columns] or [F.col("part")]
+    ranked = rows.withColumn("row", F.row_number().over(Window.partitionBy("group", "length").orderBy(*order)))
+    placed = ranked.join(small_side(before, by_group.count()), ["group", "length"]).select("it", place(F.col("length"), F.col("before") + F.col("row") - 1).alias("place"))
+    return placed.select("it.*", "place.sequence_id", "place.offset")

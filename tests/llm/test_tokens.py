@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -134,20 +135,36 @@ def check_places(rows, capacity):
     return len(by_sequence)
 
 
-def test_steps_are_best_fit_decreasing():
+def test_sweeps_of_ranges():
+    """Rounds over classes, as one range and as ranges that know nothing of each other until they are joined."""
     r = random.Random(5)
-    for _ in range(200):
+    for case in range(200):
         capacity = r.choice([5, 16, 64])
         lengths = [r.randint(1, capacity) for _ in range(r.randint(0, 300))]
-        steps = packing.best_fit_steps(Counter(lengths), capacity)
-        used = defaultdict(int)
-        for length, n in Counter(lengths).items():
-            for rank in range(n):
-                at = max(i for i in range(len(steps["length"])) if steps["length"][i] == length and steps["rank"][i] <= rank)
-                nth = rank - steps["rank"][at]
-                used[steps["sequence"][at] + nth // steps["fit"][at]] += length
-        assert len(used) == best_fit_decreasing(lengths, capacity)
-        assert max(used.values(), default=0) <= capacity
+        left = [(packing.DOCS, k, 0, n) for k, n in Counter(lengths).items()] + [(packing.NEXT, capacity + 1, 0, 0)]
+        steps = []
+        for ranges in (1,) if case % 2 else (4, 2, 1):
+            found, width = [], -(-(capacity + 1) // ranges)
+            for i in range(ranges):
+                part = [x[:4] for x in left if (x[1] - 1) // width == i]
+                found += packing.sweep(pd.DataFrame(part, columns=["kind", "size", "first", "n"]), capacity)
+            steps += [x for x in found if x[0] == packing.STEP]
+            left = [x for x in found if x[0] != packing.STEP]
+        assert not [x for x in left if x[0] == packing.DOCS]
+        used, placed = defaultdict(list), Counter()
+        for _, length, rank, n, sequence, fit, before in steps:
+            for k in range(n):
+                used[sequence + k // fit].append((before + k % fit * length, length))
+                placed[length, rank + k] += 1
+        assert placed == Counter((k, i) for k, n in Counter(lengths).items() for i in range(n))
+        for places in used.values():
+            at = 0
+            for before, length in sorted(places):
+                assert before == at
+                at += length
+            assert at <= capacity
+        best = best_fit_decreasing(lengths, capacity)
+        assert len(used) == best if case % 2 else len(used) <= best * 1.02 + 1
 
 
 def test_packing(docs, messy, no_docs):
@@ -162,10 +179,24 @@ def test_packing(docs, messy, no_docs):
     assert packing.pack(packing.cut_pieces(no_docs, WORD)).count() == 0
 
 
-def test_hot_length(spark):
-    got = packing.pack(spark.range(3000).selectExpr("id AS doc_id", "if(id % 3 = 0, 700L, 1 + id % 97) AS length").repartition(5)).collect()
+@pytest.mark.parametrize(("ranges", "ranked"), [(8, 20_000), (1, 500)])
+def test_hot_length(spark, monkeypatch, ranges, ranked):
+    """A third of all rows have one length; they are ranked in one group and in several."""
+    monkeypatch.setattr(packing, "RANKED_ROWS", ranked)
+    got = packing.pack(spark.range(3000).selectExpr("id AS doc_id", "if(id % 3 = 0, 700L, 1 + id % 97) AS length").repartition(5), ranges=ranges).collect()
     lengths = [r["length"] for r in got]
     assert len(got) == 3000
     assert check_places(got, 2048) == best_fit_decreasing(lengths, 2048)
     with pytest.raises(Exception, match="length out of range"):
         packing.pack(spark.sql("SELECT 1L AS doc_id, 3000L AS length")).count()
+
+
+def test_packing_with_names_that_clash(spark):
+    """The caller's columns may have any names; those that packing gives are replaced. Equal rows get a place each."""
+    rows = [(n % 7, 100 + n % 5, "p", 1, "i", 2, 3, 4, 5, "l") for n in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, length long, _part string, _row int, it string, group int, sequence_id int, offset long, part int, _Length string").repartition(3)
+    got = packing.pack(df)
+    assert got.columns == ["doc_id", "length", "_part", "_row", "it", "group", "part", "_Length", "sequence_id", "offset"]
+    found = got.collect()
+    assert Counter(tuple(r)[:8] for r in found) == Counter((*r[:6], *r[8:]) for r in rows)
+    assert check_places(found, 2048) == best_fit_decreasing([r[1] for r in rows], 2048)
