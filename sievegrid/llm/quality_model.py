@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 
 from sievegrid.llm.common import id_and_text, labelled_sample
 
-#: Labelled rows that training takes at most, by the smallest hash of the id; preference pairs drawn from them.
-SAMPLE_ROWS, PAIRS = 12_000, 60_000
+#: Labelled rows that training takes at most, by the smallest hash of the id; preference pairs drawn for each row of this bound.
+SAMPLE_ROWS, PAIRS_A_ROW = 12_000, 5
 _SYMBOLS = re.compile(r"[#*$%&|<>{}\[\]\\^~=_@+]")
 _LETTERS = re.compile(r"[^\W\d_]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-ÞЀ-Я]")
@@ -90,18 +90,20 @@ def _featured(docs: DataFrame, columns: list[str], schema: str) -> DataFrame:
     return docs.select(*columns, "text").mapInArrow(rows, f"{schema}, features array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", at: float = 0.3, sample_rows: int = SAMPLE_ROWS, pairs: int = PAIRS) -> Ranking:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", at: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> Ranking:
     """Learns from the documents of at most `sample_rows` labelled ids.
 
     The cut lies at the quantile of the raw scores that equals the share of label 0; the calibrated score there
-    is `at`. Features of whole texts are taken in Spark. Without rows of both classes every score is 0.5.
+    is `at`. Features of whole texts are taken in Spark. Null texts count as empty; ids without a document, null ids and
+    null labels are left out; of an id labelled more than once the larger label counts, and repeated rows of an id
+    count each. Without rows of both classes every score is 0.5.
     """
     sample = labelled_sample(docs, labels, label_col, id_col, text_col, sample_rows)
     got = _featured(sample, ["label"], "label int").toPandas()
-    return train(got["label"].to_numpy(np.int64), np.array(got["features"].tolist(), float).reshape(-1, len(FEATURES)), at, pairs)
+    return train(got["label"].to_numpy(np.int64), np.array(got["features"].tolist(), float).reshape(-1, len(FEATURES)), at, PAIRS_A_ROW * sample_rows)
 
 
-def train(labels: np.ndarray, rows: np.ndarray, at: float = 0.3, pairs: int = PAIRS, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> Ranking:
+def train(labels: np.ndarray, rows: np.ndarray, at: float = 0.3, pairs: int = PAIRS_A_ROW * SAMPLE_ROWS, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> Ranking:
     """Adagrad on the logistic loss of the differences of random pairs, one document of either label each."""
     x = expanded(rows)
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)

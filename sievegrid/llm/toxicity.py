@@ -21,8 +21,11 @@ from sievegrid.llm.common import id_and_text, labelled_sample
 SAMPLE_ROWS = 12_000
 #: Hashed terms: words, and the first four letters of each.
 BUCKETS = 1 << 18
-#: A term takes part if so many sampled texts have it, and at most so many terms do, those that tell the classes apart best.
-LEAST_TEXTS, MOST_TERMS = 5, 4096
+#: A term takes part if so many sampled texts have it and it tells the classes apart, by itself (a z-score) or in the company
+#: of another one (that of the interaction; pairs are many, so it must be higher). Weights go to MOST_TERMS at most, the best.
+LEAST_TEXTS, MOST_TERMS, ALONE, TOGETHER = 5, 4096, 4.0, 6.0
+#: Terms looked at in pairs: those whose presence divides the sampled texts most evenly.
+PAIR_TERMS = 1024
 FACTORS = 4
 _WORDS = re.compile(r"[^\W\d_]+")
 _KEPT = 500_000
@@ -73,8 +76,9 @@ class Slots:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Machine:
     """Learns from the documents of at most `sample_rows` labelled ids.
 
-    Terms of whole texts are taken in Spark; the driver gets their bucket numbers only. Without rows of both
-    classes every score is 0.5.
+    Terms of whole texts are taken in Spark; the driver gets their bucket numbers only. Null texts have no terms; ids
+    without a document, null ids and null labels are left out; of an id labelled more than once the larger label
+    counts, and repeated rows of an id count each. Without rows of both classes every score is 0.5.
     """
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,20 +92,53 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     return train(got["label"].to_numpy(np.int64), [np.frombuffer(t, np.int32) for t in got["terms"]])
 
 
+def interactions(labels: np.ndarray, texts: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
+    """Of each term the largest z-score of an interaction with another of `terms`: how far the rate of positives among
+    texts with both is from what either alone changes, (both - one) - (other - neither)."""
+    place = np.full(BUCKETS, -1)
+    place[terms] = np.arange(len(terms))
+    x = np.zeros((len(texts), len(terms)), np.float32)
+    for row, t in zip(x, texts, strict=True):
+        t = place[t]
+        row[t[t >= 0]] = 1
+    y = labels.astype(np.float32)
+    both, both_positive = x.T @ x, (x * y[:, None]).T @ x
+    have, have_positive = np.diag(both), np.diag(both_positive)
+    n, positive = float(len(texts)), float(y.sum())
+    cells = (
+        (both, both_positive),
+        (have[:, None] - both, have_positive[:, None] - both_positive),
+        (have[None, :] - both, have_positive[None, :] - both_positive),
+        (n - have[:, None] - have[None, :] + both, positive - have_positive[:, None] - have_positive[None, :] + both_positive),
+    )
+    rates = [(k + 0.5) / (m + 1) for m, k in cells]
+    error = np.sqrt(sum(p * (1 - p) / (m + 1) for p, (m, _) in zip(rates, cells, strict=True)))
+    z = np.abs(rates[0] - rates[1] - rates[2] + rates[3]) / error
+    z[np.min([m for m, _ in cells], axis=0) < LEAST_TEXTS] = 0
+    return z.max(1, initial=0)
+
+
+def chosen_terms(labels: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """Buckets of the terms that take part, ascending."""
+    n, positives = len(labels), int(labels.sum())
+    have = np.bincount(np.concatenate(texts), minlength=BUCKETS)
+    have_positive = np.bincount(np.concatenate([t for t, y in zip(texts, labels, strict=True) if y]), minlength=BUCKETS)
+    p, q, mean = have_positive / positives, (have - have_positive) / (n - positives), have / n
+    z = np.abs(p - q) / np.sqrt(mean * (1 - mean) * (1 / positives + 1 / (n - positives)) + 1e-12) / ALONE
+    even = np.minimum(have, n - have)
+    looked = np.argsort(-even, kind="stable")[:PAIR_TERMS]
+    looked = looked[even[looked] >= LEAST_TEXTS]
+    z[looked] = np.maximum(z[looked], interactions(labels, texts, looked) / TOGETHER)
+    z[(have < LEAST_TEXTS) | (z < 1)] = 0
+    return np.sort(np.argsort(-z, kind="stable")[: min(MOST_TERMS, int((z > 0).sum()))])
+
+
 def train(labels: np.ndarray, texts: list[np.ndarray], factors: int = FACTORS, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, most_dropped: float = 0.8, seed: int = 7) -> Machine:
     """Logistic loss, balanced classes, Adagrad over shuffled mini-batches of 64 texts."""
     n, positives = len(labels), int(labels.sum())
     if not positives or positives == n:
         return Machine(np.empty(0, np.int64), 0.0, np.zeros(0), np.zeros((0, factors)))
-    every = np.concatenate(texts)
-    have = np.bincount(every, minlength=BUCKETS)
-    have_positive = np.bincount(np.concatenate([t for t, y in zip(texts, labels, strict=True) if y]), minlength=BUCKETS)
-    # the information that having the term gives about the label, to first order: a z-score of the two rates
-    p, q = have_positive / positives, (have - have_positive) / (n - positives)
-    mean = have / n
-    z = np.abs(p - q) / np.sqrt(mean * (1 - mean) * (1 / positives + 1 / (n - positives)) + 1e-12)
-    z[(have < LEAST_TEXTS) | (z < 4)] = 0
-    slots = np.sort(np.argsort(-z, kind="stable")[: min(MOST_TERMS, int((z > 0).sum()))])
+    slots = chosen_terms(labels, texts)
     slot_of = np.full(BUCKETS, -1)
     slot_of[slots] = np.arange(len(slots))
     rows = [s[s >= 0] for s in (slot_of[t] for t in texts)]
