@@ -7,9 +7,11 @@ operations over the bytes of many texts; the library encodes each chunk that a t
 
 from __future__ import annotations
 
+import json
 import os
 import string
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +46,27 @@ BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + n for b, n in zip([*_PRINTABLE,
 #: Words are put together with line ends, which stay what they are.
 _AS_CHARS = {b: c for b, c in BYTE_CHARS.items() if b != 10}
 
-_ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
+_ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str, cut: str) -> ChunkEncoder:
-    """The encoder of this process. cut: "spaces" if the tokenizer lower-cases and drops white space, "before_spaces" if
-    a single space belongs to the word after it (byte-level patterns of the GPT-2 kind)."""
-    if (path, cut) not in _ENCODERS:
-        _ENCODERS[path, cut] = ChunkEncoder(path, cut)
-    return _ENCODERS[path, cut]
+def encoder(path: str) -> ChunkEncoder:
+    """The encoder of this process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
+def drops_spaces(path: str) -> bool:
+    """Whether a tokenizer lower-cases and drops white space, or leaves a single space to the word after it, as byte-level
+    patterns of the GPT-2 kind do. Chunks are cut in one of these two ways; a file of another kind is an error."""
+    parts = json.loads(Path(path).read_text())
+    steps = [n.get("type") for n in (parts["normalizer"] or {}).get("normalizers", [])]
+    split = parts["pre_tokenizer"] or {}
+    if steps == ["NFC", "Replace", "Lowercase"] and [p.get("type") for p in split.get("pretokenizers", [])] == ["Split", "ByteLevel"] and split["pretokenizers"][0].get("invert"):
+        return True
+    if parts["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space"):
+        return False
+    raise ValueError(f"no way to cut texts for {path}")
 
 
 def _text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +151,7 @@ def spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -145,7 +159,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.of_words = Tokenizer(self.tokenizer.model)
         self.of_words.pre_tokenizer = WhitespaceSplit()
-        self.at_spaces = {"spaces": True, "before_spaces": False}[cut]
+        self.at_spaces = drops_spaces(path)
         self.words = WordTable()
         self.others: dict[bytes, np.ndarray] = {}
 

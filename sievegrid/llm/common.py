@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,22 +11,38 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: A key with more rows than this, and than a 100,000th of all, is split over several tasks by spread_join().
+HOT_ROWS = 1000
+_ROOTS: set[str] = set()
 
 
 def work_folder(spark: SparkSession, name: str = "work") -> str:
-    """A new path in the shared folder that the cluster names in spark.checkpoint.dir.
+    """A new path in the shared folder that the cluster names in spark.checkpoint.dir; what lies there goes when the driver ends.
 
-    Only where that setting is missing (tests on one machine) a temporary folder takes its place.
+    Where that setting is missing, as in tests, a local master gets a temporary folder; any other is an error, as executors
+    would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             base = "file://" + tempfile.mkdtemp(prefix="sievegrid-")
             spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/sievegrid/{name}-{uuid.uuid4().hex}"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = f"{base.rstrip('/')}/sievegrid/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str = "work", partition_by: list[str] | None = None) -> DataFrame:
@@ -42,6 +59,27 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_RO
     return F.broadcast(df) if n <= limit else df
 
 
+def hot_keys(sizes: DataFrame, keys: list[str], size: str, rows: int) -> DataFrame | None:
+    """Of sizes (keys, size), how many rows each key has out of `rows`: keys and parts of the hot ones, 100,000 at most; None without any."""
+    limit = max(HOT_ROWS, rows // 100_000)
+    hot = stored(sizes.where(F.col(size) > limit).select(*keys, F.ceil(F.col(size) / limit).cast("int").alias("_parts")), "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """left.join(right, keys, how) for an inner or left join, where few rows of right have one key and many of left may.
+
+    Rows of a hot key (of hot_keys()) are dealt in turn to its parts, each of which meets a copy of the rows of right.
+    left is read where it is stored or computed the same way again, so a lost task deals as before.
+    """
+    if hot is None:
+        return left.join(right, keys, how)
+    parts, salt = F.coalesce("_parts", F.lit(1)), "_salt"
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn(salt, F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_parts")
+    copies = right.join(F.broadcast(hot), keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, salt], how).drop(salt)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """names, with underscores added until df has no such column: what an operator adds can't clash with its caller's columns."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -58,7 +96,10 @@ def text_or_empty(text_col: str = "text") -> Column:
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """Only the columns that an operator reads, named doc_id and text: further columns can't clash. Null text: empty."""
+    """Only the columns that an operator reads, named doc_id and text: further columns can't clash. Null text: empty.
+
+    Ids are whole numbers, or text or other types that hold one; an id that holds none is an error of the cast.
+    """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *more)
 
 

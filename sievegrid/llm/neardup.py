@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.common import id_and_text, small_side, stored
+from sievegrid.llm.common import fresh, hot_keys, id_and_text, small_side, spread_join, stored
 from sievegrid.llm.graph import components
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -168,8 +168,8 @@ def link(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
 
     component_id is the smallest id that links lead to; kept: it is the row's own. Null text and texts without words have
     no shingles and are linked with nothing. Rows that repeat an id count as one document: equal or not, they share
-    a component. Rows without an id are linked with nothing, have a null component and are kept. An empty table
-    gives no rows; other columns are not read.
+    a component. Rows without an id are linked with nothing, have a null component and are kept. Very long texts are
+    read whole: their sets of shingles are compared whole. An empty table gives no rows; other columns are not read.
     """
     s = settings
     rows = id_and_text(docs, id_col, text_col)
@@ -178,15 +178,16 @@ def link(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     nodes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
 
     each = nodes.select("node", "n", F.explode("bands").alias("key"))
-    sizes = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(each.join(sizes, "key"), "members")
+    sizes = stored(each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
+    hot = hot_keys(sizes, ["key"], "size", sizes.agg(F.sum("size")).first()[0] or 0)  # large buckets are split in joins
+    members = stored(spread_join(each, sizes, ["key"], hot=hot), "members")
     # leaders of a bucket: the node that most others meet in all its buckets, and one by chance
     central = members.groupBy("node").agg((-F.sum("size")).alias("order"))
     ordered = stored(members.join(central, "node").drop("size"), "members")
     leader = lambda order: F.min(F.struct(order.alias("o"), F.col("node").alias("node"), F.col("n").alias("n")))
     leaders = ordered.groupBy("key").agg(leader(F.col("order")).alias("hub"), leader(F.xxhash64("node", "key")).alias("any"), F.count("*").alias("size"))
     fits = lambda a, b: 100 * F.least(a, b) >= s.percent * F.greatest(a, b)
-    met = ordered.join(leaders, "key").select("node", "n", F.explode(F.array("hub", "any")).alias("l")).where((F.col("node") != F.col("l.node")) & fits(F.col("n"), F.col("l.n")))
+    met = spread_join(ordered, leaders, ["key"], hot=hot).select("node", "n", F.explode(F.array("hub", "any")).alias("l")).where((F.col("node") != F.col("l.node")) & fits(F.col("n"), F.col("l.n")))
     pairs = met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
     candidates = stored(ordered.select(F.col("node").alias("doc_id")).distinct(), "candidates")
@@ -203,11 +204,11 @@ def link(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     # the rest: members of a bucket outside the component of its hub, against all members of other components
     labelled = ordered.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     hubs = leaders.select("key", F.col("hub.node").alias("node")).join(first, "node", "left").select("key", F.coalesce("component", "node").alias("hub"))
-    marked = stored(labelled.join(hubs, "key").withColumn("minor", F.col("component") != F.col("hub")).drop("hub"), "marked")
+    marked = stored(spread_join(labelled, hubs, ["key"], hot=hot).withColumn("minor", F.col("component") != F.col("hub")).drop("hub"), "marked")
     blocks = lambda of: F.ceil(F.greatest(F.sum(of) / s.block, F.sum(of * F.col("n")) / s.block_shingles)).cast("int")
     minor = F.col("minor").cast("int")
     open_ = marked.groupBy("key").agg(blocks(minor).alias("minor_blocks"), blocks(F.lit(1)).alias("all_blocks")).where("minor_blocks > 0")
-    rest = marked.join(open_, "key").groupBy("key", "node").agg(*[F.first(c).alias(c) for c in ("component", "minor", "minor_blocks", "all_blocks")])
+    rest = spread_join(marked, open_, ["key"], hot=hot).groupBy("key", "node").agg(*[F.first(c).alias(c) for c in ("component", "minor", "minor_blocks", "all_blocks")])
     part = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
     through = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     left = rest.where("minor").select("key", part("minor_blocks").alias("left"), through("all_blocks").alias("right"), F.lit(True).alias("is_left"), "node", "component", "minor")
@@ -235,14 +236,15 @@ def keep(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     another one goes.
     """
     doc_id = F.col(id_col).cast("long")
+    row, gone_, id_, first_ = fresh(docs, "_row", "_gone", "_id", "_first")
     if docs.where(doc_id.isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
         found = stored(link(docs, settings, id_col, text_col).select("doc_id", "kept"), "kept")
-        gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-        return docs.join(small_side(gone), doc_id == F.col("_gone"), "left_anti")
-    rows = stored(docs.where(doc_id.isNotNull()).orderBy(doc_id, text_col).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = stored(link(rows, settings, "_row", text_col), "kept")
-    wordless = found.where("n_shingles = 0").select(F.col("doc_id").alias("_row")).join(rows.select("_row", doc_id.alias("_id")), "_row")
-    first = wordless.groupBy("_id").agg(F.min("_row").alias("_first"))
-    again = wordless.join(first, "_id").where("_row > _first").select("_row")
-    gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("_row")).unionByName(again), "gone")
-    return rows.join(small_side(gone), "_row", "left_anti").select(*docs.columns).unionByName(docs.where(doc_id.isNull()))
+        gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(gone_))
+        return docs.join(small_side(gone), doc_id == F.col(gone_), "left_anti")
+    rows = stored(docs.where(doc_id.isNotNull()).orderBy(doc_id, text_col).withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = stored(link(rows, settings, row, text_col), "kept")
+    wordless = found.where("n_shingles = 0").select(F.col("doc_id").alias(row)).join(rows.select(row, doc_id.alias(id_)), row)
+    first = wordless.groupBy(id_).agg(F.min(row).alias(first_))
+    again = wordless.join(first, id_).where(F.col(row) > F.col(first_)).select(row)
+    gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias(row)).unionByName(again), "gone")
+    return rows.join(small_side(gone), row, "left_anti").select(*docs.columns).unionByName(docs.where(doc_id.isNull()))

@@ -37,7 +37,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path, "spaces").encode_all(batch.column(1)), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path).encode_all(batch.column(1)), strict=True):
                 ids += end
                 out += [(doc, n, at // 4, min(len(ids) - at, 4 * capacity) // 4, zlib.crc32(ids[at : at + 4 * capacity])) for n, at in enumerate(range(0, len(ids), 4 * capacity))]
             columns = zip(*out, strict=True) if out else [()] * 5

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.metadata
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -11,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegrid.llm.chunked import encoder
-from sievegrid.llm.common import id_and_text, small_side, stored
+from sievegrid.llm.common import hot_keys, id_and_text, small_side, spread_join, stored
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
 
 def tokenizer_version(tokenizer_path: str) -> str:
-    """SHA-256 of the tokenizer's file: another file never meets counts of this one."""
-    return hashlib.sha256(Path(tokenizer_path).read_bytes()).hexdigest()
+    """SHA-256 of the tokenizer's file and the library's version: others never meet counts of this one. How texts are cut
+    into chunks follows from the file."""
+    return hashlib.sha256(Path(tokenizer_path).read_bytes() + importlib.metadata.version("tokenizers").encode()).hexdigest()
 
 
 def cached_counts(spark: SparkSession, cache_path: str, version: str) -> DataFrame | None:
@@ -30,14 +32,14 @@ def cached_counts(spark: SparkSession, cache_path: str, version: str) -> DataFra
     return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, cut: str = "before_spaces", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of the whole text of every row, as the tokenizer's library counts.
 
     Content is normalised only in that a null text is an empty one: any other change could change the count.
     Its digest is SHA-256, the key of the cache at `cache_path` together with the tokenizer's version. Rows
     without an id and repeated rows are counted like any others; an empty table gives no rows and appends none.
     Other columns of docs are not read. Copies meet before the shuffle, so a text that a third of the rows
-    share moves once per task. An append that is cut short leaves whole files or none, and the next call
+    share moves once per task, and its rows meet their count in several tasks. An append that is cut short leaves whole files or none, and the next call
     encodes what is still missing.
     """
     spark = docs.sparkSession
@@ -51,8 +53,10 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, cut: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(ids) // 4 for ids in encoder(tokenizer_path, cut).encode_all(batch.column(1))]
+            n = [len(ids) // 4 for ids in encoder(tokenizer_path).encode_all(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
 
     missing.groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(count, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    return keys.join(cached_counts(spark, cache_path, version), "digest").select("doc_id", "n_bytes", "n_tokens")
+    copies = keys.groupBy("digest").agg(F.count("*").alias("copies"))
+    hot = hot_keys(copies, ["digest"], "copies", keys.count())
+    return spread_join(keys, cached_counts(spark, cache_path, version), ["digest"], hot=hot).select("doc_id", "n_bytes", "n_tokens")

@@ -26,21 +26,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Encodes the whole text of every row and writes ORC files to `path`, in ascending order of id over all files.
 
     Null text counts as empty: its ids are the end id alone. Rows without an id come first. Rows that repeat
-    an id are all kept, next to each other, ordered by text. An empty table gives files without rows.
-    Other columns of docs are not read. A lost executor costs only its own ranges, which are encoded again.
+    an id are all kept, in order of a hash of their texts, over as many ranges as they fill: an id, or none, that a
+    third of the rows have is no task of its own. An empty table gives files without rows. Other columns of docs
+    are not read. A lost executor costs only its own ranges, which are encoded again.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rows, end = 0, 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            encoded = [ids + end for ids in encoder(tokenizer_path, "spaces").encode_all(batch.column(1))]
+            encoded = [ids + end for ids in encoder(tokenizer_path).encode_all(batch.column(1))]
             n = np.array([len(ids) // 4 for ids in encoded], np.int64)
             ends = np.cumsum(n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(n), pa.array(tokens + ends - n), pa.array(np.arange(rows, rows + len(n)))], ["doc_id", "ids", "n_tokens", "file_start", "file_row"])
             tokens, rows = tokens + int(n.sum()), rows + len(n)
 
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "hash", "row"]
+    rows = id_and_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(encode, SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 

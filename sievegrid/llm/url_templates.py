@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievegrid.llm.common import small_side, stored
+from sievegrid.llm.common import hot_keys, small_side, spread_join, stored
 
 #: A segment is kept only if this share of its branch has it: at most 1 / share children a branch.
 LEAST_SHARE = 0.02
@@ -137,7 +137,9 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     tree = with_templates(stored(paths, "paths"))
     templates = stored(tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "template-counts")
-    verdicts = tree.select("host", "path", "template").join(judged_templates(templates), ["host", "template"])
-    judged = rows.drop("bad").join(stored(verdicts, "path-verdicts"), ["host", "path"], "left")
+    verdicts = tree.select("host", "path", "pages", "template").join(judged_templates(templates), ["host", "template"])
+    paths = stored(verdicts, "path-verdicts")
+    hot = hot_keys(paths, ["host", "path"], "pages", paths.agg(F.sum("pages")).first()[0] or 0)
+    judged = spread_join(rows.drop("bad"), paths, ["host", "path"], "left", hot)
     verdict = F.coalesce("by_rule.verdict", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", F.col("by_rule.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")

@@ -75,6 +75,41 @@ def test_keep_one_of_each(spark, docs, messy):
     assert ids == expected
 
 
+def test_keep_with_names_that_clash(spark):
+    text = lambda k: " ".join(f"{k}{n}" for n in range(40))
+    rows = [(1, text("a"), "g", 1, 2, 3, "n"), (2, text("a"), "h", 1, 2, 3, "n"), (3, text("b"), "i", 1, 2, 3, "n")]
+    names = "doc_id long, text string, _gone string, _again int, _nth int, _row int, _ID string"
+    kept = neardup.keep(spark.createDataFrame(rows, names))
+    assert kept.columns == [c.split()[0] for c in names.split(", ")] and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+    assert sorted(map(tuple, neardup.keep(spark.createDataFrame(rows + rows[:1], names)).collect())) == [rows[0], rows[2]]
+
+
+def test_hot_buckets(spark, monkeypatch):
+    """Near copies that fill buckets of more rows than a task should have: these are split, the components stay."""
+    from sievegrid.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    r = random.Random(9)
+    base = [f"w{n}" for n in range(200)]
+    rows = [(n, " ".join(base[:k] + [f"x{n}"] + base[k + 1 :])) for n in range(90) for k in [r.randrange(200)]]
+    rows += [(500 + n, " ".join(f"y{n}z{k}" for k in range(30))) for n in range(40)]
+    got = neardup.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == plain_components(rows, 5, 80)
+
+
+def test_spread_join(spark):
+    from sievegrid.llm import common
+
+    left = spark.range(5000).selectExpr("IF(id % 2 = 0, 0L, id) AS k", "id AS v")
+    right = spark.range(3000).selectExpr("id AS k", "id * 10 AS w")
+    hot = common.hot_keys(left.groupBy("k").count(), ["k"], "count", 5000)
+    assert [tuple(r) for r in hot.collect()] == [(0, 3)]
+    for how in ("inner", "left"):
+        plain, spread = left.join(right, ["k"], how), common.spread_join(left, right, ["k"], how, hot)
+        assert Counter(map(tuple, spread.collect())) == Counter(map(tuple, plain.collect()))
+    assert common.hot_keys(right.groupBy("k").count(), ["k"], "count", 3000) is None
+
+
 def test_id_with_two_texts(spark):
     """An id that repeats with another text links the copies of both; no text goes for the other's sake."""
     a, b, c = (" ".join(f"{k}{n}" for n in range(40)) for k in "abc")

@@ -13,6 +13,8 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sievegrid.llm import bytebpe, chunked, packing, token_counts, token_store
@@ -35,21 +37,21 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize(("path", "cut"), [(WORD, "spaces"), (BYTE, "before_spaces")])
-def test_chunks_put_together(path, cut, messy):
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_chunks_put_together(path, messy):
     r = random.Random(1)
     odd = ["".join(r.choice("ab  \n\t\r.'sÀé́\x1c\x85\xa0 　<|endoftext|>KİΣ9") for _ in range(r.randint(0, 40))) for _ in range(2000)]
     parts = [*"ab  \n\t\r.'sÀé́\x1c\x85\xa0 　K İΣ9×÷ſŉŸ…≠<|-@Ä", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "'ll", " x.", "  y", "Über", " w" * 30]
     odd += ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(3000)]
     texts = [t or "" for _, t in messy] + odd
     for some in (texts, texts[::-1], odd[-1:]):  # from an empty table, from a full one, alone
-        assert [list(np.frombuffer(b, "<u4")) for b in encoder(path, cut).encode_all(pa.array(some))] == ids_of(path, some)
+        assert [list(np.frombuffer(b, "<u4")) for b in encoder(path).encode_all(pa.array(some))] == ids_of(path, some)
 
 
 def test_words_leave_the_table(monkeypatch, messy):
     """A table that holds next to nothing: its halves change places all the time."""
     monkeypatch.setattr(chunked, "GROUP_BYTES", 300)
-    small = chunked.ChunkEncoder(WORD, "spaces")
+    small = chunked.ChunkEncoder(WORD)
     small.words = chunked.WordTable(60)
     r = random.Random(3)
     texts = [t or "" for _, t in messy] + [" ".join(f"{r.choice('abcd')}{r.choice(['é', 'o', 'Ö'])}{r.choice('xyz')}" * r.randint(1, 9) for _ in range(30)) for _ in range(200)]
@@ -60,7 +62,7 @@ def test_words_leave_the_table(monkeypatch, messy):
 def test_token_files(spark, docs, messy, no_docs, tmp_path):
     token_store.write_tokens(docs, str(tmp_path / "t"), WORD)
     got = token_store.token_digests(token_store.read_tokens(spark, str(tmp_path / "t"))).collect()
-    order = sorted(messy, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    order = sorted(messy, key=lambda x: (x[0] is not None, x[0] or 0, np.uint64(xxhash.xxh64_intdigest(x[1] or "", 42)).view(np.int64)))
     start, expected = 0, []
     for (doc, _), ids in zip(order, ids_of(WORD, [t for _, t in order]), strict=True):
         expected.append((doc, start, len(ids) + 1, crc([*ids, 1])))
@@ -72,6 +74,38 @@ def test_token_files(spark, docs, messy, no_docs, tmp_path):
     assert token_store.read_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_hot_ids_fill_ranges(spark, tmp_path):
+    """An id that a third of the rows share, and none, fill several ranges; equal rows too."""
+    rows = spark.range(30_000).selectExpr("IF(id % 3 = 0, 77L, IF(id % 3 = 1, NULL, id)) AS doc_id", "concat('text ', id % 500) AS text").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a small table would make one file
+    token_store.write_tokens(rows, str(tmp_path / "t"), WORD)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_store.read_tokens(spark, str(tmp_path / "t"))
+    raw = spark.read.schema(token_store.SCHEMA).orc(str(tmp_path / "t")).withColumn("file", F.input_file_name())
+    per_file = Counter((r["doc_id"], r["file"]) for r in raw.collect())
+    assert got.count() == 30_000 and got.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == got.agg(F.sum("n_tokens")).first()[0]
+    assert all(sum(d == k for d, _ in per_file) > 1 for k in (77, None))
+
+
+def test_lookups_skip_rows(spark, tmp_path):
+    """Bloom filters and row indexes are in the files, and a lookup by id reads one group of 10,000 rows or none."""
+    rows = spark.range(0, 60_000, 2, 1).selectExpr("id AS doc_id", "concat('text ', id % 500) AS text")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    token_store.write_tokens(rows, str(tmp_path / "t"), WORD)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    orc, jvm = spark._jvm.org.apache.orc, spark._jvm
+    (path,) = tmp_path.glob("t/*.orc")
+    file = orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(path)), orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    assert file.getNumberOfRows() == 30_000 and file.getRowIndexStride() == 10_000
+    reader = file.rows()
+    kinds = Counter((str(s.getKind()), s.getColumn()) for stripe in file.getStripes() for s in reader.readStripeFooter(stripe).getStreamsList())
+    assert kinds["BLOOM_FILTER_UTF8", 1] and kinds["ROW_INDEX", 1]
+    for wanted, most, found in ((30_002, 10_000, 1), (30_001, 0, 0), (10**9, 0, 0)):  # there; between ids that are there; beyond all
+        hit = spark.read.schema(token_store.SCHEMA).orc(str(tmp_path / "t")).where(F.col("doc_id") == wanted)
+        assert hit._jdf.queryExecution().executedPlan().executeCollect().__len__() == found
+        assert hit._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value() <= most
+
+
 def test_counts_and_cache(spark, docs, messy, no_docs, tmp_path):
     cache = str(tmp_path / "cache")
     expected = Counter((d, len((t or "").encode()), len(ids)) for (d, t), ids in zip(messy, ids_of(BYTE, [t for _, t in messy]), strict=True))
@@ -81,7 +115,7 @@ def test_counts_and_cache(spark, docs, messy, no_docs, tmp_path):
     assert Counter(map(tuple, token_counts.count_tokens(docs, cache, BYTE).collect())) == expected
     assert spark.read.parquet(cache).count() == stored.count()
     # another tokenizer's counts don't meet these
-    token_counts.count_tokens(docs, cache, WORD, "spaces").count()
+    assert {r["n_tokens"] for r in token_counts.count_tokens(docs.where("doc_id = 13"), cache, WORD).collect()} == {len(ids_of(WORD, [dict(messy)[13]])[0])}
     assert spark.read.parquet(cache).select("version").distinct().count() == 2
     assert token_counts.count_tokens(no_docs, cache, BYTE).count() == 0
 
