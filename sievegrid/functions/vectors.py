@@ -11,8 +11,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column, eps: float = 1e-12) -> Column:
-    """v over its length, which counts as eps at least."""
-    return F.transform(v, lambda x: x / F.greatest(F.sqrt(dot(v, v)), F.lit(eps)))
+    """v over its length, which counts as eps at least and is worked out once."""
+    length = F.greatest(F.sqrt(dot(v, v)), F.lit(eps))
+    return F.zip_with(v, F.array_repeat(length, F.size(v)), lambda x, n: x / n)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

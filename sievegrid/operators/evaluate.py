@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-METRICS = ("llm_input_sequence_length", "visual_token_count", "latency_seconds", "llm_prefill_seconds", "llm_generate_flops", "gpu_peak_memory_allocated_bytes")
+#: A time range at the end of a stem, `_1.5_20`: a fixed value.
+TIME_RANGE = r"_[0-9]+(?:\.[0-9]+)?_[0-9]+(?:\.[0-9]+)?$"
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -119,6 +120,37 @@ def resolve_paths(samples: DataFrame, listing: DataFrame, candidates: list[Colum
     return keyed.join(best, "_id", "left").drop("_id")
 
 
+def key_variants(rel_path: Column, is_file: Column) -> Column:
+    """Keys by which a video or a folder of frames is found, in lower case: its name and its relative path, and of a file
+    these without extension, and without a time range behind them."""
+    name = F.regexp_extract(rel_path, r"([^/]+)$", 1)
+    bare = lambda c: F.regexp_replace(c, r"(?<=[^/])\.[^./]*$", "")
+    plain = lambda c: F.regexp_replace(bare(c), TIME_RANGE, "")
+    of_files = F.when(is_file, F.array(bare(name), plain(name), bare(rel_path), plain(rel_path))).otherwise(F.array().cast("array<string>"))
+    keys = F.transform(F.concat(F.array(name, rel_path), of_files), F.lower)
+    return F.filter(F.array_distinct(keys), lambda k: k != "")
+
+
+def lookup(samples: DataFrame, listing: DataFrame, video: str, skip: bool = False) -> DataFrame:
+    """samples with path: by their video's name, else its stem, among the keys of listing (path, rel_path, is_file).
+
+    A key that leads to more than one path is ambiguous. A sample whose key is, or has no path, is an error, or left out.
+    """
+    keys = listing.select("path", F.explode(key_variants(F.col("rel_path"), F.col("is_file"))).alias("key"))
+    paths = keys.groupBy("key").agg(F.min("path").alias("path"), F.count_distinct("path").alias("n"))
+    name = F.lower(F.col(video))
+    tries = F.array(name, F.regexp_replace(F.regexp_extract(name, r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", ""))
+    keyed = samples.withColumn("_id", F.monotonically_increasing_id())
+    each = keyed.select("_id", F.posexplode(tries).alias("order", "key")).join(paths, "key")
+    best = each.groupBy("_id").agg(F.min_by(F.struct("path", "n"), "order").alias("_hit"))
+    found = keyed.join(best, "_id", "left").drop("_id")
+    if skip:
+        return found.where("_hit.n = 1").withColumn("path", F.col("_hit.path")).drop("_hit")
+    wrong = F.when(F.col("_hit.n") > 1, F.lit("ambiguous video ")).otherwise(F.lit("no video "))
+    path = F.when(F.col("_hit.n") == 1, F.col("_hit.path")).otherwise(F.raise_error(F.concat(wrong, F.col(video))).cast("string"))
+    return found.withColumn("path", path).drop("_hit")
+
+
 def ambiguous_keys(listing: DataFrame) -> DataFrame:
     """key, paths, ambiguous of listing (path, keys): keys that lead to more than one path are ambiguous."""
     keys = listing.select("path", F.explode(F.array_distinct("keys")).alias("key"))

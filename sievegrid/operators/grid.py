@@ -11,8 +11,21 @@ MAP = ["video_id", "t"]
 
 
 def block_pool(scores: DataFrame, m: int, keys: list[str] = MAP) -> DataFrame:
-    """Mean of each m by m block; sides must be multiples of m."""
-    return scores.groupBy(*keys, F.floor(F.col("y") / m).alias("y"), F.floor(F.col("x") / m).alias("x")).agg(F.avg("score").alias("score"))
+    """Mean of each m by m block; a block without all its cells is an error: sides must be multiples of m."""
+    blocks = scores.groupBy(*keys, F.floor(F.col("y") / m).alias("y"), F.floor(F.col("x") / m).alias("x")).agg(F.avg("score").alias("score"), F.count("*").alias("_n"))
+    whole = F.when(F.col("_n") == m * m, F.col("score")).otherwise(F.raise_error(F.lit("cells don't fill the blocks")).cast("double"))
+    return blocks.withColumn("score", whole).drop("_n")
+
+
+def pooled(cells: Column, rows: int, columns: int, m: int) -> Column:
+    """Mean of each m by m block of a map in one array, row after row; sides that m doesn't divide are an error."""
+    if rows % m or columns % m:
+        raise ValueError(f"{rows} by {columns} cells don't fall into blocks of {m} by {m}")
+    wide = columns // m
+    corner = lambda k: F.floor(k / wide) * (m * columns) + k % wide * m
+    block = lambda k: sum((F.get(cells, (corner(k) + dy * columns + dx).cast("int")) for dy in range(m) for dx in range(m)), F.lit(0.0)) / (m * m)
+    checked = F.when(F.size(cells) == rows * columns, cells).otherwise(F.raise_error(F.lit("map of another size")).cast("array<double>"))
+    return F.when(checked.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(rows // m * wide - 1)), block))
 
 
 def axis_weights(size: int, target: int) -> list[tuple[int, int, float]]:
@@ -55,7 +68,7 @@ def window_pool(scores: DataFrame, size: tuple[int, int], window: int, stride: i
 def overlap_add(windows: DataFrame, window: int, stride: int, m: int, keys: list[str] = MAP) -> DataFrame:
     """Each window lays its mean on its cells; a block of m by m cells is the sum of what lies on it over their number.
 
-    Cells that no window covers add nothing; a block without any doesn't appear.
+    Cells that no window covers add nothing. A block without any doesn't appear; merged() makes that an error.
     """
     along = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda d: F.floor((F.col(c) * stride + d) / m)))
     laid = windows.withColumn("by", along("y")).withColumn("bx", along("x"))
@@ -63,10 +76,16 @@ def overlap_add(windows: DataFrame, window: int, stride: int, m: int, keys: list
 
 
 def merged(scores: DataFrame, size: tuple[int, int], mode: str = "naive_mean", m: int = 2, window: int = 2, stride: int = 1) -> DataFrame:
-    """Token scores by mode: naive_mean (also merge) or sliding_window."""
+    """Token scores by mode: naive_mean (also merge) or sliding_window, whose windows must reach every block."""
+    if size[0] % m or size[1] % m:
+        raise ValueError(f"{size[0]} by {size[1]} cells don't fall into blocks of {m} by {m}")
     if mode in ("naive_mean", "merge"):
         return block_pool(scores, m)
     if mode == "sliding_window":
+        for side in size:
+            laid = {(w * stride + d) // m for w in range((side - window) // stride + 1) for d in range(window)}
+            if laid != set(range(side // m)):
+                raise ValueError(f"windows of {window} every {stride} cells leave blocks uncovered")
         return overlap_add(window_pool(scores, size, window, stride), window, stride, m)
     raise ValueError(f"unknown mode {mode}")
 
@@ -91,6 +110,26 @@ def mask_expand(tokens: DataFrame, scale: int) -> DataFrame:
     return tokens.select("video_id", "t", along("y").alias("y"), "x").select("video_id", "t", "y", along("x").alias("x"))
 
 
+def grid_shape(tensor: Column, listed: Column) -> Column:
+    """struct(grid_t, grid_h, grid_w) of the first of two arrays that holds one shape: a tensor's (three numbers, or one row of
+    three) before that of the metadata; neither is an error. tensor: ARRAY<ARRAY<BIGINT>>, listed: ARRAY<BIGINT>."""
+    rows = F.when((F.size(tensor) == 1) & (F.size(F.get(tensor, 0)) == 3), F.get(tensor, 0))
+    flat = F.when((F.size(tensor) == 3) & F.forall(tensor, lambda x: F.size(x) == 1), F.flatten(tensor))
+    shape = F.coalesce(rows, flat, F.when(F.size(listed) == 3, listed), F.raise_error(F.lit("no grid of a video")).cast("array<bigint>"))
+    return F.struct(*[F.get(shape, i).alias(n) for i, n in enumerate(("grid_t", "grid_h", "grid_w"))])
+
+
+def score_grid(raw: DataFrame, merged_scores: DataFrame, grid: str, query_index: int | None = None) -> DataFrame:
+    """Scores to be shown (keys, y, x, score): of the raw grid, of one query (query_idx) or the best over all, or the merged ones."""
+    if grid == "merged":
+        return merged_scores
+    if grid != "raw":
+        raise ValueError(f"unknown grid {grid}")
+    if query_index is not None:
+        return raw.where(F.col("query_idx") == query_index).drop("query_idx")
+    return raw.groupBy(*[c for c in raw.columns if c not in ("query_idx", "score")]).agg(F.max("score").alias("score"))
+
+
 def steps(grids: DataFrame) -> DataFrame:
     """grids (video_id, grid_t, grid_h, grid_w) as one row (1, h, w) per step."""
     return grids.select("video_id", F.explode(F.sequence(F.lit(0), F.col("grid_t") - 1)).alias("t"), F.lit(1).alias("grid_t"), "grid_h", "grid_w")

@@ -7,47 +7,84 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from sievegrid.functions.vectors import cosine_distance, dot, unit
+from sievegrid.operators.sampling import uniform_sample
+
 
 def _video() -> WindowSpec:
     return Window.partitionBy("video_id")
 
 
-def query_scores(frames: DataFrame, queries: DataFrame, how: str = "max") -> DataFrame:
-    """video_id, t, score: cosine of each frame (emb) with each query (query_idx, query), aggregated by max or mean.
+#: Lines of a query file, and frames of a pool: what goes to every task, or into one row.
+MOST_QUERIES, POOL = 1000, 512
+
+
+def checked_queries(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
+    """One row with `all`, the unit vectors of the queries (query); more than `most` are an error."""
+    few = queries.limit(most + 1).agg(F.collect_list(unit(F.col("query"))).alias("all"))
+    return few.select(F.when(F.size("all") <= most, F.col("all")).otherwise(F.raise_error(F.lit("too many queries")).cast("array<array<double>>")).alias("all"))
 
-    The queries are few (the lines of a query file) and go to every task.
+
+def with_query_scores(frames: DataFrame, queries: DataFrame, how: str = "max", emb: str = "emb") -> DataFrame:
+    """frames with score: cosine of `emb` with each query (query), aggregated by max or mean, in place.
+
+    The queries, at most MOST_QUERIES, go to every task.
     """
-    rows = frames.select("video_id", "t", unit(F.col("emb")).alias("emb"))
-    few = queries.agg(F.collect_list(unit(F.col("query"))).alias("all"))
-    cosines = F.transform("all", lambda q: dot(F.col("emb"), q))
-    total = F.aggregate("cosines", F.lit(0.0), lambda s, x: s + x)
-    score = {"max": F.array_max("cosines"), "mean": total / F.size("cosines")}[how]
-    return rows.crossJoin(F.broadcast(few)).select("video_id", "t", cosines.alias("cosines")).select("video_id", "t", score.alias("score"))
+    rows = frames.withColumn("_unit", unit(F.col(emb)))
+    each = rows.crossJoin(F.broadcast(checked_queries(queries))).withColumn("_c", F.transform("all", lambda q: dot(F.col("_unit"), q)))
+    total = F.aggregate("_c", F.lit(0.0), lambda s, x: s + x)
+    score = {"max": F.array_max("_c"), "mean": total / F.size("_c")}[how]
+    return each.withColumn("score", score).drop("_unit", "all", "_c")
+
+
+def with_own_query_scores(frames: DataFrame, queries: DataFrame) -> DataFrame:
+    """frames (video_id, emb and more) with score: the best cosine with the queries (video_id, query) of the frame's own video,
+    null without any. A video has at most MOST_QUERIES, more are an error."""
+    few = queries.groupBy("video_id").agg(F.count("*").alias("_n"), F.collect_list(unit(F.col("query"))).alias("_all"))
+    checked = F.when(F.col("_n") <= MOST_QUERIES, F.col("_all")).otherwise(F.raise_error(F.lit("too many queries")).cast("array<array<double>>"))
+    rows = frames.withColumn("_unit", unit(F.col("emb"))).join(few.select("video_id", checked.alias("_all")), "video_id", "left")
+    return rows.withColumn("score", F.array_max(F.transform("_all", lambda q: dot(F.col("_unit"), q)))).drop("_unit", "_all")
 
 
-def pair_distances(frames: DataFrame) -> DataFrame:
-    """video_id, i, j, d of all pairs i <> j of frames of one video: a pool is bounded (512 frames), so is its square."""
-    rows = frames.select("video_id", "t", unit(F.col("emb")).alias("e"))
-    a = rows.select("video_id", F.col("t").alias("i"), F.col("e").alias("a"))
-    b = rows.select("video_id", F.col("t").alias("j"), F.col("e").alias("b"))
-    return a.join(b, "video_id").where("i <> j").select("video_id", "i", "j", cosine_distance(F.col("a"), F.col("b")).alias("d"))
+def query_scores(frames: DataFrame, queries: DataFrame, how: str = "max") -> DataFrame:
+    """video_id, t, score of frames (emb), as in with_query_scores()."""
+    return with_query_scores(frames.select("video_id", "t", "emb"), queries, how).select("video_id", "t", "score")
+
 
+def pool(frames: DataFrame, n: int = POOL) -> DataFrame:
+    """Of each video's frames (video_id, t and more) at most n, evenly spread; pool_index counts them from 0."""
+    sizes = frames.groupBy("video_id").agg(F.count("*").alias("total"))
+    picked = uniform_sample(sizes, n).select("video_id", F.col("position").cast("long").alias("pool_index"), F.col("frame_index").alias("_at"))
+    placed = frames.withColumn("_at", (F.row_number().over(_video().orderBy("t")) - 1).cast("long"))
+    return placed.join(picked, ["video_id", "_at"]).drop("_at")
 
-def density_rank(frames: DataFrame, neighbours: int = 5) -> DataFrame:
-    """video_id, t, rho, delta, center_rank (from 1).
+
+def density_rank(frames: DataFrame, neighbours: int = 5, most: int = POOL, also: list[str] | None = None) -> DataFrame:
+    """video_id, t, rho, delta, center_rank (from 1), and the columns `also` of frames (video_id, t, emb).
 
     rho: sum of exp(-d^2) over the nearest min(max(1, neighbours), n - 1) frames. delta: distance to the nearest frame that
     is strictly denser, else to the farthest of all. Order: rho * delta, less a bias of 1e-6 * t / (n - 1), descending.
+    A video is a pool of at most `most` frames, more are an error: all of them lie in one array beside each frame, so
+    that its distances stay in its row, and one shuffle by video does for all steps.
     """
-    k = max(1, neighbours)
-    d = pair_distances(frames)
-    nearest = d.withColumn("n", F.row_number().over(Window.partitionBy("video_id", "i").orderBy("d", "j"))).where(F.col("n") <= k)
-    rho = nearest.groupBy("video_id", "i").agg(F.round(F.sum(F.exp(-F.col("d") * F.col("d"))), 12).alias("rho"))
-    both = d.join(rho, ["video_id", "i"]).join(rho.select("video_id", F.col("i").alias("j"), F.col("rho").alias("rho_j")), ["video_id", "j"])
-    delta = both.groupBy("video_id", "i", "rho").agg(F.coalesce(F.min(F.when(F.col("rho_j") > F.col("rho"), F.col("d"))), F.max("d")).alias("delta"))
-    every = frames.select("video_id", "t", F.count("*").over(_video()).alias("n")).join(delta.withColumnRenamed("i", "t"), ["video_id", "t"], "left")
-    value = F.round(F.coalesce(F.col("rho") * F.col("delta"), F.lit(0.0)) - 1e-6 * F.col("t") / F.greatest(F.col("n") - 1, F.lit(1)), 10)
-    return every.select("video_id", "t", "rho", "delta", F.row_number().over(Window.partitionBy("video_id").orderBy(value.desc(), "t")).cast("long").alias("center_rank"))
+    also = also or []
+    one = F.struct("t", unit(F.col("emb")).alias("u"), *also)
+    pools = frames.select("video_id", one.alias("f")).groupBy("video_id").agg(F.count("*").alias("n"), F.collect_list("f").alias("pool"))
+    checked = F.when(F.col("n") <= most, F.array_sort("pool", lambda x, y: F.when(x["t"] < y["t"], -1).when(x["t"] > y["t"], 1).otherwise(0)))
+    pools = pools.withColumn("pool", checked.otherwise(F.raise_error(F.lit(f"more than {most} frames in a pool")).cast(pools.schema["pool"].dataType)))
+    each = pools.select("video_id", "n", "pool", F.posexplode("pool").alias("at", "f"))
+    apart = F.transform("pool", lambda x: cosine_distance(F.col("f.u"), x["u"]))
+    each = each.select("video_id", "n", "at", F.struct(*[F.col(f"f.{c}") for c in ("t", *also)]).alias("frame"), apart.alias("d"))
+    others = F.transform(F.filter(F.arrays_zip("d", F.sequence(F.lit(0), F.col("n").cast("int") - 1).alias("j")), lambda x: x["j"] != F.col("at")), lambda x: x["d"])
+    nearest = F.slice(F.array_sort(others), 1, max(1, neighbours))
+    rho = F.when(F.col("n") > 1, F.round(F.aggregate(nearest, F.lit(0.0), lambda s, x: s + F.exp(-x * x)), 12))
+    each = each.withColumn("rho", rho).withColumn("rhos", F.transform(F.array_sort(F.collect_list(F.struct("at", "rho")).over(_video())), lambda x: x["rho"]))
+    denser = F.filter(F.arrays_zip("d", "rhos"), lambda x: x["rhos"] > F.col("rho"))
+    delta = F.coalesce(F.array_min(F.transform(denser, lambda x: x["d"])), F.array_max(others))
+    each = each.withColumn("delta", delta)
+    t, n = F.col("frame.t"), F.col("n")
+    value = F.round(F.coalesce(F.col("rho") * F.col("delta"), F.lit(0.0)) - 1e-6 * t / F.greatest(n - 1, F.lit(1)), 10)
+    rank = F.row_number().over(_video().orderBy(value.desc(), t)).cast("long").alias("center_rank")
+    return each.select("video_id", t.alias("t"), "rho", "delta", rank, *[F.col(f"frame.{c}").alias(c) for c in also])
 
 
 def segments(centers: DataFrame, frame_counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -71,34 +108,50 @@ def k_set(threshold: int, given: list[int] | None = None) -> list[int]:
     return ks
 
 
-def escalation(ranked: DataFrame, relevance: DataFrame, threshold: int, tau: float, ks: list[int] | None = None) -> DataFrame:
+def _tried(ranked: DataFrame, threshold: int, tau: float, ks: list[int] | None) -> DataFrame:
+    """ranked (video_id, center_rank, score) with n, highs (of each k tried, its centers of relevance tau at least) and last,
+    the place of the first k with enough of them, or of the last k."""
+    tried = k_set(threshold, ks)
+    high = F.array(*[F.count_if((F.col("score") >= tau) & (F.col("center_rank") <= k)).over(_video()) for k in tried])
+    rows = ranked.withColumn("n", F.count("*").over(_video())).withColumn("highs", high)
+    enough = F.array_position(F.transform("highs", lambda x: x >= threshold), True)
+    return rows.withColumn("last", F.when(enough > 0, enough).otherwise(len(tried)).cast("int"))
+
+
+def escalation(ranked: DataFrame, threshold: int, tau: float, ks: list[int] | None = None) -> DataFrame:
     """The history of trying k centers after k, up to the first k with at least `threshold` centers of relevance >= tau.
 
-    ranked (video_id, t, center_rank), relevance (video_id, t, score) to (video_id, step, requested_k, effective_k,
-    high_count, satisfied). All steps are counted at once instead of in a loop.
+    ranked (video_id, t, center_rank, score) to (video_id, step, requested_k, effective_k, high_count, satisfied). All
+    steps are counted at once instead of in a loop.
     """
     tried = k_set(threshold, ks)
-    rows = ranked.join(relevance, ["video_id", "t"])
-    one = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("step"), F.lit(k).cast("long").alias("requested_k")) for i, k in enumerate(tried)])).alias("k")
-    each = rows.select("video_id", "center_rank", "score", one).where(F.col("center_rank") <= F.col("k.requested_k"))
-    counts = each.groupBy("video_id", "k.step", "k.requested_k").agg(F.count("*").alias("effective_k"), F.count_if(F.col("score") >= tau).alias("high_count"))
-    counts = counts.withColumn("satisfied", F.col("high_count") >= threshold)
-    first = F.min(F.when(F.col("satisfied"), F.col("step"))).over(_video())
-    return counts.withColumn("_first", first).where(F.col("_first").isNull() | (F.col("step") <= F.col("_first"))).drop("_first")
+    firsts = _tried(ranked, threshold, tau, ks).where("center_rank = 1")
+    one = F.explode(F.slice(F.array(*[F.struct(F.lit(i).cast("long").alias("step"), F.lit(k).cast("long").alias("requested_k")) for i, k in enumerate(tried)]), F.lit(1), F.col("last")))
+    each = firsts.select("video_id", "n", "highs", one.alias("k"))
+    counts = each.select("video_id", "k.*", F.least("k.requested_k", "n").alias("effective_k"), F.get("highs", F.col("k.step").cast("int")).alias("high_count"))
+    return counts.withColumn("satisfied", F.col("high_count") >= threshold)
 
 
-def escalating_select(ranked: DataFrame, relevance: DataFrame, threshold: int, tau: float, ks: list[int] | None = None) -> DataFrame:
+def escalating_select(ranked: DataFrame, threshold: int, tau: float, ks: list[int] | None = None) -> DataFrame:
     """video_id, t, score, pick (from 1), high: the frames chosen at the last step of escalation().
 
     Of its centers those with a relevance of tau at least come first, then the others by relevance: as the former have the
     higher scores, this is the order of score, ties by time.
     """
-    last = escalation(ranked, relevance, threshold, tau, ks).groupBy("video_id").agg(F.max("requested_k").alias("k"))
-    centers = ranked.join(relevance, ["video_id", "t"]).join(last, "video_id").where(F.col("center_rank") <= F.col("k"))
-    pick = F.row_number().over(Window.partitionBy("video_id").orderBy(F.col("score").desc(), "t")).cast("long")
+    last = F.get(F.array(*[F.lit(k) for k in k_set(threshold, ks)]), F.col("last") - 1)
+    centers = _tried(ranked, threshold, tau, ks).where(F.col("center_rank") <= last)
+    pick = F.row_number().over(_video().orderBy(F.col("score").desc(), "t")).cast("long")
     return centers.select("video_id", "t", "score", pick.alias("pick"), (F.col("score") >= tau).alias("high")).where(F.col("pick") <= threshold)
 
 
+def selection(chosen: DataFrame, segments: DataFrame) -> DataFrame:
+    """The output of frame selection: chosen (video_id, t, score and more, repeats included) in order of time, with the
+    segment whose center the frame is, -1 if it is none, and position from 0."""
+    centers = segments.select("video_id", F.col("center_t").alias("t"), "segment_index")
+    joined = chosen.join(centers, ["video_id", "t"], "left").withColumn("segment_index", F.coalesce("segment_index", F.lit(-1)).cast("long"))
+    return joined.withColumn("position", (F.row_number().over(_video().orderBy("t")) - 1).cast("long"))
+
+
 def pad(selected: DataFrame, threshold: int) -> DataFrame:
     """selected (video_id, t, score) with repeats, best score first and in turn, until each video has `threshold` rows.
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import fnmatch
-from collections.abc import Callable
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,40 +20,39 @@ def parents(path: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(n, F.lit(1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).otherwise(F.array().cast("array<string>"))
 
 
-def _glob(pattern: str) -> str:
-    """A shell pattern as a regular expression for a whole string, in a form that Java and RE2 read alike."""
-    return "(?s)^" + fnmatch.translate(pattern).removeprefix("(?s:").removesuffix(r")\z").removesuffix(r")\Z").replace("(?>", "(?:") + "$"
-
-
-def _fits(pattern: str, only_folders: bool) -> Callable[[Column], Column]:
-    whole = _glob(pattern)
-    name = lambda c: F.regexp_extract(c, r"([^/]*)$", 1).rlike(whole) if not only_folders else F.lit(False)
-    return lambda c: (c == pattern) | F.startswith(c, F.lit(pattern + "/")) | c.rlike(whole) | name(c)
-
-
-def ignored(path: Column, patterns: list[str]) -> Column:
-    """Whether any pattern fits: of a whole path if it starts with /, else of any part of it from a folder on.
-
-    A leading ! is dropped; a trailing / means that a name deeper down doesn't count. Patterns become regular
-    expressions when the plan is made.
-    """
-    hits = []
-    for raw in patterns:
-        p = raw.strip().removeprefix("!")
-        only_folders, p = p.endswith("/"), p.rstrip("/")
-        anchored, p = p.startswith("/"), p.removeprefix("/")
-        if not p:
-            continue
-        parts = F.split(path, "/")
-        if not anchored and "/" not in p and not any(c in p for c in "*?[]"):
-            hits.append(F.array_contains(parts, p))
+def ignore_rule(line: str) -> tuple[str, bool] | None:
+    """A line of an ignore file by the public rules of gitignore, as a regular expression for paths (folders with a slash at
+    the end) and whether it ignores (True) or takes back (False); None for blanks and comments."""
+    text = line.strip()
+    if not text or text.startswith("#"):
+        return None
+    back, text = text.startswith("!"), text.removeprefix("!").removeprefix("\\")
+    below = "/.*" if text.endswith("/") else "(?:/.*)?"  # only what lies in a folder, or also what has the name itself
+    parts = text.strip("/").split("/")
+    if not parts[0]:
+        return None
+    rooted = "/" in text.rstrip("/")
+    out = "" if rooted or parts[0] == "**" else "(?:.+/)?"
+    for n, part in enumerate(parts):
+        last = n == len(parts) - 1
+        if part == "**":
+            out += ".+" if last else "(?:.+/)?"
             continue
-        fits = _fits(p, only_folders)
-        tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts) - k + 1), "/"))
-        hits.append(fits(path) if anchored else F.exists(tails, fits))
+        for piece in re.findall(r"\[!?\]?[^\]]*\]|.", part):
+            if piece.startswith("[") and len(piece) > 2:
+                out += re.sub(r"^\[!", "[^", piece.replace("\\", "\\\\"))
+            else:
+                out += {"*": "[^/]*", "?": "[^/]"}.get(piece, re.escape(piece))
+        out += "" if last else "/"
+    return f"^{out}{'' if parts[-1] == '**' else below}$", not back
+
+
+def ignored(path: Column, patterns: list[str], is_folder: Column | None = None) -> Column:
+    """Whether the last of the patterns that fits a path ignores it. One compiled expression a pattern."""
+    full = path if is_folder is None else F.when(is_folder, F.concat(path, F.lit("/"))).otherwise(path)
     found = F.lit(False)
-    for hit in hits:
-        found = found | hit
+    for regex, ignores in filter(None, map(ignore_rule, patterns)):
+        found = F.when(full.rlike(regex), F.lit(ignores)).otherwise(found)
     return (path != "") & found
 
 
@@ -62,7 +60,7 @@ def plan(local: DataFrame, remote: DataFrame, patterns: list[str]) -> DataFrame:
     """action, rel_path, is_folder, step: upload every local file (rel_path); of remote (rel_path, is_folder) preserve what is
     ignored or lies in an ignored folder, with all folders above it, and delete the rest, files first, then deep folders.
     """
-    each = remote.select("rel_path", "is_folder", ignored(F.col("rel_path"), patterns).alias("hit"), parents(F.col("rel_path")).alias("above"))
+    each = remote.select("rel_path", "is_folder", ignored(F.col("rel_path"), patterns, F.col("is_folder")).alias("hit"), parents(F.col("rel_path")).alias("above"))
     folders = each.where("hit AND is_folder").select(F.col("rel_path").alias("folder"))
     below = each.select("rel_path", "is_folder", F.explode("above").alias("folder")).join(folders, "folder", "left_semi").select("rel_path", "is_folder").distinct().withColumn("inside", F.lit(True))
     own = each.join(below, ["rel_path", "is_folder"], "left").withColumn("own", F.col("hit") | F.coalesce("inside", F.lit(False)))

@@ -16,7 +16,10 @@ def prune(tokens: DataFrame, selected: DataFrame, keys: list[str]) -> DataFrame:
 
     Text tokens and the order stay; new_position counts from 0. An index that no token has is an error.
     """
-    kept = tokens.join(selected.withColumn("_kept", F.lit(True)), [*keys, "video_index"], "left").where(F.col("video_index").isNull() | F.col("_kept")).drop("_kept")
+    marked = tokens.join(selected.select(*keys, "video_index").distinct().withColumn("_kept", F.lit(True)), [*keys, "video_index"], "full_outer")
+    unknown = F.raise_error(F.concat(F.lit("no token has the index "), F.col("video_index").cast("string"))).cast("long")
+    checked = marked.withColumn("position", F.when(F.col("position").isNull() & F.col("_kept"), unknown).otherwise(F.col("position")))
+    kept = checked.where(F.col("video_index").isNull() | F.col("_kept")).drop("_kept")
     return kept.withColumn("new_position", (F.row_number().over(Window.partitionBy(*keys).orderBy("position")) - 1).cast("long"))
 
 

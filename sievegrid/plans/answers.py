@@ -161,15 +161,52 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.histogram(rows.withColumn("reason", F.coalesce(text.skip_reason(F.col("parse_method"), F.col("prediction")), F.lit("kept"))), "reason")
 
 
-@query("""WITH e AS (SELECT event_id, event_type, (props ->> 'k')::BIGINT AS k, value FROM events)
-    SELECT event_id, event_type = 'view' AS patch_selection_applied, CASE WHEN event_type = 'view' THEN k ELSE 2 * k END AS llm_input_sequence_length, CASE WHEN event_type = 'view' THEN 3 * k ELSE 2 * k END AS original_llm_input_sequence_length, value AS latency_seconds FROM e""")
+@query("""WITH e AS (SELECT event_id, event_type = 'view' AS view, event_id % 2 = 0 AS even, event_id % 3 = 0 AS third, (props ->> 'k')::BIGINT AS k, value FROM events),
+    m AS (SELECT *, CASE WHEN third THEN CASE WHEN view THEN k END ELSE 2 * k END AS now, CASE WHEN view THEN 3 * k END AS before FROM e)
+    SELECT event_id, view AND even AS patch_selection_applied, now AS llm_input_sequence_length, coalesce(before, now) AS original_llm_input_sequence_length,
+    before AS llm_input_sequence_length_before_patch_selection, CASE WHEN view THEN k END AS visual_token_count, CASE WHEN view THEN k + 7 END AS original_visual_token_count,
+    CASE WHEN view THEN k + 7 END AS original_video_token_count, CASE WHEN view THEN k END AS selected_video_token_count,
+    CASE WHEN view THEN CASE WHEN even THEN 1 ELSE k END END AS reallocated_patch_count, even AS llm_generate_flops_profiled, k * 1000.0::DOUBLE AS llm_generate_flops,
+    CASE WHEN even THEN 0.5::DOUBLE ELSE k * 1000.0::DOUBLE / 1e9 END AS llm_generate_gflops, CASE WHEN even THEN 4::BIGINT END AS llm_generate_profiled_ops,
+    NULL::BIGINT AS llm_generate_profiled_flop_ops, CASE WHEN even THEN 1 END AS n_top_ops, NULL::VARCHAR AS llm_generate_flops_error, value AS latency_seconds,
+    CASE WHEN even THEN NULL ELSE 1.5::DOUBLE END AS llm_prefill_seconds, 'gpu' || k AS gpu_device, k * 5000000000 AS gpu_total_memory_bytes, 12::BIGINT AS gpu_memory_allocated_bytes,
+    NULL::BIGINT AS gpu_memory_reserved_bytes, k AS gpu_peak_memory_allocated_bytes, NULL::BIGINT AS gpu_peak_memory_reserved_bytes, NULL::VARCHAR AS gpu_memory_error FROM m""")
 def runtime_metric_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run records made of events: those of type view have a patch selection."""
-    e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k INT")["k"])
-    patch = F.when(F.col("event_type") == "view", F.struct(F.col("k").alias("sequence_length"), (F.col("k") * 3).alias("original_sequence_length")))
-    record = F.parse_json(F.to_json(F.struct(patch.alias("patch_info"), (F.col("k") * 2).alias("sequence_length"), F.col("value").alias("latency_seconds"))))
+    """Run records made of events: those of type view have a patch selection; numbers come as text, with fractions, as
+    true and false, or not at all."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k BIGINT")["k"])
+    k, even, view = F.col("k"), F.col("event_id") % 2 == 0, F.col("event_type") == "view"
+    selector = F.struct(k.alias("reallocated_token_count"))
+    patch = F.struct(
+        even.alias("applied"),
+        k.cast("string").alias("input_length_after"),
+        (k * 3 + 0.5).alias("input_length_before"),
+        k.alias("selected_video_tokens"),
+        (k + 7).alias("original_video_tokens"),
+        F.when(even, 1).alias("reallocated_token_count"),
+        selector.alias("selector_metadata"),
+    )
+    op = F.struct(F.lit("mm").alias("name"), F.lit(2.5).alias("flops"), F.lit(0.1).alias("gflops"), F.lit(3).alias("calls"))
+    timing = F.struct(
+        F.when(F.col("event_id") % 3 != 0, k * 2).alias("input_sequence_length"),
+        F.when(even, 1).otherwise(0).alias("llm_generate_flops_profiled"),
+        (k * 1000).alias("llm_generate_flops"),
+        F.when(even, "0.5").alias("llm_generate_gflops"),
+        F.when(even, " 4 ").otherwise("4.5").alias("llm_generate_profiled_ops"),
+        F.lit(True).alias("llm_generate_profiled_flop_ops"),
+        F.when(even, F.array(op)).alias("llm_generate_top_flop_ops"),
+        F.col("value").alias("latency_seconds"),
+        F.when(even, "none").otherwise("1.5").alias("llm_prefill_seconds"),
+        F.concat(F.lit("gpu"), k).alias("gpu_device"),
+        (k * 5_000_000_000).alias("gpu_total_memory_bytes"),
+        F.lit(12.75).alias("gpu_memory_allocated_bytes"),
+        F.lit("many").alias("gpu_memory_reserved_bytes"),
+        k.alias("gpu_peak_memory_allocated_bytes"),
+    )
+    record = F.parse_json(F.to_json(F.struct(F.when(view, patch).alias("patch_info"), timing.alias("timing"))))
     got = diagnostics.extract_metrics(e.select("event_id", record.alias("record")))
-    return got.select("event_id", "patch_selection_applied", "llm_input_sequence_length", "original_llm_input_sequence_length", "latency_seconds")
+    n_ops = F.when(F.col("llm_generate_top_flop_ops").isNotNull(), F.size("llm_generate_top_flop_ops"))
+    return got.withColumn("n_top_ops", n_ops).drop("record", "llm_generate_top_flop_ops")
 
 
 URL_PATH = "path AS (SELECT page_id, trim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') AS rel_path FROM pages)"

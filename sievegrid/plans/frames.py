@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievegrid.functions.vectors import noisy
-from sievegrid.operators import budget, diagnostics, grid, ranking, sampling, tokens
+from sievegrid.functions.vectors import noisy, unit
+from sievegrid.operators import budget, diagnostics, grid, ranking, registry, sampling, selectors, tokens  # noqa: F401  selectors registers itself
 from sievegrid.plans.registry import query
 from sievegrid.sources import canonical
 
@@ -22,6 +22,12 @@ def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("video_id", "t", (F.col("y") * 4 + F.col("x")).alias("token"), "score")
 
 
+def frame_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id, t, score, map: similarity of the whole frame with the queries, and the scores of its 4 by 4 tokens."""
+    scored = ranking.with_query_scores(canonical.frames(spark, sf_dir), canonical.queries(spark, sf_dir))
+    return scored.select("video_id", "t", F.round("score", 9).alias("score"), grid.pooled(F.col("emb"), 8, 8, 2).alias("map"))
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -41,29 +47,39 @@ def allocation(source: str, capacity: str, total: str, out: str) -> str:
     {out} AS (SELECT * EXCLUDE (b_, e_, r_, l_, full_, q_, k_, n_, left_), (floor(q_) + CASE WHEN k_ IS NOT NULL AND n_ <= left_ THEN 1 ELSE 0 END)::BIGINT AS {out}_n FROM {out}_g)"""
 
 
-FRAME_BUDGET = f"""{TOKEN}, f0 AS (SELECT video_id, t, max(score) AS score, min(score) AS score_min, count(*) FILTER (WHERE score >= {THRESHOLD}) AS eligible, count(*) AS tokens FROM token GROUP BY ALL),
-    f AS (SELECT *, greatest(1, ceil(round(sum(tokens) OVER (PARTITION BY video_id) * {RATIO}, 9)))::BIGINT AS budget FROM f0)"""
+COSINES = FRAME + """, q AS (SELECT vec_id AS query_idx, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 3),
+    cosine AS (SELECT video_id, t, list_dot_product(emb, q) / (greatest(sqrt(list_dot_product(emb, emb)), 1e-12) * greatest(sqrt(list_dot_product(q, q)), 1e-12)) AS c FROM frame, q),
+    rel AS (SELECT video_id, t, round(max(c), 9) AS score FROM cosine GROUP BY ALL)"""
+
+
+def frame_budget(token: str, total: str) -> str:
+    """CTEs from tokens to f: per frame its own score, those of its tokens, and the video's budget."""
+    return f"""{token}, {COSINES.removeprefix(FRAME + ', ')},
+    f0 AS (SELECT video_id, t, min(score) AS score_min, max(score) AS score_max, count(*) FILTER (WHERE score >= {THRESHOLD}) AS eligible, count(*) AS tokens FROM token GROUP BY ALL),
+    f AS (SELECT f0.*, rel.score, {total} AS budget FROM f0 JOIN rel USING (video_id, t))"""
+
+
+FRAME_BUDGET = frame_budget(TOKEN, f"greatest(1, ceil(round(sum(tokens) OVER (PARTITION BY video_id) * {RATIO}, 9)))::BIGINT")
 V4 = f"WITH {FRAME_BUDGET}, {allocation('f', 'eligible', 'budget', 'v4')}"
+RANKED = "ranked AS (SELECT video_id, t, token, score, row_number() OVER (PARTITION BY video_id, t ORDER BY score DESC, token) AS n FROM token)"
+ELIGIBLE = RANKED.replace("FROM token", f"FROM token WHERE score >= {THRESHOLD}")
+KEPT = "SELECT ranked.video_id, ranked.t, token, round(ranked.score, 6) AS score FROM ranked"
 
 
-@query(f"""{V4}, ranked AS (SELECT video_id, t, token, score, row_number() OVER (PARTITION BY video_id, t ORDER BY score DESC, token) AS n FROM token WHERE score >= {THRESHOLD})
-    SELECT video_id, t, token, round(score, 6) AS score FROM ranked JOIN v4 USING (video_id, t) WHERE n <= v4_n""".replace("SELECT video_id, t, token, round(score, 6) AS score FROM ranked", "SELECT ranked.video_id, ranked.t, token, round(ranked.score, 6) AS score FROM ranked"))
+@query(f"{V4}, {ELIGIBLE} {KEPT} JOIN v4 USING (video_id, t) WHERE n <= v4_n")
 def budget_v4_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = token_scores(spark, sf_dir)
-    return rounded(budget.select(t, budget.budget_frames(t, "v4", RATIO, THRESHOLD, TEMPERATURE), THRESHOLD, bound=16), "score")
+    f = budget.budget_frames(frame_maps(spark, sf_dir), "v4", RATIO, THRESHOLD, TEMPERATURE)
+    return rounded(budget.select(f, THRESHOLD), "score")
 
 
-@query(f"""WITH {TOKEN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id, t ORDER BY score DESC, token) AS n FROM token)
-    SELECT video_id, t, token, round(score, 6) AS score FROM ranked WHERE n <= greatest(1, ceil(round(16 * {RATIO}, 9)))""")
+@query(f"WITH {TOKEN}, {RANKED} {KEPT} WHERE n <= greatest(1, ceil(round(16 * {RATIO}, 9)))")
 def budget_v1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(budget.fixed_ratio(token_scores(spark, sf_dir), RATIO), "score")
+    return rounded(budget.select(budget.budget_frames(frame_maps(spark, sf_dir), "v1", RATIO)), "score")
 
 
-@query(f"""WITH {FRAME_BUDGET}, {allocation('f', 'tokens', 'budget', 'v2')}, ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id, t ORDER BY score DESC, token) AS n FROM token)
-    SELECT ranked.video_id, ranked.t, token, round(ranked.score, 6) AS score FROM ranked JOIN v2 USING (video_id, t) WHERE n <= v2_n""")
+@query(f"WITH {FRAME_BUDGET}, {allocation('f', 'tokens', 'budget', 'v2')}, {RANKED} {KEPT} JOIN v2 USING (video_id, t) WHERE n <= v2_n")
 def budget_v2_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = token_scores(spark, sf_dir)
-    return rounded(budget.select(t, budget.budget_frames(t, "v2", RATIO, temperature=TEMPERATURE), bound=16), "score")
+    return rounded(budget.select(budget.budget_frames(frame_maps(spark, sf_dir), "v2", RATIO, temperature=TEMPERATURE)), "score")
 
 
 V3 = f"""WITH {FRAME_BUDGET}, {allocation('f', 'tokens', 'budget', 'v3')}, cut AS (SELECT *, least(v3_n, eligible) AS initial FROM v3),
@@ -72,44 +88,92 @@ V3 = f"""WITH {FRAME_BUDGET}, {allocation('f', 'tokens', 'budget', 'v3')}, cut A
 
 @query(f"""{V3} SELECT video_id, t, eligible, budget, v3_n AS allocated, initial AS initial_keep, again_n AS reallocated, initial + again_n AS keep FROM again""")
 def budget_v3_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = budget.budget_frames(token_scores(spark, sf_dir), "v3", RATIO, THRESHOLD, TEMPERATURE)
+    f = budget.budget_frames(frame_maps(spark, sf_dir), "v3", RATIO, THRESHOLD, TEMPERATURE)
     return f.select("video_id", "t", "eligible", "budget", "allocated", "initial_keep", "reallocated", "keep")
 
 
-@query(f"""{V3}, ranked AS (SELECT video_id, t, token, score, row_number() OVER (PARTITION BY video_id, t ORDER BY score DESC, token) AS n FROM token WHERE score >= {THRESHOLD})
-    SELECT ranked.video_id, ranked.t, token, round(ranked.score, 6) AS score FROM ranked JOIN again USING (video_id, t) WHERE n <= initial + again_n""")
+@query(f"{V3}, {ELIGIBLE} {KEPT} JOIN again USING (video_id, t) WHERE n <= initial + again_n")
 def budget_v3_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = token_scores(spark, sf_dir)
-    return rounded(budget.select(t, budget.budget_frames(t, "v3", RATIO, THRESHOLD, TEMPERATURE), THRESHOLD, bound=16), "score")
+    f = budget.budget_frames(frame_maps(spark, sf_dir), "v3", RATIO, THRESHOLD, TEMPERATURE)
+    return rounded(budget.select(f, THRESHOLD), "score")
 
 
-@query(f"""WITH {TOKEN}, f AS (SELECT video_id, t, max(score) AS score, count(*) FILTER (WHERE score >= {THRESHOLD}) AS eligible, 40 AS budget FROM token GROUP BY ALL), {allocation('f', 'eligible', 'budget', 'v4')},
+@query(f"""WITH {frame_budget(TOKEN, '40')}, {allocation('f', 'eligible', 'budget', 'v4')},
     w AS (SELECT *, CASE WHEN eligible > 0 THEN exp((score - max(CASE WHEN eligible > 0 THEN score END) OVER (PARTITION BY video_id)) / {TEMPERATURE}) ELSE 0 END AS e FROM v4)
     SELECT video_id, t, eligible, budget::BIGINT AS budget, v4_n AS keep, round(e / nullif(sum(e) OVER (PARTITION BY video_id), 0), 6) AS weight FROM w""")
 def budget_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = budget.budget_frames(token_scores(spark, sf_dir), "v4", RATIO, THRESHOLD, TEMPERATURE, explicit=40)
+    f = budget.budget_frames(frame_maps(spark, sf_dir), "v4", RATIO, THRESHOLD, TEMPERATURE, explicit=40)
     f = f.withColumn("weight", F.round(budget.softmax_weight(F.col("score"), F.col("eligible"), TEMPERATURE), 6))
     return f.select("video_id", "t", "eligible", "budget", "keep", "weight")
 
 
 @query(f"""{V4} SELECT video_id, count(*) AS frames, sum(tokens)::BIGINT AS tokens, max(budget) AS budget, sum(eligible)::BIGINT AS eligible, sum(v4_n)::BIGINT AS selected, 0::BIGINT AS reallocated,
-    round(min(score_min), 6) AS score_min, round(max(score), 6) AS score_max, least(max(budget), sum(eligible))::BIGINT AS allocatable, (max(budget) - sum(v4_n))::BIGINT AS underfilled FROM v4 GROUP BY video_id""")
+    round(min(score_min), 6) AS score_min, round(max(score_max), 6) AS score_max, least(max(budget), sum(eligible))::BIGINT AS allocatable, (max(budget) - sum(v4_n))::BIGINT AS underfilled FROM v4 GROUP BY video_id""")
 def budget_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = budget.budget_frames(token_scores(spark, sf_dir), "v4", RATIO, THRESHOLD, TEMPERATURE)
+    f = budget.budget_frames(frame_maps(spark, sf_dir), "v4", RATIO, THRESHOLD, TEMPERATURE)
     return rounded(budget.metadata(f), "score_min", "score_max")
 
 
-@query()
-def noisy_query_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of patches under a noisy query, of frames under the clean one. Seeded hashes give the noise: no SQL twin."""
+@query(f"{V4}, {ELIGIBLE} {KEPT} JOIN v4 USING (video_id, t) WHERE n <= v4_n")
+def selector_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selector of the library, called by its name; a parameter that it doesn't take is left out."""
+    parameters = {"ratio": RATIO, "threshold": THRESHOLD, "temperature": TEMPERATURE, "device": "none"}
+    return rounded(registry.call("tokens_v4", frame_maps(spark, sf_dir), **parameters), "score")
+
+
+@query(f"""{V4}, {RANKED}, eligible_rank AS (SELECT *, score >= {THRESHOLD} AS eligible FROM ranked)
+    SELECT r.video_id, r.t, token, token // 4 AS y, token % 4 AS x, round(r.score, 6) AS score, r.eligible, r.eligible AND n <= v4_n AS selected, round(v4.score, 6) AS frame_score, v4_n AS keep
+    FROM eligible_rank r JOIN v4 USING (video_id, t)""")
+def selection_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens with what the selection did to them, no model needed."""
+    f = budget.budget_frames(frame_maps(spark, sf_dir), "v4", RATIO, THRESHOLD, TEMPERATURE)
+    return rounded(diagnostics.selection_rows(f, 4, THRESHOLD), "score", "frame_score")
+
+
+@query(f"""WITH {FRAME}, own AS (SELECT video_id, emb AS q FROM frame WHERE t IN (0, 5))
+    SELECT video_id, t, round(max(list_dot_product(emb, q) / (greatest(sqrt(list_dot_product(emb, emb)), 1e-12) * greatest(sqrt(list_dot_product(q, q)), 1e-12))), 6) AS score
+    FROM frame JOIN own USING (video_id) GROUP BY ALL""")
+def own_query_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that differ by video, in one job: two frames of each stand in for its query file."""
     frames = canonical.frames(spark, sf_dir)
-    noise = frames.withColumn("emb", noisy(F.col("emb"), 0.01, 7))
-    pooled = grid.block_pool(canonical.scores(noise), 2).select("video_id", "t", (F.col("y") * 4 + F.col("x")).alias("token"), "score")
-    return rounded(budget.select(pooled, budget.budget_frames(pooled, "v5", RATIO, THRESHOLD, TEMPERATURE), THRESHOLD, bound=16), "score")
+    own = frames.where(F.col("t").isin(0, 5)).select("video_id", F.col("emb").alias("query"))
+    return rounded(ranking.with_own_query_scores(frames, own).select("video_id", "t", "score"), "score")
 
 
-COSINES = FRAME + """, q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 3),
-    cosine AS (SELECT video_id, t, list_dot_product(emb, q) / (greatest(sqrt(list_dot_product(emb, emb)), 1e-12) * greatest(sqrt(list_dot_product(q, q)), 1e-12)) AS c FROM frame, q)"""
+def query_maps(spark: SparkSession, sf_dir: str, noise: float = 0.0) -> DataFrame:
+    """video_id, t, score, map: scores of tokens under noisy queries, the best one each, of frames under the clean ones.
+
+    A cell's part of the dot product, times 64, stands in for its similarity with a query.
+    """
+    clean = canonical.queries(spark, sf_dir)
+    frames = ranking.with_query_scores(canonical.frames(spark, sf_dir), clean)
+    patch = ranking.checked_queries(clean.withColumn("query", noisy(unit(F.col("query")), noise, 7)))
+    cells = lambda q: grid.pooled(F.zip_with("emb", q, lambda a, b: a * b * 64), 8, 8, 2)
+    best = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.round(F.array_max(F.transform("maps", lambda m: F.get(m, k))), 9))
+    both = frames.crossJoin(F.broadcast(patch)).withColumn("maps", F.transform("all", cells))
+    return both.select("video_id", "t", F.round("score", 9).alias("score"), best.alias("map"))
+
+
+QUERY_TOKEN = f"""{FRAME}, u AS (SELECT embedding::DOUBLE[] AS v, greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) AS n FROM embeddings WHERE vec_id < 3),
+    part AS (SELECT video_id, t, row_number() OVER (PARTITION BY video_id, t) AS query_no, emb, v, n FROM frame, u),
+    cell AS (SELECT video_id, t, query_no, pos // 16 * 4 + pos % 8 // 2 AS token, emb[pos + 1] * v[pos + 1] / n * 64 AS score FROM part, range(64) AS r(pos)),
+    mean AS (SELECT video_id, t, query_no, token, avg(score) AS score FROM cell GROUP BY ALL),
+    token AS (SELECT video_id, t, token, round(max(score), 9) AS score FROM mean GROUP BY ALL)"""
+
+
+@query(f"""WITH {frame_budget(QUERY_TOKEN, f'greatest(1, ceil(round(sum(tokens) OVER (PARTITION BY video_id) * {RATIO}, 9)))::BIGINT')},
+    {allocation('f', 'eligible', 'budget', 'v4')}, {ELIGIBLE} {KEPT} JOIN v4 USING (video_id, t) WHERE n <= v4_n""")
+def budget_v5_without_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At a scale of 0 the fifth version is the fourth one."""
+    f = budget.budget_frames(query_maps(spark, sf_dir), "v5", RATIO, THRESHOLD, TEMPERATURE)
+    return rounded(budget.select(f, THRESHOLD), "score")
+
+
+@query()
+def noisy_query_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of patches under a noisy query, of frames under the clean one. Seeded hashes give the noise: no SQL twin."""
+    f = budget.budget_frames(query_maps(spark, sf_dir, 0.01), "v5", RATIO, THRESHOLD, TEMPERATURE)
+    return rounded(budget.select(f, THRESHOLD), "score")
 
 
 @query(f"WITH {COSINES} SELECT video_id, t, round(max(c), 6) AS score FROM cosine GROUP BY ALL")
@@ -150,42 +214,50 @@ def hover_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.hover_rows(cells, cells.where((F.col("y") + F.col("x")) % 2 == 0), names), "score")
 
 
-RANK = FRAME + """, u AS (SELECT video_id, t, emb, greatest(sqrt(list_dot_product(emb, emb)), 1e-12) AS n FROM frame),
+#: Of more than 512 frames as many evenly spread ones.
+POOL = FRAME + """, size AS (SELECT video_id, count(*) AS n FROM frame GROUP BY ALL),
+    pool AS (SELECT f.* FROM frame f JOIN size USING (video_id) WHERE n <= 512 OR f.t IN (SELECT round_even(i * ((n - 1) / 511.0::DOUBLE), 0)::BIGINT FROM range(512) AS r(i)))"""
+RANK = POOL + """, u AS (SELECT video_id, t, emb, greatest(sqrt(list_dot_product(emb, emb)), 1e-12) AS n FROM pool),
     d AS (SELECT a.video_id, a.t AS i, b.t AS j, round(greatest(1 - list_dot_product(a.emb, b.emb) / (a.n * b.n), 0), 12) AS d FROM u a JOIN u b ON a.video_id = b.video_id AND a.t <> b.t),
     near AS (SELECT *, row_number() OVER (PARTITION BY video_id, i ORDER BY d, j) AS n FROM d),
     rho AS (SELECT video_id, i, round(sum(exp(-d * d)), 12) AS rho FROM near WHERE n <= 5 GROUP BY ALL),
     delta AS (SELECT d.video_id, d.i, a.rho, coalesce(min(CASE WHEN b.rho > a.rho THEN d.d END), max(d.d)) AS delta FROM d JOIN rho a ON a.video_id = d.video_id AND a.i = d.i JOIN rho b ON b.video_id = d.video_id AND b.i = d.j GROUP BY ALL),
-    value AS (SELECT f.video_id, f.t, delta.rho, delta.delta, round(coalesce(delta.rho * delta.delta, 0) - 1e-6 * f.t / greatest(count(*) OVER (PARTITION BY f.video_id) - 1, 1), 10) AS v FROM frame f LEFT JOIN delta ON delta.video_id = f.video_id AND delta.i = f.t),
+    value AS (SELECT f.video_id, f.t, delta.rho, delta.delta, round(coalesce(delta.rho * delta.delta, 0) - 1e-6 * f.t / greatest(count(*) OVER (PARTITION BY f.video_id) - 1, 1), 10) AS v FROM pool f LEFT JOIN delta ON delta.video_id = f.video_id AND delta.i = f.t),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY v DESC, t) AS center_rank FROM value)"""
 
 
 @query(f"WITH {RANK} SELECT video_id, t, center_rank, round(rho, 6) AS rho, round(delta, 6) AS delta FROM ranked")
 def knn_density_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ranking.density_rank(canonical.frames(spark, sf_dir)), "rho", "delta")
+    return rounded(ranking.density_rank(frame_pool(spark, sf_dir)), "rho", "delta")
+
 
+def frame_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with their similarity to the queries, 512 of a video at most."""
+    scored = ranking.with_query_scores(canonical.frames(spark, sf_dir), canonical.queries(spark, sf_dir))
+    return ranking.pool(scored.withColumn("score", F.round("score", 9)))
 
-@query(f"""WITH {RANK}, size AS (SELECT video_id, count(*) AS n FROM frame GROUP BY ALL), c AS (SELECT video_id, t, n FROM ranked JOIN size USING (video_id) WHERE center_rank <= 8)
+
+@query(f"""WITH {RANK}, c AS (SELECT video_id, t, n FROM ranked JOIN size USING (video_id) WHERE center_rank <= 8)
     SELECT video_id, row_number() OVER w - 1 AS segment_index, coalesce((lag(t) OVER w + t) // 2 + 1, 0)::BIGINT AS start_t, coalesce((t + lead(t) OVER w) // 2, n - 1)::BIGINT AS end_t, t AS center_t FROM c WINDOW w AS (PARTITION BY video_id ORDER BY t)""")
 def temporal_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = canonical.frames(spark, sf_dir)
     counts = frames.groupBy("video_id").agg(F.count("*").alias("n"))
-    return ranking.segments(ranking.density_rank(frames).where("center_rank <= 8"), counts)
+    return ranking.segments(ranking.density_rank(ranking.pool(frames)).where("center_rank <= 8"), counts)
 
 
 THETA, TAU = 3, 0.15
-TRIED = f"""WITH {RANK}, {COSINES.removeprefix(FRAME + ', ')}, rel AS (SELECT video_id, t, round(max(c), 9) AS score FROM cosine GROUP BY ALL), k AS (SELECT * FROM (VALUES (0, 3), (1, 6), (2, 9)) AS k(step, requested_k)),
+TRIED = f"""WITH {RANK}, {COSINES.removeprefix(FRAME + ', ')}, k AS (SELECT * FROM (VALUES (0, 3), (1, 6), (2, 9)) AS k(step, requested_k)),
     each AS (SELECT video_id, step::BIGINT AS step, requested_k::BIGINT AS requested_k, count(*) AS effective_k, count(*) FILTER (WHERE score >= {TAU}) AS high_count FROM ranked JOIN rel USING (video_id, t), k WHERE center_rank <= requested_k GROUP BY ALL),
     first AS (SELECT *, high_count >= {THETA} AS satisfied, min(CASE WHEN high_count >= {THETA} THEN step END) OVER (PARTITION BY video_id) AS stop FROM each), history AS (SELECT * EXCLUDE (stop) FROM first WHERE stop IS NULL OR step <= stop)"""
 
 
-def _relevance(frames: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ranking.query_scores(frames, canonical.queries(spark, sf_dir)), "score", digits=9)
+def ranked_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.density_rank(frame_pool(spark, sf_dir), also=["score"])
 
 
 @query(f"{TRIED} SELECT * FROM history")
 def escalating_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = canonical.frames(spark, sf_dir)
-    return ranking.escalation(ranking.density_rank(frames), _relevance(frames, spark, sf_dir), THETA, TAU)
+    return ranking.escalation(ranked_pool(spark, sf_dir), THETA, TAU)
 
 
 PICKED = f"""{TRIED}, last AS (SELECT video_id, max(requested_k) AS k FROM history GROUP BY ALL),
@@ -194,16 +266,27 @@ PICKED = f"""{TRIED}, last AS (SELECT video_id, max(requested_k) AS k FROM histo
 
 @query(f"{PICKED} SELECT video_id, t, round(score, 6) AS score, pick, high FROM pick WHERE pick <= {THETA}")
 def escalating_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = canonical.frames(spark, sf_dir)
-    return rounded(ranking.escalating_select(ranking.density_rank(frames), _relevance(frames, spark, sf_dir), THETA, TAU), "score")
+    return rounded(ranking.escalating_select(ranked_pool(spark, sf_dir), THETA, TAU), "score")
+
+
+@query(f"""{PICKED}, c AS (SELECT video_id, t, row_number() OVER (PARTITION BY video_id ORDER BY t) - 1 AS segment_index FROM ranked JOIN last USING (video_id) WHERE center_rank <= k AND center_rank <= 5)
+    SELECT video_id, pick.t, round(score, 6) AS score, coalesce(segment_index, -1)::BIGINT AS segment_index, row_number() OVER (PARTITION BY video_id ORDER BY pick.t) - 1 AS position
+    FROM pick LEFT JOIN c USING (video_id, t) WHERE pick <= {THETA}""")
+def frame_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What frame selection hands on. Of the segments around the centers of the last step those of the five best are named."""
+    ranked = ranked_pool(spark, sf_dir)
+    last = ranking.escalation(ranked, THETA, TAU).groupBy("video_id").agg(F.max("requested_k").alias("k"))
+    sizes = canonical.frames(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("n"))
+    centers = ranked.join(last, "video_id").where("center_rank <= k AND center_rank <= 5")
+    found = ranking.selection(ranking.escalating_select(ranked, THETA, TAU), ranking.segments(centers, sizes))
+    return rounded(found.select("video_id", "t", "score", "segment_index", "position"), "score")
 
 
 @query(f"""{PICKED}, two AS (SELECT video_id, t, score, pick - 1 AS r, least(2, count(*) OVER (PARTITION BY video_id)) AS m FROM pick)
     SELECT video_id, t, round(score, 6) AS score, slot, slot >= m AS padded FROM two, range(7) AS s(slot) WHERE r < 2 AND slot % m = r""")
 def pad_to_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two best frames of each video, repeated to fill seven places."""
-    frames = canonical.frames(spark, sf_dir)
-    two = ranking.escalating_select(ranking.density_rank(frames), _relevance(frames, spark, sf_dir), THETA, TAU).where("pick <= 2")
+    two = ranking.escalating_select(ranked_pool(spark, sf_dir), THETA, TAU).where("pick <= 2")
     return rounded(ranking.pad(two.select("video_id", "t", "score"), 7), "score")
 
 
@@ -334,5 +417,5 @@ def mask_score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{V4}, size AS (SELECT video_id, t, v4_n AS selected, tokens - v4_n AS not_selected, v4_n * 4 AS raw_selected, round(score, 6) AS frame_score, budget FROM v4) SELECT * FROM size""")
 def temporal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the charts over time show: per frame selected and other tokens, cells of the raw grid, score, budget."""
-    f = budget.budget_frames(token_scores(spark, sf_dir), "v4", RATIO, THRESHOLD, TEMPERATURE)
+    f = budget.budget_frames(frame_maps(spark, sf_dir), "v4", RATIO, THRESHOLD, TEMPERATURE)
     return f.select("video_id", "t", F.col("keep").alias("selected"), (F.col("tokens") - F.col("keep")).alias("not_selected"), (F.col("keep") * 4).alias("raw_selected"), F.round("score", 6).alias("frame_score"), "budget")

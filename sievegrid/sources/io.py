@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions import text
+from sievegrid.operators.evaluate import resolve_paths
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -17,8 +22,11 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def query_lines(spark: SparkSession, path: str) -> DataFrame:
     """query_idx, query: the lines that aren't blank, in order; a file without any is an error when read."""
-    lines = _lines(spark, path).withColumn("query", F.trim("line")).where("query <> ''")
-    return lines.select((F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1).alias("query_idx"), "query")
+    lines = _lines(spark, path).withColumn("query", F.trim("line"))
+    counted = lines.withColumn("some", F.count_if(F.col("query") != "").over(Window.partitionBy("file")))
+    checked = F.when(F.col("some") > 0, F.col("query")).otherwise(F.raise_error(F.lit("no queries in the file")).cast("string"))
+    full = counted.withColumn("query", checked).where("query <> ''")
+    return full.select((F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1).alias("query_idx"), "query")
 
 
 def questions_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -68,10 +76,27 @@ def questions_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def uid_map(spark: SparkSession, path: str) -> DataFrame:
-    """q_uid, url, video_uid of an object from uid to a URL or to an object with one."""
+    """q_uid, url, video_uid of an object from uid to a URL or to an object with one; a given video_uid wins over the URL."""
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.try_variant_get(loose_variant(F.col("value")), "$", "map<string, variant>")).alias("q_uid", "v"))
     url = F.coalesce(_get(F.col("v"), "$.url"), _get(F.col("v"), "$.video_url"), F.when(~F.to_json("v").startswith("{"), _get(F.col("v"), "$")))
-    return whole.select("q_uid", url.alias("url"), text.url_uid(url).alias("video_uid"))
+    given = F.coalesce(*[_get(F.col("v"), f"$.{k}") for k in ("video_uid", "video_id", "uid", "google_drive_id")])
+    named = F.coalesce(_get(F.col("v"), "$.video_uid"), text.url_uid(url), given)
+    return whole.select("q_uid", url.alias("url"), named.alias("video_uid"))
+
+
+def with_uid_metadata(questions: DataFrame, uids: DataFrame) -> DataFrame:
+    """questions (q_uid and more) with url and video_uid of uid_map(), null without an entry. Both sides may be large."""
+    return questions.join(uids.select("q_uid", "url", "video_uid"), "q_uid", "left")
+
+
+def samples(spark: SparkSession, questions_path: str, uid_path: str, listing: DataFrame) -> DataFrame:
+    """Samples of a question file and an uid map, with the path of each video in listing (path): the first of q_uid and video_uid
+    that a file `<stem>.mp4` has. A question without a file is an error."""
+    both = with_uid_metadata(questions_json(spark, questions_path), uid_map(spark, uid_path))
+    files_ = listing.select(F.regexp_extract("path", r"([^/]+)\.mp4$", 1).alias("key"), "path").where("key <> ''")
+    found = resolve_paths(both, files_, [F.col("q_uid"), F.col("video_uid")])
+    lost = F.raise_error(F.concat(F.lit("no video for "), F.col("q_uid"))).cast("string")
+    return found.withColumn("video_path", F.coalesce("path", lost)).drop("path")
 
 
 def questions_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -124,8 +149,10 @@ def files(spark: SparkSession, folder: str, suffix: str = "*") -> DataFrame:
 
 
 def frame_folder_fps(path: Column) -> Column:
-    """From a part `fps<number>` of a folder's path, else 3.0."""
-    return F.coalesce(F.nullif(F.regexp_extract(path, r"(?:^|/)fps(\d+(?:\.\d+)?)(?:/|$)", 1), F.lit("")).cast("double"), F.lit(3.0))
+    """The first number above 0 that follows `fps` in any part of a folder's path, whatever the case, else 3.0. The pattern and
+    the default are fixed values."""
+    parts = F.transform(F.split(F.lower(path), "/"), lambda p: F.nullif(F.regexp_extract(p, r"fps([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).cast("double"))
+    return F.coalesce(F.get(F.filter(parts, lambda x: x > 0), 0), F.lit(3.0))
 
 
 def prompt_template(spark: SparkSession, path: str) -> DataFrame:
@@ -152,21 +179,38 @@ def completed(spark: SparkSession, path: str, uid: str = "q_uid") -> DataFrame:
 
 
 def chart_values(spark: SparkSession, path: str, marker: str, name: str) -> DataFrame:
-    """position, x, y of the trace `name` in the first JSON array after a marker in a page."""
+    """position, x, y of the trace `name` in the first JSON array after a marker in a page; a page without either is an error."""
 
-    @F.udf("string")
-    def array_after(page: str) -> str | None:
-        import json
+    @F.pandas_udf("string")
+    def array_after(pages: pd.Series) -> pd.Series:
+        def one(page: str) -> str | None:
+            at = page.find(marker)
+            start = page.find("[", at + len(marker)) if at >= 0 else -1
+            return None if start < 0 else json.dumps(json.JSONDecoder().raw_decode(page, start)[0])
 
-        at = page.find(marker)
-        start = page.find("[", at + len(marker)) if at >= 0 else -1
-        return None if start < 0 else json.dumps(json.JSONDecoder().raw_decode(page, start)[0])
+        return pages.map(one)
 
     traces = F.from_json(array_after("value"), "array<struct<name:string,x:array<double>,y:array<double>>>")
-    one = spark.read.text(path, wholetext=True).select(F.explode(F.filter(traces, lambda t: t["name"] == name)).alias("t"))
+    named = F.filter(traces, lambda t: t["name"] == name)
+    checked = F.when(F.size(named) > 0, named).otherwise(F.raise_error(F.lit(f"no trace {name} after {marker}")).cast("array<struct<name:string,x:array<double>,y:array<double>>>"))
+    one = spark.read.text(path, wholetext=True).select(F.explode(checked).alias("t"))
     return one.select(F.posexplode(F.arrays_zip(F.col("t.x").alias("x"), F.col("t.y").alias("y"))).alias("position", "v")).select("position", "v.*")
 
 
+def cached(spark: SparkSession, path: str, key: dict[str, object], make: Callable[[], DataFrame]) -> DataFrame:
+    """What an earlier call with the same key (such as frame count, model, queries, aggregation) stored under path, else what
+    make() gives, which takes its place. A folder that breaks off while it is written counts as none."""
+    shown = json.dumps(key, sort_keys=True, default=str)
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        rows = spark.read.parquet(path)
+        first = rows.select("_cache_key").first()
+        if first is not None and first[0] == shown:
+            return rows.drop("_cache_key")
+    make().withColumn("_cache_key", F.lit(shown)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).drop("_cache_key")
+
+
 def append_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

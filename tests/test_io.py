@@ -74,3 +74,40 @@ def test_stream(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.json(out).collect()) == ["a", "b", "c"]
     samples = spark.createDataFrame([("c",), ("d",)], "q_uid string")
     assert [r[0] for r in resume.pending_of(samples, out).collect()] == ["d"]
+
+
+def test_fps_of_folders(spark):
+    paths = ["a/clip_FPS24/x", "a/fps0/x", "fps0/fps2.5", "none", "fpsx"]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(io.frame_folder_fps(F.col("p")).alias("f")).collect()
+    assert [r["f"] for r in got] == [24.0, 3.0, 2.5, 3.0, 3.0]
+
+
+def test_samples_with_paths(spark, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps([{"q_uid": k, "question": "?", "option 0": "x", "answer": 0} for k in ("a", "b", "c")]))
+    (tmp_path / "u.json").write_text(json.dumps({"a": "https://h/p/va.mp4?x", "b": {"video_uid": "vb", "url": "https://h/other.mp4"}}))
+    listing = spark.createDataFrame([("/v/va.mp4",), ("/v/vb.mp4",), ("/v/c.mp4",), ("/v/other.mp4",)], "path string")
+    got = io.samples(spark, str(tmp_path / "q.json"), str(tmp_path / "u.json"), listing)
+    assert {r["q_uid"]: r["video_path"] for r in got.collect()} == {"a": "/v/va.mp4", "b": "/v/vb.mp4", "c": "/v/c.mp4"}
+    with pytest.raises(Exception, match="no video for c"):
+        io.samples(spark, str(tmp_path / "q.json"), str(tmp_path / "u.json"), listing.where("path <> '/v/c.mp4'")).collect()
+
+
+def test_files_without_content(spark, tmp_path):
+    (tmp_path / "q.txt").write_text("\n  \n")
+    with pytest.raises(Exception, match="no queries"):
+        io.query_lines(spark, str(tmp_path / "q.txt")).collect()
+    (tmp_path / "p.html").write_text("<script>plot([{\"name\": \"a\", \"x\": [1], \"y\": [2]}])")
+    assert [tuple(r) for r in io.chart_values(spark, str(tmp_path / "p.html"), "plot(", "a").collect()] == [(0, 1.0, 2.0)]
+    with pytest.raises(Exception, match="no trace b"):
+        io.chart_values(spark, str(tmp_path / "p.html"), "plot(", "b").collect()
+
+
+def test_cached_scores(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    for key, count in (({"frames": 3}, 1), ({"frames": 3}, 1), ({"frames": 4}, 2), ({"frames": 3}, 3)):
+        assert io.cached(spark, str(tmp_path / "c"), key, make).count() == count

@@ -177,3 +177,105 @@ def test_selectors(spark):
     df = spark.range(5)
     assert registry.call("few", df, n=2, other=1).count() == 2
     assert registry.call("all", df).count() == 5
+
+
+def frame(t, score, values, video=1):
+    return (video, t, score, [float(v) for v in values])
+
+
+def test_budget_versions(spark):
+    rows = [frame(0, 0.9, [1, 5, 5, -1]), frame(1, 0.1, [0, -2, -3, -4]), frame(2, 0.5, [2, 2, 2, 2])]
+    df = spark.createDataFrame(rows, "video_id int, t int, score double, map array<double>")
+    kept = lambda version, **p: {r["t"]: r["keep"] for r in budget.budget_frames(df, version, 0.5, 0.0, 0.1, **p).collect()}
+    assert kept("v1") == {0: 2, 1: 2, 2: 2}
+    assert kept("v2") == {0: 4, 1: 0, 2: 2} and kept("v3") == kept("v4") == {0: 3, 1: 0, 2: 3}
+    assert kept("v4", explicit=8) == {0: 3, 1: 1, 2: 4}
+    chosen = budget.select(budget.budget_frames(df, "v4", 0.5, 0.0, 0.1), 0.0).where("t = 0").collect()
+    assert {(r["token"], r["score"]) for r in chosen} == {(1, 5.0), (2, 5.0), (0, 1.0)}
+    with pytest.raises(Exception, match="above its eligible"):
+        budget.select(budget.budget_frames(df, "v2", 0.5, temperature=0.1), 0.0).collect()
+    for wrong in ({"ratio": 0.0}, {"ratio": 1.5}, {"ratio": 0.5, "explicit": 0}):
+        with pytest.raises(ValueError):
+            budget.budget_frames(df, "v4", **wrong)
+    with pytest.raises(ValueError):
+        budget.budget_frames(df, "v6", 0.5)
+    tokens_ = spark.createDataFrame([(1, t, k, v) for _, t, _, m in rows for k, v in enumerate(m)], "video_id int, t int, token int, score double").repartition(3)
+    assert sorted(map(tuple, budget.frame_maps(tokens_, df).select("video_id", "t", "score", "map").collect())) == rows
+
+
+def test_density_needs_a_pool(spark):
+    many = spark.range(30).selectExpr("1 AS video_id", "id AS t", "array(id + 1.0D, 2.0D) AS emb")
+    with pytest.raises(Exception, match="more than 20 frames"):
+        ranking.density_rank(many, most=20).collect()
+    pooled = ranking.pool(many, 4).orderBy("t").collect()
+    assert [(r["pool_index"], r["t"]) for r in pooled] == [(0, 0), (1, 10), (2, 19), (3, 29)]
+    alone = ranking.density_rank(many.where("t = 3")).first()
+    assert (alone["rho"], alone["delta"], alone["center_rank"]) == (None, None, 1)
+    with pytest.raises(Exception, match="too many queries"):
+        ranking.checked_queries(many.selectExpr("emb AS query"), 5).collect()
+
+
+def test_blocks_that_are_not_whole(spark):
+    df = spark.createDataFrame([(0, 0, y, x, 1.0) for y in range(5) for x in range(5)], "video_id int, t int, y long, x long, score double")
+    with pytest.raises(Exception, match="don't fill the blocks"):
+        grid.block_pool(df, 2).collect()
+    with pytest.raises(ValueError):
+        grid.merged(df, (5, 5), "sliding_window", 2, 2, 1)
+    with pytest.raises(ValueError, match="uncovered"):
+        grid.merged(df, (6, 6), "sliding_window", 2, 2, 4)
+    one = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],)], "m array<double>")
+    assert one.select(grid.pooled(F.col("m"), 2, 2, 2).alias("p")).first()["p"] == [2.5]
+    with pytest.raises(Exception, match="another size"):
+        one.select(grid.pooled(F.col("m"), 4, 4, 2)).collect()
+
+
+def test_grids(spark):
+    df = spark.createDataFrame([(1, [[2, 3, 4]], [9, 9, 9]), (2, [[2], [3], [4]], None), (3, None, [5, 6, 7])], "i int, a array<array<long>>, b array<long>")
+    got = df.select("i", grid.grid_shape(F.col("a"), F.col("b")).alias("g")).orderBy("i").collect()
+    assert [tuple(r["g"]) for r in got] == [(2, 3, 4), (2, 3, 4), (5, 6, 7)]
+    with pytest.raises(Exception, match="no grid"):
+        spark.range(1).select(grid.grid_shape(F.lit(None).cast("array<array<long>>"), F.lit(None).cast("array<long>"))).collect()
+    raw = spark.createDataFrame([(0, 0, 0, 0.5), (0, 0, 1, 0.7)], "y int, x int, query_idx int, score double")
+    assert [tuple(r) for r in grid.score_grid(raw, raw, "raw").collect()] == [(0, 0, 0.7)]
+    assert [tuple(r) for r in grid.score_grid(raw, raw, "raw", 0).collect()] == [(0, 0, 0.5)]
+    assert grid.score_grid(raw, raw, "merged") is raw
+
+
+def test_ignore_rules(spark):
+    """By the rules of ignore files: (pattern lines, paths that are ignored, paths that aren't); folders end with a slash."""
+    cases = [
+        (["*.log"], ["a.log", "d/a.log", "a.log/x"], ["a.logs", "log"]),
+        (["keep/"], ["keep/", "keep/x", "d/keep/x"], ["keep", "d/keep"]),
+        (["/top"], ["top", "top/x", "top/"], ["d/top"]),
+        (["a/b"], ["a/b", "a/b/c"], ["d/a/b"]),
+        (["**/x"], ["x", "d/x", "d/e/x"], ["xx"]),
+        (["d/**"], ["d/e", "d/e/f"], ["d", "e/d/f"]),
+        (["a/**/b"], ["a/b", "a/x/b", "a/x/y/b"], ["b", "x/a/b"]),
+        (["f?[0-9]", "# no"], ["fa1", "d/fb2"], ["f1", "fa1x", "# no"]),
+        (["f[!0-9]"], ["fa"], ["f1"]),
+        (["*.txt", "!good.txt"], ["a.txt"], ["good.txt", "d/good.txt"]),
+        (["", "  "], [], ["a"]),
+        (["a.b+c"], ["a.b+c"], ["aXb+c", "a.bbc"]),
+    ]
+    for patterns, yes, no in cases:
+        paths = spark.createDataFrame([(p.rstrip("/"), p.endswith("/")) for p in yes + no], "path string, folder boolean")
+        got = paths.select(sync.ignored(F.col("path"), patterns, F.col("folder")).alias("i")).collect()
+        assert [r["i"] for r in got] == [True] * len(yes) + [False] * len(no), patterns
+
+
+def test_lookup_by_keys(spark):
+    files = [("/r/v/One_1.5_20.MP4", "v/One_1.5_20.MP4", True), ("/r/w/two.mp4", "w/two.mp4", True), ("/r/x/two.mkv", "x/two.mkv", True), ("/r/frames.d", "frames.d", False)]
+    listing = spark.createDataFrame(files, "path string, rel_path string, is_file boolean")
+    samples = lambda *names: spark.createDataFrame([(n,) for n in names], "video string")
+    got = {r["video"]: r["path"] for r in evaluate.lookup(samples("one", "v/one_1.5_20", "ONE.avi", "w/Two", "frames.d"), listing, "video").collect()}
+    assert got == {"one": files[0][0], "v/one_1.5_20": files[0][0], "ONE.avi": files[0][0], "w/Two": files[1][0], "frames.d": files[3][0]}
+    for name, message in (("two", "ambiguous"), ("three", "no video")):
+        with pytest.raises(Exception, match=message):
+            evaluate.lookup(samples(name), listing, "video").collect()
+    assert [r["video"] for r in evaluate.lookup(samples("two", "three", "one"), listing, "video", skip=True).collect()] == ["one"]
+
+
+def test_prune_of_unknown_index(spark):
+    seq = spark.createDataFrame([(1, 0, None), (1, 1, 0)], "v int, position long, video_index int")
+    with pytest.raises(Exception, match="no token has the index 9"):
+        tokens.prune(seq, spark.createDataFrame([(1, 9)], "v int, video_index int"), ["v"]).collect()
