@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,19 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.01/{table}.parquet'")
+    expected = con.execute(queries.ORACLES[name])
+    columns = sorted(c[0] for c in expected.description)
+    place = [[c[0] for c in expected.description].index(c) for c in columns]
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert sorted(got.columns) == columns
+    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(tuple(r[i] for i in place) for r in expected.fetchall())
+
+
 def plain_counts(t):
     w = WORD.findall(t or "")
     lines = [x for x in (t or "").split("\n") if WORD.search(x)]

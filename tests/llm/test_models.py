@@ -137,6 +137,12 @@ def test_toxicity_scores_by_loops(spark):
         assert got[doc] == pytest.approx(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
+def plain_quality(ranking, text):
+    f = quality_model.features(text or "")
+    raw = sum(k * (v - m) / d for k, v, m, d in zip(ranking.weights, [*f, *[v**0.5 for v in f]], ranking.mean, ranking.deviation, strict=True))
+    return 1 / (1 + np.exp(-np.clip(np.log(ranking.at / (1 - ranking.at)) + (raw - ranking.cut) / ranking.spread, -30, 30)))
+
+
 def test_ranking_by_loops(spark):
     """Weights, cut and scores of the quality ranking, pair by pair."""
     r = np.random.default_rng(8)
@@ -172,9 +178,7 @@ def test_ranking_by_loops(spark):
     ranking = quality_model.fit(docs, marks.where(queries.remainder(5) != 0))
     got = {x["doc_id"]: x["score"] for x in queries.op9_quality_model(spark, "/root/testdata/sf0.001").collect()}
     for x in docs.collect():
-        f = quality_model.features(x["text"])
-        raw = sum(k * (v - m) / d for k, v, m, d in zip(ranking.weights, [*f, *[v**0.5 for v in f]], ranking.mean, ranking.deviation, strict=True))
-        assert got[x["doc_id"]] == pytest.approx(1 / (1 + np.exp(-np.clip(np.log(0.3 / 0.7) + (raw - ranking.cut) / ranking.spread, -30, 30))))
+        assert got[x["doc_id"]] == pytest.approx(plain_quality(ranking, x["text"]))
 
 
 @pytest.mark.parametrize("kind", ["toxicity", "quality"])
