@@ -16,7 +16,7 @@ def hover_rows(cells: DataFrame, selected: DataFrame, queries: DataFrame) -> Dat
 
     selected (video_id, t, y, x): cells of the mask; queries (query_idx, query): few, as the lines of a file.
     """
-    won = query_winner(cells, CELL).join(F.broadcast(queries), "query_idx", "left")
+    won = query_winner(cells, CELL).join(queries, "query_idx", "left")
     marked = won.join(selected.select(*CELL).distinct().withColumn("_in", F.lit(True)), CELL, "left")
     return marked.select(*CELL, F.coalesce("_in", F.lit(False)).alias("selected"), "score", query_label(F.col("query_idx"), F.col("query")).alias("label"))
 

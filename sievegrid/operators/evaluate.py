@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievegrid.functions.text import first_letter
+
 #: A time range at the end of a stem, `_1.5_20`: a fixed value.
 TIME_RANGE = r"_[0-9]+(?:\.[0-9]+)?_[0-9]+(?:\.[0-9]+)?$"
 
@@ -52,10 +54,9 @@ def breakdown(rows: DataFrame, keys: list[str]) -> DataFrame:
     rows: prediction_letter, answer_letter and the keys. Blank or null keys are 'unknown'; a blank letter is missing; an
     empty answer is never met.
     """
-    letter = lambda c: F.upper(F.substring(F.trim(F.coalesce(F.col(c), F.lit(""))), 1, 1))
     known = lambda c: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("unknown"))
     each = F.array(*[F.struct(F.lit(k).alias("dimension"), known(k).alias("value")) for k in keys], F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")))
-    long = rows.select(F.explode(each).alias("d"), letter("prediction_letter").alias("p"), letter("answer_letter").alias("a"))
+    long = rows.select(F.explode(each).alias("d"), first_letter(F.col("prediction_letter")).alias("p"), first_letter(F.col("answer_letter")).alias("a"))
     counts = long.groupBy("d.dimension", "d.value").agg(F.count("*").alias("total"), F.count_if((F.col("p") != "") & (F.col("p") == F.col("a"))).alias("correct"), F.count_if(F.col("p") == "").alias("missing"))
     return counts.withColumn("accuracy_pct", 100.0 * F.col("correct") / F.col("total")).withColumn("missing_pct", 100.0 * F.col("missing") / F.col("total"))
 

@@ -28,14 +28,16 @@ HITS = f"""{FOLDED}, hits AS (SELECT *, list_transform(regexp_extract_all(s, '{C
     list_transform(regexp_extract_all(u, '{CUE}([LETTERS])\\b', 1), lambda c: ascii(upper(c)) - 65) AS letters, list_position(list_transform(options, lambda o: contains(m, o) OR contains(o, m)), true) - 1 AS sub FROM folded)"""
 
 
-@query(f"""WITH {HITS.replace('LETTERS', 'A-E')}, p AS (SELECT *, list_filter(digits, lambda d: d < 4)[1] AS i, list_filter(letters, lambda d: d < 4)[1] AS l, CASE WHEN sub >= 0 THEN sub END AS b FROM hits)
+@query(f"""WITH {HITS.replace('LETTERS', 'A-E')}, p AS (SELECT *, list_filter(digits, lambda d: d < 4)[1] AS i, list_filter(letters, lambda d: d < 4)[1] AS l,
+        CASE WHEN sub >= 0 THEN sub END AS b FROM hits)
     SELECT conv_id, turn, CASE WHEN trim(response) = '' THEN NULL ELSE coalesce(i, l, b) END::BIGINT AS prediction,
     CASE WHEN trim(response) = '' THEN 'empty_response' WHEN i IS NOT NULL THEN 'index_regex' WHEN l IS NOT NULL THEN 'letter_regex' WHEN b IS NOT NULL THEN 'substring_match' ELSE 'unparsed' END AS parse_method FROM p""")
 def parse_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.parse_index_first(responses(spark, sf_dir)).drop("response", "options")
 
 
-LETTER_FIRST = f"""WITH {HITS.replace('LETTERS', 'A-D')}, p AS (SELECT *, list_filter(digits, lambda d: d <= 4)[1] AS i, list_filter(letters, lambda d: d < 4)[1] AS l, CASE WHEN sub >= 0 THEN sub END AS b FROM hits),
+LETTER_FIRST = f"""WITH {HITS.replace('LETTERS', 'A-D')}, p AS (SELECT *, list_filter(digits, lambda d: d <= 4)[1] AS i, list_filter(letters, lambda d: d < 4)[1] AS l,
+        CASE WHEN sub >= 0 THEN sub END AS b FROM hits),
     parsed AS (SELECT conv_id, turn, response, CASE WHEN trim(response) = '' THEN NULL ELSE coalesce(l, CASE WHEN i < 4 THEN i ELSE i - 1 END, b) END::BIGINT AS prediction,
     CASE WHEN trim(response) = '' THEN 'empty_response' WHEN l IS NOT NULL THEN 'letter_regex' WHEN i < 4 THEN 'index_regex' WHEN i IS NOT NULL THEN 'one_based_index_regex' WHEN b IS NOT NULL THEN 'substring_match' ELSE 'raw_response' END AS parse_method FROM p)"""
 
@@ -59,7 +61,9 @@ def parse_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{LETTER_FIRST}, t AS (SELECT 'turn' || (turn % 4) AS task_name, prediction, (conv_id % 4)::BIGINT AS truth FROM parsed)
-    SELECT task_name, count(*) AS total, count(prediction) AS answered, count(*) FILTER (WHERE prediction = truth) AS correct, round(count(*) FILTER (WHERE prediction = truth) / count(*), 6) AS accuracy, round(count(prediction) / count(*), 6) AS answer_rate FROM t GROUP BY ALL""")
+    SELECT task_name, count(*) AS total, count(prediction) AS answered, count(*) FILTER (WHERE prediction = truth) AS correct,
+        round(count(*) FILTER (WHERE prediction = truth) / count(*), 6) AS accuracy, round(count(prediction) / count(*), 6) AS answer_rate
+        FROM t GROUP BY ALL""")
 def task_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parsing.parse_letter_first(responses(spark, sf_dir)).withColumn("task_name", F.concat(F.lit("turn"), F.col("turn") % 4)).withColumn("ground_truth", F.col("conv_id") % 4)
     return evaluate.accuracy_all(rows, ["task_name"]).withColumns({c: F.round(c, 6) for c in ("accuracy", "answer_rate")})
@@ -93,8 +97,10 @@ def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREDICTED = "p AS (SELECT doc_id AS q_uid, (n_chars > 1200)::INT AS prediction FROM documents WHERE n_chars >= 200), l AS (SELECT doc_id AS q_uid, quality AS truth FROM labels)"
 
 
-@query(f"""WITH {PREDICTED}, f AS (SELECT p.q_uid AS pu, l.q_uid AS lu, prediction, truth FROM p FULL JOIN l ON p.q_uid = l.q_uid), c AS (SELECT count(*) FILTER (WHERE pu IS NOT NULL AND lu IS NOT NULL) AS matched,
-    count(*) FILTER (WHERE pu IS NULL) AS missing, count(*) FILTER (WHERE lu IS NULL) AS extra, count(*) FILTER (WHERE prediction = truth) AS correct FROM f) SELECT *, round(correct / nullif(matched, 0), 6) AS accuracy FROM c""")
+@query(f"""WITH {PREDICTED}, f AS (SELECT p.q_uid AS pu, l.q_uid AS lu, prediction, truth FROM p FULL
+        JOIN l ON p.q_uid = l.q_uid), c AS (SELECT count(*) FILTER (WHERE pu IS NOT NULL AND lu IS NOT NULL) AS matched,
+    count(*) FILTER (WHERE pu IS NULL) AS missing, count(*) FILTER (WHERE lu IS NULL) AS extra,
+        count(*) FILTER (WHERE prediction = truth) AS correct FROM f) SELECT *, round(correct / nullif(matched, 0), 6) AS accuracy FROM c""")
 def accuracy_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.matched(predictions(spark, sf_dir), truths(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
 
@@ -110,9 +116,12 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.pending(samples, truths(spark, sf_dir))
 
 
-@query(f"""WITH {JUDGED}, e AS (SELECT CASE WHEN lang = 'de' THEN ' ' ELSE lang END AS lang, source, CASE WHEN prediction IS NULL THEN '' ELSE chr(65 + prediction) END AS p, CASE WHEN truth IS NULL THEN '' ELSE chr(65 + truth::INT) END AS a FROM j),
+@query(f"""WITH {JUDGED}, e AS (SELECT CASE WHEN lang = 'de' THEN ' ' ELSE lang END AS lang, source,
+        CASE WHEN prediction IS NULL THEN '' ELSE chr(65 + prediction) END AS p,
+        CASE WHEN truth IS NULL THEN '' ELSE chr(65 + truth::INT) END AS a FROM j),
     k AS (SELECT coalesce(nullif(trim(lang), ''), 'unknown') AS lang, coalesce(nullif(trim(source), ''), 'unknown') AS source, p, a FROM e),
-    g AS (SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS dimension, coalesce(lang, source, 'all') AS value, count(*) AS total, count(*) FILTER (WHERE p <> '' AND p = a) AS correct, count(*) FILTER (WHERE p = '') AS missing
+    g AS (SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS dimension, coalesce(lang, source,
+        'all') AS value, count(*) AS total, count(*) FILTER (WHERE p <> '' AND p = a) AS correct, count(*) FILTER (WHERE p = '') AS missing
     FROM k GROUP BY GROUPING SETS ((lang), (source), ())) SELECT *, round(100.0 * correct / total, 6) AS accuracy_pct, round(100.0 * missing / total, 6) AS missing_pct FROM g""")
 def accuracy_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judged(spark, sf_dir).withColumn("prediction_letter", text.option_letter(F.col("prediction"))).withColumn("answer_letter", text.option_letter(F.col("ground_truth")))
@@ -129,7 +138,8 @@ def runtime_metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metric_summary(rows, ["latency_seconds", "visual_token_count"], ["event_type"]).withColumn("total", F.round("total", 4)).withColumn("average", F.round("average", 6))
 
 
-@query("""WITH o AS (SELECT 'op' || (props ->> 'k') AS name, round(value * 100)::BIGINT AS flops FROM events), s AS (SELECT name, sum(flops)::BIGINT AS flops, count(*) FILTER (WHERE flops > 0) AS calls FROM o GROUP BY ALL)
+@query("""WITH o AS (SELECT 'op' || (props ->> 'k') AS name, round(value * 100)::BIGINT AS flops
+        FROM events), s AS (SELECT name, sum(flops)::BIGINT AS flops, count(*) FILTER (WHERE flops > 0) AS calls FROM o GROUP BY ALL)
     SELECT name, flops, calls, round(flops / 1e9, 9) AS gflops FROM s ORDER BY flops DESC, name LIMIT 10""")
 def top_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = table(spark, sf_dir, "events").select(F.concat(F.lit("op"), F.from_json("props", "k INT")["k"]).alias("name"), F.round(F.col("value") * 100).cast("long").alias("flops"))
@@ -217,7 +227,8 @@ def url_video_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.url_uid(F.replace("url", F.lit(".html"), F.lit(".mp4"))).alias("uid"))
 
 
-@query(f"""WITH {URL_PATH}, k AS (SELECT rel_path, unnest(list_distinct([rel_path, regexp_extract(rel_path, '([^/]+)$', 1), regexp_replace(regexp_extract(rel_path, '([^/]+)$', 1), '\\.[^.]+$', '')])) AS key FROM path)
+@query(f"""WITH {URL_PATH}, k AS (SELECT rel_path, unnest(list_distinct([rel_path, regexp_extract(rel_path, '([^/]+)$', 1),
+        regexp_replace(regexp_extract(rel_path, '([^/]+)$', 1), '\\.[^.]+$', '')])) AS key FROM path)
     SELECT key, count(DISTINCT rel_path) AS paths, count(DISTINCT rel_path) > 1 AS ambiguous FROM k GROUP BY key""")
 def lookup_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = _paths(spark, sf_dir)
@@ -229,11 +240,16 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", sync.rel_path(F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1)).alias("rel_path"))
 
 
-@query(f"""WITH {URL_PATH}, f AS (SELECT DISTINCT rel_path, string_split(rel_path, '/') AS s FROM path), folder AS (SELECT DISTINCT array_to_string(s[1:k], '/') AS rel_path FROM f, range(1, 10) AS r(k) WHERE k < len(s)),
+@query(f"""WITH {URL_PATH}, f AS (SELECT DISTINCT rel_path, string_split(rel_path, '/') AS s
+        FROM path), folder AS (SELECT DISTINCT array_to_string(s[1:k], '/') AS rel_path FROM f, range(1, 10) AS r(k) WHERE k < len(s)),
     remote AS (SELECT rel_path, false AS is_folder FROM f UNION SELECT rel_path, true FROM folder), part AS (SELECT *, string_split(rel_path, '/') AS s FROM remote),
-    hit AS (SELECT *, list_contains(s, 'fr') OR s[len(s)] LIKE '%.html' AS hit FROM part), above AS (SELECT rel_path, is_folder, hit, array_to_string(s[1:k], '/') AS folder FROM hit, range(1, 10) AS r(k) WHERE k < len(s)),
-    own AS (SELECT h.rel_path, h.is_folder, len(h.s) - 1 AS depth, h.hit OR EXISTS (SELECT 1 FROM above a JOIN hit g ON g.rel_path = a.folder AND g.is_folder AND g.hit WHERE a.rel_path = h.rel_path AND a.is_folder = h.is_folder) AS own FROM hit h),
-    needed AS (SELECT DISTINCT a.folder FROM above a JOIN own o ON o.rel_path = a.rel_path AND o.is_folder = a.is_folder WHERE o.own), keep AS (SELECT *, own OR (is_folder AND rel_path IN (SELECT folder FROM needed)) AS keep FROM own)
+    hit AS (SELECT *, list_contains(s, 'fr') OR s[len(s)] LIKE '%.html' AS hit
+        FROM part), above AS (SELECT rel_path, is_folder, hit, array_to_string(s[1:k], '/') AS folder FROM hit, range(1, 10) AS r(k)
+        WHERE k < len(s)),
+    own AS (SELECT h.rel_path, h.is_folder, len(h.s) - 1 AS depth, h.hit OR EXISTS (SELECT 1 FROM above a
+        JOIN hit g ON g.rel_path = a.folder AND g.is_folder AND g.hit WHERE a.rel_path = h.rel_path AND a.is_folder = h.is_folder) AS own FROM hit h),
+    needed AS (SELECT DISTINCT a.folder FROM above a JOIN own o ON o.rel_path = a.rel_path AND o.is_folder = a.is_folder
+        WHERE o.own), keep AS (SELECT *, own OR (is_folder AND rel_path IN (SELECT folder FROM needed)) AS keep FROM own)
     SELECT 'upload' AS action, rel_path, false AS is_folder, 0::BIGINT AS step FROM f UNION ALL
     SELECT CASE WHEN keep THEN 'preserve' ELSE 'delete' END, rel_path, is_folder, (CASE WHEN keep OR NOT is_folder THEN 0 ELSE 1000 - depth END)::BIGINT FROM keep""")
 def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,8 @@ def budget_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{V4} SELECT video_id, count(*) AS frames, sum(tokens)::BIGINT AS tokens, max(budget) AS budget, sum(eligible)::BIGINT AS eligible, sum(v4_n)::BIGINT AS selected, 0::BIGINT AS reallocated,
-    round(min(score_min), 6) AS score_min, round(max(score_max), 6) AS score_max, least(max(budget), sum(eligible))::BIGINT AS allocatable, (max(budget) - sum(v4_n))::BIGINT AS underfilled FROM v4 GROUP BY video_id""")
+    round(min(score_min), 6) AS score_min, round(max(score_max), 6) AS score_max, least(max(budget), sum(eligible))::BIGINT AS allocatable,
+        (max(budget) - sum(v4_n))::BIGINT AS underfilled FROM v4 GROUP BY video_id""")
 def budget_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = budget.budget_frames(frame_maps(spark, sf_dir), "v4", RATIO, THRESHOLD, TEMPERATURE)
     return rounded(budget.metadata(f), "score_min", "score_max")
@@ -221,8 +222,11 @@ RANK = POOL + """, u AS (SELECT video_id, t, emb, greatest(sqrt(list_dot_product
     d AS (SELECT a.video_id, a.t AS i, b.t AS j, round(greatest(1 - list_dot_product(a.emb, b.emb) / (a.n * b.n), 0), 12) AS d FROM u a JOIN u b ON a.video_id = b.video_id AND a.t <> b.t),
     near AS (SELECT *, row_number() OVER (PARTITION BY video_id, i ORDER BY d, j) AS n FROM d),
     rho AS (SELECT video_id, i, round(sum(exp(-d * d)), 12) AS rho FROM near WHERE n <= 5 GROUP BY ALL),
-    delta AS (SELECT d.video_id, d.i, a.rho, coalesce(min(CASE WHEN b.rho > a.rho THEN d.d END), max(d.d)) AS delta FROM d JOIN rho a ON a.video_id = d.video_id AND a.i = d.i JOIN rho b ON b.video_id = d.video_id AND b.i = d.j GROUP BY ALL),
-    value AS (SELECT f.video_id, f.t, delta.rho, delta.delta, round(coalesce(delta.rho * delta.delta, 0) - 1e-6 * f.t / greatest(count(*) OVER (PARTITION BY f.video_id) - 1, 1), 10) AS v FROM pool f LEFT JOIN delta ON delta.video_id = f.video_id AND delta.i = f.t),
+    delta AS (SELECT d.video_id, d.i, a.rho, coalesce(min(CASE WHEN b.rho > a.rho THEN d.d END), max(d.d)) AS delta FROM d
+        JOIN rho a ON a.video_id = d.video_id AND a.i = d.i JOIN rho b ON b.video_id = d.video_id AND b.i = d.j GROUP BY ALL),
+    value AS (SELECT f.video_id, f.t, delta.rho, delta.delta, round(coalesce(delta.rho * delta.delta,
+        0) - 1e-6 * f.t / greatest(count(*) OVER (PARTITION BY f.video_id) - 1, 1), 10) AS v FROM pool f LEFT
+        JOIN delta ON delta.video_id = f.video_id AND delta.i = f.t),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY v DESC, t) AS center_rank FROM value)"""
 
 
@@ -238,7 +242,8 @@ def frame_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RANK}, c AS (SELECT video_id, t, n FROM ranked JOIN size USING (video_id) WHERE center_rank <= 8)
-    SELECT video_id, row_number() OVER w - 1 AS segment_index, coalesce((lag(t) OVER w + t) // 2 + 1, 0)::BIGINT AS start_t, coalesce((t + lead(t) OVER w) // 2, n - 1)::BIGINT AS end_t, t AS center_t FROM c WINDOW w AS (PARTITION BY video_id ORDER BY t)""")
+    SELECT video_id, row_number() OVER w - 1 AS segment_index, coalesce((lag(t) OVER w + t) // 2 + 1, 0)::BIGINT AS start_t,
+        coalesce((t + lead(t) OVER w) // 2, n - 1)::BIGINT AS end_t, t AS center_t FROM c WINDOW w AS (PARTITION BY video_id ORDER BY t)""")
 def temporal_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = canonical.frames(spark, sf_dir)
     counts = frames.groupBy("video_id").agg(F.count("*").alias("n"))
@@ -247,7 +252,9 @@ def temporal_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 THETA, TAU = 3, 0.15
 TRIED = f"""WITH {RANK}, {COSINES.removeprefix(FRAME + ', ')}, k AS (SELECT * FROM (VALUES (0, 3), (1, 6), (2, 9)) AS k(step, requested_k)),
-    each AS (SELECT video_id, step::BIGINT AS step, requested_k::BIGINT AS requested_k, count(*) AS effective_k, count(*) FILTER (WHERE score >= {TAU}) AS high_count FROM ranked JOIN rel USING (video_id, t), k WHERE center_rank <= requested_k GROUP BY ALL),
+    each AS (SELECT video_id, step::BIGINT AS step, requested_k::BIGINT AS requested_k, count(*) AS effective_k,
+        count(*) FILTER (WHERE score >= {TAU}) AS high_count FROM ranked JOIN rel USING (video_id, t), k WHERE center_rank <= requested_k
+        GROUP BY ALL),
     first AS (SELECT *, high_count >= {THETA} AS satisfied, min(CASE WHEN high_count >= {THETA} THEN step END) OVER (PARTITION BY video_id) AS stop FROM each), history AS (SELECT * EXCLUDE (stop) FROM first WHERE stop IS NULL OR step <= stop)"""
 
 
@@ -269,7 +276,8 @@ def escalating_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranking.escalating_select(ranked_pool(spark, sf_dir), THETA, TAU), "score")
 
 
-@query(f"""{PICKED}, c AS (SELECT video_id, t, row_number() OVER (PARTITION BY video_id ORDER BY t) - 1 AS segment_index FROM ranked JOIN last USING (video_id) WHERE center_rank <= k AND center_rank <= 5)
+@query(f"""{PICKED}, c AS (SELECT video_id, t, row_number() OVER (PARTITION BY video_id ORDER BY t) - 1 AS segment_index FROM ranked
+        JOIN last USING (video_id) WHERE center_rank <= k AND center_rank <= 5)
     SELECT video_id, pick.t, round(score, 6) AS score, coalesce(segment_index, -1)::BIGINT AS segment_index, row_number() OVER (PARTITION BY video_id ORDER BY pick.t) - 1 AS position
     FROM pick LEFT JOIN c USING (video_id, t) WHERE pick <= {THETA}""")
 def frame_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,9 +314,11 @@ def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SAMPLE}, ok AS (SELECT c.video_id, frame_index FROM clip c JOIN events USING (event_id) WHERE event_type <> 'error'), wanted AS (SELECT DISTINCT video_id, frame_index FROM idx),
-    state AS (SELECT video_id, count(*) AS actual, count(w.frame_index) AS got FROM (SELECT ok.video_id, w.frame_index FROM ok LEFT JOIN wanted w ON w.video_id = ok.video_id AND w.frame_index = ok.frame_index) w GROUP BY ALL),
+    state AS (SELECT video_id, count(*) AS actual, count(w.frame_index) AS got FROM (SELECT ok.video_id, w.frame_index FROM ok LEFT
+        JOIN wanted w ON w.video_id = ok.video_id AND w.frame_index = ok.frame_index) w GROUP BY ALL),
     need AS (SELECT video_id, count(*) AS need FROM wanted GROUP BY ALL)
-    SELECT ok.video_id, ok.frame_index, got < need AS used_fallback FROM ok JOIN state USING (video_id) JOIN need USING (video_id) LEFT JOIN wanted w ON w.video_id = ok.video_id AND w.frame_index = ok.frame_index
+    SELECT ok.video_id, ok.frame_index, got < need AS used_fallback FROM ok JOIN state USING (video_id) JOIN need USING (video_id) LEFT
+        JOIN wanted w ON w.video_id = ok.video_id AND w.frame_index = ok.frame_index
     WHERE CASE WHEN got < need THEN ok.frame_index < least(actual, 8) ELSE w.frame_index IS NOT NULL END""")
 def short_video_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of type error stand in for frames that don't decode."""
@@ -320,8 +330,11 @@ def short_video_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT p_partkey, (p_size * 37 + 13)::DOUBLE AS h0, (p_partkey % 1500 + 200)::DOUBLE AS w0 FROM part), s1 AS (SELECT *, least(720 / greatest(h0, w0), 1.0::DOUBLE) AS k FROM s),
     s2 AS (SELECT p_partkey, CASE WHEN k < 1 THEN greatest(1, round_even(h0 * k, 0)) ELSE h0 END AS h, CASE WHEN k < 1 THEN greatest(1, round_even(w0 * k, 0)) ELSE w0 END AS w FROM s1),
     s3 AS (SELECT *, greatest(28, round_even(h / 28, 0) * 28) AS rh, greatest(28, round_even(w / 28, 0) * 28) AS rw FROM s2)
-    SELECT p_partkey, (CASE WHEN rh * rw > 12845056 THEN greatest(28, floor(h / sqrt(h * w / 12845056) / 28) * 28) WHEN rh * rw < 3136 THEN greatest(28, ceil(h * sqrt(3136 / (h * w)) / 28) * 28) ELSE rh END)::BIGINT AS out_height,
-    (CASE WHEN rh * rw > 12845056 THEN greatest(28, floor(w / sqrt(h * w / 12845056) / 28) * 28) WHEN rh * rw < 3136 THEN greatest(28, ceil(w * sqrt(3136 / (h * w)) / 28) * 28) ELSE rw END)::BIGINT AS out_width FROM s3""")
+    SELECT p_partkey, (CASE WHEN rh * rw > 12845056 THEN greatest(28,
+        floor(h / sqrt(h * w / 12845056) / 28) * 28) WHEN rh * rw < 3136 THEN greatest(28,
+        ceil(h * sqrt(3136 / (h * w)) / 28) * 28) ELSE rh END)::BIGINT AS out_height,
+    (CASE WHEN rh * rw > 12845056 THEN greatest(28, floor(w / sqrt(h * w / 12845056) / 28) * 28) WHEN rh * rw < 3136 THEN greatest(28,
+        ceil(w * sqrt(3136 / (h * w)) / 28) * 28) ELSE rw END)::BIGINT AS out_width FROM s3""")
 def smart_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, w = sampling.fitted_size(F.col("p_size") * 37 + 13, F.col("p_partkey") % 1500 + 200)
     return canonical.table(spark, sf_dir, "part").select("p_partkey", h.alias("out_height"), w.alias("out_width"))
@@ -388,7 +401,8 @@ def mask_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TOKEN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id, t ORDER BY score DESC, token) AS n FROM token),
     kept AS (SELECT video_id, t * 16 + token AS video_index FROM ranked WHERE n <= 5), size AS (SELECT video_id, count(*) * 16 AS n FROM frame GROUP BY ALL),
     seq AS (SELECT video_id, p AS position, CASE WHEN p BETWEEN 4 AND n + 3 THEN p - 4 END AS video_index FROM size, range(100000) AS r(p) WHERE p < n + 7)
-    SELECT seq.video_id, position, seq.video_index, CASE WHEN seq.video_index IS NULL THEN 0 ELSE 2 END::BIGINT AS type_id, row_number() OVER (PARTITION BY seq.video_id ORDER BY position) - 1 AS new_position
+    SELECT seq.video_id, position, seq.video_index, CASE WHEN seq.video_index IS NULL THEN 0 ELSE 2 END::BIGINT AS type_id,
+        row_number() OVER (PARTITION BY seq.video_id ORDER BY position) - 1 AS new_position
     FROM seq LEFT JOIN kept ON kept.video_id = seq.video_id AND kept.video_index = seq.video_index WHERE seq.video_index IS NULL OR kept.video_index IS NOT NULL""")
 def token_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prompt of four text tokens, all tokens of the video, three text tokens."""

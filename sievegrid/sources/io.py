@@ -225,6 +225,7 @@ def write_submission(nested: DataFrame, path: str) -> None:
 
 
 def upload_payload(rows: DataFrame) -> DataFrame:
-    """One JSON object from uid to prediction, as text, of rows with both; sending it is left to the caller."""
+    """One JSON object from uid to prediction, as text, of rows with both: a submission, which is one value by definition and so
+    in one task. Sending it is left to the caller."""
     usable = rows.where(F.col("prediction").isNotNull() & ~F.coalesce("parse_method", F.lit("")).isin("unparsed", "empty_response"))
     return usable.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("q_uid").cast("string").alias("key"), F.col("prediction").alias("value")))))).alias("payload"))
