@@ -18,13 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks of letters kept per worker process, at 50 bytes or so each; half of them at least are the latest.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 500_000
 #: Longer chunks of letters, and those of other characters, are kept as Python objects: so many, of so many bytes at most.
-KEPT_OTHERS, OTHER_BYTES = 40_000, 64
+KEPT_OTHERS, OTHER_BYTES = 20_000, 64
 #: Bytes of a chunk in the table of words, a multiple of eight.
 WIDTH = 24
 #: Texts are encoded in groups of about this many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 # kinds of bytes; OTHER is all that may compose with, fold into or be white space to a neighbour: never cut beside it
 OTHER, BLANK, SPACE, LETTER, MARK, DIGIT, APOSTROPHE, LEAD = range(8)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: A key with more rows than this, and than a 100,000th of all, is split over several tasks by spread_join().
 HOT_ROWS = 1000
+#: Bytes of texts that a Python worker gets at a time.
+BATCH_BYTES = 8 << 20
 _ROOTS: set[str] = set()
 
 
@@ -66,16 +68,18 @@ def hot_keys(sizes: DataFrame, keys: list[str], size: str, rows: int) -> DataFra
     return None if hot.isEmpty() else hot
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """left.join(right, keys, how) for an inner or left join, where few rows of right have one key and many of left may.
 
-    Rows of a hot key (of hot_keys()) are dealt in turn to its parts, each of which meets a copy of the rows of right.
-    left is read where it is stored or computed the same way again, so a lost task deals as before.
+    Rows of a hot key (of hot_keys()) are dealt to its parts, each of which meets a copy of the rows of right: by a column
+    that differs within a key, or in turn. In turn only if left is a scan: in another order, as after a shuffle, a task
+    that is run again would deal otherwise.
     """
     if hot is None:
         return left.join(right, keys, how)
     parts, salt = F.coalesce("_parts", F.lit(1)), "_salt"
-    dealt = left.join(F.broadcast(hot), keys, "left").withColumn(salt, F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_parts")
+    turn = F.monotonically_increasing_id() if by is None else F.xxhash64(by)
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn(salt, F.pmod(turn, parts).cast("int")).drop("_parts")
     copies = right.join(F.broadcast(hot), keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return dealt.join(copies, [*keys, salt], how).drop(salt)
 
@@ -95,11 +99,21 @@ def text_or_empty(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch to BATCH_BYTES: texts are long, and each batch is held
+    by the executor and by its Python worker, several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns that an operator reads, named doc_id and text: further columns can't clash. Null text: empty.
 
     Ids are whole numbers, or text or other types that hold one; an id that holds none is an error of the cast.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *more)
 
 

@@ -180,14 +180,14 @@ def link(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     each = nodes.select("node", "n", F.explode("bands").alias("key"))
     sizes = stored(each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
     hot = hot_keys(sizes, ["key"], "size", sizes.agg(F.sum("size")).first()[0] or 0)  # large buckets are split in joins
-    members = stored(spread_join(each, sizes, ["key"], hot=hot), "members")
+    members = stored(spread_join(each, sizes, ["key"], hot=hot, by="node"), "members")
     # leaders of a bucket: the node that most others meet in all its buckets, and one by chance
     central = members.groupBy("node").agg((-F.sum("size")).alias("order"))
     ordered = stored(members.join(central, "node").drop("size"), "members")
     leader = lambda order: F.min(F.struct(order.alias("o"), F.col("node").alias("node"), F.col("n").alias("n")))
     leaders = ordered.groupBy("key").agg(leader(F.col("order")).alias("hub"), leader(F.xxhash64("node", "key")).alias("any"), F.count("*").alias("size"))
     fits = lambda a, b: 100 * F.least(a, b) >= s.percent * F.greatest(a, b)
-    met = spread_join(ordered, leaders, ["key"], hot=hot).select("node", "n", F.explode(F.array("hub", "any")).alias("l")).where((F.col("node") != F.col("l.node")) & fits(F.col("n"), F.col("l.n")))
+    met = spread_join(ordered, leaders, ["key"], hot=hot, by="node").select("node", "n", F.explode(F.array("hub", "any")).alias("l")).where((F.col("node") != F.col("l.node")) & fits(F.col("n"), F.col("l.n")))
     pairs = met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
     candidates = stored(ordered.select(F.col("node").alias("doc_id")).distinct(), "candidates")
@@ -204,11 +204,11 @@ def link(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     # the rest: members of a bucket outside the component of its hub, against all members of other components
     labelled = ordered.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     hubs = leaders.select("key", F.col("hub.node").alias("node")).join(first, "node", "left").select("key", F.coalesce("component", "node").alias("hub"))
-    marked = stored(spread_join(labelled, hubs, ["key"], hot=hot).withColumn("minor", F.col("component") != F.col("hub")).drop("hub"), "marked")
+    marked = stored(spread_join(labelled, hubs, ["key"], hot=hot, by="node").withColumn("minor", F.col("component") != F.col("hub")).drop("hub"), "marked")
     blocks = lambda of: F.ceil(F.greatest(F.sum(of) / s.block, F.sum(of * F.col("n")) / s.block_shingles)).cast("int")
     minor = F.col("minor").cast("int")
     open_ = marked.groupBy("key").agg(blocks(minor).alias("minor_blocks"), blocks(F.lit(1)).alias("all_blocks")).where("minor_blocks > 0")
-    rest = spread_join(marked, open_, ["key"], hot=hot).groupBy("key", "node").agg(*[F.first(c).alias(c) for c in ("component", "minor", "minor_blocks", "all_blocks")])
+    rest = spread_join(marked, open_, ["key"], hot=hot, by="node").groupBy("key", "node").agg(*[F.first(c).alias(c) for c in ("component", "minor", "minor_blocks", "all_blocks")])
     part = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
     through = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     left = rest.where("minor").select("key", part("minor_blocks").alias("left"), through("all_blocks").alias("right"), F.lit(True).alias("is_left"), "node", "component", "minor")

@@ -52,7 +52,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
 NEXT, GAP, DOCS, STEP = range(4)
 ROUND = "kind int, size long, first long, n long, sequence long, fit long, used long"
 #: Ranges of the first round.
-RANGES = 8
+RANGES = 4
 #: Rows ranked together: what has one length is ranked in as many groups as there are so many rows.
 RANKED_ROWS = 20_000
 

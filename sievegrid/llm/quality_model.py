@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sievegrid.llm.common import id_and_text, labelled_sample
+from sievegrid.llm.common import bounded_batches, id_and_text, labelled_sample
 
 #: Labelled rows that training takes at most, by the smallest hash of the id; preference pairs drawn for each row of this bound.
 SAMPLE_ROWS, PAIRS_A_ROW = 12_000, 5
@@ -149,6 +149,7 @@ def score(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: s
 
 def keep(docs: DataFrame, ranking: Ranking, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs that score at least `least`, with all their columns; cases as in score()."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(ranking)
     at = docs.columns.index(text_col)
 

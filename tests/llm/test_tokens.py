@@ -213,7 +213,7 @@ def test_packing(docs, messy, no_docs):
     assert packing.pack(packing.cut_pieces(no_docs, WORD)).count() == 0
 
 
-@pytest.mark.parametrize(("ranges", "ranked"), [(8, 20_000), (1, 500)])
+@pytest.mark.parametrize(("ranges", "ranked"), [(packing.RANGES, 20_000), (1, 500)])
 def test_hot_length(spark, monkeypatch, ranges, ranked):
     """A third of all rows have one length; they are ranked in one group and in several."""
     monkeypatch.setattr(packing, "RANKED_ROWS", ranked)
