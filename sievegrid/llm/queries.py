@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import bytebpe, fingerprints, neardup, packing, quality_model, quality_rules, token_counts, token_store, toxicity, url_templates
+from sievegrid.llm import bytebpe, divergence, fingerprints, neardup, packing, quality_model, quality_rules, token_counts, token_store, toxicity, url_templates
 from sievegrid.llm.common import work_folder
 
 
@@ -73,7 +73,11 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumn("purity", F.round("purity", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_minmax_neardup, op4_token_store, op5_token_counts, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_quality_model, op10_url_templates)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_minmax_neardup, op4_token_store, op5_token_counts, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_quality_model, op10_url_templates, op13_source_divergence)}
 
 _WORDS = r"regexp_extract_all(x, '[^\x20\x09-\x0D]+')"
 
@@ -127,4 +131,19 @@ SELECT page_id, r.host, r.path, rule, coalesce(by_rule, CASE WHEN j.labelled > 0
 FROM r JOIN tree USING (host, path) JOIN j USING (host, template)"""
 
 
-ORACLES = {"op7_quality_rules": OP7_SQL, "op10_url_templates": _op10_sql()}
+OP13_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+t AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN t USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(t.term) AS v, coalesce(sum(t.n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang FROM grp) LEFT JOIN t USING (lang) GROUP BY lang),
+g AS (SELECT grp.lang, grp.source, v.v, coalesce(sum(c.n), 0)::HUGEINT + max(v.v) AS total FROM grp JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+x AS (SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // g.total AS p FROM g JOIN t USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+q AS (SELECT t.lang, t.term, 1 + (1000000000::HUGEINT * (t.n + 1)) // (v.n + v.v) AS q FROM t JOIN v USING (lang)),
+own AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM x JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM own))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+ORACLES = {"op7_quality_rules": OP7_SQL, "op10_url_templates": _op10_sql(), "op13_source_divergence": OP13_SQL}
