@@ -37,11 +37,12 @@ def work_folder(spark: SparkSession, name: str = "work") -> str:
     root = f"{base.rstrip('/')}/sievegrid/{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
         _ROOTS.add(root)
-        atexit.register(_remove, spark, root)
+        atexit.register(remove, spark, root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def _remove(spark: SparkSession, root: str) -> None:
+def remove(spark: SparkSession, root: str) -> None:
+    """Deletes a path of the work folder."""
     if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import bytebpe, divergence, fingerprints, neardup, packing, quality_model, quality_rules, token_counts, token_store, toxicity, url_templates
+from sievegrid.llm import bytebpe, divergence, fingerprints, neardup, packing, quality_model, quality_rules, suffix_dedup, token_counts, token_store, toxicity, url_templates
 from sievegrid.llm.common import work_folder
 
 
@@ -73,11 +73,15 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumn("purity", F.round("purity", 6))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_minmax_neardup, op4_token_store, op5_token_counts, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_quality_model, op10_url_templates, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_minmax_neardup, op4_token_store, op5_token_counts, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_quality_model, op10_url_templates, op12_suffix_dedup, op13_source_divergence)}
 
 _WORDS = r"regexp_extract_all(x, '[^\x20\x09-\x0D]+')"
 
@@ -131,6 +135,16 @@ SELECT page_id, r.host, r.path, rule, coalesce(by_rule, CASE WHEN j.labelled > 0
 FROM r JOIN tree USING (host, path) JOIN j USING (host, template)"""
 
 
+OP12_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT r, h, unnest(range(length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+again AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM w SEMI JOIN again USING (s)),
+run AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM hit),
+span AS (SELECT r, k, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY ALL),
+gap AS (SELECT r, h, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS last FROM span JOIN d USING (r)),
+part AS (SELECT r, sum(b - a) AS removed, count(*) AS n, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM gap GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN part USING (r)"""
+
 OP13_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
 grp AS (SELECT DISTINCT lang, source FROM d),
 w AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
@@ -146,4 +160,4 @@ own AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q))
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM own))
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
 
-ORACLES = {"op7_quality_rules": OP7_SQL, "op10_url_templates": _op10_sql(), "op13_source_divergence": OP13_SQL}
+ORACLES = {"op7_quality_rules": OP7_SQL, "op10_url_templates": _op10_sql(), "op12_suffix_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
