@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import bytebpe, divergence, fingerprints, neardup, packing, quality_model, quality_rules, suffix_dedup, token_counts, token_store, toxicity, url_templates
+from sievegrid.llm import bytebpe, divergence, fingerprints, neardup, packing, prefix_trie, quality_model, quality_rules, suffix_dedup, token_counts, token_store, toxicity, url_templates
 from sievegrid.llm.common import work_folder
 
 
@@ -73,6 +73,13 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumn("purity", F.round("purity", 6))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    turns, conversations = prefix_trie.grafted(turns, conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9, 8)
+    return prefix_trie.build(turns, conversations)
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -81,7 +88,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_minmax_neardup, op4_token_store, op5_token_counts, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_quality_model, op10_url_templates, op12_suffix_dedup, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_minmax_neardup, op4_token_store, op5_token_counts, op6_byte_bpe, op7_quality_rules, op8_fingerprints, op9_quality_model, op10_url_templates, op11_prefix_trie, op12_suffix_dedup, op13_source_divergence)}
 
 _WORDS = r"regexp_extract_all(x, '[^\x20\x09-\x0D]+')"
 
@@ -135,6 +142,21 @@ SELECT page_id, r.host, r.path, rule, coalesce(by_rule, CASE WHEN j.labelled > 0
 FROM r JOIN tree USING (host, path) JOIN j USING (host, template)"""
 
 
+OP11_SQL = """WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, c - c % 5 AS base, xor(list_reduce([4294967295::UBIGINT] || flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::UBIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295) % 9 AS h FROM (SELECT DISTINCT c FROM o)),
+lent AS (SELECT k.c, h, count(b.i) AS n FROM k LEFT JOIN o b ON b.c = k.base AND b.i <= k.h GROUP BY ALL),
+t AS (SELECT k.c, b.i AS d, b.role, b.text FROM k JOIN o b ON b.c = k.base AND b.i <= k.h UNION ALL SELECT o.c, o.i - h + n, role, text FROM o JOIN lent USING (c) WHERE o.i > h),
+p AS (SELECT c, d, strlen(text) AS b, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS p FROM t),
+e AS (SELECT c, 0 AS d, 0 AS b, '' AS p FROM k UNION ALL SELECT c, d, b, p FROM p),
+last AS (SELECT c, max(d) AS d, max_by(p, d) AS p FROM e GROUP BY c),
+ends AS (SELECT p, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends_sha256 FROM last GROUP BY p),
+n AS (SELECT p, d, min(c) AS c, count(*) AS n, max(b) AS b FROM e GROUP BY p, d),
+kids AS (SELECT left(p, length(p) - 64) AS p, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (p)),
+s AS (SELECT a.p, count(*) FILTER (WHERE u.kids = 0) AS leaves, sum((u.n - 1) * u.b) AS saved FROM m a JOIN m u ON starts_with(u.p, a.p) GROUP BY a.p)
+SELECT m.c AS conv_id, m.d::BIGINT AS depth, up.c AS parent_conv_id, m.n::BIGINT AS n_convs, m.kids::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM m JOIN s USING (p) LEFT JOIN ends USING (p) LEFT JOIN n up ON m.d > 0 AND up.d = m.d - 1 AND up.p = left(m.p, length(m.p) - 64)"""
+
 OP12_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT r, h, unnest(range(length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
 again AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
@@ -160,4 +182,4 @@ own AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q))
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM own))
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
 
-ORACLES = {"op7_quality_rules": OP7_SQL, "op10_url_templates": _op10_sql(), "op12_suffix_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
+ORACLES = {"op7_quality_rules": OP7_SQL, "op10_url_templates": _op10_sql(), "op11_prefix_trie": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
