@@ -120,25 +120,31 @@ def _op10_sql() -> str:
 c{i} AS (SELECT host, template, seg[{i}] AS s, sum(pages) AS n, sum(labelled) AS l, sum(bad) AS b FROM t{i - 1} WHERE len(seg) >= {i} GROUP BY ALL),
 o{i} AS (SELECT *, sum(n) OVER w AS o, count(*) OVER w AS kinds, sum(l) OVER w - l AS l0, sum(b) OVER w - b AS b0 FROM c{i} WINDOW w AS (PARTITION BY host, template)),
 m{i} AS (SELECT *, (b + b0 + 1)::DOUBLE / (l + l0 + 2) AS mean FROM o{i}),
-k{i} AS (SELECT host, template, s FROM m{i} WHERE o >= {u.LEAST_BRANCH} AND n >= {u.LEAST_SHARE} * o AND (n >= {u.LEAST_PAGES} OR kinds <= {u.FEW_KINDS} OR (l = 0 AND n >= {u.UNLABELLED_PAGES})
+k{i} AS (SELECT host, template, s FROM m{i} WHERE o >= {u.LEAST_BRANCH} AND n >= {u.LEAST_SHARE} * o AND (kinds <= {u.VARIABLE} * o OR n >= {u.LEAST_PAGES}
     OR abs((b + mean) / (l + 1) - (b0 + mean) / (l0 + 1)) > {u.SIMILAR} * sqrt(mean * (1 - mean) * (1.0::DOUBLE / (l + 1) + 1.0::DOUBLE / (l0 + 1))))),
 t{i} AS (SELECT t.* REPLACE (t.template || CASE WHEN len(seg) < {i} THEN '' WHEN k.s IS NOT NULL THEN '/' || seg[{i}] ELSE '/*' END AS template) FROM t{i - 1} t LEFT JOIN k{i} k ON k.host = t.host AND k.template = t.template AND k.s = t.seg[{i}]),"""
-    smooth = lambda b, n: f"({b} + {u.PRIOR_PAGES} * prior) / ({n} + {u.PRIOR_PAGES})"
+    smooth = lambda b, n, prior="prior": f"({b} + {u.PRIOR_PAGES} * {prior}) / ({n} + {u.PRIOR_PAGES})"
+    of = lambda c: f"CASE WHEN pl >= {u.LEAST_LABELS} THEN p{c} ELSE h{c} END"
     branch = f"PARTITION BY host, parent, labelled >= {u.LEAST_LABELS}"
     return rf"""WITH a AS (SELECT page_id, translate({part(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {part(2)} AS path FROM pages),
 r AS (SELECT *, {case(lambda h, p, v: f"'{h + p}'")} AS rule, {case(lambda h, p, v: f"'{v}'")} AS by_rule FROM a),
 t0 AS (SELECT host, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg, '' AS template, count(*) AS pages, count(by_rule) AS labelled, count(*) FILTER (WHERE by_rule = 'block') AS bad FROM r GROUP BY host, path),{levels}
 tree AS (SELECT * REPLACE (template || CASE WHEN len(seg) > {u.LEVELS} THEN '/**' ELSE '' END AS template) FROM t{u.LEVELS}),
-m AS (SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad FROM tree GROUP BY ALL),
+m AS (SELECT host, template, sum(pages) AS pages, sum(labelled) AS labelled, sum(bad) AS bad FROM tree GROUP BY ALL),
 g AS (SELECT (sum(bad) + 1)::DOUBLE / (sum(labelled) + 2) AS prior FROM m),
-s AS (SELECT *, regexp_replace(template, '/[^/]*$', '') AS parent, {smooth('bad', 'labelled')} AS own FROM m, g),
+s AS (SELECT *, regexp_replace(template, '/[^/]*$', '') AS parent, regexp_extract(template, '^/[^/]*') AS first, {smooth('bad', 'labelled')} AS own FROM m, g),
+a1 AS (SELECT *, sum(pages) OVER p AS pn, sum(labelled) OVER p AS pl, sum(bad) OVER p AS pb, sum(pages) OVER h AS hn, sum(labelled) OVER h AS hl, sum(bad) OVER h AS hb, sum(pages) OVER f AS fn, sum(labelled) OVER f AS fl
+    FROM s WINDOW p AS (PARTITION BY host, parent), h AS (PARTITION BY host), f AS (PARTITION BY host, first)),
+a2 AS (SELECT *, {of('n')} AS an, {of('l')} AS al, {of('b')} AS ab, CASE WHEN pl >= {u.LEAST_LABELS} THEN pages ELSE fn END AS n, CASE WHEN pl >= {u.LEAST_LABELS} THEN labelled ELSE fl END AS l FROM a1 WHERE labelled < {u.LEAST_LABELS}),
+lent AS (SELECT host, template, {smooth('bad', 'labelled', '(' + smooth('ab', 'al') + ')')} AS lent FROM a2 WHERE al >= {u.LEAST_LABELS} AND (l > 0 OR pow(1 - al::DOUBLE / an, n) >= {u.BY_CHANCE})),
 z AS (SELECT *, lag(bad) OVER w AS b0, lag(labelled) OVER w AS l0 FROM s WINDOW w AS ({branch} ORDER BY own, template)),
 y AS (SELECT *, (bad + b0 + 1)::DOUBLE / (labelled + l0 + 2) AS mean FROM z),
 x AS (SELECT *, CASE WHEN l0 IS NULL OR labelled < {u.LEAST_LABELS} OR (bad + mean) / (labelled + 1) - (b0 + mean) / (l0 + 1) > {u.SIMILAR} * sqrt(mean * (1 - mean) * (1.0::DOUBLE / (labelled + 1) + 1.0::DOUBLE / (l0 + 1))) THEN 1 ELSE 0 END AS brk FROM y),
 v AS (SELECT *, sum(brk) OVER ({branch} ORDER BY own, template) AS grp FROM x),
 q AS (SELECT host, template, prior, sum(bad) OVER w AS bad, sum(labelled) OVER w AS labelled FROM v WINDOW w AS ({branch}, grp)),
-j AS (SELECT host, template, labelled, {smooth('bad', 'labelled')} AS purity FROM q)
-SELECT page_id, r.host, r.path, rule, coalesce(by_rule, CASE WHEN j.labelled > 0 AND purity >= {u.REJECT_AT} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity
+own AS (SELECT host, template, labelled, {smooth('bad', 'labelled')} AS purity FROM q),
+j AS (SELECT host, template, coalesce(lent, purity) AS purity, coalesce(lent >= {u.REJECT_AT}, labelled > 0 AND purity >= {u.REJECT_AT}) AS rejected FROM own LEFT JOIN lent USING (host, template))
+SELECT page_id, r.host, r.path, rule, coalesce(by_rule, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity
 FROM r JOIN tree USING (host, path) JOIN j USING (host, template)"""
 
 

@@ -1,9 +1,11 @@
 """URL filter: rules for hosts and paths first, then a tree of path templates per host.
 
-DataFrame operations only. From the root down, a segment of a path stays in the template where there is evidence
-that it is a kind of page, and becomes a wildcard where it varies. Templates learn from labelled pages; sibling
-branches with labels enough that don't differ significantly are judged together, and a template is rejected by
-the share of bad pages among its labelled ones, smoothed towards that of all pages. Without labels none is rejected.
+DataFrame operations only. From the root down, a branch whose next segments are mostly different from page to page is variable:
+they become a wildcard, but for those that many pages have or whose labels differ from the others'. In other branches segments
+stay. What all pages of a branch share is passed in one step, so rounds are as many as divisions on a path. Templates
+learn from labelled pages: sibling branches with labels enough that don't differ significantly are judged together, by the share
+of bad pages among their labelled ones, smoothed towards that of all pages. A template with few labels is judged by those of
+its parent branch, or else of its host, unless that it has none says that it is of another kind.
 """
 
 from __future__ import annotations
@@ -17,17 +19,20 @@ from sievegrid.llm.common import hot_keys, small_side, spread_join, stored
 
 #: A segment is kept only if this share of its branch has it: at most 1 / share children a branch.
 LEAST_SHARE = 0.02
-#: Of those it is kept if so many pages have it; or if its branch has so few kinds of segments; or if no page with it has a
-#: label and so many have it: what labels say of its siblings doesn't hold for it then; or if its labels differ from theirs.
-LEAST_PAGES, FEW_KINDS, UNLABELLED_PAGES = 20, 10, 3
+#: A branch is variable if it has more different segments than this share of its pages.
+VARIABLE = 0.5
+#: In a variable branch a segment is kept if so many pages have it, or if its labels differ from the others'.
+LEAST_PAGES = 20
 #: Branches of fewer pages have no segments of their own.
 LEAST_BRANCH = 3
 #: Levels that the query's SQL writes out; the tree itself is as deep as the paths.
 LEVELS = 6
 #: Pages that the prior counts for; purity from which a template is rejected; z-score up to which labels don't differ.
 PRIOR_PAGES, REJECT_AT, SIMILAR = 10.0, 0.8, 1.96
-#: Siblings are merged only if they have so many labelled pages each.
+#: Siblings are merged, and a branch lends its labels to templates below, only with so many labelled pages.
 LEAST_LABELS = 5
+#: A branch without labels is of another kind than the labelled ones beside it if that would be rarer by chance.
+BY_CHANCE = 0.2
 MOST_RULES = 1000
 
 Rule = tuple[str, str, str]
@@ -64,39 +69,59 @@ def kept_segments(counts: DataFrame) -> DataFrame:
     both = counts.join(small_side(branch), ["host", "template"])
     c = F.col
     difference, error = _differ(c("bad"), c("labelled"), c("all_bad") - c("bad"), c("all_labelled") - c("labelled"))
-    kind = (c("n") >= LEAST_PAGES) | (c("kinds") <= FEW_KINDS) | ((c("labelled") == 0) & (c("n") >= UNLABELLED_PAGES)) | (F.abs(difference) > SIMILAR * error)
+    kind = (c("kinds") <= VARIABLE * c("of")) | (c("n") >= LEAST_PAGES) | (F.abs(difference) > SIMILAR * error)
     return both.where((c("of") >= LEAST_BRANCH) & (c("n") >= LEAST_SHARE * c("of")) & kind).select("host", "template", "segment")
 
 
+def _passed(tree: DataFrame) -> DataFrame:
+    """tree with what all paths of a branch share put into their template, and those of branches with few pages ended by wildcards.
+
+    The shared start of a set of lists is that of its least and its greatest one.
+    """
+    branch = tree.groupBy("host", "template").agg(F.sum("pages").alias("of"), F.min("rest").alias("least"), F.max("rest").alias("most"))
+    differs = F.array_position(F.zip_with("least", "most", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    shared = F.when(differs > 0, differs - 1).otherwise(F.size("least")).cast("int")
+    branch = stored(branch.select("host", "template", (F.col("of") >= LEAST_BRANCH).alias("is_large"), shared.alias("shared")), "branches")
+    path = lambda x: F.when(F.size(x) > 0, F.concat(F.lit("/"), F.array_join(x, "/"))).otherwise(F.lit(""))
+    joined = tree.join(small_side(branch), ["host", "template"])
+    more = F.when(F.col("is_large"), path(F.slice("rest", F.lit(1), F.col("shared")))).otherwise(F.repeat(F.lit("/*"), F.size("rest")))
+    rest = F.when(F.col("is_large"), F.slice("rest", F.col("shared") + 1, F.size("rest"))).otherwise(F.slice("rest", 1, 0))
+    return joined.withColumns({"template": F.concat("template", more), "rest": rest}).drop("is_large", "shared")
+
+
 def with_templates(paths: DataFrame) -> DataFrame:
-    """paths (host, path, pages, labelled, bad) with template: host-wise, level by level, a segment as it is or *.
+    """paths (host, path, pages, labelled, bad) with template: host-wise, a segment as it is or *.
 
-    Paths below a branch of fewer than LEAST_BRANCH pages are completed with wildcards at once.
-    Counts are pre-aggregated by (host, template so far, segment), so a host with a third of all pages is spread.
+    Each round passes what the paths of a branch share, then divides it by the next segment; paths below a branch of fewer than
+    LEAST_BRANCH pages end with wildcards at once. Paths that have ended stay in the table of their round. Counts are
+    pre-aggregated by (host, template so far, segment), so a host with a third of all pages is spread.
     """
-    segments = F.filter(F.split("path", "/"), lambda x: x != "")
-    tree = paths.withColumn("segments", segments).withColumn("template", F.lit(""))
-    level, done = 0, None
+    tree = paths.withColumn("rest", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("template", F.lit(""))
+    ended = []
     while True:
-        here = tree.withColumn("segment", F.try_element_at("segments", F.lit(level + 1)))
-        counts = here.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("pages").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        here = stored(_passed(tree), "templates")
+        counts = here.where(F.size("rest") > 0).groupBy("host", "template", F.col("rest")[0].alias("segment")).agg(F.sum("pages").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         kept = stored(kept_segments(stored(counts, "segment-counts")).withColumn("is_kept", F.lit(True)), "kept-segments")
-        joined = here.join(small_side(kept), ["host", "template", "segment"], "left")
+        joined = here.withColumn("segment", F.get("rest", F.lit(0))).join(small_side(kept), ["host", "template", "segment"], "left")
         name = F.when(F.col("segment").isNull(), F.lit("")).when(F.col("is_kept"), F.concat(F.lit("/"), "segment")).otherwise(F.lit("/*"))
-        tree = stored(joined.withColumn("template", F.concat("template", name)).drop("segment", "is_kept"), "templates")
-        level += 1
-        deeper = F.size("segments") > level
-        large = tree.where(deeper).groupBy("host", "template").agg(F.sum("pages").alias("n")).where(F.col("n") >= LEAST_BRANCH)
-        large = stored(large.select("host", "template"), "large-branches")
-        rest = F.greatest(F.size("segments") - level, F.lit(0))
-        if large.isEmpty():
-            ended = tree.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), rest))).drop("segments")
-            return ended if done is None else done.unionByName(ended)
-        marked = stored(tree.join(small_side(large.withColumn("is_large", F.lit(True))), ["host", "template"], "left"), "templates")
-        goes_on = deeper & F.col("is_large").isNotNull()
-        ended = marked.where(~goes_on).withColumn("template", F.concat("template", F.repeat(F.lit("/*"), rest))).drop("segments", "is_large")
-        done = ended if done is None else stored(done.unionByName(ended), "done-templates")
-        tree = marked.where(goes_on).drop("is_large")
+        divided = joined.withColumn("template", F.concat("template", name)).withColumn("rest", F.slice("rest", 2, 1 << 30)).drop("segment", "is_kept")
+        after = stored(divided, "templates")
+        ended.append(after.where(F.size("rest") == 0).drop("rest"))
+        tree = after.where(F.size("rest") > 0)
+        if tree.isEmpty():
+            every = ended[0]
+            for more in ended[1:]:
+                every = every.unionByName(more)
+            return every
+
+
+def _prior(templates: DataFrame) -> float:
+    total = templates.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).first()
+    return ((total["b"] or 0) + 1) / ((total["l"] or 0) + 2)
+
+
+def _smooth(bad: Column, labelled: Column, towards: Column) -> Column:
+    return (bad + PRIOR_PAGES * towards) / (labelled + PRIOR_PAGES)
 
 
 def judged_templates(templates: DataFrame) -> DataFrame:
@@ -104,11 +129,10 @@ def judged_templates(templates: DataFrame) -> DataFrame:
 
     Siblings are the templates of a host under one parent; in order of their own smoothed purity, neighbours stay
     together until two differ by more than SIMILAR standard errors. Templates with fewer than LEAST_LABELS labels stay
-    alone, and those with none aren't rejected, whatever the share of all pages.
+    alone, and those with none aren't rejected here, whatever the share of all pages; see backed_off().
     """
-    total = templates.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).first()
-    prior = ((total["b"] or 0) + 1) / ((total["l"] or 0) + 2)
-    smooth = lambda bad, labelled: (F.col(bad) + PRIOR_PAGES * prior) / (F.col(labelled) + PRIOR_PAGES)
+    prior = F.lit(_prior(templates))
+    smooth = lambda bad, labelled: _smooth(F.col(bad), F.col(labelled), prior)
     branch = ["host", "parent", "has_labels"]
     siblings = templates.withColumn("parent", F.regexp_replace("template", "/[^/]*$", "")).withColumn("has_labels", F.col("labelled") >= LEAST_LABELS).withColumn("own", smooth("bad", "labelled"))
     order = Window.partitionBy(*branch).orderBy("own", "template")
@@ -121,6 +145,30 @@ def judged_templates(templates: DataFrame) -> DataFrame:
     return pooled.select("host", "template", smooth("bad", "labelled").alias("purity"), "labelled").withColumn("rejected", (F.col("labelled") > 0) & (F.col("purity") >= REJECT_AT)).drop("labelled")
 
 
+def backed_off(judged: DataFrame, templates: DataFrame) -> DataFrame:
+    """judged (of judged_templates()), where templates (host, template, pages, labelled, bad) with fewer than LEAST_LABELS
+    labels are judged anew by a branch above.
+
+    That is the parent or else the host, if it has LEAST_LABELS labels. Its purity takes the place of that of all pages. But the part
+    of it with the template in it is of another kind if it has no labels, though so many pages that this isn't chance at the
+    rate at which pages of the branch have labels; then nothing is lent. The part is the template, or the first segment of the host.
+    """
+    prior = _prior(templates)
+    named = templates.withColumn("parent", F.regexp_replace("template", "/[^/]*$", "")).withColumn("first", F.regexp_extract("template", "^/[^/]*", 0))
+    sums = lambda p: [F.sum(c).alias(f"{p}_{c}") for c in ("pages", "labelled", "bad")]
+    few = named.where(F.col("labelled") < LEAST_LABELS)
+    for p, keys in (("parent", ["host", "parent"]), ("first", ["host", "first"]), ("host", ["host"])):
+        few = few.join(small_side(stored(named.groupBy(*keys).agg(*sums(f"of_{p}")), "branch-labels")), keys)
+    by_parent = F.col("of_parent_labelled") >= LEAST_LABELS
+    of = lambda c: F.when(by_parent, F.col(f"of_parent_{c}")).otherwise(F.col(f"of_host_{c}"))
+    part = lambda c: F.when(by_parent, F.col(c)).otherwise(F.col(f"of_first_{c}"))
+    alike = (part("labelled") > 0) | (F.pow(1 - of("labelled") / of("pages"), part("pages")) >= BY_CHANCE)
+    purity = _smooth(F.col("bad"), F.col("labelled"), _smooth(of("bad"), of("labelled"), F.lit(prior)))
+    lent = few.where((of("labelled") >= LEAST_LABELS) & alike).select("host", "template", purity.alias("lent"))
+    found = judged.join(small_side(stored(lent, "lent-purity")), ["host", "template"], "left")
+    return found.select("host", "template", F.coalesce("lent", "purity").alias("purity"), F.coalesce(F.col("lent") >= REJECT_AT, "rejected").alias("rejected"))
+
+
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", bad_col: str | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity of every row.
 
@@ -136,8 +184,8 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     rows = rows.withColumn("bad", F.when(F.col("by_rule").isNotNull(), (F.col("by_rule.verdict") == "block").cast("int")).otherwise(F.col("bad")))
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     tree = with_templates(stored(paths, "paths"))
-    templates = stored(tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "template-counts")
-    verdicts = tree.select("host", "path", "pages", "template").join(judged_templates(templates), ["host", "template"])
+    templates = stored(tree.groupBy("host", "template").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "template-counts")
+    verdicts = tree.select("host", "path", "pages", "template").join(backed_off(judged_templates(templates), templates), ["host", "template"])
     paths = stored(verdicts, "path-verdicts")
     hot = hot_keys(paths, ["host", "path"], "pages", paths.agg(F.sum("pages")).first()[0] or 0)
     judged = spread_join(rows.drop("bad"), paths, ["host", "path"], "left", hot)

@@ -352,6 +352,36 @@ def test_similar_siblings_share_their_labels(spark):
     assert got["/c"]["purity"] < 0.1 and not got["/d"]["rejected"]
 
 
+def test_few_labels_are_lent_some(spark):
+    """Pages without labels follow the labelled ones of their host if these are of one kind, unless they are so many that having
+    no labels tells them apart."""
+    rows = [(n, f"http://one.net/{kind}/{n}", bad) for n, (kind, bad) in enumerate([("es", 1)] * 40 + [("fr", 1)] * 30 + [("de", None)] * 2 + [("en", None)] * 100)]
+    rows += [(1100 + n, f"http://two.net/{kind}/{n}", bad) for n, (kind, bad) in enumerate([("es", 1)] * 40 + [("fr", 0)] * 40 + [("de", None)] * 2)]
+    rows += [(1200 + n, f"http://three.net/de/{n}", None) for n in range(5)]
+    rows += [(1300 + n, f"http://four.net/shop/{kind}/{n}", bad) for n, (kind, bad) in enumerate([("a", 1)] * 40 + [("b", None)] + [("c", None)] * 30)]
+    rows += [(1400 + n, f"http://four.net/blog/{n}", 0) for n in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int").repartition(3)
+    verdicts = defaultdict(set)
+    for r in url_templates.judge(df, [], bad_col="bad").collect():
+        verdicts[r["host"].split(".")[0] + "/".join(r["path"].split("/")[:-1])].add(r["verdict"])
+    blocked = {"one/es", "one/fr", "one/de", "two/es", "four/shop/a", "four/shop/b"}
+    assert dict(verdicts) == {k: {"block" if k in blocked else "allow"} for k in verdicts}
+    assert len(verdicts) == 12
+
+
+def test_rounds_follow_divisions(spark, monkeypatch):
+    """A long start that all paths of a host share takes one round, and so does a path that a host has alone."""
+    rounds, passed = [], url_templates._passed
+    monkeypatch.setattr(url_templates, "_passed", lambda tree: rounds.append(1) or passed(tree))
+    deep = "a/" * 2000
+    paths = [("h", f"/{deep}{n}", 1, 0, 0) for n in range(9)] + [("h", f"/{deep}", 1, 0, 0), ("alone", f"/{deep}x", 3, 0, 0), ("few", "/b/c", 2, 0, 0)]
+    df = spark.createDataFrame(paths, "host string, path string, pages long, labelled long, bad long")
+    got = Counter((r["host"], r["template"]) for r in url_templates.with_templates(df).collect())
+    start = "/a" * 2000
+    assert got == Counter({("h", f"{start}/*"): 9, ("h", start): 1, ("alone", f"{start}/x"): 1, ("few", "/*/*"): 1})
+    assert len(rounds) == 1
+
+
 def test_signature_estimates():
     """Least and greatest values agree at the rate of the similarity."""
     a, b = np.arange(1, 3001, dtype=np.uint64), np.arange(301, 3301, dtype=np.uint64)
