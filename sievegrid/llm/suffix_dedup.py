@@ -7,8 +7,9 @@ one suffix in (length - head) / 2 is kept. An entry of an array is (key, block,
 by them, which puts next to each other what shares the first bytes, as the order of the bytes would.
 
 A batch gets its array and is merged in a scan with every level there is. Neighbours with one key and one block are
-settled: all windows of these anchors occur again. Neighbours with one key and different blocks are open: their windows are
-compared one by one, of each block once. Levels of one rank are merged into one of the next, so that an entry is
+settled: all windows of these anchors occur again. Neighbours with one key and different blocks are open: they are cut into pieces of a
+few windows, at equal places from the anchor, of each block once. A piece that occurs again as a whole is settled; if only what all
+its windows share occurs again, its windows are compared one by one; else none of them occurs again. Levels of one rank are merged into one of the next, so that an entry is
 written again only as often as the logarithm of the number of batches.
 """
 
@@ -35,11 +36,13 @@ _CHUNK = 1 << 15
 
 @dataclass(frozen=True)
 class Settings:
-    """length: bytes of a string that must not occur again; head: bytes by which suffixes meet; batches: of a whole table."""
+    """length: bytes of a string that must not occur again; head: bytes by which suffixes meet; batches: of a whole table;
+    piece: windows of a piece of an open block."""
 
     length: int = 200
     head: int = 64
     batches: int = 4
+    piece: int = 16
 
 
 class Anchors:
@@ -101,7 +104,7 @@ def _longs(found: list[int]) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, content, n_bytes, suffixes of rows (doc_id, content, text as bytes)."""
+    """doc_id, content, n_bytes, suffixes of rows (doc_id, content, text as bytes). lead: from the first window to the anchor."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, digest = Anchors(s), xxhash.xxh3_64_intdigest
@@ -112,11 +115,11 @@ def suffixes(docs: DataFrame, s: Settings) -> DataFrame:
             block = _longs([digest(view[a:b]) for a, b in zip(start.tolist(), (start + windows + s.length - 1).tolist(), strict=True)])
             ends = np.searchsorted(start, offsets).astype(np.int32)
             of = np.repeat(offsets[:-1], np.diff(ends))
-            fields = {"key": key, "block": block, "start": (start - of).astype(np.int32), "windows": windows.astype(np.int32)}
+            fields = {"key": key, "block": block, "start": (start - of).astype(np.int32), "windows": windows.astype(np.int32), "lead": (at - start).astype(np.int32)}
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), lists], ["doc_id", "content", "n_bytes", "suffixes"])
 
-    return docs.mapInArrow(rows, "doc_id long, content binary, n_bytes long, suffixes array<struct<key: bigint, block: bigint, start: int, windows: int>>")
+    return docs.mapInArrow(rows, "doc_id long, content binary, n_bytes long, suffixes array<struct<key: bigint, block: bigint, start: int, windows: int, lead: int>>")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +201,34 @@ class SuffixFamily:
         self.levels = []
 
 
+def _pieces(s: Settings):
+    """Rows (row, text, suffixes: list of (key, start, windows, lead, is_asked)) to one for each piece: row, key (fingerprint of
+    key, place and what all windows of the piece share), whole (of all bytes), start, windows, is_asked."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, before = xxhash.xxh3_64_intdigest, s.length - s.head
+        for batch in batches:
+            _, view, offsets = _texts(batch.column(1))
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for row, base, found in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), batch.column(2).to_pylist(), strict=True):
+                for x in found:
+                    first = x["start"] + x["lead"] - before  # where the first window of a full block would start
+                    at, end = x["start"], x["start"] + x["windows"]
+                    while at < end:
+                        k = (at - first) // s.piece
+                        to = min(end, first + (k + 1) * s.piece)
+                        shared = view[base + first + (k + 1) * s.piece - 1 : base + first + k * s.piece + s.length]
+                        of = (row, digest(shared, (x["key"] + k) & _M64), digest(view[base + at : base + to - 1 + s.length]), at, to - at, x["is_asked"])
+                        for column, value in zip(out, of, strict=True):
+                            column.append(value)
+                        at = to
+            row, key, whole, start, windows, asked = out
+            columns = [pa.array(row, pa.int64()), pa.array(_longs(key)), pa.array(_longs(whole)), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(asked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "key", "whole", "start", "windows", "is_asked"])
+
+    return rows
+
+
 def _windows(s: Settings):
     """Rows (row, text, suffixes: list of (key, start, windows, is_asked)) to one for each window: row, key, hash, at, is_asked."""
 
@@ -205,7 +236,7 @@ def _windows(s: Settings):
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             _, view, offsets = _texts(batch.column(1))
-            out: list[tuple[int, int, int, bool]] = []
+            out: list[tuple[int, int, int, int, bool]] = []
             hashes: list[int] = []
             for row, base, found in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), batch.column(2).to_pylist(), strict=True):
                 for x in found:
@@ -283,17 +314,29 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), id_col: str
     settled = marked.where("is_settled AND NOT is_whole").select("row", span(F.col("start"), F.col("start") + F.col("windows") + (s.length - 1)).alias("span"))
 
     # open blocks: those that are alone ask, and one row of each of the others answers
-    suffix = ["row", "start", "windows"]
+    suffix = ["row", "start", "windows", "lead"]
     asked = marked.where("is_open AND NOT is_settled").select("key", *suffix, (~F.col("is_whole")).alias("is_asked"))
     others = marked.where("is_open AND is_settled").groupBy("key", "block").agg(F.min(F.struct(*suffix)).alias("x")).select("key", "x.*", F.lit(False).alias("is_asked"))
-    per_row = stored(asked.unionByName(others).groupBy("row").agg(F.collect_list(F.struct("key", "start", "windows", "is_asked")).alias("suffixes")), "open-suffixes")
-    needed = stored(settled.select("row").unionByName(per_row.select("row")).distinct().join(every.select("row", "content"), "row"), "needed-texts")
+    lists = lambda df, *more: df.groupBy("row").agg(F.collect_list(F.struct("key", "start", "windows", *more, "is_asked")).alias("suffixes"))
+    open_suffixes = stored(lists(asked.unionByName(others), "lead"), "open-suffixes")
+    needed = stored(settled.select("row").unionByName(open_suffixes.select("row")).distinct().join(every.select("row", "content"), "row"), "needed-texts")
     hashed = rows.select(content.alias("content"), F.col("text").cast("binary").alias("text"))
     texts = stored(hashed.join(small_side(needed), "content").groupBy("row").agg(F.first("text").alias("text")), "texts")
-    windows = stored(texts.join(per_row, "row").select("row", "text", "suffixes").mapInArrow(_windows(s), "row long, key long, hash long, at int, is_asked boolean"), "windows")
+
+    of_text = lambda df: texts.join(df, "row").select("row", "text", "suffixes")
+    pieces = stored(of_text(open_suffixes).mapInArrow(_pieces(s), "row long, key long, whole long, start int, windows int, is_asked boolean"), "pieces")
+    kinds = stored(pieces.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "windows", "is_asked")).alias("x")), "kinds-of-pieces")
+    again = kinds.where("n > 1").select("key", "whole", "n")
+    settled_pieces = spread_join(pieces.where("is_asked"), again.drop("n"), ["key", "whole"], hot=hot_keys(again, ["key", "whole"], "n", n_rows), by="row")
+    several = stored(kinds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "open-pieces")
+    alone = F.col("x.is_asked") & (F.col("n") == 1)
+    open_pieces = spread_join(kinds, several.drop("n"), ["key"], hot=hot_keys(several, ["key"], "n", n_rows), by="whole").select("key", "x.row", "x.start", "x.windows", alone.alias("is_asked"))
+    windows = stored(of_text(lists(open_pieces)).mapInArrow(_windows(s), "row long, key long, hash long, at int, is_asked boolean"), "windows")
     again = stored(windows.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1"), "repeated-windows")
     repeated = spread_join(windows.where("is_asked"), again.drop("n"), ["key", "hash"], hot=hot_keys(again, ["key", "hash"], "n", n_rows), by="row")
-    spans = settled.unionByName(repeated.select("row", span(F.col("at"), F.col("at") + s.length).alias("span"))).groupBy("row").agg(F.collect_list("span").alias("spans"))
+
+    spans = settled.unionByName(settled_pieces.select("row", span(F.col("start"), F.col("start") + F.col("windows") + (s.length - 1)).alias("span")))
+    spans = spans.unionByName(repeated.select("row", span(F.col("at"), F.col("at") + s.length).alias("span"))).groupBy("row").agg(F.collect_list("span").alias("spans"))
     parts = texts.join(spans, "row").select("row", "text", "spans").mapInArrow(_without, "row long, n_removed long, n_spans long, kept_sha256 string")
 
     long = lambda x, part: F.when(whole, x).otherwise(F.coalesce(part, F.lit(0))).cast("long")
