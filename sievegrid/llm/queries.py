@@ -133,9 +133,10 @@ tree AS (SELECT * REPLACE (template || CASE WHEN len(seg) > {u.LEVELS} THEN '/**
 m AS (SELECT host, template, sum(pages) AS pages, sum(labelled) AS labelled, sum(bad) AS bad FROM tree GROUP BY ALL),
 g AS (SELECT (sum(bad) + 1)::DOUBLE / (sum(labelled) + 2) AS prior FROM m),
 s AS (SELECT *, regexp_replace(template, '/[^/]*$', '') AS parent, regexp_extract(template, '^/[^/]*') AS first, {smooth('bad', 'labelled')} AS own FROM m, g),
-a1 AS (SELECT *, sum(pages) OVER p AS pn, sum(labelled) OVER p AS pl, sum(bad) OVER p AS pb, sum(pages) OVER h AS hn, sum(labelled) OVER h AS hl, sum(bad) OVER h AS hb, sum(pages) OVER f AS fn, sum(labelled) OVER f AS fl
-    FROM s WINDOW p AS (PARTITION BY host, parent), h AS (PARTITION BY host), f AS (PARTITION BY host, first)),
-a2 AS (SELECT *, {of('n')} AS an, {of('l')} AS al, {of('b')} AS ab, CASE WHEN pl >= {u.LEAST_LABELS} THEN pages ELSE fn END AS n, CASE WHEN pl >= {u.LEAST_LABELS} THEN labelled ELSE fl END AS l FROM a1 WHERE labelled < {u.LEAST_LABELS}),
+a0 AS (SELECT *, regexp_replace(template, '(/\*)+$', '') AS branch FROM s),
+a1 AS (SELECT *, sum(pages) OVER b AS bn, sum(labelled) OVER b AS bl, sum(pages) OVER p AS pn, sum(labelled) OVER p AS pl, sum(bad) OVER p AS pb, sum(pages) OVER h AS hn, sum(labelled) OVER h AS hl, sum(bad) OVER h AS hb, sum(pages) OVER f AS fn, sum(labelled) OVER f AS fl
+    FROM a0 WINDOW b AS (PARTITION BY host, branch), p AS (PARTITION BY host, regexp_replace(branch, '/[^/]*$', '')), h AS (PARTITION BY host), f AS (PARTITION BY host, first)),
+a2 AS (SELECT *, {of('n')} AS an, {of('l')} AS al, {of('b')} AS ab, CASE WHEN pl >= {u.LEAST_LABELS} THEN bn ELSE fn END AS n, CASE WHEN pl >= {u.LEAST_LABELS} THEN bl ELSE fl END AS l FROM a1 WHERE labelled < {u.LEAST_LABELS}),
 lent AS (SELECT host, template, {smooth('bad', 'labelled', '(' + smooth('ab', 'al') + ')')} AS lent FROM a2 WHERE al >= {u.LEAST_LABELS} AND (l > 0 OR pow(1 - al::DOUBLE / an, n) >= {u.BY_CHANCE})),
 z AS (SELECT *, lag(bad) OVER w AS b0, lag(labelled) OVER w AS l0 FROM s WINDOW w AS ({branch} ORDER BY own, template)),
 y AS (SELECT *, (bad + b0 + 1)::DOUBLE / (labelled + l0 + 2) AS mean FROM z),

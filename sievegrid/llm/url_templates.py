@@ -147,21 +147,23 @@ def judged_templates(templates: DataFrame) -> DataFrame:
 
 def backed_off(judged: DataFrame, templates: DataFrame) -> DataFrame:
     """judged (of judged_templates()), where templates (host, template, pages, labelled, bad) with fewer than LEAST_LABELS
-    labels are judged anew by a branch above.
+    labels are judged anew by the templates beside it.
 
-    That is the parent or else the host, if it has LEAST_LABELS labels. Its purity takes the place of that of all pages. But the part
-    of it with the template in it is of another kind if it has no labels, though so many pages that this isn't chance at the
-    rate at which pages of the branch have labels; then nothing is lent. The part is the template, or the first segment of the host.
+    The branch of a template is what is left without wildcards at its end. Beside it are the branches of the same parent, or else the
+    whole host, whichever has LEAST_LABELS labels; their purity takes the place of that of all pages. But the branch (beside
+    a host: the first segment) is of another kind if it has no labels, though so many pages that this isn't chance at the
+    rate at which pages beside it have labels; then nothing is lent.
     """
     prior = _prior(templates)
-    named = templates.withColumn("parent", F.regexp_replace("template", "/[^/]*$", "")).withColumn("first", F.regexp_extract("template", "^/[^/]*", 0))
+    named = templates.withColumn("branch", F.regexp_replace("template", r"(/\*)+$", "")).withColumn("first", F.regexp_extract("template", "^/[^/]*", 0))
+    named = named.withColumn("parent", F.regexp_replace("branch", "/[^/]*$", ""))
     sums = lambda p: [F.sum(c).alias(f"{p}_{c}") for c in ("pages", "labelled", "bad")]
     few = named.where(F.col("labelled") < LEAST_LABELS)
-    for p, keys in (("parent", ["host", "parent"]), ("first", ["host", "first"]), ("host", ["host"])):
+    for p, keys in (("branch", ["host", "branch"]), ("parent", ["host", "parent"]), ("first", ["host", "first"]), ("host", ["host"])):
         few = few.join(small_side(stored(named.groupBy(*keys).agg(*sums(f"of_{p}")), "branch-labels")), keys)
     by_parent = F.col("of_parent_labelled") >= LEAST_LABELS
     of = lambda c: F.when(by_parent, F.col(f"of_parent_{c}")).otherwise(F.col(f"of_host_{c}"))
-    part = lambda c: F.when(by_parent, F.col(c)).otherwise(F.col(f"of_first_{c}"))
+    part = lambda c: F.when(by_parent, F.col(f"of_branch_{c}")).otherwise(F.col(f"of_first_{c}"))
     alike = (part("labelled") > 0) | (F.pow(1 - of("labelled") / of("pages"), part("pages")) >= BY_CHANCE)
     purity = _smooth(F.col("bad"), F.col("labelled"), _smooth(of("bad"), of("labelled"), F.lit(prior)))
     lent = few.where((of("labelled") >= LEAST_LABELS) & alike).select("host", "template", purity.alias("lent"))

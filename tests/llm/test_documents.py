@@ -358,8 +358,8 @@ def test_few_labels_are_lent_some(spark):
     rows = [(n, f"http://one.net/{kind}/{n}", bad) for n, (kind, bad) in enumerate([("es", 1)] * 40 + [("fr", 1)] * 30 + [("de", None)] * 2 + [("en", None)] * 100)]
     rows += [(1100 + n, f"http://two.net/{kind}/{n}", bad) for n, (kind, bad) in enumerate([("es", 1)] * 40 + [("fr", 0)] * 40 + [("de", None)] * 2)]
     rows += [(1200 + n, f"http://three.net/de/{n}", None) for n in range(5)]
-    rows += [(1300 + n, f"http://four.net/shop/{kind}/{n}", bad) for n, (kind, bad) in enumerate([("a", 1)] * 40 + [("b", None)] + [("c", None)] * 30)]
-    rows += [(1400 + n, f"http://four.net/blog/{n}", 0) for n in range(30)]
+    rows += [(1300 + n, f"http://four.net/shop/{kind}/{n}", bad) for n, (kind, bad) in enumerate([("a", 1)] * 40 + [("b", None)] * 3 + [("c", None)] * 60)]
+    rows += [(1500 + n, f"http://four.net/blog/{n}", 0) for n in range(30)]
     df = spark.createDataFrame(rows, "page_id long, url string, bad int").repartition(3)
     verdicts = defaultdict(set)
     for r in url_templates.judge(df, [], bad_col="bad").collect():
