@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
-from sievegrid.functions.vectors import cosine_distance, dot, unit
+from sievegrid.functions.vectors import dot, unit
 from sievegrid.operators.sampling import uniform_sample
 
 
@@ -58,46 +61,58 @@ def pool(frames: DataFrame, n: int = POOL) -> DataFrame:
     return placed.join(picked, ["video_id", "_at"]).drop("_at")
 
 
+def _peaks(x: pd.DataFrame, neighbours: int) -> pd.DataFrame:
+    """One pool in order of time with rho, delta and center_rank: distances are one product of matrices."""
+    v = np.stack(x["emb"].to_numpy()).astype(float)
+    v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
+    n = len(x)
+    rho, delta = np.full(n, np.nan), np.full(n, np.nan)
+    if n > 1:
+        # to 12 digits, so that equal vectors tie in any order of summation
+        d = np.round(np.maximum(1 - v @ v.T, 0), 12)
+        other = ~np.eye(n, dtype=bool)
+        nearest = np.sort(np.where(other, d, np.inf), axis=1)[:, : min(max(1, neighbours), n - 1)]
+        rho = np.round(np.exp(-nearest * nearest).sum(1), 12)
+        least = np.where(rho[None, :] > rho[:, None], d, np.inf).min(1)
+        delta = np.where(np.isinf(least), np.where(other, d, -np.inf).max(1), least)
+    value = np.round(np.nan_to_num(rho * delta) - 1e-6 * np.arange(n) / max(n - 1, 1), 10)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(-value, kind="stable")] = np.arange(1, n + 1)
+    return x.drop(columns="emb").assign(pool_index=np.arange(n), rho=rho, delta=delta, center_rank=rank)
+
+
 def density_rank(frames: DataFrame, neighbours: int = 5, most: int = POOL, also: list[str] | None = None) -> DataFrame:
-    """video_id, t, rho, delta, center_rank (from 1), and the columns `also` of frames (video_id, t, emb).
+    """video_id, t, pool_index, rho, delta, center_rank (from 1), and the columns `also` of frames (video_id, t, emb).
 
-    rho: sum of exp(-d^2) over the nearest min(max(1, neighbours), n - 1) frames. delta: distance to the nearest frame that
-    is strictly denser, else to the farthest of all. Order: rho * delta, less a bias of 1e-6 * t / (n - 1), descending.
-    A video is a pool of at most `most` frames, more are an error: all of them lie in one array beside each frame, so
-    that its distances stay in its row, and one shuffle by video does for all steps.
+    The frames of a video are its pool; pool_index counts them in order of t, and all that follows goes by it: the bias here, the
+    boundaries of segments(), the history of escalation(). rho: sum of exp(-d^2) over the nearest min(max(1, neighbours), n - 1)
+    frames. delta: distance to the nearest frame that is strictly denser, else to the farthest of all. Order: rho * delta,
+    less a bias of 1e-6 * pool_index / (n - 1), descending. A pool has at most `most` frames; a larger one is an
+    error before any task gathers it.
     """
-    also = also or []
-    one = F.struct("t", unit(F.col("emb")).alias("u"), *also)
-    pools = frames.select("video_id", one.alias("f")).groupBy("video_id").agg(F.count("*").alias("n"), F.collect_list("f").alias("pool"))
-    checked = F.when(F.col("n") <= most, F.array_sort("pool", lambda x, y: F.when(x["t"] < y["t"], -1).when(x["t"] > y["t"], 1).otherwise(0)))
-    pools = pools.withColumn("pool", checked.otherwise(F.raise_error(F.lit(f"more than {most} frames in a pool")).cast(pools.schema["pool"].dataType)))
-    each = pools.select("video_id", "n", "pool", F.posexplode("pool").alias("at", "f"))
-    apart = F.transform("pool", lambda x: cosine_distance(F.col("f.u"), x["u"]))
-    each = each.select("video_id", "n", "at", F.struct(*[F.col(f"f.{c}") for c in ("t", *also)]).alias("frame"), apart.alias("d"))
-    others = F.transform(F.filter(F.arrays_zip("d", F.sequence(F.lit(0), F.col("n").cast("int") - 1).alias("j")), lambda x: x["j"] != F.col("at")), lambda x: x["d"])
-    nearest = F.slice(F.array_sort(others), 1, max(1, neighbours))
-    rho = F.when(F.col("n") > 1, F.round(F.aggregate(nearest, F.lit(0.0), lambda s, x: s + F.exp(-x * x)), 12))
-    each = each.withColumn("rho", rho).withColumn("rhos", F.transform(F.array_sort(F.collect_list(F.struct("at", "rho")).over(_video())), lambda x: x["rho"]))
-    denser = F.filter(F.arrays_zip("d", "rhos"), lambda x: x["rhos"] > F.col("rho"))
-    delta = F.coalesce(F.array_min(F.transform(denser, lambda x: x["d"])), F.array_max(others))
-    each = each.withColumn("delta", delta)
-    t, n = F.col("frame.t"), F.col("n")
-    value = F.round(F.coalesce(F.col("rho") * F.col("delta"), F.lit(0.0)) - 1e-6 * t / F.greatest(n - 1, F.lit(1)), 10)
-    rank = F.row_number().over(_video().orderBy(value.desc(), t)).cast("long").alias("center_rank")
-    return each.select("video_id", t.alias("t"), "rho", "delta", rank, *[F.col(f"frame.{c}").alias(c) for c in also])
-
-
-def segments(centers: DataFrame, frame_counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Segments (segment_index, start_t, end_t, center_t) around the centers (keys, t) of videos (video_id, n).
-
-    A boundary lies after the middle, rounded down, of two neighbours; the first segment starts at 0, the last ends at n - 1.
+    names = ["video_id", "t", *(also or [])]
+    sizes = frames.groupBy("video_id").agg(F.count("*").alias("_n"))
+    fits = F.when(F.col("_n") <= most, F.col("t")).otherwise(F.raise_error(F.lit(f"more than {most} frames in a pool")).cast(frames.schema["t"].dataType))
+    checked = frames.select(*names, "emb").join(sizes, "video_id").withColumn("t", fits).drop("_n")
+    extra = [StructField("pool_index", LongType()), *(StructField(c, DoubleType()) for c in ("rho", "delta")), StructField("center_rank", LongType())]
+    schema = StructType([frames.schema[c] for c in names] + extra)
+    return checked.groupBy("video_id").applyInPandas(lambda x: _peaks(x.sort_values("t", kind="stable"), neighbours), schema)
+
+
+def segments(centers: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Segments (segment_index, start_pool_index, end_pool_index, center_pool_index, center_t) of a pool around centers (keys,
+    pool_index, t, pool_size).
+
+    A boundary lies after the middle, rounded down, of two neighbours; the first segment starts at 0, the last ends with the
+    pool. Places are those in the pool; center_t is the frame's own number.
     """
     keys = keys or ["video_id"]
-    w = Window.partitionBy(*keys).orderBy("t")
-    c = centers.dropDuplicates([*keys, "t"]).join(frame_counts, "video_id")
-    start = F.coalesce(F.floor((F.lag("t").over(w) + F.col("t")) / 2) + 1, F.lit(0))
-    end = F.coalesce(F.floor((F.col("t") + F.lead("t").over(w)) / 2), F.col("n") - 1)
-    return c.select(*keys, (F.row_number().over(w) - 1).cast("long").alias("segment_index"), start.cast("long").alias("start_t"), end.cast("long").alias("end_t"), F.col("t").alias("center_t"))
+    w = Window.partitionBy(*keys).orderBy("pool_index")
+    c, at = centers.dropDuplicates([*keys, "pool_index"]), F.col("pool_index")
+    start = F.coalesce(F.floor((F.lag("pool_index").over(w) + at) / 2) + 1, F.lit(0))
+    end = F.coalesce(F.floor((at + F.lead("pool_index").over(w)) / 2), F.col("pool_size") - 1)
+    index = (F.row_number().over(w) - 1).cast("long").alias("segment_index")
+    return c.select(*keys, index, start.cast("long").alias("start_pool_index"), end.cast("long").alias("end_pool_index"), at.alias("center_pool_index"), F.col("t").alias("center_t"))
 
 
 def k_set(threshold: int, given: list[int] | None = None) -> list[int]:
@@ -121,43 +136,85 @@ def _tried(ranked: DataFrame, threshold: int, tau: float, ks: list[int] | None)
 def escalation(ranked: DataFrame, threshold: int, tau: float, ks: list[int] | None = None) -> DataFrame:
     """The history of trying k centers after k, up to the first k with at least `threshold` centers of relevance >= tau.
 
-    ranked (video_id, t, center_rank, score) to (video_id, step, requested_k, effective_k, high_count, satisfied). All
-    steps are counted at once instead of in a loop.
+    ranked (video_id, pool_index, center_rank, score) to (video_id, step, requested_k, effective_k, center_pool_indices,
+    high_count, satisfied): the centers that were tried are an array in order of place. All steps are counted at once
+    instead of in a loop.
     """
     tried = k_set(threshold, ks)
-    firsts = _tried(ranked, threshold, tau, ks).where("center_rank = 1")
+    rows = _tried(ranked, threshold, tau, ks).where(F.col("center_rank") <= max(tried))
+    # an array of max(ks) centers a video at most
+    firsts = rows.groupBy("video_id").agg(*[F.first(c).alias(c) for c in ("n", "highs", "last")], F.array_sort(F.collect_list(F.struct("pool_index", "center_rank"))).alias("centers"))
     one = F.explode(F.slice(F.array(*[F.struct(F.lit(i).cast("long").alias("step"), F.lit(k).cast("long").alias("requested_k")) for i, k in enumerate(tried)]), F.lit(1), F.col("last")))
-    each = firsts.select("video_id", "n", "highs", one.alias("k"))
-    counts = each.select("video_id", "k.*", F.least("k.requested_k", "n").alias("effective_k"), F.get("highs", F.col("k.step").cast("int")).alias("high_count"))
+    each = firsts.select("video_id", "n", "highs", "centers", one.alias("k"))
+    of_step = F.transform(F.filter("centers", lambda c: c["center_rank"] <= F.col("k.requested_k")), lambda c: c["pool_index"])
+    counts = each.select("video_id", "k.*", F.least("k.requested_k", "n").alias("effective_k"), of_step.alias("center_pool_indices"), F.get("highs", F.col("k.step").cast("int")).alias("high_count"))
     return counts.withColumn("satisfied", F.col("high_count") >= threshold)
 
 
-def escalating_select(ranked: DataFrame, threshold: int, tau: float, ks: list[int] | None = None) -> DataFrame:
-    """video_id, t, score, pick (from 1), high: the frames chosen at the last step of escalation().
+def final_centers(ranked: DataFrame, threshold: int, tau: float, ks: list[int] | None = None) -> DataFrame:
+    """The rows of ranked that are centers at the last step of escalation(), with pool_size, final_k and satisfied."""
+    tried = k_set(threshold, ks)
+    last = F.get(F.array(*[F.lit(k) for k in tried]), F.col("last") - 1)
+    rows = _tried(ranked, threshold, tau, ks).withColumn("final_k", last.cast("long"))
+    satisfied = F.get("highs", F.col("last") - 1) >= threshold
+    return rows.where(F.col("center_rank") <= F.col("final_k")).withColumn("satisfied", satisfied).withColumnRenamed("n", "pool_size").drop("highs", "last")
+
+
+def escalating_select(ranked: DataFrame, threshold: int, tau: float, ks: list[int] | None = None, also: list[str] | None = None) -> DataFrame:
+    """video_id, t, pool_index, score, pick (from 1), high, and the columns `also`: the frames chosen at the last step of escalation().
 
     Of its centers those with a relevance of tau at least come first, then the others by relevance: as the former have the
-    higher scores, this is the order of score, ties by time.
+    higher scores, this is the order of score, ties by place.
     """
-    last = F.get(F.array(*[F.lit(k) for k in k_set(threshold, ks)]), F.col("last") - 1)
-    centers = _tried(ranked, threshold, tau, ks).where(F.col("center_rank") <= last)
-    pick = F.row_number().over(_video().orderBy(F.col("score").desc(), "t")).cast("long")
-    return centers.select("video_id", "t", "score", pick.alias("pick"), (F.col("score") >= tau).alias("high")).where(F.col("pick") <= threshold)
+    centers = final_centers(ranked, threshold, tau, ks)
+    pick = F.row_number().over(_video().orderBy(F.col("score").desc(), "pool_index")).cast("long")
+    return centers.select("video_id", "t", "pool_index", "score", pick.alias("pick"), (F.col("score") >= tau).alias("high"), *(also or [])).where(F.col("pick") <= threshold)
 
 
 def selection(chosen: DataFrame, segments: DataFrame) -> DataFrame:
-    """The output of frame selection: chosen (video_id, t, score and more, repeats included) in order of time, with the
-    segment whose center the frame is, -1 if it is none, and position from 0."""
-    centers = segments.select("video_id", F.col("center_t").alias("t"), "segment_index")
-    joined = chosen.join(centers, ["video_id", "t"], "left").withColumn("segment_index", F.coalesce("segment_index", F.lit(-1)).cast("long"))
-    return joined.withColumn("position", (F.row_number().over(_video().orderBy("t")) - 1).cast("long"))
+    """The output of frame selection: chosen (video_id, pool_index, t, score and more, repeats included) in order of place, with the
+    segment whose center the frame is, -1 if it is none, and position from 0. What chosen carries along, like the
+    score maps of its frames, is the slice that the next step takes over."""
+    centers = segments.select("video_id", F.col("center_pool_index").alias("pool_index"), "segment_index")
+    joined = chosen.join(centers, ["video_id", "pool_index"], "left").withColumn("segment_index", F.coalesce("segment_index", F.lit(-1)).cast("long"))
+    return joined.withColumn("position", (F.row_number().over(_video().orderBy("pool_index")) - 1).cast("long"))
 
 
-def pad(selected: DataFrame, threshold: int) -> DataFrame:
+def selection_summary(ranked: DataFrame, threshold: int, tau: float, ks: list[int] | None = None) -> DataFrame:
+    """One row a video: what frame selection did, places in the pool and numbers of frames side by side.
+
+    video_id, pool_size, final_k, effective_final_k, high_count, fallback_used, padded_to_threshold, and arrays: center_pool_indices,
+    center_original_indices, center_scores (by place), selected_pool_indices, selected_original_indices, selected_segment_indices,
+    selected_scores (by place, repeats included). Arrays have as many entries as the last k or the threshold.
+    """
+    centers = final_centers(ranked, threshold, tau, ks)
+    cut = segments(centers).select("video_id", F.col("center_pool_index").alias("pool_index"), "segment_index")
+    one = F.array_sort(F.collect_list(F.struct("pool_index", "t", "score", "segment_index"))).alias("c")
+    found = centers.join(cut, ["video_id", "pool_index"]).groupBy("video_id").agg(F.first("pool_size").alias("pool_size"), F.first("final_k").alias("final_k"), F.first("satisfied").alias("satisfied"), one)
+    by_score = F.array_sort(F.transform("c", lambda x: F.struct((-x["score"]).alias("o"), x.alias("x"))))
+    found = found.withColumn("best", F.slice(by_score, 1, threshold)).withColumn("size", F.size("best"))
+    turn = lambda i: F.get("best", (i % F.col("size")).cast("int"))["x"]
+    found = found.withColumn("s", F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(threshold - 1)), turn)))
+    part = lambda a, f: F.transform(a, lambda x: x[f])
+    arrays = {f"{name}_{out}": part(a, f) for name, a, fields in (("center", "c", ("pool_index", "t", "score")), ("selected", "s", ("pool_index", "t", "segment_index", "score"))) for f, out in ((f, {"pool_index": "pool_indices", "t": "original_indices", "segment_index": "segment_indices", "score": "scores"}[f]) for f in fields)}
+    high = F.size(F.filter("c", lambda x: x["score"] >= tau)).cast("long")
+    plain = [high.alias("high_count"), (~F.col("satisfied")).alias("fallback_used"), (F.col("size") < threshold).alias("padded_to_threshold")]
+    return found.select("video_id", "pool_size", "final_k", F.size("c").cast("long").alias("effective_final_k"), *plain, *[v.alias(k) for k, v in arrays.items()])
+
+
+def pad(selected: DataFrame, threshold: int, centers: DataFrame | None = None) -> DataFrame:
     """selected (video_id, t, score) with repeats, best score first and in turn, until each video has `threshold` rows.
 
-    Adds slot (from 0) and padded. Videos with enough rows stay as they are, cut to the threshold.
+    A video of centers (video_id, t, score) of which nothing is selected is filled from its centers, in the same way. Adds slot
+    (from 0) and padded. Videos with enough rows stay as they are, cut to the threshold.
     """
+    rows = selected.select("video_id", "t", "score", F.lit(True).alias("_own"))
+    if centers is not None:
+        rest = centers.join(selected.select("video_id").distinct(), "video_id", "left_anti")
+        rows = rows.unionByName(rest.select("video_id", "t", "score", F.lit(False).alias("_own")))
     w = Window.partitionBy("video_id").orderBy(F.col("score").desc(), "t")
-    ranked = selected.withColumn("r", F.row_number().over(w) - 1).withColumn("m", F.count("*").over(_video()))
+    ranked = rows.withColumn("r", F.row_number().over(w) - 1).withColumn("m", F.count("*").over(_video()))
     turns = F.floor((threshold - 1 - F.col("r")) / F.col("m"))
-    return ranked.where(F.col("r") < threshold).select("video_id", "t", "score", F.explode(F.transform(F.sequence(F.lit(0), turns), lambda k: (F.col("r") + k * F.col("m")).cast("long"))).alias("slot"), "m").withColumn("padded", F.col("slot") >= F.col("m")).drop("m")
+    slot = F.explode(F.transform(F.sequence(F.lit(0), turns), lambda k: (F.col("r") + k * F.col("m")).cast("long"))).alias("slot")
+    filled = ranked.where(F.col("r") < threshold).select("video_id", "t", "score", slot, "m", "_own")
+    return filled.withColumn("padded", ~F.col("_own") | (F.col("slot") >= F.col("m"))).drop("m", "_own")

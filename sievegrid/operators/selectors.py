@@ -15,9 +15,9 @@ def uniform_frames(videos: DataFrame, n: int = 8) -> DataFrame:
 
 
 @selector("density_frames")
-def density_frames(frames: DataFrame, threshold: int = 10, tau: float = 0.2, ks: list[int] | None = None, neighbours: int = 5) -> DataFrame:
+def density_frames(frames: DataFrame, threshold: int = 10, tau: float = 0.2, ks: list[int] | None = None, neighbours: int = 5, pool_size: int = ranking.POOL) -> DataFrame:
     """Of frames (video_id, t, emb, score) those that answer the queries among the density peaks."""
-    ranked = ranking.density_rank(ranking.pool(frames), neighbours, also=["score"])
+    ranked = ranking.density_rank(ranking.pool(frames, pool_size), neighbours, also=["score"])
     return ranking.escalating_select(ranked, threshold, tau, ks)
 
 

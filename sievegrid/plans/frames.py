@@ -215,82 +215,146 @@ def hover_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.hover_rows(cells, cells.where((F.col("y") + F.col("x")) % 2 == 0), names), "score")
 
 
-#: Of more than 512 frames as many evenly spread ones.
-POOL = FRAME + """, size AS (SELECT video_id, count(*) AS n FROM frame GROUP BY ALL),
-    pool AS (SELECT f.* FROM frame f JOIN size USING (video_id) WHERE n <= 512 OR f.t IN (SELECT round_even(i * ((n - 1) / 511.0::DOUBLE), 0)::BIGINT FROM range(512) AS r(i)))"""
-RANK = POOL + """, u AS (SELECT video_id, t, emb, greatest(sqrt(list_dot_product(emb, emb)), 1e-12) AS n FROM pool),
+def ranked_sql(most: int) -> str:
+    """CTEs to ranked: of more than `most` frames of a video as many evenly spread ones, by density; p is the place in this pool."""
+    return FRAME + f""", size AS (SELECT video_id, count(*) AS n FROM frame GROUP BY ALL),
+    pool AS (SELECT f.*, row_number() OVER (PARTITION BY f.video_id ORDER BY f.t) - 1 AS p, count(*) OVER (PARTITION BY f.video_id) AS m FROM frame f JOIN size USING (video_id)
+        WHERE n <= {most} OR f.t IN (SELECT round_even(i * ((n - 1) / {most - 1}.0::DOUBLE), 0)::BIGINT FROM range({most}) AS r(i))),
+    u AS (SELECT video_id, t, emb, greatest(sqrt(list_dot_product(emb, emb)), 1e-12) AS n FROM pool),
     d AS (SELECT a.video_id, a.t AS i, b.t AS j, round(greatest(1 - list_dot_product(a.emb, b.emb) / (a.n * b.n), 0), 12) AS d FROM u a JOIN u b ON a.video_id = b.video_id AND a.t <> b.t),
     near AS (SELECT *, row_number() OVER (PARTITION BY video_id, i ORDER BY d, j) AS n FROM d),
     rho AS (SELECT video_id, i, round(sum(exp(-d * d)), 12) AS rho FROM near WHERE n <= 5 GROUP BY ALL),
     delta AS (SELECT d.video_id, d.i, a.rho, coalesce(min(CASE WHEN b.rho > a.rho THEN d.d END), max(d.d)) AS delta FROM d
         JOIN rho a ON a.video_id = d.video_id AND a.i = d.i JOIN rho b ON b.video_id = d.video_id AND b.i = d.j GROUP BY ALL),
-    value AS (SELECT f.video_id, f.t, delta.rho, delta.delta, round(coalesce(delta.rho * delta.delta,
-        0) - 1e-6 * f.t / greatest(count(*) OVER (PARTITION BY f.video_id) - 1, 1), 10) AS v FROM pool f LEFT
-        JOIN delta ON delta.video_id = f.video_id AND delta.i = f.t),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY v DESC, t) AS center_rank FROM value)"""
+    value AS (SELECT f.video_id, f.t, f.p, f.m, delta.rho, delta.delta, round(coalesce(delta.rho * delta.delta, 0) - 1e-6 * f.p / greatest(f.m - 1, 1), 10) AS v
+        FROM pool f LEFT JOIN delta ON delta.video_id = f.video_id AND delta.i = f.t),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY v DESC, p) AS center_rank FROM value)"""
+
+
+RANK = ranked_sql(ranking.POOL)
+#: A pool smaller than the given videos: places in it and numbers of frames differ.
+SMALL_POOL = 32
 
 
 @query(f"WITH {RANK} SELECT video_id, t, center_rank, round(rho, 6) AS rho, round(delta, 6) AS delta FROM ranked")
 def knn_density_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ranking.density_rank(frame_pool(spark, sf_dir)), "rho", "delta")
+    return rounded(ranking.density_rank(frame_pool(spark, sf_dir)).drop("pool_index"), "rho", "delta")
 
 
-def frame_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frame_pool(spark: SparkSession, sf_dir: str, most: int = ranking.POOL) -> DataFrame:
     """Frames with their similarity to the queries, 512 of a video at most."""
     scored = ranking.with_query_scores(canonical.frames(spark, sf_dir), canonical.queries(spark, sf_dir))
-    return ranking.pool(scored.withColumn("score", F.round("score", 9)))
+    return ranking.pool(scored.withColumn("score", F.round("score", 9)), most)
+
+
+SEGMENTS = """SELECT video_id, row_number() OVER w - 1 AS segment_index, coalesce((lag(p) OVER w + p) // 2 + 1, 0)::BIGINT AS start_pool_index,
+    coalesce((p + lead(p) OVER w) // 2, m - 1)::BIGINT AS end_pool_index, p AS center_pool_index, t AS center_t FROM ranked WHERE center_rank <= 8 WINDOW w AS (PARTITION BY video_id ORDER BY p)"""
+
+
+def _segments_of_eight(pool: DataFrame) -> DataFrame:
+    ranked = ranking.density_rank(pool)
+    sized = ranked.withColumn("pool_size", F.count("*").over(Window.partitionBy("video_id")))
+    return ranking.segments(sized.where("center_rank <= 8"))
 
 
-@query(f"""WITH {RANK}, c AS (SELECT video_id, t, n FROM ranked JOIN size USING (video_id) WHERE center_rank <= 8)
-    SELECT video_id, row_number() OVER w - 1 AS segment_index, coalesce((lag(t) OVER w + t) // 2 + 1, 0)::BIGINT AS start_t,
-        coalesce((t + lead(t) OVER w) // 2, n - 1)::BIGINT AS end_t, t AS center_t FROM c WINDOW w AS (PARTITION BY video_id ORDER BY t)""")
+@query(f"WITH {RANK} {SEGMENTS}")
 def temporal_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = canonical.frames(spark, sf_dir)
-    counts = frames.groupBy("video_id").agg(F.count("*").alias("n"))
-    return ranking.segments(ranking.density_rank(ranking.pool(frames)).where("center_rank <= 8"), counts)
+    return _segments_of_eight(ranking.pool(canonical.frames(spark, sf_dir)))
+
+
+@query(f"WITH {ranked_sql(SMALL_POOL)} {SEGMENTS}")
+def pooled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries in places of a pool of 32 frames, not in numbers of frames."""
+    return _segments_of_eight(ranking.pool(canonical.frames(spark, sf_dir), SMALL_POOL))
 
 
 THETA, TAU = 3, 0.15
-TRIED = f"""WITH {RANK}, {COSINES.removeprefix(FRAME + ', ')}, k AS (SELECT * FROM (VALUES (0, 3), (1, 6), (2, 9)) AS k(step, requested_k)),
+
+
+def tried_sql(most: int) -> str:
+    """CTEs to history and last: the steps of trying more centers, and the last k of each video."""
+    return f"""WITH {ranked_sql(most)}, {COSINES.removeprefix(FRAME + ', ')}, k AS (SELECT * FROM (VALUES (0, 3), (1, 6), (2, 9)) AS k(step, requested_k)),
     each AS (SELECT video_id, step::BIGINT AS step, requested_k::BIGINT AS requested_k, count(*) AS effective_k,
-        count(*) FILTER (WHERE score >= {TAU}) AS high_count FROM ranked JOIN rel USING (video_id, t), k WHERE center_rank <= requested_k
+        string_agg(p::VARCHAR, ' ' ORDER BY p) AS center_pool_indices, count(*) FILTER (WHERE score >= {TAU}) AS high_count FROM ranked JOIN rel USING (video_id, t), k WHERE center_rank <= requested_k
         GROUP BY ALL),
-    first AS (SELECT *, high_count >= {THETA} AS satisfied, min(CASE WHEN high_count >= {THETA} THEN step END) OVER (PARTITION BY video_id) AS stop FROM each), history AS (SELECT * EXCLUDE (stop) FROM first WHERE stop IS NULL OR step <= stop)"""
+    first AS (SELECT *, high_count >= {THETA} AS satisfied, min(CASE WHEN high_count >= {THETA} THEN step END) OVER (PARTITION BY video_id) AS stop FROM each),
+    history AS (SELECT * EXCLUDE (stop) FROM first WHERE stop IS NULL OR step <= stop),
+    last AS (SELECT video_id, max(requested_k) AS k, max_by(satisfied, requested_k) AS satisfied FROM history GROUP BY ALL),
+    center AS (SELECT video_id, t, p, m, score, k, satisfied, row_number() OVER (PARTITION BY video_id ORDER BY p) - 1 AS segment_index FROM ranked JOIN rel USING (video_id, t) JOIN last USING (video_id) WHERE center_rank <= k),
+    pick AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, p) AS pick, score >= {TAU} AS high FROM center)"""
 
 
-def ranked_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.density_rank(frame_pool(spark, sf_dir), also=["score"])
+TRIED = tried_sql(ranking.POOL)
+
+
+def ranked_pool(spark: SparkSession, sf_dir: str, most: int = ranking.POOL) -> DataFrame:
+    return ranking.density_rank(frame_pool(spark, sf_dir, most), also=["score"])
+
+
+def spelt(*columns: str):
+    """Arrays as text, for results that are compared by value."""
+    return [F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c) for c in columns]
 
 
 @query(f"{TRIED} SELECT * FROM history")
 def escalating_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.escalation(ranked_pool(spark, sf_dir), THETA, TAU)
+    found = ranking.escalation(ranked_pool(spark, sf_dir), THETA, TAU)
+    return found.select(*[c for c in found.columns if c != "center_pool_indices"], *spelt("center_pool_indices"))
 
 
-PICKED = f"""{TRIED}, last AS (SELECT video_id, max(requested_k) AS k FROM history GROUP BY ALL),
-    pick AS (SELECT video_id, t, score, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, t) AS pick, score >= {TAU} AS high FROM ranked JOIN rel USING (video_id, t) JOIN last USING (video_id) WHERE center_rank <= k)"""
+@query(f"{TRIED} SELECT video_id, t, round(score, 6) AS score, pick, high FROM pick WHERE pick <= {THETA}")
+def escalating_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranking.escalating_select(ranked_pool(spark, sf_dir), THETA, TAU).drop("pool_index"), "score")
 
 
-@query(f"{PICKED} SELECT video_id, t, round(score, 6) AS score, pick, high FROM pick WHERE pick <= {THETA}")
-def escalating_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ranking.escalating_select(ranked_pool(spark, sf_dir), THETA, TAU), "score")
+SELECTED = f"""SELECT video_id, p AS pool_index, t, round(score, 6) AS score, segment_index, row_number() OVER (PARTITION BY video_id ORDER BY p) - 1 AS position
+    FROM pick WHERE pick <= {THETA}"""
 
 
-@query(f"""{PICKED}, c AS (SELECT video_id, t, row_number() OVER (PARTITION BY video_id ORDER BY t) - 1 AS segment_index FROM ranked
-        JOIN last USING (video_id) WHERE center_rank <= k AND center_rank <= 5)
-    SELECT video_id, pick.t, round(score, 6) AS score, coalesce(segment_index, -1)::BIGINT AS segment_index, row_number() OVER (PARTITION BY video_id ORDER BY pick.t) - 1 AS position
-    FROM pick LEFT JOIN c USING (video_id, t) WHERE pick <= {THETA}""")
-def frame_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What frame selection hands on. Of the segments around the centers of the last step those of the five best are named."""
-    ranked = ranked_pool(spark, sf_dir)
-    last = ranking.escalation(ranked, THETA, TAU).groupBy("video_id").agg(F.max("requested_k").alias("k"))
-    sizes = canonical.frames(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("n"))
-    centers = ranked.join(last, "video_id").where("center_rank <= k AND center_rank <= 5")
-    found = ranking.selection(ranking.escalating_select(ranked, THETA, TAU), ranking.segments(centers, sizes))
-    return rounded(found.select("video_id", "t", "score", "segment_index", "position"), "score")
+def _selection(ranked: DataFrame, also: list[str] | None = None) -> DataFrame:
+    cut = ranking.segments(ranking.final_centers(ranked, THETA, TAU))
+    found = ranking.selection(ranking.escalating_select(ranked, THETA, TAU, also=also), cut)
+    return rounded(found.select("video_id", "pool_index", "t", "score", "segment_index", "position", *(also or [])), "score")
 
 
-@query(f"""{PICKED}, two AS (SELECT video_id, t, score, pick - 1 AS r, least(2, count(*) OVER (PARTITION BY video_id)) AS m FROM pick)
+@query(f"{TRIED} {SELECTED}")
+def frame_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What frame selection hands on, with the segments around all centers of the last step."""
+    return _selection(ranked_pool(spark, sf_dir))
+
+
+@query(f"{tried_sql(SMALL_POOL)} {SELECTED}")
+def pooled_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a pool of 32 frames."""
+    return _selection(ranked_pool(spark, sf_dir, SMALL_POOL))
+
+
+@query(f"""{tried_sql(SMALL_POOL)}, chosen AS ({SELECTED}), {TOKEN.removeprefix(FRAME + ', ')}
+    SELECT c.video_id, position, pool_index, t, token, round(token.score, 6) AS score FROM chosen c JOIN token USING (video_id, t)""")
+def selected_score_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slice of the score maps that belongs to the chosen frames travels with them through the ranking."""
+    scored = frame_pool(spark, sf_dir, SMALL_POOL).withColumn("map", grid.pooled(F.col("emb"), 8, 8, 2))
+    found = _selection(ranking.density_rank(scored, also=["score", "map"]), ["map"])
+    cells = found.select("video_id", "position", "pool_index", "t", F.posexplode("map").alias("token", "score"))
+    return rounded(cells.withColumn("token", F.col("token").cast("long")), "score")
+
+
+@query(f"""{tried_sql(SMALL_POOL)}, best AS (SELECT *, pick - 1 AS r, least({THETA}, count(*) OVER (PARTITION BY video_id)) AS size FROM pick),
+    slot AS (SELECT b.* FROM best b, range({THETA}) AS s(i) WHERE pick <= {THETA} AND i % size = r)
+    SELECT c.video_id, any_value(m) AS pool_size, any_value(k)::BIGINT AS final_k, count(*) AS effective_final_k, count(*) FILTER (WHERE score >= {TAU}) AS high_count, NOT any_value(satisfied) AS fallback_used, count(*) < {THETA} AS padded_to_threshold,
+        string_agg(p::VARCHAR, ' ' ORDER BY p) AS center_pool_indices, string_agg(t::VARCHAR, ' ' ORDER BY p) AS center_original_indices,
+        any_value(s.pools) AS selected_pool_indices, any_value(s.frames) AS selected_original_indices, any_value(s.segments) AS selected_segment_indices, round(any_value(s.total), 6) AS selected_score_sum, round(sum(score), 6) AS center_score_sum
+    FROM center c JOIN (SELECT video_id, string_agg(p::VARCHAR, ' ' ORDER BY p) AS pools, string_agg(t::VARCHAR, ' ' ORDER BY p) AS frames, string_agg(segment_index::VARCHAR, ' ' ORDER BY p) AS segments, sum(score) AS total FROM slot GROUP BY ALL) s USING (video_id) GROUP BY c.video_id""")
+def selection_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a video, pool of 32 frames."""
+    found = ranking.selection_summary(ranked_pool(spark, sf_dir, SMALL_POOL), THETA, TAU)
+    lists = ["center_pool_indices", "center_original_indices", "selected_pool_indices", "selected_original_indices", "selected_segment_indices"]
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 6)
+    plain = [c for c in found.columns if not c.startswith(("center_", "selected_"))]
+    return found.select(*plain, *spelt(*lists), total("selected_scores").alias("selected_score_sum"), total("center_scores").alias("center_score_sum"))
+
+
+@query(f"""{TRIED}, two AS (SELECT video_id, t, score, pick - 1 AS r, least(2, count(*) OVER (PARTITION BY video_id)) AS m FROM pick)
     SELECT video_id, t, round(score, 6) AS score, slot, slot >= m AS padded FROM two, range(7) AS s(slot) WHERE r < 2 AND slot % m = r""")
 def pad_to_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two best frames of each video, repeated to fill seven places."""
@@ -298,6 +362,15 @@ def pad_to_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranking.pad(two.select("video_id", "t", "score"), 7), "score")
 
 
+@query(f"""{TRIED}, own AS (SELECT video_id, t, score, true AS own FROM center WHERE score >= 0.3), src AS (FROM own UNION ALL SELECT video_id, t, score, false FROM center WHERE video_id NOT IN (SELECT video_id FROM own)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, t) - 1 AS r, count(*) OVER (PARTITION BY video_id) AS m FROM src)
+    SELECT video_id, t, round(score, 6) AS score, slot, NOT own OR slot >= m AS padded FROM r, range(7) AS s(slot) WHERE slot % m = r""")
+def pad_from_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only centers of high relevance are selected; of most videos none is, and these are filled from all their centers."""
+    centers = ranking.final_centers(ranked_pool(spark, sf_dir), THETA, TAU).select("video_id", "t", "score")
+    return rounded(ranking.pad(centers.where("score >= 0.3"), 7, centers), "score")
+
+
 CLIP = "clip AS (SELECT user_id::BIGINT AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index, ts, event_id FROM events), total AS (SELECT video_id, count(*) AS total FROM clip GROUP BY ALL)"
 SAMPLE = CLIP + """, idx AS (SELECT video_id, i AS position, CASE WHEN total <= 8 THEN i ELSE round_even(i * ((total - 1) / 7.0::DOUBLE), 0) END::BIGINT AS frame_index FROM total, range(8) AS r(i) WHERE total > 8 OR i < total)"""
 

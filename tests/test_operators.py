@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,9 +17,61 @@ def test_sample_indices(spark, total, n, expected):
 
 
 def test_segments(spark):
-    centers = spark.createDataFrame([(1, 7), (1, 2), (1, 12), (1, 7)], "video_id long, t long")
-    got = ranking.segments(centers, spark.createDataFrame([(1, 16)], "video_id long, n long")).orderBy("segment_index")
-    assert [tuple(r)[1:] for r in got.collect()] == [(0, 0, 4, 2), (1, 5, 9, 7), (2, 10, 15, 12)]
+    centers = spark.createDataFrame([(1, p, 10 * p, 16) for p in (7, 2, 12, 7)], "video_id long, pool_index long, t long, pool_size long")
+    got = ranking.segments(centers).orderBy("segment_index")
+    assert [tuple(r)[1:] for r in got.collect()] == [(0, 0, 4, 2, 20), (1, 5, 9, 7, 70), (2, 10, 15, 12, 120)]
+
+
+def plain_peaks(vectors, neighbours=5):
+    """Ranks of one pool, pair by pair."""
+    unit = [v / np.linalg.norm(v) for v in vectors]
+    n = len(unit)
+    d = [[round(max(0.0, 1 - float(a @ b)), 12) for b in unit] for a in unit]
+    rho = [round(sum(np.exp(-x * x) for x in sorted(d[i][j] for j in range(n) if j != i)[:neighbours]), 12) for i in range(n)]
+    delta = [min([d[i][j] for j in range(n) if rho[j] > rho[i]], default=max(d[i][j] for j in range(n) if j != i)) for i in range(n)]
+    value = [round(rho[i] * delta[i] - 1e-6 * i / (n - 1), 10) for i in range(n)]
+    return sorted(range(n), key=lambda i: (-value[i], i))
+
+
+def test_long_video_in_two_index_spaces(spark):
+    """Of 2,000 frames 40 are the pool: bias, boundaries and history go by places in it, the output names both."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=(7, 16))
+    emb = base[r.integers(0, 7, 2000)]  # many equal frames: the bias decides between them
+    rows = [(1, int(t), [float(x) for x in emb[t]], float(t % 10) / 10, [float(t)]) for t in r.permutation(2000)]
+    frames = spark.createDataFrame(rows, "video_id long, t long, emb array<double>, score double, map array<double>")
+    picked = [round(i * 1999 / 39) for i in range(40)]
+    order = plain_peaks([emb[t] for t in picked])
+    ranked = ranking.density_rank(ranking.pool(frames, 40), also=["score", "map"])
+    got = ranked.orderBy("center_rank").collect()
+    assert [x["pool_index"] for x in got] == order
+    assert all(x["t"] == picked[x["pool_index"]] and x["map"] == [float(x["t"])] for x in got)
+
+    score = [t % 10 / 10 for t in picked]
+    steps = [(k, sorted(order[:k]), sum(score[i] >= 0.75 for i in order[:k])) for k in (4, 8, 12)]
+    last = next((i for i, x in enumerate(steps) if x[2] >= 4), 2)
+    history = ranking.escalation(ranked, 4, 0.75).orderBy("step").collect()
+    assert [(x["requested_k"], x["center_pool_indices"], x["high_count"]) for x in history] == steps[: last + 1]
+
+    centers = steps[last][1]
+    cut = [0, *[(a + b) // 2 + 1 for a, b in zip(centers, centers[1:], strict=False)], 40]
+    final = ranking.final_centers(ranked, 4, 0.75)
+    found = ranking.segments(final).orderBy("segment_index").collect()
+    assert [tuple(x)[2:] for x in found] == [(a, b - 1, c, picked[c]) for a, b, c in zip(cut, cut[1:], centers, strict=False)]
+
+    chosen = sorted(sorted(centers, key=lambda i: (-score[i], i))[:4])
+    out = ranking.selection(ranking.escalating_select(ranked, 4, 0.75, also=["map"]), ranking.segments(final)).orderBy("position").collect()
+    assert [(x["pool_index"], x["t"], x["segment_index"], x["map"]) for x in out] == [(i, picked[i], centers.index(i), [float(picked[i])]) for i in chosen]
+    summary = ranking.selection_summary(ranked, 4, 0.75).first()
+    assert (summary["selected_pool_indices"], summary["selected_original_indices"], summary["center_pool_indices"]) == (chosen, [picked[i] for i in chosen], centers)
+    assert summary["selected_segment_indices"] == [centers.index(i) for i in chosen] and summary["fallback_used"] == (steps[last][2] < 4)
+
+
+def test_pad_from_centers(spark):
+    schema = "video_id long, t long, score double"
+    centers = spark.createDataFrame([(1, 3, 0.9), (1, 8, 0.4), (2, 1, 0.1), (2, 5, 0.2)], schema)
+    got = ranking.pad(centers.where("score > 0.8"), 3, centers).orderBy("video_id", "slot").collect()
+    assert [(r["video_id"], r["t"], r["padded"]) for r in got] == [(1, 3, False), (1, 3, True), (1, 3, True), (2, 5, True), (2, 1, True), (2, 5, True)]
 
 
 def test_pad(spark):
