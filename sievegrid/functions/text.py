@@ -38,6 +38,11 @@ def whole_number(s: Column) -> Column:
     return F.when(~F.lower(F.trim(s)).isin("true", "false"), F.try_to_number(s, F.lit("S999999999999999999")).cast("long"))
 
 
+def real_number(s: Column) -> Column:
+    """Of text: a number, else null; true and false are no numbers."""
+    return F.when(~F.lower(F.trim(s)).isin("true", "false"), s.try_cast("double"))
+
+
 def strict_prediction(s: Column) -> Column:
     """Digits as a number; anything else, null included, is an error."""
     return F.when(F.coalesce(F.trim(s.cast("string")), F.lit("")).rlike("^[0-9]+$"), F.trim(s.cast("string")).cast("long")).otherwise(F.raise_error(F.concat(F.lit("not a prediction: "), F.coalesce(s.cast("string"), F.lit("null")))).cast("long"))
@@ -100,6 +105,16 @@ def messages(system: Column, user: Column, has_video: Column) -> Column:
     return F.when(optional_text(system).isNotNull(), F.array(message("system", system, F.lit(False)), mine)).otherwise(F.array(mine))
 
 
+def legacy_prompt(system: Column, user: Column, has_video: Column, video_mark: Column) -> Column:
+    """The same as one text, for a model without chat messages: the user's text, under headings if there is a system text; before it
+    the mark of the video on a line of its own, unless the text has it already. The headings are fixed values."""
+    checked = F.when(optional_text(user).isNotNull(), F.trim(user)).otherwise(F.raise_error(F.lit("empty user prompt")).cast("string"))
+    both = F.concat(F.lit("System:\n"), F.trim(system), F.lit("\n\nUser:\n"), checked)
+    whole = F.when(optional_text(system).isNotNull(), both).otherwise(checked)
+    marked = has_video & (F.coalesce(video_mark, F.lit("")) != "") & ~F.contains(whole, video_mark)
+    return F.when(F.coalesce(marked, F.lit(False)), F.concat(video_mark, F.lit("\n"), whole)).otherwise(whole)
+
+
 def url_uid(url: Column) -> Column:
     """Name of an .mp4 file at the end of a URL's path, null without one."""
     return F.nullif(F.regexp_extract(url, r"/([^/?#]+)\.mp4(?:[?#]|$)", 1), F.lit(""))
@@ -135,6 +150,16 @@ def shown_number(x: Column, n: Column | None = None, unit: str = "") -> Column:
     return F.when(x.isNull(), F.lit("N/A")).otherwise(shown)
 
 
+def shown_bytes(x: Column, n: Column) -> Column:
+    """'%.2f GiB (n=..)' of a number of bytes; N/A for null."""
+    return shown_number(x / float(1 << 30), n, " GiB")
+
+
+def shown_accuracy(correct: Column, labelled: Column) -> Column:
+    """'%.4f' of their ratio; N/A if nothing is labelled."""
+    return shown_number(F.when(labelled > 0, correct / labelled))
+
+
 def submission_uid(candidates: list[Column], url: Column, fallback: Column) -> Column:
     """The first candidate that isn't blank, else the name of the URL's .mp4 file, else the fallback."""
     return F.coalesce(first_present(*candidates), url_uid(url), fallback)

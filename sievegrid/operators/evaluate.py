@@ -74,6 +74,12 @@ def top_ops(ops: DataFrame, n: int) -> DataFrame:
     return sums.withColumn("gflops", F.col("flops") / 1e9).orderBy(F.col("flops").desc(), "name").limit(n)
 
 
+def ops_total(ops: DataFrame) -> DataFrame:
+    """Of all operations of ops (name, flops): flops, gflops, names with flops above 0, and calls with some."""
+    total = ops.agg(F.coalesce(F.sum("flops"), F.lit(0.0)).cast("double").alias("flops"), F.count_distinct(F.when(F.col("flops") > 0, F.col("name"))).alias("ops"), F.count_if(F.col("flops") > 0).alias("calls"))
+    return total.withColumn("gflops", F.col("flops") / 1e9)
+
+
 def histogram(rows: DataFrame, column: str = "parse_method") -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
@@ -113,12 +119,29 @@ def sliced(samples: DataFrame, order: list[str], start: int | None = None, limit
     return ordered.limit(limit) if limit is not None and limit >= 0 else ordered
 
 
+def resolve(samples: DataFrame, listings: dict[str, DataFrame], rules: list[tuple[str, Column]], out: str = "path") -> DataFrame:
+    """samples with `out`: the path that the first of the rules finds, null if none does.
+
+    listings: (key, path) by name; a key that several paths have stands for the least one by (order, path), if the listing
+    has a column `order`. rules: the name of a listing and the key to look up there, in order of priority. All rules go through one join
+    and one aggregation, by the different sets of keys and not by rows, which may repeat.
+    """
+    every = None
+    for name, rows in listings.items():
+        order = F.col("order").cast("string") if "order" in rows.columns else F.lit("")
+        one = rows.select(F.lit(name).alias("listing"), "key", F.struct(order.alias("order"), F.col("path").alias("path")).alias("hit"))
+        every = one if every is None else every.unionByName(one)
+    found = every.groupBy("listing", "key").agg(F.min("hit").alias("hit"))
+    keyed = samples.withColumn("_keys", F.array(*[F.coalesce(k.cast("string"), F.lit("")) for _, k in rules]))
+    names = F.array(*[F.lit(n) for n, _ in rules])
+    tries = keyed.select("_keys").distinct().select("_keys", F.posexplode(F.arrays_zip(names.alias("listing"), F.col("_keys").alias("key"))).alias("rule", "x")).select("_keys", "rule", "x.*")
+    best = tries.join(found, ["listing", "key"]).groupBy("_keys").agg(F.min_by("hit", "rule")["path"].alias(out))
+    return keyed.join(best, "_keys", "left").drop("_keys")
+
+
 def resolve_paths(samples: DataFrame, listing: DataFrame, candidates: list[Column]) -> DataFrame:
     """samples with path: that of the first candidate key found in listing (key, path); null if none is."""
-    keyed = samples.withColumn("_id", F.monotonically_increasing_id())
-    tries = keyed.select("_id", F.posexplode(F.array(*candidates)).alias("priority", "key")).join(listing, "key")
-    best = tries.groupBy("_id").agg(F.min_by("path", F.struct("priority", "path")).alias("path"))
-    return keyed.join(best, "_id", "left").drop("_id")
+    return resolve(samples, {"": listing}, [("", c) for c in candidates])
 
 
 def key_variants(rel_path: Column, is_file: Column) -> Column:

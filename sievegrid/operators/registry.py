@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import inspect
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Indices that a selector may give as a plain list.
+MOST_INDICES = 100_000
 
 SELECTORS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -20,9 +24,84 @@ def selector(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., Da
 
 def call(name: str, df: DataFrame, **parameters: object) -> DataFrame:
     """The selector's result; parameters that it doesn't take are left out. None means: keep everything."""
+    found = raw_call(name, df, **parameters)
+    return df if found is None else found
+
+
+def raw_call(name: str, df: DataFrame, **parameters: object) -> object:
+    """What the selector itself returns, for normalised()."""
     f = SELECTORS[name]
     takes = inspect.signature(f).parameters
     if not any(p.kind is p.VAR_KEYWORD for p in takes.values()):
         parameters = {k: v for k, v in parameters.items() if k in takes}
-    found = f(df, **parameters)
-    return df if found is None else found
+    return f(df, **parameters)
+
+
+def call_tokens(name: str, tokens: DataFrame, keys: list[str], **parameters: object) -> DataFrame:
+    """The tokens (keys, index, feature) that a selector keeps, in the form of normalised(), whatever it returns."""
+    return normalised(raw_call(name, tokens, **parameters), tokens, keys)
+
+
+def normalised(output: object, tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, position, index, feature of what a selector returned for tokens (keys, index from 0, feature).
+
+    Forms: None: all tokens. A list of whole numbers: these indices, in each group. A DataFrame: rows (keys, index), rows (keys, position,
+    feature), or rows with all of these. A mapping or an object with selected_indices, selected_features or both, each a list
+    or a DataFrame of such rows. Indices outside a group's tokens, and indices and features that differ in number, are
+    errors; features without indices count from 0. All checks are made in the aggregation that a group goes through anyway.
+    """
+    if output is None:
+        return _with_features(tokens.select(*keys, F.col("index").alias("position"), "index"), tokens, keys)
+    if isinstance(output, DataFrame):
+        indices = output if "index" in output.columns else None
+        features = output if "feature" in output.columns else None
+        if indices is None and features is None:
+            raise TypeError("a selector's rows must have an index or a feature")
+        if indices is not None and features is not None:
+            return _numbered(_checked(output, tokens, keys), keys).select(*keys, "position", "index", "feature")
+    elif isinstance(output, Sequence) and not isinstance(output, str) and all(isinstance(x, int) for x in output):
+        indices, features = output, None
+    elif isinstance(output, Mapping):
+        indices, features = output.get("selected_indices"), output.get("selected_features")
+    elif hasattr(output, "selected_indices") or hasattr(output, "selected_features"):
+        indices, features = getattr(output, "selected_indices", None), getattr(output, "selected_features", None)
+    else:
+        raise TypeError(f"a selector can't return {type(output).__name__}")
+    if indices is None and features is None:
+        raise ValueError("a selector must return selected_indices, selected_features or both")
+    if indices is not None and not isinstance(indices, DataFrame):
+        if len(indices) > MOST_INDICES:
+            raise ValueError(f"more than {MOST_INDICES} indices in a list: return rows instead")
+        listed = F.posexplode(F.lit([int(i) for i in indices]) if indices else F.array().cast("array<int>")).alias("position", "index")
+        indices = tokens.select(*keys).distinct().select(*keys, listed)
+    if features is not None and not isinstance(features, DataFrame):
+        raise TypeError("selected_features must be rows (keys, position, feature)")
+    if indices is None:
+        mine = features.select(*keys, F.col("position").cast("long").alias("position"), F.col("position").cast("long").alias("index"), "feature")
+        return _checked(mine, tokens, keys).select(*keys, "position", "index", "feature")
+    rows = _numbered(_checked(indices, tokens, keys), keys)
+    if features is None:
+        return _with_features(rows, tokens, keys)
+    both = rows.select(*keys, "position", "index").join(features.select(*keys, F.col("position").cast("long").alias("position"), "feature", F.lit(1).alias("_has")), [*keys, "position"], "full_outer")
+    wrong = F.raise_error(F.lit("indices and features differ in number")).cast("long")
+    matched = F.when(F.col("index").isNotNull() & F.col("_has").isNotNull(), F.col("index")).otherwise(wrong)
+    return both.select(*keys, "position", matched.alias("index"), "feature")
+
+
+def _checked(rows: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+    sizes = tokens.groupBy(*keys).agg(F.count("*").alias("_n"))
+    inside = (F.col("index") >= 0) & (F.col("index") < F.coalesce("_n", F.lit(0)))
+    wrong = F.raise_error(F.concat(F.lit("index out of bounds: "), F.coalesce(F.col("index").cast("string"), F.lit("null")))).cast("long")
+    return rows.join(sizes, keys, "left").withColumn("index", F.when(inside, F.col("index").cast("long")).otherwise(wrong)).drop("_n")
+
+
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with position: their own, or in order of index."""
+    if "position" in rows.columns:
+        return rows.withColumn("position", F.col("position").cast("long"))
+    return rows.withColumn("position", (F.row_number().over(Window.partitionBy(*keys).orderBy("index")) - 1).cast("long"))
+
+
+def _with_features(rows: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+    mine = rows.select(*keys, F.col("position").cast("long").alias("position"), F.col("index").cast("long").alias("index"))
+    return mine.join(tokens.select(*keys, F.col("index").cast("long").alias("index"), "feature"), [*keys, "index"]).select(*keys, "position", "index", "feature")

@@ -26,6 +26,14 @@ def display_sample(videos: DataFrame, n: int) -> DataFrame:
     return videos.select("video_id", F.explode(F.array_sort(F.array_distinct(sample_indices(F.col("total"), n)))).alias("frame_index"))
 
 
+def strided_sample(videos: DataFrame, stride: int) -> DataFrame:
+    """videos (video_id, total) to (video_id, frame_index): every stride-th frame, from the first one on."""
+    if stride <= 0:
+        raise ValueError("the stride must be positive")
+    each = F.sequence(F.lit(0).cast("long"), F.col("total").cast("long") - 1, F.lit(stride).cast("long"))
+    return videos.where("total > 0").select("video_id", F.explode(each).alias("frame_index"))
+
+
 def decoded_or_prefix(requested: DataFrame, decoded: DataFrame, n: int) -> DataFrame:
     """Frames to use: the requested ones if all decode, else the first min(decoded frames, n).
 

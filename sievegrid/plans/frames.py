@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions.vectors import noisy, unit
-from sievegrid.operators import budget, diagnostics, grid, ranking, registry, sampling, selectors, tokens  # noqa: F401  selectors registers itself
+from sievegrid.operators import budget, diagnostics, grid, patches, ranking, registry, sampling, selectors, tokens  # noqa: F401  selectors registers itself
 from sievegrid.plans.registry import query
 from sievegrid.sources import canonical
 
@@ -141,18 +141,23 @@ def own_query_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranking.with_own_query_scores(frames, own).select("video_id", "t", "score"), "score")
 
 
-def query_maps(spark: SparkSession, sf_dir: str, noise: float = 0.0) -> DataFrame:
-    """video_id, t, score, map: scores of tokens under noisy queries, the best one each, of frames under the clean ones.
+def blocks(frames: DataFrame, scale: float) -> DataFrame:
+    """frames with patches: the 16 blocks of 2 by 2 values, each in a vector of all 64 places that is 0 elsewhere, times scale.
 
-    A cell's part of the dot product, times 64, stands in for its similarity with a query.
+    Its dot product with a query is the block's part of the frame's, a stand-in for a patch's similarity with the query.
     """
+    block = lambda i: F.floor(i / 16) * 4 + F.floor(i % 8 / 2)
+    own = lambda k: F.transform("emb", lambda v, i: F.when(block(i) == k, v * scale).otherwise(0.0))
+    return frames.withColumn("patches", F.transform(F.sequence(F.lit(0), F.lit(15)), own))
+
+
+def query_maps(spark: SparkSession, sf_dir: str, noise: float = 0.0) -> DataFrame:
+    """video_id, t, score, map: scores of tokens under noisy queries, the best one each, of frames under the clean ones."""
     clean = canonical.queries(spark, sf_dir)
     frames = ranking.with_query_scores(canonical.frames(spark, sf_dir), clean)
-    patch = ranking.checked_queries(clean.withColumn("query", noisy(unit(F.col("query")), noise, 7)))
-    cells = lambda q: grid.pooled(F.zip_with("emb", q, lambda a, b: a * b * 64), 8, 8, 2)
-    best = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.round(F.array_max(F.transform("maps", lambda m: F.get(m, k))), 9))
-    both = frames.crossJoin(F.broadcast(patch)).withColumn("maps", F.transform("all", cells))
-    return both.select("video_id", "t", F.round("score", 9).alias("score"), best.alias("map"))
+    noisy_ones = clean.withColumn("query", unit(noisy(unit(F.col("query")), noise, 7)))
+    both = patches.patch_scores(blocks(frames, 16.0).select("video_id", "t", "score", "patches"), noisy_ones, "max", cosine=False)
+    return both.select("video_id", "t", F.round("score", 9).alias("score"), F.transform("map", lambda x: F.round(x, 9)).alias("map"))
 
 
 QUERY_TOKEN = f"""{FRAME}, u AS (SELECT embedding::DOUBLE[] AS v, greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) AS n FROM embeddings WHERE vec_id < 3),
@@ -188,12 +193,105 @@ def frame_query_scores_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """video_id, t, query_idx, y, x, score: a cell's part of the dot product stands in for its similarity with a query."""
-    q = canonical.queries(spark, sf_dir)
-    product = F.zip_with("emb", "query", lambda a, b: a * b)
-    frames = canonical.frames(spark, sf_dir).crossJoin(F.broadcast(q)).select("video_id", "t", "query_idx", product.alias("emb"))
-    cells = frames.select("video_id", "t", "query_idx", F.posexplode("emb").alias("pos", "score")).withColumn("y", F.floor(F.col("pos") / 8)).withColumn("x", (F.col("pos") % 8).cast("long"))
-    return rounded(grid.block_pool(cells, 2, ["video_id", "t", "query_idx"]), "score", digits=9)
+    """video_id, t, query_idx, y, x, score of each block under each query: the maps of the queries one by one."""
+    found = patches.patch_scores(blocks(canonical.frames(spark, sf_dir), 0.25).select("video_id", "t", "patches"), canonical.queries(spark, sf_dir), None, out="maps", cosine=False)
+    each = found.select("video_id", "t", F.posexplode("maps").alias("query_idx", "map")).select("video_id", "t", F.col("query_idx").cast("long").alias("query_idx"), F.posexplode("map").alias("k", "score"))
+    return rounded(each.select("video_id", "t", "query_idx", F.floor(F.col("k") / 4).alias("y"), (F.col("k") % 4).cast("long").alias("x"), "score"), "score", digits=9)
+
+
+ROW_SCORES = f"""{FRAME}, q AS (SELECT vec_id AS query_idx, embedding[1:8]::DOUBLE[] AS q FROM embeddings WHERE vec_id < 3),
+    row AS (SELECT video_id, t, patch, emb[patch * 8 + 1:patch * 8 + 8] AS v FROM frame, range(8) AS r(patch)),
+    each AS (SELECT video_id, t, patch, query_idx, list_dot_product(v, q) / (greatest(sqrt(list_dot_product(v, v)), 1e-12) * greatest(sqrt(list_dot_product(q, q)), 1e-12)) AS c FROM row, q)"""
+
+
+def _row_patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The eight rows of each map as patches, and queries of eight values."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("emb", k * 8 + 1, 8))
+    queries = canonical.queries(spark, sf_dir).withColumn("query", F.slice("query", 1, 8))
+    return canonical.frames(spark, sf_dir).select("video_id", "t", rows.alias("patches")), queries
+
+
+@query(f"WITH {ROW_SCORES} SELECT video_id, t, patch, round(max(c), 6) AS best, round(avg(c), 6) AS mean FROM each GROUP BY ALL")
+def patch_query_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of patches and queries, by the best query and on average."""
+    rows, queries = _row_patches(spark, sf_dir)
+    both = patches.patch_scores(rows.withColumn("again", F.col("patches")), queries, "max", out="best")
+    both = patches.patch_scores(both, queries, "mean", "again", "mean")
+    each = both.select("video_id", "t", F.posexplode(F.arrays_zip("best", "mean")).alias("patch", "m"))
+    return rounded(each.select("video_id", "t", F.col("patch").cast("long").alias("patch"), "m.best", "m.mean"), "best", "mean")
+
+
+@query(f"WITH {ROW_SCORES} SELECT video_id, t, query_idx, patch, round(c, 6) AS score FROM each")
+def patch_query_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of its own for each query."""
+    rows, queries = _row_patches(spark, sf_dir)
+    found = patches.patch_scores(rows, queries, None, out="maps")
+    each = found.select("video_id", "t", F.posexplode("maps").alias("query_idx", "map")).select("video_id", "t", F.col("query_idx").cast("long").alias("query_idx"), F.posexplode("map").alias("patch", "score"))
+    return rounded(each.withColumn("patch", F.col("patch").cast("long")), "score")
+
+
+@query(f"{V4}, {ELIGIBLE} {KEPT.replace('round(ranked.score, 6) AS score', 'round(ranked.score, 6) AS score, ranked.video_id % 3 <> 1 AS from_cache')} JOIN v4 USING (video_id, t) WHERE n <= v4_n")
+def cached_budget_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores that frame selection hands on, with a key each video. Those of every third video were made by another model, and are
+    nonsense: they are made anew, the others are taken over."""
+    frames, queries = canonical.frames(spark, sf_dir), canonical.queries(spark, sf_dir)
+    settings = {"aggregation": "max", "grid": [4, 4]}
+    model = lambda odd: F.when(F.col("video_id") % 3 == 1, F.lit(odd)).otherwise(F.lit("a")).alias("model")
+    old, now = (patches.content_keys(frames, settings, queries, [model(m)]) for m in ("b", "a"))
+    wrong = F.col("video_id") % 3 == 1
+    cache = frame_maps(spark, sf_dir).withColumn("score", F.when(wrong, 0.0).otherwise(F.col("score"))).withColumn("map", F.when(wrong, F.array_repeat(F.lit(9.0), 16)).otherwise(F.col("map")))
+
+    def make(rest: DataFrame) -> DataFrame:
+        scored = ranking.with_query_scores(rest, queries)
+        return scored.select("video_id", "t", F.round("score", 9).alias("score"), grid.pooled(F.col("emb"), 8, 8, 2).alias("map"))
+
+    scored = patches.handed_over(frames, now, cache.join(old.select("video_id", "cache_key"), "video_id"), make)
+    found = patches.cached_budget_frames(scored, RATIO, THRESHOLD, TEMPERATURE)
+    kept = budget.select(found, THRESHOLD)
+    return rounded(kept.join(found.select("video_id", "t", "from_cache"), ["video_id", "t"]), "score")
+
+
+@query(f"""{V4}, {ELIGIBLE}, plain AS (SELECT video_id, t, token, score, row_number() OVER (PARTITION BY video_id, t ORDER BY score DESC, token) AS n FROM token)
+    SELECT video_id, t, token, 'v4' AS version, round(ranked.score, 6) AS score FROM ranked JOIN v4 USING (video_id, t) WHERE n <= v4_n
+    UNION ALL SELECT video_id, t, token, 'v1', round(score, 6) FROM plain WHERE n <= greatest(1, ceil(round(16 * {RATIO}, 9)))""")
+def selector_by_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A least score of a patch asks for the fourth version, none for the first."""
+    maps, out = frame_maps(spark, sf_dir), None
+    for settings in ({"keep_ratio": RATIO, "patch_score_threshold": THRESHOLD, "temperature": TEMPERATURE}, {"keep_ratio": RATIO}):
+        one = patches.select_by_settings(maps, settings).withColumn("version", F.lit(patches.version_for(settings)))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "score")
+
+
+@query(f"""WITH {COSINES}, size AS (SELECT video_id, count(*) AS n FROM frame GROUP BY ALL),
+    d AS (SELECT video_id, n, CASE WHEN video_id % 3 = 0 AND n % 2 = 0 THEN 2 ELSE 1 END AS f FROM size)
+    SELECT r.video_id, r.t, round(coalesce(s.score, r.score), 6) AS score FROM rel r JOIN d USING (video_id) LEFT JOIN rel s ON s.video_id = r.video_id AND s.t = r.t - r.t % f""")
+def duplicated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of some videos count as taken twice: the first of two is scored, both have its score. Where the number of frames is odd
+    the note on it doesn't fit, and all are scored."""
+    frames = canonical.frames(spark, sf_dir)
+    sizes = frames.groupBy("video_id").agg(F.count("*").alias("n"))
+    notes = sizes.select("video_id", (F.col("video_id") % 3 == 0).alias("applied"), F.lit(2).alias("duplicate_factor"), F.floor(F.col("n") / 2).alias("original_num_frames"))
+    scored = ranking.with_query_scores(patches.scoring_frames(frames, notes), canonical.queries(spark, sf_dir))
+    return rounded(patches.expanded_scores(scored.select("video_id", "t", "duplicate_factor", "score")), "score")
+
+
+@registry.selector("best_tokens_of_video")
+def best_tokens(tokens: DataFrame, n: int = 7) -> dict[str, DataFrame]:
+    """Indices and doubled features of a video's n best tokens, in order of index."""
+    rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.col("feature").desc(), "index"))
+    best = tokens.withColumn("rank", rank).where(F.col("rank") <= n)
+    place = (F.row_number().over(Window.partitionBy("video_id").orderBy("index")) - 1).cast("long")
+    best = best.withColumn("position", place)
+    return {"selected_indices": best.select("video_id", "position", "index"), "selected_features": best.select("video_id", "position", (F.col("feature") * 2).alias("feature"))}
+
+
+@query(f"""WITH {TOKEN}, i AS (SELECT video_id, t * 16 + token AS index, score FROM token), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, index) AS n FROM i)
+    SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY index) - 1 AS position, index, round(score * 2, 6) AS feature FROM r WHERE n <= 7""")
+def normalised_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selector that returns indices and features apart; bounds and numbers are checked on the way."""
+    tokens_ = token_scores(spark, sf_dir).select("video_id", (F.col("t") * 16 + F.col("token")).alias("index"), F.col("score").alias("feature"))
+    return rounded(registry.call_tokens("best_tokens_of_video", tokens_, ["video_id"]), "feature")
 
 
 WINNER = f"""WITH {FRAME}, q AS (SELECT vec_id AS query_idx, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 3),
@@ -386,6 +484,12 @@ def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.join(frames.drop("ts"), ["video_id", "frame_index"])
 
 
+@query(f"WITH {CLIP} SELECT video_id, i * 3 AS frame_index FROM total, range(100000) AS r(i) WHERE i * 3 < total")
+def strided_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third frame, for display."""
+    return sampling.strided_sample(_totals(canonical.clips(spark, sf_dir)), 3)
+
+
 @query(f"""WITH {SAMPLE}, ok AS (SELECT c.video_id, frame_index FROM clip c JOIN events USING (event_id) WHERE event_type <> 'error'), wanted AS (SELECT DISTINCT video_id, frame_index FROM idx),
     state AS (SELECT video_id, count(*) AS actual, count(w.frame_index) AS got FROM (SELECT ok.video_id, w.frame_index FROM ok LEFT
         JOIN wanted w ON w.video_id = ok.video_id AND w.frame_index = ok.frame_index) w GROUP BY ALL),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions import text
-from sievegrid.operators.evaluate import resolve_paths
+from sievegrid.operators import sampling
+from sievegrid.operators.evaluate import ambiguous_keys, key_variants, lookup, resolve, resolve_paths
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -20,6 +22,42 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return each.withColumn("n", F.col("n") + 1)
 
 
+def _numbered(rows: DataFrame, out: str) -> DataFrame:
+    """rows (_file, _block and more, as scanned) with `out`: the row's number in its file, from 1. Files may be split: rows are
+    counted by block, and the counts summed up along each file."""
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())  # in the order of the scan, block by block
+    counts = placed.groupBy("_file", "_block").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    along = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_file", "_block", "_first", F.coalesce(F.sum("_rows").over(along), F.lit(0)).alias("_before"))
+    joined = placed.join(before, ["_file", "_block"])
+    return joined.withColumn(out, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_at", "_first", "_before", "_block")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value of text files that may be split over tasks; blank lines count."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return _numbered(lines, "line").select(F.col("_file").alias("file"), "line", "value")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+    """file, line, problem and the columns of schema of JSONL files. Blank lines are skipped.
+
+    A line that is no JSON, or no object, or has a field of another type, is an error that names file and line; if not strict
+    it is a row with its problem and nulls. problem is null for good lines.
+    """
+    lines = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", r"^\ufeff?\s+|^\ufeff|\s+$", "")).where("value <> ''")
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    fields = spark.createDataFrame([], schema).columns
+    row = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    read = lines.withColumn("_row", row)
+    problem = F.when(kind.isNull(), F.lit("invalid JSON")).when(~F.startswith(kind, F.lit("OBJECT")), F.concat(F.lit("not an object but "), kind)).when(F.col("_row._bad").isNotNull(), F.lit("a field of another type"))
+    read = read.withColumn("problem", problem)
+    if strict:
+        told = F.concat(F.col("problem"), F.lit(" at line "), F.col("line").cast("string"), F.lit(" in "), F.col("file"))
+        read = read.withColumn("line", F.when(F.col("problem").isNull(), F.col("line")).otherwise(F.raise_error(told).cast("long")))
+    return read.select("file", "line", "problem", *[F.when(F.col("problem").isNull(), F.col(f"_row.{c}")).alias(c) for c in fields])
+
+
 def query_lines(spark: SparkSession, path: str) -> DataFrame:
     """query_idx, query: the lines that aren't blank, in order; a file without any is an error when read."""
     lines = _lines(spark, path).withColumn("query", F.trim("line"))
@@ -30,10 +68,12 @@ def query_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def questions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """q_uid, video_id, question, options, ground_truth, question_type of a CSV with video, qid, question, a0 to a4, answer, type."""
+    """q_uid, video_id, question, options, ground_truth, question_type of a CSV with video, qid, question, a0 to a4, answer, type.
+
+    Without a qid the uid is the number of the row in its file, from 0."""
     rows = spark.read.csv(path, header=True, multiLine=True, encoding="UTF-8", escape='"')
     rows = rows.toDF(*[c.removeprefix("﻿") for c in rows.columns])
-    rows = rows.withColumn("_n", F.monotonically_increasing_id())  # a column of its own: it counts where it is evaluated
+    rows = _numbered(rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")), "_n").withColumn("_n", F.col("_n") - 1)
     options = F.array(*[F.trim(F.col(f"a{i}")) for i in range(5)])
     truth = F.when(F.col("answer").rlike(r"^\s*[0-9]+\s*$"), F.trim("answer").cast("int"))
     kind = text.optional_text(F.col("type")) if "type" in rows.columns else F.lit(None).cast("string")
@@ -107,12 +147,79 @@ def questions_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def nested_questions(spark: SparkSession, path: str) -> DataFrame:
-    """One row per question of a list of videos with `questions`: video_id, question_id, question, options, answer, response."""
+    """One row per question of a list of videos with `questions`: video_id, videoID (else the video_id), duration, domain,
+    sub_category, question_id, task_type, question, options, answer, response. A video without questions is an error."""
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.try_variant_get(loose_variant(F.col("value")), "$", "array<variant>")).alias("v"))
-    each = whole.select(_get(F.col("v"), "$.video_id").alias("video_id"), F.explode(F.try_variant_get("v", "$.questions", "array<variant>")).alias("q"))
+    needed = lambda c, name: F.when(text.optional_text(c).isNotNull(), F.trim(c)).otherwise(F.raise_error(F.lit(f"missing {name}")).cast("string"))
+    of = lambda c, k: text.optional_text(_get(F.col(c), f"$.{k}")).alias(k)
+    asked = F.try_variant_get("v", "$.questions", "array<variant>")
+    some = F.when(F.size(asked) > 0, asked).otherwise(F.raise_error(F.lit("a video without questions")).cast("array<variant>"))
+    name = F.coalesce(_get(F.col("v"), "$.videoID"), _get(F.col("v"), "$.video_id"))
+    each = whole.select(needed(_get(F.col("v"), "$.video_id"), "video_id").alias("video_id"), F.trim(name).alias("videoID"), *[of("v", k) for k in ("duration", "domain", "sub_category")], F.explode(some).alias("q"))
     options = F.coalesce(F.try_variant_get("q", "$.options", "array<string>"), text.split_options(_get(F.col("q"), "$.options")))
-    needed = lambda c, name: F.when(text.optional_text(c).isNotNull(), c).otherwise(F.raise_error(F.lit(f"missing {name}")).cast("string"))
-    return each.select(needed(F.col("video_id"), "video_id").alias("video_id"), needed(_get(F.col("q"), "$.question_id"), "question_id").alias("question_id"), needed(_get(F.col("q"), "$.question"), "question").alias("question"), options.alias("options"), _get(F.col("q"), "$.answer").alias("answer"), _get(F.col("q"), "$.response").alias("response"))
+    return each.select("video_id", "videoID", "duration", "domain", "sub_category", needed(_get(F.col("q"), "$.question_id"), "question_id").alias("question_id"), of("q", "task_type"), needed(_get(F.col("q"), "$.question"), "question").alias("question"), options.alias("options"), of("q", "answer"), _get(F.col("q"), "$.response").alias("response"))
+
+
+#: Suffixes of videos, in the order in which one beside the others is preferred; fixed values.
+VIDEO_SUFFIXES = ("mp4", "avi", "webm")
+
+
+def _relative(folder: str) -> Column:
+    """The path of a listed file below the folder; schemes and leading slashes don't matter."""
+    root = re.sub(r"^(?:[a-z]+:)?/*|/+$", "", folder) + "/"
+    bare = F.regexp_replace("path", r"^(?:[a-z]+:)?/*", "")
+    return F.when(F.startswith(bare, F.lit(root)), F.substring(bare, len(root) + 1, 1 << 30)).otherwise(bare)
+
+
+def csv_samples(spark: SparkSession, path: str, listing: DataFrame, folder: str) -> DataFrame:
+    """questions_csv() with video_path: `<video>.mp4`, `.avi` or `.webm` in the folder, in this order, else the first file of that stem
+    in any folder below, in order of folder and name. listing: path of the files. A question without a file is an error."""
+    rel = listing.select("path", _relative(folder).alias("rel"))
+    name = F.regexp_extract("rel", r"([^/]+)$", 1)
+    video = rel.where(F.lower(F.regexp_extract("rel", r"\.([^./]+)$", 1)).isin(*VIDEO_SUFFIXES))
+    by_stem = video.select(F.regexp_replace(name, r"\.[^.]+$", "").alias("key"), "path", F.lower("rel").alias("order"))
+    listings = {"name": rel.select(F.col("rel").alias("key"), "path", F.lit("").alias("order")), "stem": by_stem}
+    rules = [*[("name", F.concat("video_id", F.lit(f".{x}"))) for x in VIDEO_SUFFIXES], ("stem", F.col("video_id"))]
+    return _needs_video(resolve(questions_csv(spark, path), listings, rules), F.col("video_id"))
+
+
+def named_samples(questions: DataFrame, listing: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """questions (video_id, videoID, question_id and more) with video_path, in order of video_id by length, then as text, then question_id.
+
+    A video is found by its name, or name with .mp4, among names and stems of the files in listing (path), whatever the case;
+    else by the file name that names (video, file_name) has for it, by that one's last part, or by its stem. Of files
+    with one name the first by folder and name counts. A question without a file is an error.
+    """
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    order = F.concat_ws("\0", F.lower(F.regexp_extract("path", r"^(.*?)/?[^/]+$", 1)), F.lower(name))
+    keys = listing.select("path", order.alias("order"), F.explode(F.array_distinct(F.array(F.lower(name), F.lower(F.regexp_replace(name, r"(?<=.)\.[^.]+$", ""))))).alias("key"))
+    rows = questions.withColumn("_name", F.trim("videoID"))
+    rows = rows.join(names.select(F.col("video").alias("_name"), F.col("file_name").alias("_mapped")).dropDuplicates(["_name"]), "_name", "left") if names is not None else rows.withColumn("_mapped", F.lit(None).cast("string"))
+    last = F.regexp_extract("_mapped", r"([^/]+)$", 1)
+    tried = [F.col("_name"), F.concat("_name", F.lit(".mp4")), F.col("_mapped"), last, F.regexp_replace(last, r"(?<=.)\.[^.]+$", "")]
+    found = _needs_video(resolve(rows, {"": keys}, [("", F.lower(c)) for c in tried]), F.col("_name")).drop("_name", "_mapped")
+    return found.orderBy(F.length("video_id"), "video_id", "question_id")
+
+
+def task_samples(spark: SparkSession, folder: str, listing: DataFrame, names: list[str] | None = None, skip_missing: bool = False) -> DataFrame:
+    """task_files() with video_path by lookup() in listing (path, rel_path, is_file).
+
+    Samples whose video or its stem is an ambiguous key are left out; one without a video is an error, or left out too if
+    skip_missing. Blank video, question or answer, and missing candidates, are errors.
+    """
+    rows = task_files(spark, folder, names).withColumn("video", F.trim("video"))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    wrong = blank("video") | blank("question") | blank("answer") | F.col("candidates").isNull()
+    rows = rows.withColumn("video", F.when(~wrong, F.col("video")).otherwise(F.raise_error(F.concat(F.lit("invalid sample of "), F.col("task_name"))).cast("string")))
+    keys = ambiguous_keys(listing.select("path", key_variants(F.col("rel_path"), F.col("is_file")).alias("keys"))).where("ambiguous").select("key")
+    stem = F.lower(F.regexp_replace(F.regexp_extract("video", r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", ""))
+    plain = rows.join(keys, (F.lower("video") == F.col("key")) | (stem == F.col("key")), "left_anti")
+    return lookup(plain, listing, "video", skip_missing).withColumnRenamed("path", "video_path")
+
+
+def _needs_video(found: DataFrame, name: Column) -> DataFrame:
+    lost = F.raise_error(F.concat(F.lit("no video for "), name)).cast("string")
+    return found.withColumn("video_path", F.coalesce("path", lost)).drop("path")
 
 
 def task_files(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
@@ -129,7 +236,7 @@ def task_files(spark: SparkSession, folder: str, names: list[str] | None = None)
     schema = "array<struct<video:string,question:string,candidates:array<string>,answer:string,start:double,end:double>>"
     each = whole.select("task_name", F.posexplode(F.from_json("value", schema)).alias("sample_index", "q")).select("task_name", "sample_index", "q.*")
     time = lambda c: text.optional_number(F.col(c)).alias(c)
-    return each.select("task_name", "sample_index", "video", "question", "candidates", text.text_answer_index(F.col("answer"), F.col("candidates")).alias("ground_truth"), time("start"), time("end"))
+    return each.select("task_name", "sample_index", "video", "question", "candidates", "answer", text.text_answer_index(F.col("answer"), F.col("candidates")).alias("ground_truth"), time("start"), time("end"))
 
 
 def video_map(spark: SparkSession, path: str) -> DataFrame:
@@ -155,6 +262,27 @@ def frame_folder_fps(path: Column) -> Column:
     return F.coalesce(F.get(F.filter(parts, lambda x: x > 0), 0), F.lit(3.0))
 
 
+#: Suffixes of images that count as frames; fixed values.
+FRAME_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp")
+
+
+def frame_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """video_id (the folder of the frames), frame_index (from 0), path, fps of all images below a folder: a folder's images in natural
+    order of their names, so that f9 comes before f10; fps from the folder's path. Files are listed, not read."""
+    images = files(spark, folder).where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*FRAME_SUFFIXES))
+    parent, name = F.regexp_extract("path", r"^(.*)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)$", 1)
+    rows = images.select(parent.alias("video_id"), "path", text.natural_key(name).alias("_key"))
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("_key", "path")) - 1
+    return rows.select("video_id", place.cast("long").alias("frame_index"), "path", frame_folder_fps(F.col("video_id")).alias("fps"))
+
+
+def frame_clips(spark: SparkSession, folder: str, clips: DataFrame) -> DataFrame:
+    """The frames of frame_folders() that clips (video_id, clip_id, start, end, in seconds) cover, by each folder's fps."""
+    found = frame_folders(spark, folder)
+    rates = found.groupBy("video_id").agg(F.first("fps").alias("fps"))
+    return sampling.clip(found, clips.join(rates, "video_id"))
+
+
 def prompt_template(spark: SparkSession, path: str) -> DataFrame:
     """system, user: the lines after [SYSTEM] and [USER]; text without either section is the user's; no user text is an error."""
     lines = _lines(spark, path)
@@ -169,8 +297,9 @@ def prompt_template(spark: SparkSession, path: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """Rows of a JSONL file; a line that isn't an object of this schema is an error, or left out if not strict."""
-    return spark.read.schema(schema).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")
+    """Rows of JSONL files; a line that isn't an object of this schema is an error that names it, or left out if not strict."""
+    rows = json_lines(spark, path, schema, strict)
+    return rows.where("problem IS NULL").drop("file", "line", "problem")
 
 
 def completed(spark: SparkSession, path: str, uid: str = "q_uid") -> DataFrame:
