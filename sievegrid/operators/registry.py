@@ -83,16 +83,17 @@ def normalised(output: object, tokens: DataFrame, keys: list[str]) -> DataFrame:
     if features is None:
         return _with_features(rows, tokens, keys)
     both = rows.select(*keys, "position", "index").join(features.select(*keys, F.col("position").cast("long").alias("position"), "feature", F.lit(1).alias("_has")), [*keys, "position"], "full_outer")
-    wrong = F.raise_error(F.lit("indices and features differ in number")).cast("long")
-    matched = F.when(F.col("index").isNotNull() & F.col("_has").isNotNull(), F.col("index")).otherwise(wrong)
-    return both.select(*keys, "position", matched.alias("index"), "feature")
+    wrong = F.raise_error(F.lit("indices and features differ in number")).cast("boolean")
+    matched = F.when(F.col("index").isNotNull() & F.col("_has").isNotNull(), True).otherwise(wrong)
+    return both.where(matched).select(*keys, "position", "index", "feature")
 
 
 def _checked(rows: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
     sizes = tokens.groupBy(*keys).agg(F.count("*").alias("_n"))
     inside = (F.col("index") >= 0) & (F.col("index") < F.coalesce("_n", F.lit(0)))
     wrong = F.raise_error(F.concat(F.lit("index out of bounds: "), F.coalesce(F.col("index").cast("string"), F.lit("null")))).cast("long")
-    return rows.join(sizes, keys, "left").withColumn("index", F.when(inside, F.col("index").cast("long")).otherwise(wrong)).drop("_n")
+    checked = rows.join(sizes, keys, "left").withColumn("index", F.when(inside, F.col("index").cast("long")).otherwise(wrong)).drop("_n")
+    return checked.where("index >= 0")  # asks for the value, so that the check is never left out of a plan
 
 
 def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,4 +105,4 @@ def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _with_features(rows: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
     mine = rows.select(*keys, F.col("position").cast("long").alias("position"), F.col("index").cast("long").alias("index"))
-    return mine.join(tokens.select(*keys, F.col("index").cast("long").alias("index"), "feature"), [*keys, "index"]).select(*keys, "position", "index", "feature")
+    return mine.join(tokens.select(*keys, F.col("index").cast("long").alias("index"), "feature"), [*keys, "index"], "left").select(*keys, "position", "index", "feature")

@@ -227,13 +227,48 @@ def url_video_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.url_uid(F.replace("url", F.lit(".html"), F.lit(".mp4"))).alias("uid"))
 
 
-@query(f"""WITH {URL_PATH}, k AS (SELECT rel_path, unnest(list_distinct([rel_path, regexp_extract(rel_path, '([^/]+)$', 1),
-        regexp_replace(regexp_extract(rel_path, '([^/]+)$', 1), '\\.[^.]+$', '')])) AS key FROM path)
-    SELECT key, count(DISTINCT rel_path) AS paths, count(DISTINCT rel_path) > 1 AS ambiguous FROM k GROUP BY key""")
+LOOKUP_KEYS = f"""{URL_PATH}, k AS (SELECT DISTINCT rel_path, lower(unnest([rel_path, regexp_extract(rel_path, '([^/]+)$', 1),
+        regexp_replace(regexp_extract(rel_path, '([^/]+)$', 1), '\\.[^.]+$', ''), regexp_replace(rel_path, '\\.[^./]+$', '')])) AS key FROM path),
+    key AS (SELECT key, count(DISTINCT rel_path) AS paths, min(rel_path) AS path FROM k WHERE key <> '' GROUP BY key)"""
+
+
+@query(f"WITH {LOOKUP_KEYS} SELECT key, paths, paths > 1 AS ambiguous FROM key")
 def lookup_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = _paths(spark, sf_dir)
+    return evaluate.ambiguous_keys(paths.select(F.col("rel_path").alias("path"), evaluate.key_variants(F.col("rel_path"), F.lit(True)).alias("keys")))
+
+
+@query(f"""WITH {LOOKUP_KEYS}, s AS (SELECT page_id, lower(regexp_extract(rel_path, '([^/]+)$', 1)) AS name FROM path),
+    t AS (SELECT page_id, name, unnest([name, regexp_replace(name, '\\.[^.]+$', '')]) AS key, unnest([0, 1]) AS o FROM s),
+    hit AS (SELECT page_id, paths, path, row_number() OVER (PARTITION BY page_id ORDER BY o) AS n FROM t JOIN key USING (key))
+    SELECT page_id, path FROM hit WHERE n = 1 AND paths = 1""")
+def lookup_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the last part of their path, those left out of which several have it."""
+    paths = _paths(spark, sf_dir)
+    listing = paths.select("rel_path").distinct().select(F.col("rel_path").alias("path"), "rel_path", F.lit(True).alias("is_file"))
+    named = paths.select("page_id", F.regexp_extract("rel_path", r"([^/]+)$", 1).alias("video"))
+    return evaluate.lookup(named, listing, "video", skip=True).select("page_id", "path")
+
+
+@query(f"""WITH {URL_PATH}, file AS (SELECT rel_path, regexp_extract(rel_path, '([^/]+)$', 1) AS name FROM path), key AS (SELECT name, min(rel_path) AS path FROM file GROUP BY name),
+    stem AS (SELECT regexp_replace(name, '\\.[^.]+$', '') AS name, min(rel_path) AS path FROM file GROUP BY 1)
+    SELECT c_custkey, coalesce(a.path, b.path, c.path) AS path FROM customer
+    LEFT JOIN key a ON a.name = c_custkey || '.html' LEFT JOIN key b ON b.name = (c_custkey % 100)::VARCHAR LEFT JOIN stem c ON c.name = (c_custkey + 1)::VARCHAR""")
+def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rules over two listings in one pass: the customer's number with .html, its last two digits, the next number as a stem."""
     name = F.regexp_extract("rel_path", r"([^/]+)$", 1)
-    return evaluate.ambiguous_keys(paths.select(F.col("rel_path").alias("path"), F.array("rel_path", name, F.regexp_replace(name, r"\.[^.]+$", "")).alias("keys")))
+    files = _paths(spark, sf_dir).select(name.alias("name"), F.col("rel_path").alias("path"))
+    listings = {"name": files.select(F.col("name").alias("key"), "path"), "stem": files.select(F.regexp_replace("name", r"\.[^.]+$", "").alias("key"), "path")}
+    key = F.col("c_custkey")
+    rules = [("name", F.concat(key.cast("string"), F.lit(".html"))), ("name", (key % 100).cast("string")), ("stem", (key + 1).cast("string"))]
+    return evaluate.resolve(table(spark, sf_dir, "customer").select("c_custkey"), listings, rules)
+
+
+@query("SELECT round(sum(value), 4) AS flops, count(DISTINCT event_type) FILTER (WHERE value > 0) AS ops, count(*) FILTER (WHERE value > 0) AS calls, round(sum(value) / 1e9, 9) AS gflops FROM events")
+def ops_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types stand in for operations, values for their flops."""
+    total = evaluate.ops_total(table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("value").alias("flops")))
+    return total.withColumns({"flops": F.round("flops", 4), "gflops": F.round("gflops", 9)})
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
     read = read.withColumn("problem", problem)
     if strict:
         told = F.concat(F.col("problem"), F.lit(" at line "), F.col("line").cast("string"), F.lit(" in "), F.col("file"))
-        read = read.withColumn("line", F.when(F.col("problem").isNull(), F.col("line")).otherwise(F.raise_error(told).cast("long")))
+        read = read.where(F.when(F.col("problem").isNull(), True).otherwise(F.raise_error(told).cast("boolean")))
     return read.select("file", "line", "problem", *[F.when(F.col("problem").isNull(), F.col(f"_row.{c}")).alias(c) for c in fields])
 
 
@@ -299,7 +299,8 @@ def prompt_template(spark: SparkSession, path: str) -> DataFrame:
 def predictions(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """Rows of JSONL files; a line that isn't an object of this schema is an error that names it, or left out if not strict."""
     rows = json_lines(spark, path, schema, strict)
-    return rows.where("problem IS NULL").drop("file", "line", "problem")
+    good = rows if strict else rows.where("problem IS NULL")  # that condition would hide the bad lines from the error
+    return good.drop("file", "line", "problem")
 
 
 def completed(spark: SparkSession, path: str, uid: str = "q_uid") -> DataFrame:

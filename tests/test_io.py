@@ -111,3 +111,83 @@ def test_cached_scores(spark, tmp_path):
 
     for key, count in (({"frames": 3}, 1), ({"frames": 3}, 1), ({"frames": 4}, 2), ({"frames": 3}, 3)):
         assert io.cached(spark, str(tmp_path / "c"), key, make).count() == count
+
+
+def test_lines_by_number(spark, tmp_path):
+    """Files that are read in several parts: numbers go on from part to part, and the bad lines are told by theirs."""
+    rows = [json.dumps({"q_uid": f"u{n}", "prediction": n}) for n in range(1, 2001)]
+    rows[10], rows[600], rows[1500], rows[1999] = "", "not json", "[1]", '{"q_uid": "u", "prediction": "many"}'
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/a.jsonl").write_text("\n".join(rows) + "\n")
+    (tmp_path / "p/b.jsonl").write_text('﻿{"q_uid": "b", "prediction": 7}\n7')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        assert spark.read.text(str(tmp_path / "p")).rdd.getNumPartitions() > 5
+        lines = io.numbered_lines(spark, str(tmp_path / "p/a.jsonl")).collect()
+        assert sorted((r["line"], r["value"]) for r in lines) == list(enumerate(rows, 1))
+        got = io.json_lines(spark, str(tmp_path / "p"), "q_uid string, prediction int", strict=False).collect()
+        bad = {(r["file"][-7:], r["line"]): r["problem"] for r in got if r["problem"]}
+        assert set(bad) == {("a.jsonl", 601), ("a.jsonl", 1501), ("a.jsonl", 2000), ("b.jsonl", 2)}
+        assert bad["a.jsonl", 601] == "invalid JSON" and bad["a.jsonl", 1501].startswith("not an object")
+        assert {(r["q_uid"], r["line"]) for r in got if not r["problem"] and r["file"].endswith("a.jsonl")} == {(f"u{n}", n) for n in range(1, 2001) if n not in (11, 601, 1501, 2000)}
+        with pytest.raises(Exception, match=r"invalid JSON at line 601 in .*a\.jsonl"):
+            io.json_lines(spark, str(tmp_path / "p/a.jsonl"), "q_uid string").where("line < 1000").collect()
+        (tmp_path / "q.csv").write_text("video,qid,question,a0,a1,a2,a3,a4,answer,type\n" + "".join(f"{n},,q,a,b,c,d,e,1,\n" for n in range(500)))
+        assert {(r["video_id"], r["q_uid"]) for r in io.questions_csv(spark, str(tmp_path / "q.csv")).collect()} == {(str(n), str(n)) for n in range(500)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def paths_of(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "path string")
+
+
+def test_csv_samples(spark, tmp_path):
+    (tmp_path / "q.csv").write_text("video,qid,question,a0,a1,a2,a3,a4,answer,type\n" + "".join(f"{v},{v},q,a,b,c,d,e,1,\n" for v in (1, 2, 3, 4)))
+    listing = paths_of(spark, "file:/v/1.webm", "file:/v/1.avi", "file:/v/x/1.mp4", "file:/v/b/2.MP4", "file:/v/a/2.avi", "file:/v/z/3.mp4", "file:/v/3.txt", "file:/v/4.mp4")
+    got = io.csv_samples(spark, str(tmp_path / "q.csv"), listing, "/v/").collect()
+    assert {r["video_id"]: r["video_path"] for r in got} == {"1": "file:/v/1.avi", "2": "file:/v/a/2.avi", "3": "file:/v/z/3.mp4", "4": "file:/v/4.mp4"}
+    with pytest.raises(Exception, match="no video for 4"):
+        io.csv_samples(spark, str(tmp_path / "q.csv"), listing.where("path NOT LIKE '%4.mp4'"), "/v").collect()
+
+
+def test_named_samples(spark, tmp_path):
+    videos = [{"video_id": "10", "videoID": " ABC ", "domain": " ", "questions": [{"question_id": "10-2", "question": "q", "options": "[A. x\nB. y]", "task_type": "t", "answer": "A"}, {"question_id": "10-1", "question": "q", "options": ["x"]}]}, {"video_id": "9", "videoID": "mapped", "duration": "short", "questions": [{"question_id": "9-1", "question": "q", "options": ["x"], "response": "B"}]}]
+    (tmp_path / "n.json").write_text(json.dumps(videos))
+    questions = io.nested_questions(spark, str(tmp_path / "n.json"))
+    listing = paths_of(spark, "/v/b/abc.mp4", "/v/A/Abc.webm", "/v/other.mkv")
+    names = spark.createDataFrame([("mapped", "/data/clips/OTHER.mp4"), ("unused", "x")], "video string, file_name string")
+    got = io.named_samples(questions, listing, names).collect()
+    assert [(r["question_id"], r["video_path"], r["duration"], r["domain"]) for r in got] == [("9-1", "/v/other.mkv", "short", None), ("10-1", "/v/A/Abc.webm", None, None), ("10-2", "/v/A/Abc.webm", None, None)]
+    with pytest.raises(Exception, match="no video for mapped"):
+        io.named_samples(questions, listing).collect()
+    (tmp_path / "e.json").write_text(json.dumps([{"video_id": "1", "questions": []}]))
+    with pytest.raises(Exception, match="without questions"):
+        io.nested_questions(spark, str(tmp_path / "e.json")).collect()
+
+
+def test_task_samples(spark, tmp_path):
+    item = lambda v: {"video": v, "question": "q", "candidates": ["Up", "Down"], "answer": "down"}
+    (tmp_path / "move.json").write_text(json.dumps([item("a.mp4"), item("twice.mp4"), item("clip.mp4")]))
+    listing = spark.createDataFrame([("/v/a.mp4", "a.mp4", True), ("/v/x/twice.mp4", "x/twice.mp4", True), ("/v/y/twice.mp4", "y/twice.mp4", True), ("/v/clip_1.0_2.5.mp4", "clip_1.0_2.5.mp4", True)], "path string, rel_path string, is_file boolean")
+    got = io.task_samples(spark, str(tmp_path), listing).collect()
+    assert {(r["video"], r["video_path"], r["ground_truth"]) for r in got} == {("a.mp4", "/v/a.mp4", 1), ("clip.mp4", "/v/clip_1.0_2.5.mp4", 1)}
+    with pytest.raises(Exception, match="no video clip.mp4"):
+        io.task_samples(spark, str(tmp_path), listing.where("path NOT LIKE '%clip%'")).collect()
+    assert io.task_samples(spark, str(tmp_path), listing.where("path NOT LIKE '%clip%'"), skip_missing=True).count() == 1
+    (tmp_path / "move.json").write_text(json.dumps([item(" ")]))
+    with pytest.raises(Exception, match="invalid sample of move"):
+        io.task_samples(spark, str(tmp_path), listing).collect()
+
+
+def test_frame_folders(spark, tmp_path):
+    for folder, names in (("fps2/one", ["f10.jpg", "f9.jpg", "f1.PNG", "note.txt"]), ("two", ["0.jpeg"])):
+        (tmp_path / folder).mkdir(parents=True)
+        for n in names:
+            (tmp_path / folder / n).write_bytes(b"x")
+    got = io.frame_folders(spark, str(tmp_path)).collect()
+    place = {r["path"].split("/")[-1]: (r["frame_index"], r["fps"]) for r in got}
+    assert place == {"f1.PNG": (0, 2.0), "f9.jpg": (1, 2.0), "f10.jpg": (2, 2.0), "0.jpeg": (0, 3.0)}
+    one = next(r["video_id"] for r in got if r["path"].endswith("f9.jpg"))
+    clips = spark.createDataFrame([(one, "c", 0.5, 1.0)], "video_id string, clip_id string, start double, end double")
+    assert sorted(r["path"].split("/")[-1] for r in io.frame_clips(spark, str(tmp_path), clips).collect()) == ["f10.jpg", "f9.jpg"]
