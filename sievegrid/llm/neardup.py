@@ -175,7 +175,8 @@ def link(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     rows = id_and_text(docs, id_col, text_col)
     every = stored(signatures(rows, s), "signatures")
     known = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "nodes")
+    of_copies = hot_keys(nodes, ["digest"], "copies", nodes.agg(F.sum("copies")).first()[0] or 0)  # texts with many copies are split in joins
 
     each = nodes.select("node", "n", F.explode("bands").alias("key"))
     sizes = stored(each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
@@ -198,7 +199,8 @@ def link(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     ids_repeat = not repeated.isEmpty()
     if ids_repeat:
         texts = every.join(small_side(repeated), "doc_id", "left_semi").select("doc_id", "digest").distinct()
-        links = links.unionByName(texts.join(nodes, "digest").select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
+        same = spread_join(texts.where("digest IS NOT NULL"), nodes.select("digest", "node"), ["digest"], hot=of_copies, by="doc_id")
+        links = links.unionByName(same.select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
     first = components(links)
 
     # the rest: members of a bucket outside the component of its hub, against all members of other components
@@ -220,7 +222,10 @@ def link(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     joined = components(links.unionByName(more_links)) if not more_links.isEmpty() else first
 
     classes = nodes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    found = every.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    # rows without words have no node, and take no part in the join
+    light = every.select("doc_id", "n_shingles", "digest")
+    wordless = light.where("digest IS NULL").withColumn("component", F.lit(None).cast("long"))
+    found = spread_join(light.where("digest IS NOT NULL"), classes, ["digest"], "left", of_copies, "doc_id").unionByName(wordless)
     if ids_repeat:  # rows without words have no node: they follow the rows with words that have their id
         of_ids = stored(joined.join(repeated, joined["node"] == repeated["doc_id"]).select("doc_id", F.col("component").alias("of_id")), "of-ids")
         found = found.join(small_side(of_ids), "doc_id", "left").withColumn("component", F.coalesce("component", "of_id"))
