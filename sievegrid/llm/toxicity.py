@@ -73,7 +73,19 @@ class Slots:
         return np.array(sorted({slot for word in words for slot in self.known[word]}), np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Machine:
+@dataclass(frozen=True)
+class Terms:
+    """Which terms take part: see LEAST_TEXTS, MOST_TERMS, ALONE, TOGETHER and PAIR_TERMS. With alone and together at 0, and most and
+    pairs at BUCKETS, all do that least_texts have."""
+
+    least_texts: int = LEAST_TEXTS
+    most: int = MOST_TERMS
+    alone: float = ALONE
+    together: float = TOGETHER
+    pairs: int = PAIR_TERMS
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, which: Terms = Terms()) -> Machine:
     """Learns from the documents of at most `sample_rows` labelled ids.
 
     Terms of whole texts are taken in Spark; the driver gets their bucket numbers only. Null texts have no terms; ids
@@ -89,10 +101,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
     sample = labelled_sample(docs, labels, label_col, id_col, text_col, sample_rows)
     got = sample.select("text", "label").mapInArrow(terms, "label int, terms binary").toPandas()
-    return train(got["label"].to_numpy(np.int64), [np.frombuffer(t, np.int32) for t in got["terms"]])
+    return train(got["label"].to_numpy(np.int64), [np.frombuffer(t, np.int32) for t in got["terms"]], which=which)
 
 
-def interactions(labels: np.ndarray, texts: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
+def interactions(labels: np.ndarray, texts: list[np.ndarray], terms: np.ndarray, least_texts: int = LEAST_TEXTS) -> np.ndarray:
     """Of each term the largest z-score of an interaction with another of `terms`: how far the rate of positives among
     texts with both is from what either alone changes, (both - one) - (other - neither)."""
     place = np.full(BUCKETS, -1)
@@ -114,31 +126,31 @@ def interactions(labels: np.ndarray, texts: list[np.ndarray], terms: np.ndarray)
     rates = [(k + 0.5) / (m + 1) for m, k in cells]
     error = np.sqrt(sum(p * (1 - p) / (m + 1) for p, (m, _) in zip(rates, cells, strict=True)))
     z = np.abs(rates[0] - rates[1] - rates[2] + rates[3]) / error
-    z[np.min([m for m, _ in cells], axis=0) < LEAST_TEXTS] = 0
+    z[np.min([m for m, _ in cells], axis=0) < least_texts] = 0
     return z.max(1, initial=0)
 
 
-def chosen_terms(labels: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+def chosen_terms(labels: np.ndarray, texts: list[np.ndarray], which: Terms = Terms()) -> np.ndarray:
     """Buckets of the terms that take part, ascending."""
     n, positives = len(labels), int(labels.sum())
     have = np.bincount(np.concatenate(texts), minlength=BUCKETS)
     have_positive = np.bincount(np.concatenate([t for t, y in zip(texts, labels, strict=True) if y]), minlength=BUCKETS)
     p, q, mean = have_positive / positives, (have - have_positive) / (n - positives), have / n
-    z = np.abs(p - q) / np.sqrt(mean * (1 - mean) * (1 / positives + 1 / (n - positives)) + 1e-12) / ALONE
+    z = np.abs(p - q) / np.sqrt(mean * (1 - mean) * (1 / positives + 1 / (n - positives)) + 1e-12) / max(which.alone, 1e-9)
     even = np.minimum(have, n - have)
-    looked = np.argsort(-even, kind="stable")[:PAIR_TERMS]
-    looked = looked[even[looked] >= LEAST_TEXTS]
-    z[looked] = np.maximum(z[looked], interactions(labels, texts, looked) / TOGETHER)
-    z[(have < LEAST_TEXTS) | (z < 1)] = 0
-    return np.sort(np.argsort(-z, kind="stable")[: min(MOST_TERMS, int((z > 0).sum()))])
+    looked = np.argsort(-even, kind="stable")[: which.pairs]
+    looked = looked[even[looked] >= which.least_texts]
+    z[looked] = np.maximum(z[looked], interactions(labels, texts, looked, which.least_texts) / max(which.together, 1e-9))
+    z[(have < which.least_texts) | (z < 1)] = 0
+    return np.sort(np.argsort(-z, kind="stable")[: min(which.most, int((z > 0).sum()))])
 
 
-def train(labels: np.ndarray, texts: list[np.ndarray], factors: int = FACTORS, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, most_dropped: float = 0.8, seed: int = 7) -> Machine:
+def train(labels: np.ndarray, texts: list[np.ndarray], factors: int = FACTORS, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, most_dropped: float = 0.8, seed: int = 7, which: Terms = Terms()) -> Machine:
     """Logistic loss, balanced classes, Adagrad over shuffled mini-batches of 64 texts."""
     n, positives = len(labels), int(labels.sum())
     if not positives or positives == n:
         return Machine(np.empty(0, np.int64), 0.0, np.zeros(0), np.zeros((0, factors)))
-    slots = chosen_terms(labels, texts)
+    slots = chosen_terms(labels, texts, which)
     slot_of = np.full(BUCKETS, -1)
     slot_of[slots] = np.arange(len(slots))
     rows = [s[s >= 0] for s in (slot_of[t] for t in texts)]

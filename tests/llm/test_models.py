@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -37,6 +38,39 @@ def test_quality_held_out(spark):
     assert np.mean([p == y for _, p, y in found]) > 0.9
 
 
+def test_pairs_add_to_the_linear_part(spark, tmp_path):
+    """Insults and mentions of groups, one or several, are both common in clean texts; toxic are the texts that have both. Through the query, on
+    held-out texts, the whole machine orders them better than its linear part."""
+    r = np.random.default_rng(8)
+    insults, groups, plain = ([f"{k}{chr(97 + i)}{chr(122 - i)}" for i in range(n)] for k, n in (("insult", 6), ("group", 6), ("word", 24)))
+    rows = []
+    for n in range(3000):
+        words = [str(w) for w in r.choice(plain, 30)]
+        has = r.random(2) < 0.45
+        words += [str(w) for x, h in zip((insults, groups), has, strict=True) if h for w in r.choice(x, r.integers(1, 5), replace=False)]
+        rows.append((n, " ".join(r.permutation(words)), int(has.all())))
+    docs = spark.createDataFrame([(n, t, "en", "s", len(t)) for n, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(n, 1, y) for n, _, y in rows], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    truth = {n: y for n, _, y in rows}
+    whole = [(x["score"], x["predicted"], truth[x["doc_id"]]) for x in queries.op2_toxicity(spark, str(tmp_path)).collect() if x["held_out"]]
+    machine = toxicity.fit(docs, labels.where(queries.remainder(3) != 1))
+    alone = toxicity.Machine(machine.slots, machine.bias, machine.linear, np.zeros_like(machine.factors))
+    linear = [(x["score"], None, truth[x["doc_id"]]) for x in toxicity.score(docs, alone).collect() if zlib.crc32(str(x["doc_id"]).encode()) % 3 == 1]
+    assert area(whole) > 0.98 and area(whole) > area(linear) + 0.01
+    assert np.mean([p == y for _, p, y in whole]) > 0.95
+
+
+def test_terms_by_parameters():
+    """Without thresholds all frequent terms take part."""
+    labels, texts = pair_task(lambda a, b: a & b, 400)
+    have = Counter(t for x in texts for t in x)
+    every = toxicity.chosen_terms(labels, texts, toxicity.Terms(least_texts=3, most=toxicity.BUCKETS, alone=0.0, together=0.0, pairs=400))
+    assert set(every) <= {t for t, n in have.items() if n >= 3} and len(every) > 250
+    assert len(toxicity.chosen_terms(labels, texts, toxicity.Terms(most=1))) == 1
+
+
 def pair_task(label, n=4000, seed=0):
     """Texts of two terms, 1 and 2, that are there or not, and noise; the label depends on the two."""
     r = np.random.default_rng(seed)
