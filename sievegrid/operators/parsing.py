@@ -11,6 +11,7 @@ from pyspark.sql.types import IntegerType
 
 from sievegrid.functions.text import FOLDED_LETTERS, match_text, option_letter
 
+#: What may stand before the symbol of an option; a fixed value.
 _CUE = r"\b(?:answer|option|choice)?\s*[:#\-]?\s*"
 
 
@@ -31,11 +32,12 @@ def letter_index(s: Column, n: Column, letters: str = "A-E") -> Column:
     return F.try_element_at(F.filter(F.transform(_hits(F.upper(s), letters), lambda c: F.ascii(c) - 65), lambda i: i < n), F.lit(1))
 
 
-def one_based_index(s: Column, n: Column) -> tuple[Column, Column]:
-    """(index, method) of the first digit that is a place counted from 0, or else from 1."""
+def one_based_index(s: Column, n: Column) -> Column:
+    """struct(index, method) of the first digit that is a place counted from 0, or else from 1; nulls without one."""
     hits = F.filter(F.transform(_hits(s, "0-9"), lambda d: d.cast("int")), lambda i: i <= n)
-    first = F.try_element_at(hits, F.lit(1))
-    return F.when(first < n, first).otherwise(first - 1), F.when(first < n, F.lit("index_regex")).when(first.isNotNull(), F.lit("one_based_index_regex"))
+    first = F.array(F.try_element_at(hits, F.lit(1)))  # a variable of the function below: looked for once
+    method = lambda i: F.when(i < n, F.lit("index_regex")).when(i.isNotNull(), F.lit("one_based_index_regex"))
+    return F.transform(first, lambda i: F.struct(F.when(i < n, i).otherwise(i - 1).alias("index"), method(i).alias("method")))[0]
 
 
 def substring_index(s: Column, options: Column) -> Column:
@@ -83,8 +85,9 @@ def parse_letter_first(rows: DataFrame, response: str = "response", options: str
     raw_unparsed: an unparsed response is its own letter, an empty one ''; else both are null.
     """
     s, o = F.coalesce(F.col(response), F.lit("")), F.col(options)
-    place, how = one_based_index(s, F.size(o))
-    df = rows.withColumn("_l", letter_index(s, F.size(o), letters)).withColumn("_i", place).withColumn("_m", how).withColumn("_s", substring_index(s, o))
+    # one row of one array: what the stages find is worked out once, however often it is named below
+    stages = F.struct(letter_index(s, F.size(o), letters).alias("_l"), one_based_index(s, F.size(o)).alias("_d"), substring_index(s, o).alias("_s"))
+    df = rows.select("*", F.inline(F.array(stages))).withColumns({"_i": F.col("_d.index"), "_m": F.col("_d.method")}).drop("_d")
     empty = F.trim(s) == ""
     df = df.withColumn("prediction", F.when(~empty, F.coalesce("_l", "_i", "_s")).cast("long"))
     df = df.withColumn("parse_method", F.when(empty, "empty_response").when(F.col("_l").isNotNull(), "letter_regex").when(F.col("_i").isNotNull(), F.col("_m")).when(F.col("_s").isNotNull(), "substring_match").otherwise("raw_response"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions.vectors import noisy, unit
-from sievegrid.operators import budget, diagnostics, grid, patches, ranking, registry, sampling, selectors, tokens  # noqa: F401  selectors registers itself
+from sievegrid.operators import budget, diagnostics, grid, maps, patches, ranking, registry, sampling, selectors, tokens  # noqa: F401  selectors registers itself
 from sievegrid.plans.registry import query
 from sievegrid.sources import canonical
 
@@ -540,9 +540,15 @@ def clip_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.clip(frames.drop("ts"), clips)
 
 
+def _mapped(spark: SparkSession, sf_dir: str, matrix, columns: int) -> DataFrame:
+    """The cells of each frame's map of 8 by 8, after the matrix."""
+    found = maps.transformed(canonical.frames(spark, sf_dir).select("video_id", "t", F.col("emb").alias("map")), matrix)
+    return rounded(maps.cells(found, columns, ["video_id", "t"]), "score")
+
+
 @query(f"WITH {SCORE} SELECT video_id, t, y // 2 AS y, x // 2 AS x, round(avg(score), 6) AS score FROM score GROUP BY ALL")
 def block_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grid.block_pool(canonical.scores(canonical.frames(spark, sf_dir)), 2), "score")
+    return _mapped(spark, sf_dir, maps.block_matrix((8, 8), 2), 4)
 
 
 AXIS = """src AS (SELECT i, greatest((i + 0.5::DOUBLE) * 8 / 12 - 0.5, 0) AS p FROM range(12) AS r(i)), lo AS (SELECT i, floor(p)::BIGINT AS k, p - floor(p) AS f FROM src),
@@ -551,7 +557,7 @@ AXIS = """src AS (SELECT i, greatest((i + 0.5::DOUBLE) * 8 / 12 - 0.5, 0) AS p F
 
 @query(f"WITH {SCORE}, {AXIS} SELECT video_id, t, a.i AS y, b.i AS x, round(sum(score * a.w * b.w), 6) AS score FROM score JOIN axis a ON a.k = y JOIN axis b ON b.k = x GROUP BY ALL")
 def bilinear_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grid.bilinear(canonical.scores(canonical.frames(spark, sf_dir)), (8, 8), (12, 12)), "score")
+    return _mapped(spark, sf_dir, maps.bilinear_matrix((8, 8), (12, 12)), 12)
 
 
 WINDOW = SCORE + ", win AS (SELECT video_id, t, wy AS y, wx AS x, avg(score) AS score FROM score, range(3) AS a(wy), range(3) AS b(wx) WHERE y BETWEEN wy * 2 AND wy * 2 + 2 AND x BETWEEN wx * 2 AND wx * 2 + 2 GROUP BY ALL)"
@@ -559,12 +565,12 @@ WINDOW = SCORE + ", win AS (SELECT video_id, t, wy AS y, wx AS x, avg(score) AS
 
 @query(f"WITH {WINDOW} SELECT video_id, t, y, x, round(score, 6) AS score FROM win")
 def window_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grid.window_pool(canonical.scores(canonical.frames(spark, sf_dir)), (8, 8), 3, 2), "score")
+    return _mapped(spark, sf_dir, maps.window_matrix((8, 8), 3, 2), 3)
 
 
 @query(f"WITH {WINDOW} SELECT video_id, t, (y * 2 + dy) // 2 AS y, (x * 2 + dx) // 2 AS x, round(sum(score) / count(*), 6) AS score FROM win, range(3) AS a(dy), range(3) AS b(dx) GROUP BY 1, 2, 3, 4")
 def overlap_add_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grid.merged(canonical.scores(canonical.frames(spark, sf_dir)), (8, 8), "sliding_window", 2, 3, 2), "score")
+    return _mapped(spark, sf_dir, maps.merge_matrix((8, 8), "sliding_window", 2, 3, 2), 4)
 
 
 @query(f"""WITH {TOKEN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id, t ORDER BY score DESC, token) AS n FROM token)
