@@ -517,11 +517,14 @@ def smart_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.table(spark, sf_dir, "part").select("p_partkey", h.alias("out_height"), w.alias("out_width"))
 
 
-@query(f"""WITH {SCORE}, n AS (SELECT video_id, count(*) // 2 * 2 AS n FROM frame GROUP BY ALL) SELECT video_id, t // 2 AS t, y, x, round(avg(score), 6) AS score FROM score JOIN n USING (video_id) WHERE t < n GROUP BY ALL""")
+@query(f"""WITH {SCORE}, n AS (SELECT video_id, count(*) AS n FROM frame GROUP BY ALL),
+    even AS (SELECT * FROM score UNION ALL SELECT video_id, t + 1, y, x, score FROM score JOIN n USING (video_id) WHERE n % 2 = 1 AND t = n - 1)
+    SELECT video_id, t // 2 AS t, y, x, round(avg(score), 6) AS score FROM even GROUP BY ALL""")
 def temporal_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of frames; of a video with an odd number the last one is left out first."""
-    frames = canonical.frames(spark, sf_dir)
-    even = frames.withColumn("n", F.floor(F.count("*").over(Window.partitionBy("video_id")) / 2) * 2).where("t < n").drop("n")
+    """Pairs of frames; the last one of a video with an odd number comes twice, so that every step has its frames."""
+    sized = canonical.frames(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("video_id")))
+    last = (F.col("n") % 2 == 1) & (F.col("t") == F.col("n") - 1)
+    even = sized.withColumn("t", F.explode(F.when(last, F.array("t", F.col("t") + 1)).otherwise(F.array("t")))).drop("n")
     return rounded(sampling.align(canonical.scores(even), 2), "score")
 
 
