@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sievegrid.llm import divergence, prefix_trie, queries, suffix_dedup
+from sievegrid.llm import common, divergence, prefix_trie, queries, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -114,6 +114,25 @@ def test_removal(spread, length, head, batches, piece):
     assert sum(x[1] > 0 for x in got.values()) > 20
 
 
+@pytest.fixture()
+def all_hot(monkeypatch):
+    """Every key that two rows have counts as hot, and no side is small."""
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
+
+
+def test_hot_keys_are_split(all_hot, spark, talks):
+    """Copies, a passage that all texts share, and conversations that begin alike: the same results as without hot keys."""
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(60))
+    texts = ["".join(r.choice("ijklmnop ") for _ in range(r.randint(0, 30))) + passage + str(n) for n in range(30)] + [passage * 2] * 12
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x[0]: tuple(x[1:]) for x in suffix_dedup.remove_repeats(df, suffix_dedup.Settings(20, 8, 2, 4)).collect()}
+    assert got == dict(enumerate(plain_removal(texts, 20)))
+    rows = spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").repartition(3)
+    assert Counter(tuple(x) for x in prefix_trie.trie(rows, prefix_trie.Settings((2, 3))).collect()) == plain_trie(talks, False)
+
+
 def test_removal_of_messy_rows(docs, messy, no_docs):
     """Rows without an id and repeated rows are texts of their own."""
     got = suffix_dedup.remove_repeats(docs)
