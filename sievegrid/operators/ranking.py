@@ -42,9 +42,11 @@ def with_query_scores(frames: DataFrame, queries: DataFrame, how: str = "max", e
 def with_own_query_scores(frames: DataFrame, queries: DataFrame) -> DataFrame:
     """frames (video_id, emb and more) with score: the best cosine with the queries (video_id, query) of the frame's own video,
     null without any. A video has at most MOST_QUERIES, more are an error."""
-    few = queries.groupBy("video_id").agg(F.count("*").alias("_n"), F.collect_list(unit(F.col("query"))).alias("_all"))
-    checked = F.when(F.col("_n") <= MOST_QUERIES, F.col("_all")).otherwise(F.raise_error(F.lit("too many queries")).cast("array<array<double>>"))
-    rows = frames.withColumn("_unit", unit(F.col("emb"))).join(few.select("video_id", checked.alias("_all")), "video_id", "left")
+    sizes = queries.groupBy("video_id").agg(F.count("*").alias("_n"))
+    fits = F.when(F.col("_n") <= MOST_QUERIES, F.col("query")).otherwise(F.raise_error(F.lit("too many queries")).cast(queries.schema["query"].dataType))
+    # counted before any task gathers them
+    few = queries.join(sizes, "video_id").select("video_id", fits.alias("query")).groupBy("video_id").agg(F.collect_list(unit(F.col("query"))).alias("_all"))
+    rows = frames.withColumn("_unit", unit(F.col("emb"))).join(few, "video_id", "left")
     return rows.withColumn("score", F.array_max(F.transform("_all", lambda q: dot(F.col("_unit"), q)))).drop("_unit", "_all")
 
 
