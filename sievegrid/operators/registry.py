@@ -106,3 +106,43 @@ def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _with_features(rows: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
     mine = rows.select(*keys, F.col("position").cast("long").alias("position"), F.col("index").cast("long").alias("index"))
     return mine.join(tokens.select(*keys, F.col("index").cast("long").alias("index"), "feature"), [*keys, "index"], "left").select(*keys, "position", "index", "feature")
+
+
+def call_frames(name: str, frames: DataFrame, keys: list[str], **parameters: object) -> DataFrame:
+    """The frames (keys, t and more) that a selector keeps, in the form of normalised_frames(), whatever it returns."""
+    return normalised_frames(raw_call(name, frames, **parameters), frames, keys)
+
+
+def normalised_frames(output: object, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, position, num_frames and the columns of frames (keys, t and more) of what a selector of frames returned.
+
+    Forms: None: no frames. A list of whole numbers: these t, in each group, in this order, repeats included. A DataFrame: rows (keys, t), in
+    order of its position if it has one, else of t; a mapping or an object with `frames`, which is a list or a DataFrame of
+    such rows. A frame that isn't there is an error.
+    """
+    if isinstance(output, Mapping):
+        output = output.get("frames")
+    elif output is not None and not isinstance(output, DataFrame | Sequence):
+        if not hasattr(output, "frames"):
+            raise TypeError(f"a selector of frames can't return {type(output).__name__}")
+        output = output.frames
+    if output is None:
+        rows = frames.limit(0).select(*keys, F.lit(0).cast("long").alias("position"), "t")
+    elif isinstance(output, DataFrame):
+        if "t" not in output.columns:
+            raise TypeError("a selector's frames must have t")
+        order = "position" if "position" in output.columns else "t"
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+        rows = output.select(*keys, place.cast("long").alias("position"), "t")
+    elif not isinstance(output, str) and all(isinstance(x, int) for x in output):
+        if len(output) > MOST_INDICES:
+            raise ValueError(f"more than {MOST_INDICES} frames in a list: return rows instead")
+        listed = F.posexplode(F.lit(list(output)) if output else F.array().cast("array<int>")).alias("position", "t")
+        rows = frames.select(*keys).distinct().select(*keys, listed).withColumn("position", F.col("position").cast("long"))
+    else:
+        raise TypeError(f"a selector of frames can't return {type(output).__name__}")
+    there = frames.withColumn("_there", F.lit(True))
+    joined = rows.withColumn("t", F.col("t").cast("long")).join(there, [*keys, "t"], "left")
+    missing = F.raise_error(F.concat(F.lit("no frame "), F.col("t").cast("string"))).cast("long")
+    checked = joined.withColumn("position", F.when(F.col("_there"), F.col("position")).otherwise(missing)).where("position >= 0").drop("_there")
+    return checked.withColumn("num_frames", F.count("*").over(Window.partitionBy(*keys)))

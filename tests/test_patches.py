@@ -128,3 +128,21 @@ def test_call_tokens(tokens):
     registry.selector("none_at_all")(lambda tokens: None)
     assert registry.call_tokens("first_token", tokens, ["video_id"], n=2, unknown=3).count() == 4
     assert registry.call_tokens("none_at_all", tokens, ["video_id"]).count() == 6
+
+
+def test_frame_selector_forms(spark):
+    frames = spark.createDataFrame([(v, t, f"{v}-{t}") for v in (1, 2) for t in range(4)], "video_id long, t long, image string")
+    keys = ["video_id"]
+    rows = lambda x: sorted((r["video_id"], r["position"], r["t"], r["image"], r["num_frames"]) for r in registry.normalised_frames(x, frames, keys).collect())
+    assert rows(None) == rows({"frames": None}) == rows([]) == []
+    assert rows([3, 0, 3]) == rows({"frames": [3, 0, 3], "note": 1}) == [(v, p, t, f"{v}-{t}", 3) for v in (1, 2) for p, t in enumerate((3, 0, 3))]
+    some = spark.createDataFrame([(1, 2, 5), (1, 0, 9)], "video_id long, t long, position long")
+    assert rows(some) == [(1, 0, 2, "1-2", 2), (1, 1, 0, "1-0", 2)]
+    assert rows(some.drop("position")) == [(1, 0, 0, "1-0", 2), (1, 1, 2, "1-2", 2)]
+    with pytest.raises(Exception, match="no frame 4"):
+        rows([4])
+    for wrong in ("abc", 3, frames.select("video_id")):
+        with pytest.raises(TypeError):
+            registry.normalised_frames(wrong, frames, keys)
+    registry.selector("first_frame")(lambda frames: [0])
+    assert registry.call_frames("first_frame", frames, keys).count() == 2
