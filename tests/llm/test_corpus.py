@@ -1,4 +1,4 @@
-"""Prefix trie, suffix arrays and source divergence against plain versions."""
+"""Prefix trie, suffix arrays and source divergence against plain versions; test_documents.py compares their queries with SQL."""
 
 import hashlib
 import random
@@ -6,13 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sievegrid.llm import common, divergence, prefix_trie, queries, suffix_dedup
+from sievegrid.llm import common, divergence, prefix_trie, suffix_dedup
 
-SF = "/root/testdata/sf0.001"
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -24,18 +22,6 @@ def spread(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.mark.parametrize(("name", "sql"), [("op11_prefix_trie", queries.OP11_SQL), ("op12_suffix_dedup", queries.OP12_SQL), ("op13_source_divergence", queries.OP13_SQL)])
-def test_queries_match_sql(spark, name, sql):
-    con = duckdb.connect()
-    for t in ("documents", "conversations"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got = queries.QUERIES[name](spark, SF)
-    expected = con.execute(sql).fetchall()
-    names = [c[0] for c in con.description]
-    assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter(expected)
-    assert len(got.columns) == len(names)
-
-
 def plain_trie(rows, graft):
     """Every beginning of every conversation as a tuple."""
     own = defaultdict(list)

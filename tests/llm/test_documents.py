@@ -130,7 +130,7 @@ def test_components(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.01/{table}.parquet'")
     expected = con.execute(queries.ORACLES[name])
     columns = sorted(c[0] for c in expected.description)

@@ -147,7 +147,7 @@ def plain_machine(labels, rows, k, factors, epochs, seed, rate=0.1, decay=1e-4,
 
 
 def test_training_by_loops(monkeypatch):
-    monkeypatch.setattr(toxicity, "chosen_terms", lambda labels, texts: np.arange(1, 7))
+    monkeypatch.setattr(toxicity, "chosen_terms", lambda labels, texts, which: np.arange(1, 7))
     r = np.random.default_rng(5)
     texts = [1 + np.flatnonzero(r.random(7) < 0.5) for _ in range(150)]  # the seventh term isn't chosen
     labels = np.array([int((1 in t) != (2 in t)) for t in texts])
