@@ -42,9 +42,11 @@ def one_based_index(s: Column, n: Column) -> Column:
 
 def substring_index(s: Column, options: Column) -> Column:
     """First option that holds the response or is held by it, in match_text() form; an empty response is held by all."""
-    r = match_text(s)
-    held = F.transform(options, lambda o: (match_text(o) != "") & (F.contains(r, match_text(o)) | F.contains(match_text(o), r)))
-    return F.nullif(F.array_position(held, True) - 1, F.lit(-1)).cast("int")
+    # one element of one array: texts are reduced once, however many options there are
+    reduced = F.array(F.struct(match_text(s).alias("r"), F.transform(options, match_text).alias("o")))
+    held = lambda x: F.transform(x["o"], lambda o: (o != "") & (F.contains(x["r"], o) | F.contains(o, x["r"])))
+    place = F.transform(reduced, lambda x: F.array_position(held(x), True))[0]
+    return F.nullif(place - 1, F.lit(-1)).cast("int")
 
 
 def parse_index_first(rows: DataFrame, response: str = "response", options: str = "options", fuzzy: bool = False) -> DataFrame:

@@ -17,12 +17,12 @@ from sievegrid.operators.ranking import MOST_QUERIES
 
 def _query_matrix(queries: DataFrame) -> np.ndarray:
     """The queries (query_idx, query) in order, one a row: MOST_QUERIES at most, more are an error."""
-    rows = queries.select("query_idx", F.col("query").cast("array<double>").alias("query")).orderBy("query_idx").limit(MOST_QUERIES + 1).collect()
+    rows = queries.select("query_idx", F.col("query").cast("array<double>").alias("query")).limit(MOST_QUERIES + 1).collect()
     if len(rows) > MOST_QUERIES:
         raise ValueError("too many queries")
     if not rows:
         raise ValueError("no queries")
-    return np.array([r["query"] for r in rows], float)
+    return np.array([r["query"] for r in sorted(rows, key=lambda r: r["query_idx"])], float)
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
@@ -71,6 +71,14 @@ def patch_scores(frames: DataFrame, queries: DataFrame, how: str | None = "max",
     return frames.select(*kept, F.col(patches).cast("array<array<double>>").alias(patches)).mapInArrow(rows, schema)
 
 
+def best_queries(maps: Column, digits: int = 9) -> Column:
+    """Of maps, one a query as patch_scores() gives them: for each patch struct(score, query_idx) of the query with the highest
+    score, the first on ties; scores count to so many digits. Frames stay in their rows."""
+    at = lambda k: F.array_max(F.transform(maps, lambda m, i: F.struct(F.round(F.get(m, k), digits).alias("score"), (-i).alias("q"))))
+    found = F.transform(F.sequence(F.lit(0), F.size(F.get(maps, F.lit(0))) - 1), at)
+    return F.transform(found, lambda x: F.struct(x["score"].alias("score"), (-x["q"]).cast("long").alias("query_idx")))
+
+
 def content_keys(frames: DataFrame, settings: dict[str, object], queries: DataFrame, also: list[Column] | None = None) -> DataFrame:
     """video_id, frame_count, cache_key: what scores of the video depend on: its frames (video_id, t, emb, whatever their order),
     the queries, settings (model, aggregation, grid and the like), and columns of the video that differ from one to the other."""

@@ -146,9 +146,11 @@ def blocks(frames: DataFrame, scale: float) -> DataFrame:
 
     Its dot product with a query is the block's part of the frame's, a stand-in for a patch's similarity with the query.
     """
-    block = lambda i: F.floor(i / 16) * 4 + F.floor(i % 8 / 2)
-    own = lambda k: F.transform("emb", lambda v, i: F.when(block(i) == k, v * scale).otherwise(0.0))
-    return frames.withColumn("patches", F.transform(F.sequence(F.lit(0), F.lit(15)), own))
+    zeros = lambda n: [F.array_repeat(F.lit(0.0), n)] if n else []
+    scaled = frames.withColumn("_e", F.transform("emb", lambda v: v * scale))
+    at = [k // 4 * 16 + k % 4 * 2 for k in range(16)]
+    own = lambda i: F.concat(*zeros(i), F.slice("_e", i + 1, 2), *zeros(6), F.slice("_e", i + 9, 2), *zeros(54 - i))
+    return scaled.withColumn("patches", F.array(*[own(i) for i in at])).drop("_e")
 
 
 def query_maps(spark: SparkSession, sf_dir: str, noise: float = 0.0) -> DataFrame:
@@ -302,7 +304,9 @@ WINNER = f"""WITH {FRAME}, q AS (SELECT vec_id AS query_idx, embedding::DOUBLE[]
 
 @query(f"{WINNER} SELECT video_id, t, y, x, query_idx, round(score, 6) AS score FROM best WHERE n = 1")
 def patch_query_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grid.query_winner(query_cells(spark, sf_dir), ["video_id", "t", "y", "x"]), "score")
+    found = patches.patch_scores(blocks(canonical.frames(spark, sf_dir), 0.25).select("video_id", "t", "patches"), canonical.queries(spark, sf_dir), None, out="maps", cosine=False)
+    each = found.select("video_id", "t", F.posexplode(patches.best_queries(F.col("maps"))).alias("k", "b"))
+    return rounded(each.select("video_id", "t", F.floor(F.col("k") / 4).alias("y"), (F.col("k") % 4).cast("long").alias("x"), "b.query_idx", "b.score"), "score")
 
 
 @query(f"{WINNER} SELECT video_id, t, y, x, (y + x) % 2 = 0 AS selected, round(score, 6) AS score, CASE WHEN query_idx < 2 THEN 'q' || query_idx || ': vector ' || query_idx ELSE 'n/a' END AS label FROM best WHERE n = 1")

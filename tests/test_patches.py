@@ -36,6 +36,12 @@ def test_patch_scores(views, words, cosine):
     assert patches.patch_scores(views.limit(0), words).count() == 0
 
 
+def test_best_queries(spark):
+    maps = spark.createDataFrame([(1, [[0.1, 0.5, 0.2], [0.3, 0.5, 0.1]])], "t long, maps array<array<double>>")
+    got = {r["t"]: [(x["query_idx"], x["score"]) for x in r["b"]] for r in maps.select("t", patches.best_queries(F.col("maps")).alias("b")).collect()}
+    assert got == {1: [(1, 0.3), (0, 0.5), (0, 0.2)]}
+
+
 def test_patch_scores_are_checked(spark, views, words, monkeypatch):
     with pytest.raises(Exception, match="dimensions"):
         patches.patch_scores(views, words.withColumn("query", F.slice("query", 1, 4))).collect()
