@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ HOT_ROWS = 1000
 #: Bytes of texts that a Python worker gets at a time.
 BATCH_BYTES = 8 << 20
 _ROOTS: set[str] = set()
+#: Tables that the innermost settled() of this thread has written so far.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def work_folder(spark: SparkSession, name: str = "work") -> str:
@@ -51,11 +55,34 @@ def remove(spark: SparkSession, root: str) -> None:
 def stored(df: DataFrame, name: str = "work", partition_by: list[str] | None = None) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: its lineage ends there."""
     path = work_folder(df.sparkSession, name)
+    written = _WRITTEN.get()
+    if written is not None:
+        written.append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.option("compression", "zstd").parquet(path)  # unlike snappy it keeps no direct buffers, which outlive a task
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str = "work") -> DataFrame:
+    """make(), stored; the tables that it stores on its way are deleted, also if it fails.
+
+    Only the result outlives the call, so a driver that runs many operators holds the results of these and no more.
+    Calls may lie within each other: the result of an inner one is a table on the way of the outer one.
+    """
+    written: list[str] = []
+    token = _WRITTEN.set(written)
+    try:
+        result = make()
+        _WRITTEN.reset(token)
+        token = None
+        return stored(result, name)
+    finally:
+        if token is not None:
+            _WRITTEN.reset(token)
+        for path in written:
+            remove(spark, path)
+
+
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows (counted here unless given), else df: the join then shuffles."""
     n = df.count() if rows is None else rows

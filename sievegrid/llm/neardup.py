@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.common import fresh, hot_keys, id_and_text, small_side, spread_join, stored
+from sievegrid.llm.common import fresh, hot_keys, id_and_text, settled, small_side, spread_join, stored
 from sievegrid.llm.graph import components
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -170,9 +170,12 @@ def link(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     no shingles and are linked with nothing. Rows that repeat an id count as one document: equal or not, they share
     a component. Rows without an id are linked with nothing, have a null component and are kept. Very long texts are
     read whole: their sets of shingles are compared whole. An empty table gives no rows; other columns are not read.
+    The rows are stored; the tables that led to them (signatures, buckets, sets) are deleted before they are returned.
     """
-    s = settings
-    rows = id_and_text(docs, id_col, text_col)
+    return settled(docs.sparkSession, lambda: _linked_rows(id_and_text(docs, id_col, text_col), settings), "components")
+
+
+def _linked_rows(rows: DataFrame, s: Settings) -> DataFrame:
     every = stored(signatures(rows, s), "signatures")
     known = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "nodes")
@@ -243,11 +246,11 @@ def keep(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     doc_id = F.col(id_col).cast("long")
     row, gone_, id_, first_ = fresh(docs, "_row", "_gone", "_id", "_first")
     if docs.where(doc_id.isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
-        found = stored(link(docs, settings, id_col, text_col).select("doc_id", "kept"), "kept")
+        found = link(docs, settings, id_col, text_col)
         gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(gone_))
         return docs.join(small_side(gone), doc_id == F.col(gone_), "left_anti")
     rows = stored(docs.where(doc_id.isNotNull()).orderBy(doc_id, text_col).withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = stored(link(rows, settings, row, text_col), "kept")
+    found = link(rows, settings, row, text_col)
     wordless = found.where("n_shingles = 0").select(F.col("doc_id").alias(row)).join(rows.select(row, doc_id.alias(id_)), row)
     first = wordless.groupBy(id_).agg(F.min(row).alias(first_))
     again = wordless.join(first, id_).where(F.col(row) > F.col(first_)).select(row)

@@ -95,7 +95,7 @@ def judge(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", tex
     and fails; a null host is a host of its own; rows without an id and repeated rows are judged each; an empty
     table gives no rows; other columns are not read.
     """
-    judged, _ = _judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), _host(host_col).alias("host"), text_or_empty(text_col).alias("text")), least, share, left)
+    judged = _judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), _host(host_col).alias("host"), text_or_empty(text_col).alias("text")), least, share, left)
     return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "n_words_left", "kept")
 
 
@@ -108,28 +108,45 @@ def _verdict_key(host_col: str, text_col: str) -> Column:
     return F.unhex(F.sha2(F.concat_ws("\0", F.hex(_host(host_col)), text_or_empty(text_col)), 256))
 
 
-def _judged(rows: DataFrame, least: int, share: float, left: float) -> tuple[DataFrame, DataFrame]:
-    """rows (host, text and more) with their verdicts instead of texts, and the lines above the limits (host, hash)."""
+def _judged(rows: DataFrame, least: int, share: float, left: float) -> DataFrame:
+    """rows (host, text and more) with their verdicts instead of texts; _hits: hashes of their lines above the limits, null without any.
+    A row has at most as many hits as lines."""
     found = with_counts(rows.withColumn("content", F.xxhash64("text"))).drop("text")
     counts = stored(found.withColumn("row", F.monotonically_increasing_id()), "line-hashes")
     each = counts.select("row", "host", "content", F.inline("_lines"))
     hosts = counts.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("documents"))
     frequent = stored(frequent_lines(each.select("host", "hash", "content"), hosts, least, share), "frequent-lines")
-    removed = each.select("row", "host", "hash", "words").join(small_side(frequent), ["host", "hash"]).groupBy("row").agg(F.sum("words").alias("removed"))
+    removed = each.select("row", "host", "hash", "words").join(small_side(frequent), ["host", "hash"]).groupBy("row").agg(F.sum("words").alias("removed"), F.collect_set("hash").alias("_hits"))
     judged = counts.drop("_lines").join(removed, "row", "left").withColumn("n_words_left", F.col("_n_words") - F.coalesce("removed", F.lit(0))).withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= left * F.col("_n_words"))), frequent
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= left * F.col("_n_words")))
 
 
 def keep(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE, left: float = WORDS_LEFT) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns and their whole texts. Cases as in judge()."""
-    return _kept(docs, host_col, text_col, least, share, left)[0]
+    return _kept_with_hits(docs, host_col, text_col, least, share, left)[0].select(*docs.columns)
 
 
-def _kept(docs: DataFrame, host_col: str, text_col: str, least: int, share: float, left: float) -> tuple[DataFrame, DataFrame]:
-    judged, frequent = _judged(docs.select(_verdict_key(host_col, text_col).alias("key"), _host(host_col).alias("host"), text_or_empty(text_col).alias("text")), least, share, left)
-    (name,) = fresh(docs, "_rejected")
-    rejected = stored(judged.where(~F.col("kept")).select(F.col("key").alias(name)).distinct(), "rejected")
-    return docs.join(small_side(rejected), _verdict_key(host_col, text_col) == F.col(name), "left_anti"), frequent
+def _kept_with_hits(docs: DataFrame, host_col: str, text_col: str, least: int, share: float, left: float | None) -> tuple[DataFrame, str]:
+    """The rows of docs that judge() keeps (all of them if left is None), and the name of a column with the hashes of their own
+    lines above the limits, null without any.
+
+    Verdicts and hits depend on host and text alone, so only the texts that are rejected or have hits meet the rows, in one join.
+    """
+    judged = _judged(docs.select(_verdict_key(host_col, text_col).alias("key"), _host(host_col).alias("host"), text_or_empty(text_col).alias("text")), least, share, left or 0.0)
+    on, stays, hits = fresh(docs, "_on", "_stays", "_hits")
+    of_text = judged.select(F.col("key").alias(on), (F.lit(True) if left is None else F.col("kept")).alias(stays), F.col("_hits").alias(hits))
+    known = stored(of_text.where(~F.col(stays) | F.col(hits).isNotNull()).dropDuplicates([on]), "verdicts")
+    # a row counts as one and as its hits, for these are what a broadcast carries
+    size = known.agg(F.sum(1 + F.coalesce(F.size(hits), F.lit(0)))).first()[0] or 0
+    joined = docs.join(small_side(known, size), _verdict_key(host_col, text_col) == F.col(on), "left")
+    return joined.where(F.coalesce(stays, F.lit(True))).drop(on, stays), hits
+
+
+def _cleaned(text_col: str, hits: str) -> Column:
+    """The text less the lines whose hashes are among its hits."""
+    line_hash = lambda x: F.xxhash64(F.btrim(F.lower(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " "))))
+    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(hits, line_hash(x))), "\n")
+    return F.when(F.col(hits).isNull(), F.col(text_col)).otherwise(rest)
 
 
 def keep_cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", chars_col: str = "n_chars", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE, left: float = WORDS_LEFT) -> DataFrame:
@@ -137,9 +154,9 @@ def keep_cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "tex
 
     chars_col takes the length of each text that loses lines; everything else stays. Cases as in judge().
     """
-    kept, frequent = _kept(docs, host_col, text_col, least, share, left)
-    (name,) = fresh(docs, "_cleaned")
-    cleaned = _with_cleaned(kept, frequent, host_col, text_col, name)
+    kept, hits = _kept_with_hits(docs, host_col, text_col, least, share, left)
+    (name,) = fresh(kept, "_cleaned")
+    cleaned = kept.withColumn(name, _cleaned(text_col, hits))
     lost = F.col(name) != F.col(text_col)
     chars = F.when(lost, F.char_length(name)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)
     return cleaned.select(*[chars.alias(c) if c == chars_col else F.col(name).alias(c) if c == text_col else F.col(c) for c in docs.columns])
@@ -147,21 +164,5 @@ def keep_cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "tex
 
 def without_frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE) -> DataFrame:
     """docs with `text_col` less the lines above the limits; all rows and columns stay, null text stays null."""
-    rows = docs.select(_host(host_col).alias("host"), text_or_empty(text_col).alias("text"))
-    _, frequent = _judged(rows, least, share, 0.0)
-    (name,) = fresh(docs, "_cleaned")
-    return _with_cleaned(docs, frequent, host_col, text_col, name).select(*[F.col(name).alias(c) if c == text_col else F.col(c) for c in docs.columns])
-
-
-def _with_cleaned(docs: DataFrame, frequent: DataFrame, host_col: str, text_col: str, name: str) -> DataFrame:
-    """docs with the column `name`: the text less the lines above the limits.
-
-    A host has few such lines, however many documents: each is in more than `share` of these, so there are at most as
-    many as an average document has lines, divided by `share`. They come as one list a host.
-    """
-    on, hashes = fresh(docs, "_on", "_hashes")
-    line_hash = lambda x: F.xxhash64(F.btrim(F.lower(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " "))))
-    lists = frequent.groupBy(F.col("host").alias(on)).agg(F.collect_list("hash").alias(hashes))
-    joined = docs.join(small_side(lists, frequent.count()), _host(host_col) == F.col(on), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(hashes, line_hash(x))), "\n")
-    return joined.withColumn(name, F.when(F.col(hashes).isNull(), F.col(text_col)).otherwise(kept)).drop(on, hashes)
+    rows, hits = _kept_with_hits(docs, host_col, text_col, least, share, None)
+    return rows.select(*[_cleaned(text_col, hits).alias(c) if c == text_col else F.col(c) for c in docs.columns])

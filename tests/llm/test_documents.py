@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievegrid.llm import fingerprints, graph, neardup, quality_rules, queries, url_templates
+from sievegrid.llm import common, fingerprints, graph, neardup, quality_rules, queries, url_templates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -390,3 +390,53 @@ def test_signature_estimates():
     (la, ga), (lb, gb) = hashing(mix(a)), hashing(mix(b))
     for x, y in ((la, lb), (ga, gb)):
         assert abs((x == y).mean() - 2700 / 3300) < 0.05
+
+
+def tables_left(spark):
+    """Paths of the stored tables that exist in the work folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(common.work_folder(spark)).getParent()
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {str(x.getPath()) for x in fs.listStatus(root)} if fs.exists(root) else set()
+
+
+def test_settled_keeps_only_the_result(spark):
+    """Inner results are tables on the way of the outer one, and everything goes if a step fails."""
+    before, seen = tables_left(spark), []
+
+    def inner():
+        common.stored(spark.range(5), "on-the-way")
+        return common.stored(spark.range(7), "on-the-way").where("id > 2")
+
+    def outer():
+        found = common.settled(spark, inner, "inner")
+        seen.append(tables_left(spark) - before)
+        return found.where("id > 4")
+
+    assert sorted(r["id"] for r in common.settled(spark, outer, "outer").collect()) == [5, 6]
+    assert ["inner" in x for x in seen.pop()] == [True]
+    after = tables_left(spark) - before
+    assert ["outer" in x for x in after] == [True]
+
+    def broken():
+        common.stored(spark.range(3), "on-the-way")
+        raise RuntimeError("broken")
+
+    with pytest.raises(RuntimeError, match="broken"):
+        common.settled(spark, broken)
+    assert tables_left(spark) - before == after
+
+
+def test_near_duplicates_leave_one_table(spark, docs):
+    before = tables_left(spark)
+    found = neardup.link(docs)
+    assert len(tables_left(spark) - before) == 1 and found.count() == docs.count()
+
+
+def test_lines_of_copies(spark):
+    """All copies of a text lose its lines, each line wherever it stands; in another host the same text keeps them."""
+    rows = site("h", 60, 0) + [(100 + k, f"Shared line OF the site\n{' '.join(f'x{i}' for i in range(30))}\n\n shared  line of the site ", "en", h, None) for k, h in enumerate(["h"] * 4 + ["g"])]
+    df, rows = sized(spark, rows)
+    got = {r["doc_id"]: r for r in quality_rules.keep_cleaned(df).collect()}
+    own = " ".join(f"x{i}" for i in range(30)) + "\n"
+    assert all(got[100 + k]["text"] == own and got[100 + k]["n_chars"] == len(own) for k in range(4))
+    assert got[104]["text"] == rows[-1][1] and len(got) == len(rows)
