@@ -67,7 +67,9 @@ def allocate(
     f = f.withColumn("_r", F.when(c > 0, c / F.nullif("_e", F.lit(0.0))).otherwise(0.0))
     order = Window.partitionBy("video_id").orderBy("_r", "t")
     before = F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("_e").over(order.rowsBetween(0, Window.unboundedFollowing))
+    # summed up from the other end: a frame that ends at unboundedFollowing is summed anew for each row
+    back = Window.partitionBy("video_id").orderBy(F.col("_r").desc(), F.col("t").desc())
+    rest = F.sum("_e").over(back.rowsBetween(Window.unboundedPreceding, 0))
     f = f.withColumn("_lambda", (F.col("_b") - before) / F.nullif(rest, F.lit(0.0)))
     f = f.withColumn("_full", (c == 0) | F.coalesce(F.round(F.col("_lambda") - F.col("_r"), 9) >= 0, F.lit(True)))
     share = F.max(F.when(~F.col("_full"), F.col("_lambda"))).over(_video())

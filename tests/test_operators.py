@@ -119,6 +119,13 @@ def test_allocation(spark):
     assert [got[0][t] for t in range(3)] == [1, 3, 3]
 
 
+def test_allocation_has_running_sums_only(spark):
+    """A window from the current row to the end is summed anew for each row, so its time is quadratic in the frames of a video."""
+    frames = spark.createDataFrame([(0, 0, 0.5, 3, 2)], "video_id int, t int, score double, capacity long, budget long")
+    plan = budget.allocate(frames, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe" in plan and "currentrow$(), unboundedfollowing$()" not in plan
+
+
 def test_explicit_budget_above_tokens(spark):
     with pytest.raises(Exception, match="budget above"):
         spark.range(1).select(budget.total_budget(F.lit(5), 0.5, 6)).collect()
