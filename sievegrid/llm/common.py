@@ -17,6 +17,8 @@ BROADCAST_ROWS = 200_000
 HOT_ROWS = 1000
 #: Bytes of texts that a Python worker gets at a time.
 BATCH_BYTES = 8 << 20
+#: Rows of each label that a shard of training rows has at least, if there are so many.
+SHARD_LABELS = 100
 _ROOTS: set[str] = set()
 #: Tables that the innermost settled() of this thread has written so far.
 _WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
@@ -145,6 +147,68 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *more)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and label of all labelled documents.
+
+    An id that is labelled more than once takes the larger label; null ids and labels are left out. Texts are shuffled only
+    if more ids are labelled than a broadcast may have.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
+    return id_and_text(docs, id_col, text_col).join(small_side(known.groupBy("doc_id").agg(F.max("label").alias("label"))), "doc_id")
+
+
+def dealt(rows: DataFrame, sizes: dict[int, int], shard_rows: int) -> DataFrame:
+    """rows (doc_id, label and more; `sizes` of them have each label) with `shard`, from 0: about `shard_rows` rows each, by hash.
+
+    Each row is in a shard. A label with fewer than SHARD_LABELS rows a shard is dealt to several, so that all have so many, or all
+    there are. Repeated rows meet before the shuffle and are dealt each by itself, so that one id fills no shard.
+    """
+    shards = max(1, -(-sum(sizes.values()) // shard_rows))
+    times = F.lit(1)
+    for label, n in sizes.items():
+        times = F.when(F.col("label") == label, min(shards, -(-SHARD_LABELS * shards // n))).otherwise(times)
+    each = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    first = F.xxhash64(*rows.columns, "_copy")
+    turn = F.explode(F.sequence(F.lit(0), times - 1))
+    return each.withColumn("_turn", turn).select(*rows.columns, F.pmod(F.pmod(first, F.lit(shards)) + F.col("_turn"), F.lit(shards)).cast("int").alias("shard"))
+
+
+def at_ranks(values: DataFrame, column: str, ranks: list[int], parts: int = 4096) -> list[float]:
+    """The values of a column of doubles at ranks, from 0, in ascending order: exact, nothing is sorted.
+
+    The span that holds a rank is cut into `parts`, whose rows are counted, until it is a single value: two or three rounds for
+    millions of rows. The driver gets the counts of the parts.
+    """
+    low, high = values.agg(F.min(column), F.max(column)).first()
+    spans = {r: (low, high, 0) for r in ranks}  # least and greatest value, rows below
+    while open_spans := sorted({s for s in spans.values() if s[0] < s[1]}):
+        x = F.col(column)
+        # the part is a monotonic function of the value, whatever the rounding
+        part = lambda s: F.least(F.floor((x - s[0]) / (s[1] - s[0]) * parts), F.lit(parts - 1))
+        inside = F.array(*[F.when(x.between(s[0], s[1]), F.struct(F.lit(i).alias("span"), part(s).alias("part"))) for i, s in enumerate(open_spans)])
+        rows = values.select(x, F.explode(F.array_compact(inside)).alias("k")).groupBy("k.span", "k.part").agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+        found: dict[int, list] = {}
+        for r in sorted(rows.collect(), key=lambda r: (r["span"], r["part"])):
+            found.setdefault(r["span"], []).append(r)
+        for rank, span in spans.items():
+            if span[0] < span[1]:
+                below = span[2]
+                for r in found[open_spans.index(span)]:
+                    if rank < below + r["n"]:
+                        spans[rank] = (r["low"], r["high"], below)
+                        break
+                    below += r["n"]
+    return [spans[r][0] for r in ranks]
+
+
+def quantiles(values: DataFrame, column: str, rows: int, shares: list[float]) -> list[float]:
+    """Exact quantiles of a column of `rows` doubles, linear between neighbours."""
+    places = [s * (rows - 1) for s in shares]
+    ranks = sorted({r for p in places for r in (int(p), min(int(p) + 1, rows - 1))})
+    value = dict(zip(ranks, at_ranks(values, column, ranks), strict=True))
+    return [value[int(p)] + (value[min(int(p) + 1, rows - 1)] - value[int(p)]) * (p - int(p)) for p in places]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int) -> DataFrame:
     """doc_id, text and label of the documents of at most `rows` labelled ids, those with the smallest hashes.
 

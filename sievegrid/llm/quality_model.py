@@ -9,13 +9,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sievegrid.llm.common import bounded_batches, id_and_text, labelled_sample
+from sievegrid.llm.common import bounded_batches, dealt, id_and_text, labelled, quantiles, stored
 
-#: Labelled rows that training takes at most, by the smallest hash of the id; preference pairs drawn for each row of this bound.
-SAMPLE_ROWS, PAIRS_A_ROW = 12_000, 5
+#: Labelled rows that learn together in one task; preference pairs drawn for each row of this number.
+SHARD_ROWS, PAIRS_A_ROW = 12_000, 5
 _SYMBOLS = re.compile(r"[#*$%&|<>{}\[\]\\^~=_@+]")
 _LETTERS = re.compile(r"[^\W\d_]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-ÞЀ-Я]")
@@ -90,31 +92,64 @@ def _featured(docs: DataFrame, columns: list[str], schema: str) -> DataFrame:
     return docs.select(*columns, "text").mapInArrow(rows, f"{schema}, features array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", at: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> Ranking:
-    """Learns from the documents of at most `sample_rows` labelled ids.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", at: float = 0.3, shard_rows: int = SHARD_ROWS) -> Ranking:
+    """Learns from all labelled documents.
 
-    The cut lies at the quantile of the raw scores that equals the share of label 0; the calibrated score there
-    is `at`. Features of whole texts are taken in Spark. Null texts count as empty; ids without a document, null ids and
-    null labels are left out; of an id labelled more than once the larger label counts, and repeated rows of an id
-    count each. Without rows of both classes every score is 0.5.
+    Their rows are dealt by hash to shards of about `shard_rows`, which draw pairs and learn weights each in its task; the
+    weights are the mean of those of the shards, by their rows. Scaling and cut are those of all rows: the cut lies at the quantile
+    of the raw scores that equals the share of label 0; the calibrated score there is `at`. Features of whole texts
+    are taken in Spark. Null texts count as empty; ids without a document, null ids and null labels are left out; of an id labelled
+    more than once the larger label counts, and repeated rows of an id count each. Without rows of both classes
+    every score is 0.5. The driver gets sums, counts and 2 * len(FEATURES) weights a shard.
     """
-    sample = labelled_sample(docs, labels, label_col, id_col, text_col, sample_rows)
-    got = _featured(sample, ["label"], "label int").toPandas()
-    return train(got["label"].to_numpy(np.int64), np.array(got["features"].tolist(), float).reshape(-1, len(FEATURES)), at, PAIRS_A_ROW * sample_rows)
+    rows = stored(_featured(labelled(docs, labels, label_col, id_col, text_col), ["doc_id", "label"], "doc_id long, label int"), "features")
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return _untaught()
+    each = [F.get("features", F.lit(i)) for i in range(len(FEATURES))]
+    each += [F.sqrt(c) for c in each]
+    moments = rows.agg(*[F.avg(c) for c in each], *[F.stddev_pop(c) for c in each]).first()
+    mean, deviation = np.array(moments[: len(each)]), np.array(moments[len(each) :]) + 1e-9
+
+    def learn(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.assign(features=[tuple(f) for f in shard["features"]]).sort_values(["doc_id", "label", "features"])
+        z = (expanded(np.array(shard["features"].tolist(), float)) - mean) / deviation
+        w = weights(shard["label"].to_numpy(np.int64), z, PAIRS_A_ROW * shard_rows, seed=11 + key[0])
+        return pd.DataFrame({"shard": [key[0]], "rows": [len(shard)], "weights": [w]})
+
+    learnt = dealt(rows, sizes, shard_rows).groupBy("shard").applyInPandas(learn, "shard int, rows long, weights array<double>")
+    found = sorted(learnt.collect(), key=lambda r: r["shard"])
+    w = np.average([r["weights"] for r in found], axis=0, weights=[r["rows"] for r in found])
+    ranking = Ranking(w, mean, deviation, 0.0, 1.0, at)
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranking.raw(got), pa.float64())], ["label", "raw"])
 
+    scored = stored(rows.select("label", "features").mapInArrow(raw, "label int, raw double"), "raw-scores")
+    n = sum(sizes.values())
+    cut = float(np.mean(quantiles(scored, "raw", n, _cut_shares(sizes[0] / n))))
+    (high,) = quantiles(scored.where("label = 1"), "raw", sizes[1], [0.5])
+    return Ranking(w, mean, deviation, cut, float(max(high - cut, 1e-6) / 4), at)
 
-def train(labels: np.ndarray, rows: np.ndarray, at: float = 0.3, pairs: int = PAIRS_A_ROW * SAMPLE_ROWS, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> Ranking:
-    """Adagrad on the logistic loss of the differences of random pairs, one document of either label each."""
-    x = expanded(rows)
-    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+
+def _untaught() -> Ranking:
     width = 2 * len(FEATURES)
-    if not len(good) or not len(bad):
-        return Ranking(np.zeros(width), np.zeros(width), np.ones(width), 0.0, 1.0, 0.5)
-    mean, deviation = x.mean(0), x.std(0) + 1e-9
-    x = (x - mean) / deviation
+    return Ranking(np.zeros(width), np.zeros(width), np.ones(width), 0.0, 1.0, 0.5)
+
+
+def _cut_shares(share: float) -> list[float]:
+    """Around the quantile that has as many scores below it as documents are labelled 0, a margin of 2 % of either class."""
+    return [0.98 * share, share + 0.02 * (1 - share)]
+
+
+def weights(labels: np.ndarray, x: np.ndarray, pairs: int, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> np.ndarray:
+    """Adagrad on the logistic loss of the differences of random pairs of the scaled rows x, one of either label each."""
+    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     random = np.random.default_rng(seed)
     difference = x[random.choice(good, pairs)] - x[random.choice(bad, pairs)]
-    w, seen = np.zeros(width), np.full(width, 1e-6)
+    w, seen = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-6)
     for _ in range(epochs):
         order = random.permutation(pairs)
         for i in range(0, pairs, 256):
@@ -123,11 +158,20 @@ def train(labels: np.ndarray, rows: np.ndarray, at: float = 0.3, pairs: int = PA
             slope = decay * w - (lose[:, None] * d).mean(0)
             seen += slope**2
             w -= rate * slope / np.sqrt(seen)
+    return w
+
+
+def train(labels: np.ndarray, rows: np.ndarray, at: float = 0.3, pairs: int = PAIRS_A_ROW * SHARD_ROWS, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> Ranking:
+    """The ranking that fit() learns from a single shard, from rows at hand."""
+    x = expanded(rows)
+    if not (labels == 1).any() or not (labels == 0).any():
+        return _untaught()
+    mean, deviation = x.mean(0), x.std(0) + 1e-9
+    x = (x - mean) / deviation
+    w = weights(labels, x, pairs, epochs, rate, decay, seed)
     raw = x @ w
-    share = len(bad) / len(labels)
-    # around the quantile that has as many scores below it as documents are labelled 0, a margin of 2 % of either class
-    cut = (np.quantile(raw, 0.98 * share) + np.quantile(raw, share + 0.02 * (1 - share))) / 2
-    high = np.median(raw[good])
+    cut = np.quantile(raw, _cut_shares((labels == 0).mean())).mean()
+    high = np.median(raw[labels == 1])
     return Ranking(w, mean, deviation, float(cut), float(max(high - cut, 1e-6) / 4), at)
 
 

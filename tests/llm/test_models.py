@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievegrid.llm import quality_model, queries, toxicity
+from sievegrid.llm import common, quality_model, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -215,6 +215,40 @@ def test_ranking_by_loops(spark):
         assert got[x["doc_id"]] == pytest.approx(plain_quality(ranking, x["text"]))
 
 
+def test_quality_learns_from_every_row(spark):
+    """Shards of 40 rows: one of them equals train(), several take part each, scaling and cut are those of all rows."""
+    docs, marks = (queries.table(spark, SF, t) for t in ("documents", "labels"))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = sorted((r["doc_id"], r["quality"]) for r in marks.collect() if r["doc_id"] in text and r["quality"] is not None)
+    rows, labels = np.array([quality_model.features(text[d] or "") for d, _ in known]), np.array([y for _, y in known])
+    one, plain = quality_model.fit(docs, marks), quality_model.train(labels, rows)
+    for part in ("weights", "mean", "deviation", "cut", "spread"):
+        assert getattr(one, part) == pytest.approx(getattr(plain, part), rel=1e-6, abs=1e-6)
+    many = quality_model.fit(docs, marks, shard_rows=40)
+    assert many.mean == pytest.approx(one.mean) and many.deviation == pytest.approx(one.deviation)
+    raw, share = many.raw(rows), (labels == 0).mean()
+    assert many.cut == pytest.approx(np.quantile(raw, [0.98 * share, share + 0.02 * (1 - share)]).mean())
+    assert many.spread == pytest.approx((np.median(raw[labels == 1]) - many.cut) / 4)
+    assert area([(s, None, y) for s, y in zip(many.scores(rows), labels, strict=True)]) > 0.95
+
+
+def test_shards(spark):
+    """Every row is in a shard, repeated ones as often as they are there; the rare label is in all shards."""
+    rows = [(n % 1000 if n < 4000 else 7, int(n in (5, 6, 8))) for n in range(6000)]
+    found = common.dealt(spark.createDataFrame(rows, "doc_id long, label int"), {0: 5997, 1: 3}, 600).collect()
+    assert Counter((r["doc_id"], r["label"]) for r in found if not r["label"]) == Counter(x for x in rows if not x[1])
+    assert Counter((r["doc_id"], r["shard"]) for r in found if r["label"]) == Counter((d, s) for d in (5, 6, 8) for s in range(10))
+    assert max(Counter(r["shard"] for r in found).values()) < 800
+
+
+def test_quantiles(spark):
+    r = np.random.default_rng(4)
+    values = np.concatenate([r.normal(size=3000), np.full(500, 0.25), r.normal(size=300) * 1e-9, [1e6]])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(3)
+    shares = [0.0, 0.123, 0.5, 0.55, 0.98, 1.0]
+    assert common.quantiles(df, "x", len(values), shares) == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12)
+
+
 @pytest.mark.parametrize("kind", ["toxicity", "quality"])
 def test_cases(spark, docs, messy, no_docs, kind):
     module = toxicity if kind == "toxicity" else quality_model
